@@ -332,3 +332,49 @@ def tiers_domain() -> tuple[str, ...]:
 
 def bounded_wage(col="ANNUAL_WAGE_FROM") -> Column:
     return bounded(col)
+
+
+# -- A9 leaderboard ---------------------------------------------------------------
+
+def leaderboard(filtered: DataFrame, full: DataFrame, other: DataFrame, signal_flag: str,
+                min_filings: int = 3, k: int = 300, lca_flags: bool = True,
+                roles=(), employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
+    """Employer ranking over a filtered set, with the MBA mix taken from the
+    unfiltered dataset and a history flag from the other dataset.
+
+    Three aggregated inputs (filtered groups, full-dataset totals, distinct
+    employers of the other dataset) are joined on the employer key; each is
+    one row per employer, so no join here touches filing rows.
+    """
+    from filingscope.functions.flags import search_link, yes_label
+    from filingscope.operators.entities import history_flag
+
+    aggs = [
+        F.count(F.lit(1)).alias("filings"),
+        F.count_if("CERTIFIED").alias("_cert"),
+        F.count_if("DECIDED").alias("_dec"),
+        share(signal_flag).alias("_signal"),
+        F.median("ANNUAL_WAGE").alias("median_wage"),
+    ]
+    if lca_flags:
+        aggs += [F.bool_or(yes_flag("WILLFUL_VIOLATOR")).alias("_wv"),
+                 F.bool_or(yes_flag("H_1B_DEPENDENT")).alias("_dep")]
+    g = _drop_null_keys(filtered, [employer]).groupBy(employer).agg(*aggs) \
+        .where(F.col("filings") >= min_filings)
+    totals = _drop_null_keys(full, [employer]).groupBy(employer).agg(
+        F.count(F.lit(1)).alias("_total"), F.count_if(F.col("MBA_TIER") != "excluded").alias("_mba"))
+    g = g.join(totals, employer, "left")
+    g = history_flag(g, other, employer, "_hist")
+    role_text = ", ".join(sorted(roles)[:2]) if roles else "MBA"
+    cols = [
+        employer, "filings",
+        (F.when(F.col("_mba") > 0, F.col("_mba") / F.col("_total")) * 100).alias("mba_mix_pct"),
+        (rate(F.col("_cert"), F.col("_dec")) * 100).alias("cert_rate_pct"),
+        (F.col("_signal") * 100).alias("signal_pct"),
+        "median_wage",
+        yes_label("_hist").alias("other_history"),
+        search_link(F.col(employer), F.lit(role_text)).alias("search_link"),
+    ]
+    if lca_flags:
+        cols += [yes_label("_wv").alias("willful_violator"), yes_label("_dep").alias("h1b_dependent")]
+    return g.select(*cols).orderBy(F.desc("filings"), F.asc(employer)).limit(k)

@@ -46,3 +46,332 @@ SELECT PRIMARY_WORKSITE_STATE, count(*) AS filings
 FROM perm_mba WHERE PRIMARY_WORKSITE_STATE IS NOT NULL GROUP BY PRIMARY_WORKSITE_STATE""")
 def a5_geo_scorecard_perm(spark, sf_dir):
     return stats.scorecard(_ds(spark, sf_dir).perm_mba(), "PRIMARY_WORKSITE_STATE", wage=None, cert=False)
+
+
+def _app(spark, sf_dir) -> Datasets:
+    """The explorer's view: LCA restricted to H-1B before names are resolved."""
+    from filingscope.plans.enrich import lca_master
+    return Datasets(spark, sf_dir, lca=lca_master(spark, sf_dir).where(F.col("VISA_CLASS") == "H-1B"))
+
+
+APP_LCA = "VISA_CLASS = 'H-1B'"
+CERT_RATE_SQL = ("CAST(count(*) FILTER (WHERE CERTIFIED) AS DOUBLE) / "
+                 "nullif(count(*) FILTER (WHERE DECIDED), 0)")
+
+# -- A1 value counts --------------------------------------------------------------
+
+
+@register("a1_status_lca", "SELECT CASE_STATUS, count(*) AS filings FROM lca_e WHERE CASE_STATUS IS NOT NULL GROUP BY 1")
+def a1_status_lca(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).lca, "CASE_STATUS")
+
+
+@register("a1_status_perm_with_null", "SELECT CASE_STATUS, count(*) AS filings FROM perm_e GROUP BY 1")
+def a1_status_perm_with_null(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).perm, "CASE_STATUS", keep_null=True)
+
+
+@register("a1_visa_class", "SELECT VISA_CLASS, count(*) AS filings FROM lca_e WHERE VISA_CLASS IS NOT NULL GROUP BY 1")
+def a1_visa_class(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).lca, "VISA_CLASS")
+
+
+@register("a1_top_occupations_lca", """
+SELECT SOC_TITLE, count(*) AS filings FROM lca_e WHERE SOC_TITLE IS NOT NULL
+GROUP BY 1 ORDER BY filings DESC, SOC_TITLE LIMIT 20""")
+def a1_top_occupations_lca(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).lca, "SOC_TITLE", k=20)
+
+
+@register("a1_occupations_perm", """
+SELECT PWD_SOC_TITLE, count(*) AS filings FROM perm_e WHERE PWD_SOC_TITLE IS NOT NULL GROUP BY 1""")
+def a1_occupations_perm(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).perm, "PWD_SOC_TITLE")
+
+
+@register("a1_top_employers_lca", """
+SELECT EMPLOYER_CANONICAL, count(*) AS filings FROM lca_e WHERE EMPLOYER_CANONICAL IS NOT NULL
+GROUP BY 1 ORDER BY filings DESC, EMPLOYER_CANONICAL LIMIT 200""")
+def a1_top_employers_lca(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).lca, "EMPLOYER_CANONICAL", k=200)
+
+
+@register("a1_top_employers_perm", """
+SELECT EMPLOYER_CANONICAL, count(*) AS filings FROM perm_e WHERE EMPLOYER_CANONICAL IS NOT NULL
+GROUP BY 1 ORDER BY filings DESC, EMPLOYER_CANONICAL LIMIT 200""")
+def a1_top_employers_perm(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).perm, "EMPLOYER_CANONICAL", k=200)
+
+
+@register("a1_top_states_lca", """
+SELECT WORKSITE_STATE, count(*) AS filings FROM lca_e WHERE WORKSITE_STATE IS NOT NULL
+GROUP BY 1 ORDER BY filings DESC, WORKSITE_STATE LIMIT 15""")
+def a1_top_states_lca(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).lca, "WORKSITE_STATE", k=15)
+
+
+@register("a1_mba_states_lca", """
+SELECT WORKSITE_STATE, count(*) AS filings FROM lca_mba WHERE WORKSITE_STATE IS NOT NULL GROUP BY 1""")
+def a1_mba_states_lca(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).lca_mba(), "WORKSITE_STATE")
+
+
+@register("a1_mba_occupations_lca", """
+SELECT SOC_TITLE, count(*) AS filings FROM lca_mba WHERE SOC_TITLE IS NOT NULL GROUP BY 1""")
+def a1_mba_occupations_lca(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).lca_mba(), "SOC_TITLE")
+
+
+@register("a1_mba_sectors_perm", """
+SELECT NAICS_SECTOR, count(*) AS filings FROM perm_mba WHERE NAICS_SECTOR IS NOT NULL GROUP BY 1""")
+def a1_mba_sectors_perm(spark, sf_dir):
+    return stats.value_counts(_ds(spark, sf_dir).perm_mba(), "NAICS_SECTOR")
+
+
+# -- A2 / A3 certification rates ------------------------------------------------------
+
+
+@register("a2_cert_rate_lca", f"""
+SELECT count(*) FILTER (WHERE DECIDED) AS decided, count(*) FILTER (WHERE CERTIFIED) AS certified,
+       {CERT_RATE_SQL} AS cert_rate FROM lca_e""")
+def a2_cert_rate_lca(spark, sf_dir):
+    return stats.cert_rate(_ds(spark, sf_dir).lca)
+
+
+@register("a2_cert_rate_perm", f"""
+SELECT count(*) FILTER (WHERE DECIDED) AS decided, count(*) FILTER (WHERE CERTIFIED) AS certified,
+       {CERT_RATE_SQL} AS cert_rate FROM perm_e""")
+def a2_cert_rate_perm(spark, sf_dir):
+    return stats.cert_rate(_ds(spark, sf_dir).perm)
+
+
+@register("a3_cert_rate_by_tier_lca", f"""
+SELECT MBA_TIER, count(*) FILTER (WHERE DECIDED) AS decided, count(*) FILTER (WHERE CERTIFIED) AS certified,
+       {CERT_RATE_SQL} AS cert_rate FROM lca_e WHERE MBA_TIER IS NOT NULL GROUP BY 1
+HAVING count(*) FILTER (WHERE DECIDED) > 0""")
+def a3_cert_rate_by_tier_lca(spark, sf_dir):
+    return stats.cert_rate(_ds(spark, sf_dir).lca, ["MBA_TIER"]).where(F.col("decided") > 0)
+
+
+@register("a3_cert_rate_by_tier_perm", f"""
+SELECT MBA_TIER, count(*) FILTER (WHERE DECIDED) AS decided, count(*) FILTER (WHERE CERTIFIED) AS certified,
+       {CERT_RATE_SQL} AS cert_rate FROM perm_e WHERE MBA_TIER IS NOT NULL GROUP BY 1
+HAVING count(*) FILTER (WHERE DECIDED) > 0""")
+def a3_cert_rate_by_tier_perm(spark, sf_dir):
+    return stats.cert_rate(_ds(spark, sf_dir).perm, ["MBA_TIER"]).where(F.col("decided") > 0)
+
+
+# -- A6 - A8 employer mix and scorecards ---------------------------------------------
+
+MIX_SQL = """
+SELECT EMPLOYER_CANONICAL, count(MBA_TIER) AS total,
+       count(*) FILTER (WHERE MBA_TIER <> 'excluded') AS mba_relevant,
+       CAST(count(*) FILTER (WHERE MBA_TIER <> 'excluded') AS DOUBLE) / nullif(count(MBA_TIER), 0) AS mba_share
+FROM {t} WHERE EMPLOYER_CANONICAL IS NOT NULL GROUP BY 1 HAVING count(MBA_TIER) >= 10"""
+
+
+@register("a6_employer_mix_lca", MIX_SQL.format(t="lca_e"))
+def a6_employer_mix_lca(spark, sf_dir):
+    return stats.employer_mix(_ds(spark, sf_dir).lca).orderBy(
+        F.desc("mba_share"), F.desc("total"), "EMPLOYER_CANONICAL")
+
+
+@register("a6_employer_mix_perm", MIX_SQL.format(t="perm_e"))
+def a6_employer_mix_perm(spark, sf_dir):
+    return stats.employer_mix(_ds(spark, sf_dir).perm).orderBy(
+        F.desc("mba_share"), F.desc("total"), "EMPLOYER_CANONICAL")
+
+
+@register("a7_employer_scorecard_lca", """
+SELECT EMPLOYER_CANONICAL, count(MBA_TIER) AS total_filings,
+       count(*) FILTER (WHERE MBA_TIER <> 'excluded') AS mba_relevant_filings,
+       avg(CASE WHEN CASE_STATUS IS DISTINCT FROM 'Denied' THEN 1.0 ELSE 0.0 END) AS certified,
+       avg(CAST(IS_NEW_HIRE AS DOUBLE)) AS new_position_share,
+       median(ANNUAL_WAGE_FROM) AS median_annual_wage,
+       bool_or(coalesce(WILLFUL_VIOLATOR = 'Y', false)) AS any_willful_violator,
+       bool_or(coalesce(H_1B_DEPENDENT = 'Y', false)) AS any_h1b_dependent,
+       CAST(count(*) FILTER (WHERE MBA_TIER <> 'excluded') AS DOUBLE) / nullif(count(MBA_TIER), 0) AS mba_share
+FROM lca_e WHERE EMPLOYER_CANONICAL IS NOT NULL GROUP BY 1
+HAVING count(*) FILTER (WHERE MBA_TIER <> 'excluded') >= 10""")
+def a7_employer_scorecard_lca(spark, sf_dir):
+    return stats.employer_scorecard_lca(_ds(spark, sf_dir).lca).orderBy(
+        F.desc("mba_share"), F.desc("mba_relevant_filings"), "EMPLOYER_CANONICAL")
+
+
+@register("a8_employer_scorecard_perm", """
+SELECT EMPLOYER_CANONICAL, count(MBA_TIER) AS total_filings,
+       count(*) FILTER (WHERE MBA_TIER <> 'excluded') AS mba_relevant_filings,
+       avg(CASE WHEN CASE_STATUS IS DISTINCT FROM 'Denied' THEN 1.0 ELSE 0.0 END) AS certified,
+       avg(CASE WHEN OTHER_REQ_IS_FW_CURRENTLY_WRK = 'N' THEN 1.0 ELSE 0.0 END) AS external_hire_share,
+       median(EMP_NUM_PAYROLL) AS median_company_payroll,
+       CAST(count(*) FILTER (WHERE MBA_TIER <> 'excluded') AS DOUBLE) / nullif(count(MBA_TIER), 0) AS mba_share
+FROM perm_e WHERE EMPLOYER_CANONICAL IS NOT NULL GROUP BY 1
+HAVING count(*) FILTER (WHERE MBA_TIER <> 'excluded') >= 5""")
+def a8_employer_scorecard_perm(spark, sf_dir):
+    return stats.employer_scorecard_perm(_ds(spark, sf_dir).perm).orderBy(
+        F.desc("mba_share"), F.desc("mba_relevant_filings"), "EMPLOYER_CANONICAL")
+
+
+# -- A9 / A10 explorer leaderboard and KPIs ---------------------------------------------
+
+LINK_SQL = "'https://www.google.com/search?q=' || replace(url_encode(g.EMPLOYER_CANONICAL || ' MBA careers'), '%20', '+')"
+
+BOARD_SQL = """
+, filt AS (SELECT * FROM {t} WHERE MBA_TIER IN ('core', 'adjacent')),
+g AS (
+  SELECT EMPLOYER_CANONICAL, count(*) AS filings,
+         count(*) FILTER (WHERE CERTIFIED) AS c, count(*) FILTER (WHERE DECIDED) AS d,
+         avg(CAST({flag} AS DOUBLE)) AS sig, median(ANNUAL_WAGE) AS median_wage
+         {extra}
+  FROM filt WHERE EMPLOYER_CANONICAL IS NOT NULL GROUP BY 1 HAVING count(*) >= 3),
+tot AS (SELECT EMPLOYER_CANONICAL, count(*) AS total, count(*) FILTER (WHERE MBA_TIER <> 'excluded') AS mba
+        FROM {t} WHERE EMPLOYER_CANONICAL IS NOT NULL GROUP BY 1),
+oth AS (SELECT DISTINCT EMPLOYER_CANONICAL FROM {o} WHERE EMPLOYER_CANONICAL IS NOT NULL)
+SELECT g.EMPLOYER_CANONICAL, g.filings,
+       CASE WHEN tot.mba > 0 THEN CAST(tot.mba AS DOUBLE) / tot.total END * 100 AS mba_mix_pct,
+       CAST(g.c AS DOUBLE) / nullif(g.d, 0) * 100 AS cert_rate_pct,
+       g.sig * 100 AS signal_pct, g.median_wage,
+       CASE WHEN oth.EMPLOYER_CANONICAL IS NOT NULL THEN 'Yes' ELSE '' END AS other_history,
+       {link} AS search_link {extra_cols}
+FROM g LEFT JOIN tot USING (EMPLOYER_CANONICAL) LEFT JOIN oth ON oth.EMPLOYER_CANONICAL = g.EMPLOYER_CANONICAL
+ORDER BY g.filings DESC, g.EMPLOYER_CANONICAL LIMIT 300"""
+
+LCA_FLAG_AGGS = (", bool_or(coalesce(WILLFUL_VIOLATOR = 'Y', false)) AS wv, "
+                 "bool_or(coalesce(H_1B_DEPENDENT = 'Y', false)) AS dep")
+LCA_FLAG_COLS = (", CASE WHEN g.wv THEN 'Yes' ELSE '' END AS willful_violator, "
+                 "CASE WHEN g.dep THEN 'Yes' ELSE '' END AS h1b_dependent")
+
+
+@register("a9_leaderboard_lca", BOARD_SQL.format(t="lca_e", o="perm_e", flag="HAS_NEW_OR_TRANSFER_POSITION",
+                                                   extra=LCA_FLAG_AGGS, extra_cols=LCA_FLAG_COLS, link=LINK_SQL),
+          lca_where=APP_LCA)
+def a9_leaderboard_lca(spark, sf_dir):
+    from filingscope.operators.search import Facets, faceted_filter
+    from filingscope.spec import LCA
+    ds = _app(spark, sf_dir)
+    lca = ds.lca
+    filtered = faceted_filter(lca, LCA, Facets())
+    return stats.leaderboard(filtered, lca, ds.perm, "HAS_NEW_OR_TRANSFER_POSITION")
+
+
+@register("a9_leaderboard_perm", BOARD_SQL.format(t="perm_e", o="lca_e", flag="IS_EXTERNAL_HIRE",
+                                                    extra="", extra_cols="", link=LINK_SQL),
+          lca_where=APP_LCA)
+def a9_leaderboard_perm(spark, sf_dir):
+    from filingscope.operators.search import Facets, faceted_filter
+    from filingscope.spec import PERM
+    ds = _app(spark, sf_dir)
+    perm = ds.perm
+    filtered = faceted_filter(perm, PERM, Facets())
+    return stats.leaderboard(filtered, perm, ds.lca, "IS_EXTERNAL_HIRE", lca_flags=False)
+
+
+KPI_SQL = f"""
+SELECT count(*) AS matched, count(*) FILTER (WHERE DECIDED) AS decided, {CERT_RATE_SQL} AS cert_rate,
+       median(ANNUAL_WAGE) AS median_wage, count(ANNUAL_WAGE) AS wage_n, avg(CAST({{flag}} AS DOUBLE)) AS signal_share
+FROM {{t}} WHERE MBA_TIER IN ('core', 'adjacent')"""
+
+
+@register("a10_kpis_lca", KPI_SQL.format(t="lca_e", flag="HAS_NEW_OR_TRANSFER_POSITION"), lca_where=APP_LCA)
+def a10_kpis_lca(spark, sf_dir):
+    from filingscope.operators.search import Facets, faceted_filter
+    from filingscope.spec import LCA
+    return stats.kpis(faceted_filter(_app(spark, sf_dir).lca, LCA, Facets()), "HAS_NEW_OR_TRANSFER_POSITION")
+
+
+@register("a10_kpis_perm", KPI_SQL.format(t="perm_e", flag="IS_EXTERNAL_HIRE"), lca_where=APP_LCA)
+def a10_kpis_perm(spark, sf_dir):
+    from filingscope.operators.search import Facets, faceted_filter
+    from filingscope.spec import PERM
+    return stats.kpis(faceted_filter(_app(spark, sf_dir).perm, PERM, Facets()), "IS_EXTERNAL_HIRE")
+
+
+# -- A11 - A13 fiscal comparisons ----------------------------------------------------------
+
+YOYQ_SQL = f"""
+, g AS (SELECT FISCAL_QUARTER, count(*) FILTER (WHERE FISCAL_YEAR = {BASE_FY}) AS base_filings,
+               count(*) FILTER (WHERE FISCAL_YEAR = {NEXT_FY}) AS next_filings
+        FROM {{t}} WHERE FISCAL_QUARTER <= 3 GROUP BY 1)
+SELECT *, (CAST(sum(next_filings) OVER () AS DOUBLE) / nullif(sum(base_filings) OVER (), 0) - 1) * 100 AS pct_change_total
+FROM g WHERE base_filings > 0 OR next_filings > 0"""
+
+
+@register("a11_yoy_by_quarter_lca", YOYQ_SQL.format(t="lca_e"))
+def a11_yoy_by_quarter_lca(spark, sf_dir):
+    return stats.yoy_by_quarter(_ds(spark, sf_dir).lca, BASE_FY, NEXT_FY)
+
+
+@register("a11_yoy_by_quarter_perm", YOYQ_SQL.format(t="perm_e"))
+def a11_yoy_by_quarter_perm(spark, sf_dir):
+    return stats.yoy_by_quarter(_ds(spark, sf_dir).perm, BASE_FY, NEXT_FY)
+
+
+YOYT_SQL = f"""
+, g AS (SELECT MBA_TIER, count(*) FILTER (WHERE FISCAL_YEAR = {BASE_FY}) AS base_filings,
+               count(*) FILTER (WHERE FISCAL_YEAR = {NEXT_FY}) AS next_filings
+        FROM {{t}} WHERE FISCAL_QUARTER <= 3 GROUP BY 1),
+h AS (SELECT *, sum(base_filings) OVER () > 0 AND sum(next_filings) OVER () > 0 AS both_years FROM g)
+SELECT MBA_TIER, base_filings, next_filings, (CAST(next_filings AS DOUBLE) / base_filings - 1) * 100 AS pct_change
+FROM h WHERE MBA_TIER IN {{tiers}} AND both_years AND base_filings > 0"""
+
+
+@register("a12_yoy_by_tier_lca", YOYT_SQL.format(t="lca_e", tiers="('core', 'adjacent', 'excluded')"))
+def a12_yoy_by_tier_lca(spark, sf_dir):
+    return stats.yoy_by_tier(_ds(spark, sf_dir).lca, BASE_FY, NEXT_FY)
+
+
+@register("a12_yoy_by_tier_perm", YOYT_SQL.format(t="perm_e", tiers="('core', 'adjacent', 'excluded')"))
+def a12_yoy_by_tier_perm(spark, sf_dir):
+    return stats.yoy_by_tier(_ds(spark, sf_dir).perm, BASE_FY, NEXT_FY)
+
+
+COVERAGE_SQL = """
+SELECT FISCAL_YEAR, count(*) FILTER (WHERE FISCAL_QUARTER = 1) AS Q1, count(*) FILTER (WHERE FISCAL_QUARTER = 2) AS Q2,
+       count(*) FILTER (WHERE FISCAL_QUARTER = 3) AS Q3, count(*) FILTER (WHERE FISCAL_QUARTER = 4) AS Q4
+FROM {t} WHERE FISCAL_YEAR IS NOT NULL AND FISCAL_QUARTER IS NOT NULL GROUP BY 1"""
+
+
+@register("a13_fiscal_coverage_lca", COVERAGE_SQL.format(t="lca_e"))
+def a13_fiscal_coverage_lca(spark, sf_dir):
+    return stats.fiscal_coverage(_ds(spark, sf_dir).lca_master)
+
+
+@register("a13_fiscal_coverage_perm", COVERAGE_SQL.format(t="perm_e"))
+def a13_fiscal_coverage_perm(spark, sf_dir):
+    return stats.fiscal_coverage(_ds(spark, sf_dir).perm_master)
+
+
+# -- A14 / A15 time series ----------------------------------------------------------------
+
+MONTHLY_SQL = """
+, c AS (SELECT last_day(RECEIVED_DATE) AS month_end, count(*) AS filings FROM {t} WHERE RECEIVED_DATE IS NOT NULL GROUP BY 1),
+b AS (SELECT min(month_end) AS lo, max(month_end) AS hi FROM c),
+m AS (SELECT last_day(CAST(gs AS DATE)) AS month_end
+      FROM b, generate_series(CAST(date_trunc('month', lo) AS TIMESTAMP), CAST(date_trunc('month', hi) AS TIMESTAMP), INTERVAL 1 MONTH) t(gs))
+SELECT m.month_end, coalesce(c.filings, 0) AS filings FROM m LEFT JOIN c ON c.month_end = m.month_end"""
+
+
+@register("a14_monthly_series_lca", MONTHLY_SQL.format(t="lca_e"))
+def a14_monthly_series_lca(spark, sf_dir):
+    return stats.monthly_series(_ds(spark, sf_dir).lca_master)
+
+
+@register("a14_monthly_series_perm", MONTHLY_SQL.format(t="perm_e"))
+def a14_monthly_series_perm(spark, sf_dir):
+    return stats.monthly_series(_ds(spark, sf_dir).perm_master)
+
+
+SEASON_SQL = """
+, c AS (SELECT CAST(month(RECEIVED_DATE) AS INTEGER) AS month, count(*) AS filings FROM {t} WHERE RECEIVED_DATE IS NOT NULL GROUP BY 1)
+SELECT CAST(r.m AS INTEGER) AS month, coalesce(c.filings, 0) AS filings
+FROM range(1, 13) r(m) LEFT JOIN c ON c.month = r.m"""
+
+
+@register("a15_seasonality_lca", SEASON_SQL.format(t="lca_e"))
+def a15_seasonality_lca(spark, sf_dir):
+    return stats.seasonality(_ds(spark, sf_dir).lca_master)
+
+
+@register("a15_seasonality_perm", SEASON_SQL.format(t="perm_e"))
+def a15_seasonality_perm(spark, sf_dir):
+    return stats.seasonality(_ds(spark, sf_dir).perm_master)
