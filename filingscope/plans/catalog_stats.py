@@ -375,3 +375,187 @@ def a15_seasonality_lca(spark, sf_dir):
 @register("a15_seasonality_perm", SEASON_SQL.format(t="perm_e"))
 def a15_seasonality_perm(spark, sf_dir):
     return stats.seasonality(_ds(spark, sf_dir).perm_master)
+
+
+# -- A16 / A17 column profiles ---------------------------------------------------------------
+
+# Columns of the consolidated LCA master and their Spark types.
+LCA_MASTER_TYPES = {
+    "CASE_NUMBER": "string", "SOURCE_FILE": "string", "SOURCE_ORD": "int", "CASE_STATUS": "string",
+    "RECEIVED_DATE": "date", "DECISION_DATE": "date", "VISA_CLASS": "string", "SOC_CODE": "string",
+    "SOC_TITLE": "string", "JOB_TITLE": "string", "EMPLOYER_NAME": "string", "NAICS_CODE": "string",
+    "WORKSITE_STATE": "string", "WAGE_RATE_OF_PAY_FROM": "double", "WAGE_UNIT_OF_PAY": "string",
+    "PW_WAGE_LEVEL": "string", "NEW_EMPLOYMENT": "int", "CHANGE_EMPLOYER": "int",
+    "NEW_CONCURRENT_EMPLOYMENT": "int", "H_1B_DEPENDENT": "string", "WILLFUL_VIOLATOR": "string",
+    "FISCAL_YEAR": "int", "FISCAL_QUARTER": "int",
+}
+
+MISSING_SQL = ("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS pct_missing FROM lca"
+    for c in LCA_MASTER_TYPES) + ") WHERE pct_missing > 0")
+
+PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null, '{t}' AS dtype FROM lca"
+    for c, t in LCA_MASTER_TYPES.items())
+
+
+@register("a16_missingness_lca", MISSING_SQL)
+def a16_missingness_lca(spark, sf_dir):
+    return stats.missingness(_ds(spark, sf_dir).lca_master).orderBy(F.desc("pct_missing"), "column_name")
+
+
+@register("a17_column_profile_lca", PROFILE_SQL)
+def a17_column_profile_lca(spark, sf_dir):
+    return stats.column_profile(_ds(spark, sf_dir).lca_master)
+
+
+# -- A18 - A21 distributions ----------------------------------------------------------------
+
+DESCRIBE_COLS = """count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, min(x) AS min,
+       quantile_cont(x, 0.25) AS p25, median(x) AS p50, quantile_cont(x, 0.75) AS p75, max(x) AS max"""
+
+
+@register("a18_describe_wage_lca", f"""
+, s AS (SELECT ANNUAL_WAGE AS x FROM lca_e WHERE ANNUAL_WAGE IS NOT NULL)
+SELECT {DESCRIBE_COLS} FROM s""")
+def a18_describe_wage_lca(spark, sf_dir):
+    return stats.describe(_ds(spark, sf_dir).lca, "ANNUAL_WAGE")
+
+
+@register("a18_describe_wage_by_tier_lca", f"""
+, s AS (SELECT MBA_TIER, ANNUAL_WAGE AS x FROM lca_e WHERE ANNUAL_WAGE IS NOT NULL AND MBA_TIER IS NOT NULL)
+SELECT MBA_TIER, {DESCRIBE_COLS} FROM s GROUP BY MBA_TIER""")
+def a18_describe_wage_by_tier_lca(spark, sf_dir):
+    return stats.describe(_ds(spark, sf_dir).lca, "ANNUAL_WAGE", by=["MBA_TIER"])
+
+
+HIST_SQL = """
+, v AS (SELECT {expr} AS v FROM {t} WHERE {where}),
+b AS (SELECT min(v) AS mn, max(v) AS mx FROM v),
+c AS (SELECT CAST(CASE WHEN mx - mn = 0 THEN 1 ELSE least(floor((v - mn) * ({bins}.0 / (mx - mn))) + 1, {bins}) END AS INTEGER) AS bin,
+             count(*) AS filings FROM v, b GROUP BY 1),
+e AS (SELECT CAST(i AS INTEGER) AS bin, mn, mx FROM b, range(1, {bins} + 1) t(i))
+SELECT e.bin, round(mn + (mx - mn) * (e.bin - 1) / {bins}, 4) AS bin_lo, round(mn + (mx - mn) * e.bin / {bins}, 4) AS bin_hi,
+       coalesce(c.filings, 0) AS filings
+FROM e LEFT JOIN c ON c.bin = e.bin"""
+
+
+@register("a19_wage_histogram_lca", HIST_SQL.format(expr="ANNUAL_WAGE", t="lca_e", where="ANNUAL_WAGE IS NOT NULL", bins=60))
+def a19_wage_histogram_lca(spark, sf_dir):
+    return stats.histogram(_ds(spark, sf_dir).lca, "ANNUAL_WAGE", 60)
+
+
+@register("a20_payroll_log_histogram_perm", HIST_SQL.format(
+    expr="log10(EMP_NUM_PAYROLL)", t="perm_mba",
+    where="EMP_NUM_PAYROLL IS NOT NULL AND EMP_NUM_PAYROLL > 0 AND EMP_NUM_PAYROLL < 2000000", bins=50))
+def a20_payroll_log_histogram_perm(spark, sf_dir):
+    return stats.histogram(_ds(spark, sf_dir).perm_mba(), "EMP_NUM_PAYROLL", 50, log10=True, lo=0, hi=2_000_000)
+
+
+@register("a21_wage_box_stats_lca", """
+, s AS (SELECT MBA_TIER, ANNUAL_WAGE AS x FROM lca_e WHERE ANNUAL_WAGE IS NOT NULL AND MBA_TIER IS NOT NULL),
+q AS (SELECT MBA_TIER, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3 FROM s GROUP BY 1),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM q)
+SELECT f.MBA_TIER, q1, median, q3, iqr,
+       min(x) FILTER (WHERE x >= lo_fence AND x <= hi_fence) AS whisker_low,
+       max(x) FILTER (WHERE x >= lo_fence AND x <= hi_fence) AS whisker_high,
+       count(*) FILTER (WHERE NOT (x >= lo_fence AND x <= hi_fence)) AS outliers
+FROM s JOIN f ON f.MBA_TIER = s.MBA_TIER GROUP BY f.MBA_TIER, q1, median, q3, iqr""")
+def a21_wage_box_stats_lca(spark, sf_dir):
+    return stats.box_stats(_ds(spark, sf_dir).lca, "ANNUAL_WAGE", "MBA_TIER")
+
+
+# -- A22 - A24 cross tabulations -------------------------------------------------------------
+
+
+@register("a22_crosstab_top_lca", """
+, tr AS (SELECT SOC_TITLE, CAST(row_number() OVER (ORDER BY count(*) DESC, SOC_TITLE) AS INTEGER) AS row_rank
+         FROM lca_mba WHERE SOC_TITLE IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, SOC_TITLE LIMIT 15),
+cells AS (SELECT m.SOC_TITLE, tr.row_rank, m.NAICS_SECTOR, count(*) AS filings
+          FROM lca_mba m JOIN tr ON tr.SOC_TITLE = m.SOC_TITLE WHERE m.NAICS_SECTOR IS NOT NULL GROUP BY 1, 2, 3),
+tc AS (SELECT NAICS_SECTOR, CAST(row_number() OVER (ORDER BY sum(filings) DESC, NAICS_SECTOR) AS INTEGER) AS col_rank
+       FROM cells GROUP BY 1 ORDER BY sum(filings) DESC, NAICS_SECTOR LIMIT 8)
+SELECT cells.SOC_TITLE, cells.row_rank, cells.NAICS_SECTOR, cells.filings, tc.col_rank
+FROM cells JOIN tc ON tc.NAICS_SECTOR = cells.NAICS_SECTOR""")
+def a22_crosstab_top_lca(spark, sf_dir):
+    return stats.crosstab_top(_ds(spark, sf_dir).lca_mba(), "SOC_TITLE", "NAICS_SECTOR", 15, 8)
+
+
+LEVEL_COUNTS = ", ".join(f"count(*) FILTER (WHERE PW_WAGE_LEVEL = '{lv}') AS \"{lv}\"" for lv in ("I", "II", "III", "IV"))
+
+
+@register("a23_wage_level_pivot_lca", f"""
+SELECT SOC_TITLE, {LEVEL_COUNTS}, count(*) FILTER (WHERE PW_WAGE_LEVEL IN ('I', 'II', 'III', 'IV')) AS total
+FROM lca_mba WHERE SOC_TITLE IS NOT NULL AND PW_WAGE_LEVEL IS NOT NULL GROUP BY 1""")
+def a23_wage_level_pivot_lca(spark, sf_dir):
+    return stats.level_pivot(_ds(spark, sf_dir).lca_mba()).orderBy(F.desc("total"), "SOC_TITLE")
+
+
+@register("a24_wage_level_share_lca", f"""
+, p AS (SELECT SOC_TITLE, {LEVEL_COUNTS}, count(*) FILTER (WHERE PW_WAGE_LEVEL IN ('I', 'II', 'III', 'IV')) AS total
+        FROM lca_mba WHERE SOC_TITLE IS NOT NULL AND PW_WAGE_LEVEL IS NOT NULL GROUP BY 1
+        ORDER BY total DESC, SOC_TITLE LIMIT 15)
+SELECT SOC_TITLE, CAST("I" AS DOUBLE) / total AS share_I, CAST("II" AS DOUBLE) / total AS share_II,
+       CAST("III" AS DOUBLE) / total AS share_III, CAST("IV" AS DOUBLE) / total AS share_IV, total FROM p""")
+def a24_wage_level_share_lca(spark, sf_dir):
+    return stats.level_share(_ds(spark, sf_dir).lca_mba())
+
+
+# -- A25 - A29 shares and domain tables -----------------------------------------------------
+
+
+@register("a25_share_table_perm", """
+SELECT OTHER_REQ_IS_FW_CURRENTLY_WRK, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share
+FROM perm_mba GROUP BY 1""")
+def a25_share_table_perm(spark, sf_dir):
+    return stats.share_table(_ds(spark, sf_dir).perm_mba(), "OTHER_REQ_IS_FW_CURRENTLY_WRK", keep_null=True)
+
+
+@register("a26_wage_level_mix_lca", """
+, c AS (SELECT WAGE_LEVEL, count(*) AS filings FROM lca_mba GROUP BY 1)
+SELECT d.WAGE_LEVEL, coalesce(c.filings, 0) AS filings
+FROM (VALUES ('I'), ('II'), ('III'), ('IV'), ('Unspecified')) d(WAGE_LEVEL) LEFT JOIN c ON c.WAGE_LEVEL = d.WAGE_LEVEL""")
+def a26_wage_level_mix_lca(spark, sf_dir):
+    return stats.wage_level_mix(_ds(spark, sf_dir).lca_mba())
+
+
+@register("a27_hire_split_perm", """
+SELECT CASE WHEN IS_EXTERNAL_HIRE THEN 'External hire' ELSE 'Already employed there' END AS hire_type,
+       count(*) AS filings FROM perm_mba GROUP BY 1""")
+def a27_hire_split_perm(spark, sf_dir):
+    return stats.hire_split(_ds(spark, sf_dir).perm_mba(), "IS_EXTERNAL_HIRE", "External hire", "Already employed there")
+
+
+@register("a28_flag_shares", """
+SELECT 'lca_new_hire_share' AS metric, avg(CAST(IS_NEW_HIRE AS DOUBLE)) AS value FROM lca_mba
+UNION ALL SELECT 'perm_external_hire_share', avg(CAST(IS_EXTERNAL_HIRE AS DOUBLE)) FROM perm_mba
+UNION ALL SELECT 'lca_mba_share_of_all', avg(CASE WHEN MBA_TIER <> 'excluded' THEN 1.0 ELSE 0.0 END) FROM lca_e
+UNION ALL SELECT 'perm_mba_share_of_all', avg(CASE WHEN MBA_TIER <> 'excluded' THEN 1.0 ELSE 0.0 END) FROM perm_e""")
+def a28_flag_shares(spark, sf_dir):
+    ds = _ds(spark, sf_dir)
+    mba = F.col("MBA_TIER") != "excluded"
+    parts = [
+        ds.lca_mba().agg(stats.share("IS_NEW_HIRE").alias("value")).select(F.lit("lca_new_hire_share").alias("metric"), "value"),
+        ds.perm_mba().agg(stats.share("IS_EXTERNAL_HIRE").alias("value")).select(F.lit("perm_external_hire_share").alias("metric"), "value"),
+        ds.lca.agg(stats.share(mba).alias("value")).select(F.lit("lca_mba_share_of_all").alias("metric"), "value"),
+        ds.perm.agg(stats.share(mba).alias("value")).select(F.lit("perm_mba_share_of_all").alias("metric"), "value"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+TIER_SQL = """
+SELECT MBA_TIER, count(*) AS filings, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * 100 AS pct_of_total
+FROM {t} WHERE MBA_TIER IS NOT NULL GROUP BY 1"""
+
+
+@register("a29_tier_counts_lca", TIER_SQL.format(t="lca_e"))
+def a29_tier_counts_lca(spark, sf_dir):
+    return stats.tier_counts(_ds(spark, sf_dir).lca)
+
+
+@register("a29_tier_counts_perm", TIER_SQL.format(t="perm_e"))
+def a29_tier_counts_perm(spark, sf_dir):
+    return stats.tier_counts(_ds(spark, sf_dir).perm)
