@@ -34,3 +34,14 @@ def bounded(col, lo: float = WAGE_LOW, hi: float = WAGE_HIGH) -> Column:
     """Keep values strictly inside (lo, hi); others become null."""
     c = _c(col)
     return F.when((c > F.lit(lo)) & (c < F.lit(hi)), c)
+
+
+def round_half_up(col, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d in plain double arithmetic.
+
+    Used for every presented rounding so that two engines given the same
+    double produce the same rounded double (decimal-string rounding and
+    scaled-double rounding disagree on ties).
+    """
+    scale = float(10 ** digits)
+    return F.floor(_c(col) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.flags import not_denied, yes_flag
-from filingscope.functions.wages import bounded
+from filingscope.functions.wages import bounded, round_half_up
 from filingscope.spec import TIERS, WAGE_LEVELS
 
 
@@ -229,8 +229,8 @@ def describe(df: DataFrame, col: str, by=()) -> DataFrame:
     src = _drop_null_keys(df.where(F.col(col).isNotNull()), by)
     aggs = [
         F.count(col).alias("count"),
-        F.round(F.avg(col), 4).alias("mean"),
-        F.round(F.stddev_samp(col), 4).alias("std"),
+        round_half_up(F.avg(col), 4).alias("mean"),
+        round_half_up(F.stddev_samp(col), 4).alias("std"),
         F.min(col).alias("min"),
         F.percentile(col, 0.25).alias("p25"),
         F.median(col).alias("p50"),
@@ -266,8 +266,8 @@ def histogram(df: DataFrame, col: str, bins: int, log10: bool = False, lo: float
     edges = b1.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "mn", "mx")
     return edges.join(counts, "bin", "left").select(
         "bin",
-        F.round(F.col("mn") + (F.col("mx") - F.col("mn")) * (F.col("bin") - 1) / bins, 4).alias("bin_lo"),
-        F.round(F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("bin") / bins, 4).alias("bin_hi"),
+        round_half_up(F.col("mn") + (F.col("mx") - F.col("mn")) * (F.col("bin") - 1) / bins, 4).alias("bin_lo"),
+        round_half_up(F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("bin") / bins, 4).alias("bin_hi"),
         F.coalesce("filings", F.lit(0)).cast("long").alias("filings"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.classify import bucket_other
 from filingscope.functions.flags import search_link, yes_label
+from filingscope.functions.wages import round_half_up
 from filingscope.operators import entities
 from filingscope.plans.catalog_stats import APP_LCA, LINK_SQL, _app, _ds
 from filingscope.plans.oracle_base import clean_sql, core_sql, strip_sql
@@ -44,12 +45,12 @@ def d2_naics_sector_perm(spark, sf_dir):
 
 @register("d3_annual_wage_lca", """
 SELECT WAGE_UNIT_OF_PAY, count(*) AS filings, count(ANNUAL_WAGE_FROM) AS annualized,
-       round(sum(ANNUAL_WAGE_FROM), 2) AS annual_sum, min(ANNUAL_WAGE_FROM) AS annual_min, max(ANNUAL_WAGE_FROM) AS annual_max
+       floor(sum(ANNUAL_WAGE_FROM) * 100.0 + 0.5) / 100.0 AS annual_sum, min(ANNUAL_WAGE_FROM) AS annual_min, max(ANNUAL_WAGE_FROM) AS annual_max
 FROM lca_e GROUP BY 1""")
 def d3_annual_wage_lca(spark, sf_dir):
     return _ds(spark, sf_dir).lca.groupBy("WAGE_UNIT_OF_PAY").agg(
         F.count(F.lit(1)).alias("filings"), F.count("ANNUAL_WAGE_FROM").alias("annualized"),
-        F.round(F.sum("ANNUAL_WAGE_FROM"), 2).alias("annual_sum"),
+        round_half_up(F.sum("ANNUAL_WAGE_FROM"), 2).alias("annual_sum"),
         F.min("ANNUAL_WAGE_FROM").alias("annual_min"), F.max("ANNUAL_WAGE_FROM").alias("annual_max"))
 
 

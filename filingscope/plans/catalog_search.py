@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from filingscope.operators import search
 from filingscope.operators.search import PERSONA_KEYWORDS, Facets
 from filingscope.plans.catalog_stats import _ds
-from filingscope.plans.oracle_base import in_list, q
+from filingscope.plans.oracle_base import in_list, pct_from_list_sql, q
 from filingscope.plans.registry import register
 from filingscope.spec import LCA, PERM
 from filingscope.functions.text import keyword_pattern
@@ -169,8 +169,9 @@ def q7_persona_top_states_lca(spark, sf_dir):
 
 
 @register("q7_persona_wages_lca", PERSONA_ROWS_SQL + """
-SELECT persona, count(ANNUAL_WAGE) AS wage_n, quantile_cont(ANNUAL_WAGE, 0.25) AS p25, median(ANNUAL_WAGE) AS median,
-       quantile_cont(ANNUAL_WAGE, 0.75) AS p75 FROM pm WHERE ANNUAL_WAGE IS NOT NULL GROUP BY 1""")
+SELECT persona, count(ANNUAL_WAGE) AS wage_n, """ + pct_from_list_sql("list_sort(list(ANNUAL_WAGE))", 0.25) + """ AS p25,
+       median(ANNUAL_WAGE) AS median, """ + pct_from_list_sql("list_sort(list(ANNUAL_WAGE))", 0.75) + """ AS p75
+FROM pm WHERE ANNUAL_WAGE IS NOT NULL GROUP BY 1""")
 def q7_persona_wages_lca(spark, sf_dir):
     return search.persona_wages(_matched(spark, sf_dir))
 

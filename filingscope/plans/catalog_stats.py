@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filingscope.operators import stats
 from filingscope.plans.enrich import Datasets
+from filingscope.plans.oracle_base import pct_from_list_sql, round_sql
 from filingscope.plans.registry import register
 
 BASE_FY, NEXT_FY = 1998, 1999
@@ -411,8 +412,9 @@ def a17_column_profile_lca(spark, sf_dir):
 
 # -- A18 - A21 distributions ----------------------------------------------------------------
 
-DESCRIBE_COLS = """count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, min(x) AS min,
-       quantile_cont(x, 0.25) AS p25, median(x) AS p50, quantile_cont(x, 0.75) AS p75, max(x) AS max"""
+DESCRIBE_COLS = (f"count(x) AS count, {round_sql('avg(x)', 4)} AS mean, {round_sql('stddev_samp(x)', 4)} AS std, "
+                 f"min(x) AS min, {pct_from_list_sql('list_sort(list(x))', 0.25)} AS p25, median(x) AS p50, "
+                 f"{pct_from_list_sql('list_sort(list(x))', 0.75)} AS p75, max(x) AS max")
 
 
 @register("a18_describe_wage_lca", f"""
@@ -435,7 +437,8 @@ b AS (SELECT min(v) AS mn, max(v) AS mx FROM v),
 c AS (SELECT CAST(CASE WHEN mx - mn = 0 THEN 1 ELSE least(floor((v - mn) * ({bins}.0 / (mx - mn))) + 1, {bins}) END AS INTEGER) AS bin,
              count(*) AS filings FROM v, b GROUP BY 1),
 e AS (SELECT CAST(i AS INTEGER) AS bin, mn, mx FROM b, range(1, {bins} + 1) t(i))
-SELECT e.bin, round(mn + (mx - mn) * (e.bin - 1) / {bins}, 4) AS bin_lo, round(mn + (mx - mn) * e.bin / {bins}, 4) AS bin_hi,
+SELECT e.bin, floor((mn + (mx - mn) * (e.bin - 1) / {bins}) * 10000.0 + 0.5) / 10000.0 AS bin_lo,
+       floor((mn + (mx - mn) * e.bin / {bins}) * 10000.0 + 0.5) / 10000.0 AS bin_hi,
        coalesce(c.filings, 0) AS filings
 FROM e LEFT JOIN c ON c.bin = e.bin"""
 
@@ -454,7 +457,8 @@ def a20_payroll_log_histogram_perm(spark, sf_dir):
 
 @register("a21_wage_box_stats_lca", """
 , s AS (SELECT MBA_TIER, ANNUAL_WAGE AS x FROM lca_e WHERE ANNUAL_WAGE IS NOT NULL AND MBA_TIER IS NOT NULL),
-q AS (SELECT MBA_TIER, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3 FROM s GROUP BY 1),
+q AS (SELECT MBA_TIER, """ + pct_from_list_sql("list_sort(list(x))", 0.25) + """ AS q1, median(x) AS median,
+             """ + pct_from_list_sql("list_sort(list(x))", 0.75) + """ AS q3 FROM s GROUP BY 1),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM q)
 SELECT f.MBA_TIER, q1, median, q3, iqr,
        min(x) FILTER (WHERE x >= lo_fence AND x <= hi_fence) AS whisker_low,

@@ -22,6 +22,22 @@ from filingscope.sources.testbind import LCA_RAW_SQL, PERM_RAW_SQL
 from filingscope.spec import DECIDED_LCA, DECIDED_PERM, WAGE_HIGH, WAGE_LOW
 
 
+def round_sql(x: str, digits: int) -> str:
+    scale = float(10 ** digits)
+    return f"(floor(({x}) * {scale} + 0.5) / {scale})"
+
+
+def pct_from_list_sql(lst: str, p: float) -> str:
+    """Linear-interpolated percentile over a sorted list, written with the
+    same arithmetic as Spark's exact ``percentile``."""
+    n = f"len({lst})"
+    pos = f"(CAST({n} - 1 AS DOUBLE) * {p})"
+    lo = f"CAST(floor({pos}) AS BIGINT)"
+    hi = f"CAST(ceil({pos}) AS BIGINT)"
+    return (f"CASE WHEN {n} = 0 THEN NULL WHEN {lo} = {hi} OR {lst}[{lo} + 1] = {lst}[{hi} + 1] THEN {lst}[{lo} + 1] "
+            f"ELSE ({hi} - {pos}) * {lst}[{lo} + 1] + ({pos} - {lo}) * {lst}[{hi} + 1] END")
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
