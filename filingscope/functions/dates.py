@@ -16,17 +16,17 @@ def parse_date(col) -> Column:
     Two-digit years pivot like C's strptime: 69-99 -> 19xx, 00-68 -> 20xx.
     """
     s = F.trim(_c(col).cast("string"))
-    short = F.try_to_date(s, F.lit("M/d/yy"))
+    short = F.try_to_date(s, "M/d/yy")
     short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
     return F.coalesce(
         short,
-        F.try_to_date(s, F.lit("M/d/yyyy")),
-        F.try_to_date(s, F.lit("yyyy-MM-dd")),
+        F.try_to_date(s, "M/d/yyyy"),
+        F.try_to_date(s, "yyyy-MM-dd"),
     )
 
 
 def iso_date(col) -> Column:
-    return F.try_to_date(_c(col).cast("string"), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(_c(col).cast("string"), "yyyy-MM-dd")
 
 
 def fiscal_basis(decision, received) -> Column:

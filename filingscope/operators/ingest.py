@@ -113,15 +113,23 @@ def ingest_report(raw: DataFrame, key: str = "CASE_NUMBER", order_col: str = "SO
     )
 
 
-def consolidate(frames: list[DataFrame], key: str = "CASE_NUMBER", order_col: str = "SOURCE_ORD",
-                numeric_cols=(), tokens=NULL_TOKENS) -> DataFrame:
-    """Raw text frames (one per source, oldest first, each carrying SOURCE_FILE
-    and SOURCE_ORD) -> consolidated master rows."""
+def prepare_raw(frames: list[DataFrame], key: str = "CASE_NUMBER", numeric_cols=(),
+                tokens=NULL_TOKENS) -> DataFrame:
+    """Header rename, cell unwrap, union by name, NA tokens, dates, numbers.
+
+    Blank template rows are still present (the ingest report counts them).
+    """
     cleaned = [unwrap_text_cells(normalize_headers(f)) for f in frames]
     df = union_sources(cleaned)
-    df = drop_blank(df, key)
     df = null_tokens(df, [c for c in _string_cols(df) if c not in (key, "SOURCE_FILE")], tokens)
     df = parse_dates(df)
-    df = coerce_numeric(df, numeric_cols)
+    return coerce_numeric(df, numeric_cols)
+
+
+def consolidate(frames: list[DataFrame], key: str = "CASE_NUMBER", order_col: str = "SOURCE_ORD",
+                numeric_cols=(), tokens=NULL_TOKENS) -> DataFrame:
+    """Raw text frames (one per source, oldest first, each carrying SOURCE_FILE
+    and SOURCE_ORD) -> consolidated master rows."""
+    df = drop_blank(prepare_raw(frames, key, numeric_cols, tokens), key)
     df = add_fiscal_calendar(df)
     return latest_source_wins(df, key, order_col)

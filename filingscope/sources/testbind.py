@@ -141,3 +141,49 @@ PERM_RAW_SQL = (
     "SELECT\n  " + projection_sql(PERM_PROJECTION) + "\nFROM orders JOIN customer ON o_custkey = c_custkey "
     "JOIN nation ON c_nationkey = n_nationkey"
 )
+
+
+# -- raw text exports rendered from the binding (ingest fixtures) ----------------------
+
+# Each source renders dates its own way; source 1 also wraps code cells as
+# ="..." text and uses the old header spelling; source 2 writes N/A for
+# missing cells and lacks one column entirely.
+SOURCE_DATE_FORMATS = {1: "M/d/yy", 2: "M/d/yyyy", 3: "yyyy-MM-dd"}
+WRAPPED_COLUMNS = ("NAICS_CODE", "SOC_CODE")
+MISSING_IN_SOURCE_2 = "NEW_CONCURRENT_EMPLOYMENT"
+LCA_NUMERIC_TEXT = ("WAGE_RATE_OF_PAY_FROM", "NEW_EMPLOYMENT", "CHANGE_EMPLOYER", "NEW_CONCURRENT_EMPLOYMENT")
+
+
+def render_raw_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame]]:
+    """(name, order, all-text frame) per source, with 25 blank template rows each
+    (one per nation row)."""
+    raw = lca_raw(spark, sf_dir)
+    nation = _read(spark, sf_dir, "nation")
+    data_cols = [c for c in LCA_PROJECTION if c not in ("SOURCE_FILE", "SOURCE_ORD")]
+    types = dict(raw.dtypes)
+    out = []
+    for order, fmt in SOURCE_DATE_FORMATS.items():
+        part = raw.where(F.col("SOURCE_ORD") == order)
+        cols = {}
+        for c in data_cols:
+            if types[c] == "date":
+                v = F.date_format(c, fmt)
+            elif types[c] == "string":
+                v = F.col(c)
+            else:
+                v = F.col(c).cast("string")
+            if order == 1 and c in WRAPPED_COLUMNS:
+                v = F.concat(F.lit('="'), v, F.lit('"'))
+            if order == 2 and c != "CASE_NUMBER":
+                v = F.coalesce(v, F.lit("N/A"))
+            cols[c] = v
+        if order == 2:
+            cols.pop(MISSING_IN_SOURCE_2)
+        text = part.select(*[v.alias(k) for k, v in cols.items()])
+        blanks = nation.select(F.lit("").alias("CASE_NUMBER"),
+                               *[F.lit(None).cast("string").alias(k) for k in cols if k != "CASE_NUMBER"])
+        text = text.unionByName(blanks)
+        if order == 1:
+            text = text.withColumnRenamed("H_1B_DEPENDENT", "H-1B_DEPENDENT")
+        out.append((f"src_{order}", order, text))
+    return out
