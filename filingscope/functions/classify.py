@@ -77,12 +77,13 @@ def mba_tier(code, title) -> Column:
     return F.when(is_core, "core").when(is_adjacent, "adjacent").otherwise("excluded")
 
 
-_SECTOR_MAP = F.create_map(*[F.lit(x) for x in chain.from_iterable(NAICS_SECTOR_NAMES.items())])
+def _sector_map() -> Column:
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(NAICS_SECTOR_NAMES.items())])
 
 
 def naics_sector(code) -> Column:
     prefix = F.substring(strip_ws(_c(code)), 1, 2)
-    return F.coalesce(F.try_element_at(_SECTOR_MAP, prefix), F.lit(UNKNOWN_SECTOR))
+    return F.coalesce(F.try_element_at(_sector_map(), prefix), F.lit(UNKNOWN_SECTOR))
 
 
 def bucket_other(col, allowed) -> Column:

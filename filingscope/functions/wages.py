@@ -18,7 +18,9 @@ PAY_UNIT_MULTIPLIERS = {
     "Year": 1,
 }
 
-_UNIT_MAP = F.create_map(*[F.lit(x) for x in chain.from_iterable(PAY_UNIT_MULTIPLIERS.items())])
+
+def _unit_map() -> Column:
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(PAY_UNIT_MULTIPLIERS.items())])
 
 
 def _c(col) -> Column:
@@ -27,7 +29,7 @@ def _c(col) -> Column:
 
 def annual_wage(amount, unit) -> Column:
     """amount x periods-per-year; an unknown unit yields null."""
-    return _c(amount).cast("double") * F.try_element_at(_UNIT_MAP, _c(unit))
+    return _c(amount).cast("double") * F.try_element_at(_unit_map(), _c(unit))
 
 
 def bounded(col, lo: float = WAGE_LOW, hi: float = WAGE_HIGH) -> Column:

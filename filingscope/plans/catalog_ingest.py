@@ -167,3 +167,27 @@ def s7_cube_sink_lca(spark, sf_dir):
     path = scratch_path(spark, "cube")
     sinks.write_cube(facts, dims, meta, path)
     return spark.read.parquet(f"{path}/facts")
+
+
+@register("s8_stream_ingest_lca", CONSOLIDATED_SQL)
+def s8_stream_ingest_lca(spark, sf_dir):
+    """Raw exports landing in per-source folders -> file stream -> appended
+    table -> latest source wins on read."""
+    from filingscope.streaming.incremental import read_consolidated, start_ingest
+
+    base = scratch_path(spark, "stream")
+    frames = testbind.render_raw_sources(spark, sf_dir)
+    header = [c for c in testbind.LCA_PROJECTION if c not in ("SOURCE_FILE", "SOURCE_ORD")]
+    for name, _order, df in frames:
+        # one publisher header per landing folder: align each export to it
+        df = ingest.normalize_headers(df)
+        df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in header])
+        (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .csv(f"{base}/landing/{name}"))
+    manifest = spark.createDataFrame([(n, o) for n, o, _ in frames], "SOURCE_FILE string, SOURCE_ORD int")
+    schema = ", ".join(f"`{c}` string" for c in header)
+    q = start_ingest(spark, f"{base}/landing", schema, manifest, f"{base}/table", f"{base}/checkpoint",
+                     numeric_cols=testbind.LCA_NUMERIC_TEXT)
+    q.awaitTermination()
+    return read_consolidated(spark, f"{base}/table").select(*CONSOLIDATED_COLS)
