@@ -186,21 +186,30 @@ def brand_map(spark: SparkSession) -> DataFrame:
     return df.select(core_key("variant").alias("core"), "brand").dropDuplicates(["core"])
 
 
-def name_counts(*sources: tuple[DataFrame, str]) -> DataFrame:
-    """Stripped raw name -> number of filings, across every (df, column) given."""
-    parts = [df.select(strip_ws(F.col(col)).alias("raw_name")).where(F.col("raw_name").isNotNull())
-             for df, col in sources]
-    names = reduce(lambda a, b: a.unionByName(b), parts)
-    return names.groupBy("raw_name").agg(F.count(F.lit(1)).alias("n"))
+def spelling_counts(*sources: tuple[DataFrame, str]) -> DataFrame:
+    """Exact raw spelling -> filings, over every (df, column) given.
 
+    Partial aggregation reduces each dataset to its distinct spellings before
+    anything else touches the names.
+    """
+    parts = [df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("raw_spelling"))
+             .agg(F.count(F.lit(1)).alias("n")) for df, col in sources]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def name_counts(*sources: tuple[DataFrame, str], spellings: DataFrame | None = None) -> DataFrame:
+    """Stripped raw name -> filings; the Unicode strip runs once per distinct spelling."""
+    sp = spellings if spellings is not None else spelling_counts(*sources)
+    return sp.groupBy(strip_ws("raw_spelling").alias("raw_name")).agg(F.sum("n").alias("n"))
 
-def canonical_map(*sources: tuple[DataFrame, str]) -> DataFrame:
+
+def canonical_map(*sources: tuple[DataFrame, str], spellings: DataFrame | None = None) -> DataFrame:
     """raw_name -> canonical_name shared by all datasets passed together.
 
     Per core key, the most frequent raw spelling wins; ties prefer a
     spelling that is not all capitals, then the alphabetically first.
     """
-    counts = name_counts(*sources).select(
+    counts = name_counts(*sources, spellings=spellings).select(
         "raw_name", "n",
         core_key("raw_name").alias("core"),
         is_all_caps("raw_name").alias("is_caps"),
@@ -225,22 +234,34 @@ def employer_map(spark: SparkSession, canon: DataFrame) -> DataFrame:
     )
 
 
+def spelling_map(spark: SparkSession, *sources: tuple[DataFrame, str]) -> DataFrame:
+    """Exact raw spelling -> (CANONICAL_NAME, EMPLOYER_CANONICAL) over all datasets.
+
+    Keyed by the spelling as it appears in the filings, so the fact-side
+    lookup is a plain equi-join on the raw column (no per-row expression).
+    """
+    spellings = spelling_counts(*sources)
+    labels = employer_map(spark, canonical_map(spellings=spellings))
+    keyed = spellings.select("raw_spelling").distinct().withColumn("raw_name", strip_ws("raw_spelling"))
+    return keyed.join(labels, "raw_name").select("raw_spelling", "CANONICAL_NAME", "EMPLOYER_CANONICAL")
+
+
 def apply_canonical(df: DataFrame, raw_col: str, out_col: str | None, mapping: DataFrame) -> DataFrame:
-    """Left lookup of the stripped raw name in ``mapping`` (raw_name, labels...).
+    """Left lookup of a raw name column in ``mapping``.
 
-    With ``out_col`` the single label column is renamed to it; otherwise every
-    label column of the map is attached under its own name.
+    A map keyed by ``raw_spelling`` is joined on the column as is; a map keyed
+    by the stripped ``raw_name`` is joined on the stripped column.  With
+    ``out_col`` the last label column is renamed to it; otherwise every label
+    column is attached under its own name.
     """
-    labels = [c for c in mapping.columns if c != "raw_name"]
+    key = "raw_spelling" if "raw_spelling" in mapping.columns else "raw_name"
+    labels = [c for c in mapping.columns if c not in ("raw_name", "raw_spelling")]
     if out_col is not None:
-        m = mapping.select(F.col("raw_name").alias("_emp_key"), F.col(labels[-1]).alias(out_col))
+        m = mapping.select(F.col(key).alias("_emp_key"), F.col(labels[-1]).alias(out_col))
     else:
-        m = mapping.select(F.col("raw_name").alias("_emp_key"), *labels)
-    return (
-        df.withColumn("_emp_key", strip_ws(F.col(raw_col)))
-        .join(m, "_emp_key", "left")
-        .drop("_emp_key")
-    )
+        m = mapping.select(F.col(key).alias("_emp_key"), *labels)
+    probe = F.col(raw_col) if key == "raw_spelling" else strip_ws(F.col(raw_col))
+    return df.withColumn("_emp_key", probe).join(m, "_emp_key", "left").drop("_emp_key")
 
 
 def brand_rollup(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:

@@ -51,9 +51,17 @@ def value_counts(df: DataFrame, col: str, k: int | None = None, keep_null: bool
     return out
 
 
+def attach_total(df: DataFrame, total: Column, name: str) -> DataFrame:
+    """Add a grand total as a column: a one-row aggregate broadcast back on a
+    constant key (no un-partitioned window over a table of unbounded size)."""
+    tot = df.agg(total.alias(name)).withColumn("_k", F.lit(1))
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").drop("_k")
+
+
 def share_table(df: DataFrame, col: str, keep_null: bool = True) -> DataFrame:
     counts = value_counts(df, col, keep_null=keep_null, count_name="n")
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    with_total = attach_total(counts, F.sum("n"), "_total")
+    return with_total.select(col, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def domain_counts(df: DataFrame, col: str, domain, domain_type: str = "string") -> DataFrame:

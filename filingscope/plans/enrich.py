@@ -21,7 +21,7 @@ from filingscope.functions.flags import (
     positions_sum,
 )
 from filingscope.functions.wages import annual_wage, bounded
-from filingscope.operators.entities import apply_canonical, canonical_map, employer_map
+from filingscope.operators.entities import apply_canonical, spelling_map
 from filingscope.operators.ingest import add_fiscal_calendar, latest_source_wins
 from filingscope.sources import testbind
 from filingscope.spec import LCA, PERM, FilingsSpec
@@ -70,8 +70,7 @@ def perm_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_employer_map(spark: SparkSession, lca: DataFrame, perm: DataFrame) -> DataFrame:
     """One raw-name -> label map across both datasets (so both settle on one spelling)."""
-    canon = canonical_map((lca, LCA.employer_col), (perm, PERM.employer_col))
-    return employer_map(spark, canon)
+    return spelling_map(spark, (lca, LCA.employer_col), (perm, PERM.employer_col))
 
 
 class Datasets:
