@@ -200,7 +200,18 @@ def spelling_counts(*sources: tuple[DataFrame, str]) -> DataFrame:
 def name_counts(*sources: tuple[DataFrame, str], spellings: DataFrame | None = None) -> DataFrame:
     """Stripped raw name -> filings; the Unicode strip runs once per distinct spelling."""
     sp = spellings if spellings is not None else spelling_counts(*sources)
-    return sp.groupBy(strip_ws("raw_spelling").alias("raw_name")).agg(F.sum("n").alias("n"))
+    return sp.groupBy(_non_null(strip_ws("raw_spelling")).alias("raw_name")).agg(F.sum("n").alias("n"))
+
+
+def _non_null(c):
+    """Mark a key that is never null (its input is filtered) as non-nullable.
+
+    Without it, the optimizer infers ``isnotnull(<regex chain>)`` from the
+    joins on the key and pushes that filter through the aggregations into
+    the fact scan, evaluating the name regexes once per filing row instead
+    of once per distinct name.
+    """
+    return F.coalesce(c, F.lit(""))
 
 
 def canonical_map(*sources: tuple[DataFrame, str], spellings: DataFrame | None = None) -> DataFrame:
@@ -211,7 +222,7 @@ def canonical_map(*sources: tuple[DataFrame, str], spellings: DataFrame | None =
     """
     counts = name_counts(*sources, spellings=spellings).select(
         "raw_name", "n",
-        core_key("raw_name").alias("core"),
+        _non_null(core_key("raw_name")).alias("core"),
         is_all_caps("raw_name").alias("is_caps"),
     )
     best = counts.groupBy("core").agg(
@@ -242,7 +253,7 @@ def spelling_map(spark: SparkSession, *sources: tuple[DataFrame, str]) -> DataFr
     """
     spellings = spelling_counts(*sources)
     labels = employer_map(spark, canonical_map(spellings=spellings))
-    keyed = spellings.select("raw_spelling").distinct().withColumn("raw_name", strip_ws("raw_spelling"))
+    keyed = spellings.select("raw_spelling").distinct().withColumn("raw_name", _non_null(strip_ws("raw_spelling")))
     return keyed.join(labels, "raw_name").select("raw_spelling", "CANONICAL_NAME", "EMPLOYER_CANONICAL")
 
 

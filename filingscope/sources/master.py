@@ -18,9 +18,13 @@ DATE_COLS = ("RECEIVED_DATE", "DECISION_DATE")
 
 
 def write_master(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned Parquet; rows are clustered by partition before the write so
-    each task writes few files per period."""
-    (df.repartition("FISCAL_YEAR", "FISCAL_QUARTER")
+    """Partitioned Parquet, clustered by period before the write.
+
+    A range partitioning on (year, quarter, case) gives every task one
+    contiguous slice, so a task writes one or two period folders, and a large
+    quarter is split across many tasks instead of landing in one.
+    """
+    (df.repartitionByRange("FISCAL_YEAR", "FISCAL_QUARTER", "CASE_NUMBER")
        .write.mode(mode).partitionBy("FISCAL_YEAR", "FISCAL_QUARTER").parquet(path))
 
 
