@@ -9,13 +9,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "filingscope") -> SparkSession:
-    """A session tuned for these workloads; cluster deployments pass their own master."""
+def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "filingscope",
+                driver_memory: str = "8g") -> SparkSession:
+    """A session tuned for these workloads; cluster deployments pass their own master.
+
+    ``driver_memory`` only applies when this call starts the JVM (local runs).
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     b = (
-        b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        b.config("spark.driver.memory", driver_memory)
+        .config("spark.sql.ui.retainedExecutions", "200")
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

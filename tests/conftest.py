@@ -18,6 +18,8 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("filingscope-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.ui.retainedExecutions", "200")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
