@@ -163,7 +163,7 @@ def k6_cube_yoy(spark, sf_dir):
 , sl AS (SELECT c.* FROM l_cube c JOIN l_sec s ON s.sector_idx = c.sector
          WHERE s.NAICS_SECTOR IN ('Finance and Insurance', 'Professional, Scientific, and Technical Services')
            AND c.wage_level IN (0, 1))
-SELECT sl.emp, e.EMPLOYER_CANONICAL, sum(sl.filings) AS filings,
+SELECT sl.emp, e.EMPLOYER_CANONICAL, CAST(sum(sl.filings) AS BIGINT) AS filings,
        CAST(sum(certified) AS DOUBLE) / nullif(sum(decided), 0) AS cert_rate,
        CAST(sum(CASE WHEN new_hire = 1 THEN sl.filings ELSE 0 END) AS DOUBLE) / nullif(sum(sl.filings), 0) AS flag_share,
        CAST(sum(floor(wage_sum * 100 + 0.5)) AS DOUBLE) / nullif(sum(wage_n), 0) / 100 AS mean_wage

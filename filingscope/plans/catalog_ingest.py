@@ -189,5 +189,7 @@ def s8_stream_ingest_lca(spark, sf_dir):
     schema = ", ".join(f"`{c}` string" for c in header)
     q = start_ingest(spark, f"{base}/landing", schema, manifest, f"{base}/table", f"{base}/checkpoint",
                      numeric_cols=testbind.LCA_NUMERIC_TEXT)
-    q.awaitTermination()
+    if not q.awaitTermination(900):  # availableNow stops on its own; never wait unbounded
+        q.stop()
+        raise TimeoutError("incremental ingest did not drain the landed files")
     return read_consolidated(spark, f"{base}/table").select(*CONSOLIDATED_COLS)

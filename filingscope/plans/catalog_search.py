@@ -74,7 +74,7 @@ def q2_title_suggest_small_ring_lca(spark, sf_dir):
 @register("q3_search_summary_lca", f"""
 , t AS (SELECT MBA_TIER AS tier, count(*) FILTER (WHERE {match_sql(PERSONA_KEYWORDS[FINANCE])}) AS tier_filings,
                count(*) AS n FROM lca_e GROUP BY 1)
-SELECT tier, tier_filings, sum(tier_filings) OVER () AS matched_filings,
+SELECT tier, tier_filings, CAST(sum(tier_filings) OVER () AS BIGINT) AS matched_filings,
        CAST(sum(tier_filings) OVER () AS DOUBLE) / sum(n) OVER () AS share_of_total
 FROM t QUALIFY tier_filings > 0 AND tier IS NOT NULL""")
 def q3_search_summary_lca(spark, sf_dir):
