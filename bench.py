@@ -112,8 +112,8 @@ def pipeline(spark, sf_dir: str, base: str, times: dict | None) -> None:
         "q7_persona_top_employers": lambda: search.top_per_persona(
             search.persona_matches(lca, titles, PERSONA_KEYWORDS), "EMPLOYER_CANONICAL", 15, 3),
         "q8_persona_shortlist": lambda: search.persona_shortlist(search.persona_matches(lca, titles, PERSONA_KEYWORDS)),
-        "k2_lca_cube": lambda: cube.cube_facts(lca_mba, LCA, cube.cube_dims(lca_mba, LCA)),
-        "k3_perm_cube": lambda: cube.cube_facts(perm_mba, PERM, cube.cube_dims(perm_mba, PERM), with_wage_level=False),
+        "k2_lca_cube": lambda: cube.build_cube(lca_mba, LCA)[1],
+        "k3_perm_cube": lambda: cube.build_cube(perm_mba, PERM, with_wage_level=False)[1],
         "k5_employer_meta": lambda: cube.employer_meta(lca, perm, lca_mba, perm_mba, cube.cube_dims(lca_mba, LCA),
                                                        cube.cube_dims(perm_mba, PERM)),
     }

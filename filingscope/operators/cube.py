@@ -1,11 +1,13 @@
 """Pre-aggregated, dictionary-encoded fact cube (K1-K7).
 
-Plan shape for ``cube_facts``: broadcast semi-join on the top-N occupation
-dimension (bounded by N) -> one ``groupBy`` at the cube grain (map-side
-partial aggregation, so a giant employer collapses to a few partial rows per
-task) -> join of the *aggregated* cells to the employer dimension (sized at
-run time by AQE) -> broadcast joins to the small state / sector dimensions.
-No filing row is joined to an unbounded table.
+Plan shape: the filing rows are scanned once and aggregated into cells at
+the cube grain plus tier (map-side partial aggregation, so a giant employer
+collapses to a few partial rows per task).  Every dimension (top-N
+occupations, employers with enough filings, states, sectors) and the final
+facts are derived from that cells table; the facts join the top-N
+occupation dimension by broadcast (bounded by N) and the employer dimension
+with a join that AQE sizes at run time.  No filing row is joined to an
+unbounded table.
 """
 
 from __future__ import annotations
@@ -50,57 +52,74 @@ class CubeDims:
     sectors: DataFrame       # NAICS_SECTOR, sector_idx
 
 
-def cube_dims(df: DataFrame, spec: FilingsSpec, n_occ: int = TOP_N_OCCUPATIONS,
-              min_emp: int = MIN_EMPLOYER_FILINGS) -> CubeDims:
-    occ, state = spec.occupation_col, spec.state_col
-    occ_counts = df.where(F.col(occ).isNotNull()).groupBy(F.col(occ).alias("OCC_TITLE")) \
-        .agg(F.count(F.lit(1)).alias("filings"))
+def cube_cells(df: DataFrame, spec: FilingsSpec, with_wage_level: bool = True) -> DataFrame:
+    """The single pass over filing rows: counts at the cube grain plus tier.
+
+    Null keys are kept here (dimension counts include rows the cube later
+    drops); every dimension and the final facts are derived from this much
+    smaller table, so the fact table is scanned and shuffled once.
+    """
+    flag = "IS_NEW_HIRE" if with_wage_level else "IS_EXTERNAL_HIRE"
+    keys = [F.col(spec.occupation_col).alias("OCC_TITLE"), "EMPLOYER_CANONICAL",
+            F.col(spec.state_col).alias("STATE"), "NAICS_SECTOR"]
+    if with_wage_level:
+        keys.append("WAGE_LEVEL")
+    keys += [F.col(flag).alias("_flag"), "MBA_TIER"]
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("filings"),
+        F.count_if("CERTIFIED").alias("certified"),
+        F.count_if("DECIDED").alias("decided"),
+        F.sum("ANNUAL_WAGE").alias("wage_sum"),
+        F.count("ANNUAL_WAGE").alias("wage_n"),
+    )
+
+
+def dims_from_cells(cells: DataFrame, n_occ: int = TOP_N_OCCUPATIONS, min_emp: int = MIN_EMPLOYER_FILINGS) -> CubeDims:
+    occ_counts = cells.where(F.col("OCC_TITLE").isNotNull()).groupBy("OCC_TITLE") \
+        .agg(F.sum("filings").alias("filings"))
     order = [F.desc("filings"), F.asc("OCC_TITLE")]
     top = occ_counts.orderBy(*order).limit(n_occ)
     # bounded by n_occ rows: a global window is fine here
     top = top.withColumn("occ_idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
     # the tier shown for an occupation is its most common tier (ties alphabetical)
-    tiers = df.where(F.col(occ).isNotNull()).groupBy(F.col(occ).alias("OCC_TITLE"), "MBA_TIER") \
-        .agg(F.count(F.lit(1)).alias("_n")) \
+    tiers = cells.where(F.col("OCC_TITLE").isNotNull()).groupBy("OCC_TITLE", "MBA_TIER") \
+        .agg(F.sum("filings").alias("_n")) \
         .groupBy("OCC_TITLE").agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col("MBA_TIER"))).getField("MBA_TIER")
                                   .alias("tier"))
-    occupations = top.join(F.broadcast(tiers.join(F.broadcast(top.select("OCC_TITLE")), "OCC_TITLE")), "OCC_TITLE", "left") \
-        .withColumn("tier", F.coalesce("tier", F.lit("adjacent")))
+    occupations = top.join(tiers, "OCC_TITLE", "left").withColumn("tier", F.coalesce("tier", F.lit("adjacent")))
 
-    emp_counts = df.where(F.col("EMPLOYER_CANONICAL").isNotNull()).groupBy("EMPLOYER_CANONICAL") \
-        .agg(F.count(F.lit(1)).alias("filings")).where(F.col("filings") >= min_emp)
+    emp_counts = cells.where(F.col("EMPLOYER_CANONICAL").isNotNull()).groupBy("EMPLOYER_CANONICAL") \
+        .agg(F.sum("filings").alias("filings")).where(F.col("filings") >= min_emp)
     employers = dense_index(emp_counts, [F.desc("filings"), F.asc("EMPLOYER_CANONICAL")], "emp_idx")
-
-    states = dense_index(df.where(F.col(state).isNotNull()).select(F.col(state).alias("STATE")).distinct(),
-                         [F.asc("STATE")], "state_idx")
-    sectors = dense_index(df.where(F.col("NAICS_SECTOR").isNotNull()).select("NAICS_SECTOR").distinct(),
+    states = dense_index(cells.where(F.col("STATE").isNotNull()).select("STATE").distinct(), [F.asc("STATE")],
+                         "state_idx")
+    sectors = dense_index(cells.where(F.col("NAICS_SECTOR").isNotNull()).select("NAICS_SECTOR").distinct(),
                           [F.asc("NAICS_SECTOR")], "sector_idx")
     return CubeDims(occupations, employers, states, sectors)
 
 
+def cube_dims(df: DataFrame, spec: FilingsSpec, n_occ: int = TOP_N_OCCUPATIONS,
+              min_emp: int = MIN_EMPLOYER_FILINGS, with_wage_level: bool | None = None) -> CubeDims:
+    wl = (spec.name == "lca") if with_wage_level is None else with_wage_level
+    return dims_from_cells(cube_cells(df, spec, wl), n_occ, min_emp)
+
+
 def wage_level_index(col) -> Column:
     pos = F.array_position(F.array(*[F.lit(x) for x in WAGE_LEVELS]), F.col(col))
     return F.when(pos > 0, pos - 1).otherwise(F.lit(len(WAGE_LEVELS) - 1)).cast("int")
 
 
-def cube_facts(df: DataFrame, spec: FilingsSpec, dims: CubeDims, with_wage_level: bool = True) -> DataFrame:
-    occ, state = spec.occupation_col, spec.state_col
-    flag = "IS_NEW_HIRE" if with_wage_level else "IS_EXTERNAL_HIRE"
-    sub = df.join(F.broadcast(dims.occupations.select(F.col("OCC_TITLE").alias(occ))), occ, "left_semi") \
-        .where(F.col(state).isNotNull() & F.col("EMPLOYER_CANONICAL").isNotNull())
-    keys = [F.col(occ).alias("OCC_TITLE"), "EMPLOYER_CANONICAL", F.col(state).alias("STATE"), "NAICS_SECTOR"]
-    if with_wage_level:
-        keys.append("WAGE_LEVEL")
-    keys.append(F.col(flag).alias("_flag"))
-    cells = sub.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("filings"),
-        F.count_if("CERTIFIED").alias("certified"),
-        F.count_if("DECIDED").alias("decided"),
-        round_half_up(F.coalesce(F.sum("ANNUAL_WAGE"), F.lit(0.0)), 2).alias("wage_sum"),
-        F.count("ANNUAL_WAGE").alias("wage_n"),
-    )
-    enc = (cells.join(dims.employers.select("EMPLOYER_CANONICAL", "emp_idx"), "EMPLOYER_CANONICAL")
-           .join(F.broadcast(dims.occupations.select("OCC_TITLE", "occ_idx")), "OCC_TITLE")
+def facts_from_cells(cells: DataFrame, dims: CubeDims, with_wage_level: bool = True) -> DataFrame:
+    """Cells restricted to the dimensions, re-aggregated without tier, dictionary-encoded."""
+    sub = cells.join(F.broadcast(dims.occupations.select("OCC_TITLE", "occ_idx")), "OCC_TITLE") \
+        .where(F.col("STATE").isNotNull() & F.col("EMPLOYER_CANONICAL").isNotNull())
+    keys = ["occ_idx", "EMPLOYER_CANONICAL", "STATE", "NAICS_SECTOR"] + (["WAGE_LEVEL"] if with_wage_level else []) \
+        + ["_flag"]
+    g = sub.groupBy(*keys).agg(
+        F.sum("filings").alias("filings"), F.sum("certified").alias("certified"), F.sum("decided").alias("decided"),
+        round_half_up(F.coalesce(F.sum("wage_sum"), F.lit(0.0)), 2).alias("wage_sum"),
+        F.sum("wage_n").alias("wage_n"))
+    enc = (g.join(dims.employers.select("EMPLOYER_CANONICAL", "emp_idx"), "EMPLOYER_CANONICAL")
            .join(F.broadcast(dims.states), "STATE", "left")
            .join(F.broadcast(dims.sectors), "NAICS_SECTOR", "left"))
     cols = [F.col("occ_idx").alias("occ"), F.col("emp_idx").alias("emp"),
@@ -112,6 +131,18 @@ def cube_facts(df: DataFrame, spec: FilingsSpec, dims: CubeDims, with_wage_level
     return enc.select(*cols)
 
 
+def cube_facts(df: DataFrame, spec: FilingsSpec, dims: CubeDims, with_wage_level: bool = True) -> DataFrame:
+    return facts_from_cells(cube_cells(df, spec, with_wage_level), dims, with_wage_level)
+
+
+def build_cube(df: DataFrame, spec: FilingsSpec, with_wage_level: bool = True,
+               n_occ: int = TOP_N_OCCUPATIONS, min_emp: int = MIN_EMPLOYER_FILINGS) -> tuple[CubeDims, DataFrame]:
+    """Dimensions and facts from one cells table (one scan of the filing rows)."""
+    cells = cube_cells(df, spec, with_wage_level)
+    dims = dims_from_cells(cells, n_occ, min_emp)
+    return dims, facts_from_cells(cells, dims, with_wage_level)
+
+
 def cube_coverage(facts: DataFrame, mba: DataFrame, dataset: str) -> DataFrame:
     f = facts.agg(F.sum("filings").alias("cube_filings"))
     m = mba.agg(F.count(F.lit(1)).alias("mba_total"))

@@ -55,15 +55,11 @@ CUBE_COLS = "occ, emp, state, sector, {x}, filings, certified, decided, wage_sum
 
 
 def _lca_cube(ds):
-    lca_mba = ds.lca_mba()
-    dims = cube.cube_dims(lca_mba, LCA)
-    return dims, cube.cube_facts(lca_mba, LCA, dims, with_wage_level=True)
+    return cube.build_cube(ds.lca_mba(), LCA, with_wage_level=True)
 
 
 def _perm_cube(ds):
-    perm_mba = ds.perm_mba()
-    dims = cube.cube_dims(perm_mba, PERM)
-    return dims, cube.cube_facts(perm_mba, PERM, dims, with_wage_level=False)
+    return cube.build_cube(ds.perm_mba(), PERM, with_wage_level=False)
 
 
 @register("k1_occupation_dim_lca", LCA_CUBE + "\nSELECT OCC_TITLE, filings, occ_idx, tier FROM l_occ")

@@ -161,8 +161,7 @@ def s7_cube_sink_lca(spark, sf_dir):
     from filingscope.spec import PERM
     ds = _ds(spark, sf_dir)
     lca_mba, perm_mba = ds.lca_mba(), ds.perm_mba()
-    dims = cube.cube_dims(lca_mba, LCA)
-    facts = cube.cube_facts(lca_mba, LCA, dims)
+    dims, facts = cube.build_cube(lca_mba, LCA)
     meta = cube.employer_meta(ds.lca, ds.perm, lca_mba, perm_mba, dims, cube.cube_dims(perm_mba, PERM))
     path = scratch_path(spark, "cube")
     sinks.write_cube(facts, dims, meta, path)
