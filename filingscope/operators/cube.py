@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.wages import round_half_up
+from filingscope.session import ensure_checkpoint_dir
 from filingscope.operators.entities import match_datasets
 from filingscope.spec import WAGE_LEVELS, FilingsSpec
 
@@ -65,13 +66,18 @@ def cube_cells(df: DataFrame, spec: FilingsSpec, with_wage_level: bool = True) -
     if with_wage_level:
         keys.append("WAGE_LEVEL")
     keys += [F.col(flag).alias("_flag"), "MBA_TIER"]
-    return df.groupBy(*keys).agg(
+    cells = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("filings"),
         F.count_if("CERTIFIED").alias("certified"),
         F.count_if("DECIDED").alias("decided"),
         F.sum("ANNUAL_WAGE").alias("wage_sum"),
         F.count("ANNUAL_WAGE").alias("wage_n"),
     )
+    # Materialise once in the shared checkpoint folder: the dimensions filter
+    # the cells differently, and the optimizer would push each filter into its
+    # own re-scan of the filing rows instead of reusing one aggregation.
+    ensure_checkpoint_dir(df.sparkSession)
+    return cells.checkpoint(eager=True)
 
 
 def dims_from_cells(cells: DataFrame, n_occ: int = TOP_N_OCCUPATIONS, min_emp: int = MIN_EMPLOYER_FILINGS) -> CubeDims:
