@@ -126,8 +126,8 @@ def facts_from_cells(cells: DataFrame, dims: CubeDims, with_wage_level: bool = T
         round_half_up(F.coalesce(F.sum("wage_sum"), F.lit(0.0)), 2).alias("wage_sum"),
         F.sum("wage_n").alias("wage_n"))
     enc = (g.join(dims.employers.select("EMPLOYER_CANONICAL", "emp_idx"), "EMPLOYER_CANONICAL")
-           .join(F.broadcast(dims.states), "STATE", "left")
-           .join(F.broadcast(dims.sectors), "NAICS_SECTOR", "left"))
+           .join(dims.states, "STATE", "left")              # data-dependent size: AQE decides
+           .join(F.broadcast(dims.sectors), "NAICS_SECTOR", "left"))  # <= 22 values: fixed sector dictionary
     cols = [F.col("occ_idx").alias("occ"), F.col("emp_idx").alias("emp"),
             F.coalesce("state_idx", F.lit(-1)).alias("state"), F.coalesce("sector_idx", F.lit(-1)).alias("sector")]
     if with_wage_level:

@@ -299,8 +299,8 @@ def box_stats(df: DataFrame, col: str, by: str = "MBA_TIER", whisker: float = 1.
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \
         .withColumn("hi_fence", F.col("q3") + whisker * F.col("iqr"))
-    # q has one row per group value (a few tiers): safe to broadcast.
-    j = src.join(F.broadcast(q), by)
+    # q has one row per group value; AQE broadcasts it after measuring it
+    j = src.join(q, by)
     x = F.col(col)
     inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
     return j.groupBy(by, "q1", "median", "q3", "iqr").agg(
