@@ -92,16 +92,13 @@ def title_suggest(df: DataFrame, spec: FilingsSpec, text: str, k: int = 25) -> D
 
 
 def facet_values(df: DataFrame, spec: FilingsSpec) -> DataFrame:
-    parts = [
-        df.select(F.lit("state").alias("facet"), F.col(spec.state_col).alias("value")),
-        df.select(F.lit("sector").alias("facet"), F.col("NAICS_SECTOR").alias("value")),
-    ]
+    """Sorted distinct non-null values of every facet, from one scan (``stack``)."""
+    facets = [("state", spec.state_col), ("sector", "NAICS_SECTOR")]
     if "WAGE_LEVEL" in df.columns:
-        parts.append(df.select(F.lit("wage_level").alias("facet"), F.col("WAGE_LEVEL").alias("value")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.where(F.col("value").isNotNull()).distinct().orderBy("facet", "value")
+        facets.append(("wage_level", "WAGE_LEVEL"))
+    args = ", ".join(f"'{name}', `{col}`" for name, col in facets)
+    long = df.select(F.expr(f"stack({len(facets)}, {args}) AS (facet, value)"))
+    return long.where(F.col("value").isNotNull()).distinct().orderBy("facet", "value")
 
 
 # -- personas --------------------------------------------------------------------------
@@ -146,13 +143,14 @@ def persona_fy_counts(matched: DataFrame, max_quarter: int = 3) -> DataFrame:
             .groupBy("persona", "FISCAL_YEAR").agg(F.count(F.lit(1)).alias("filings")))
 
 
-def persona_wages(matched: DataFrame, wage: str = "ANNUAL_WAGE") -> DataFrame:
-    return matched.where(F.col(wage).isNotNull()).groupBy("persona").agg(
-        F.count(wage).alias("wage_n"),
-        F.percentile(wage, 0.25).alias("p25"),
-        F.median(wage).alias("median"),
-        F.percentile(wage, 0.75).alias("p75"),
-    )
+def persona_wages(matched: DataFrame, wage: str = "ANNUAL_WAGE", approx: bool = False) -> DataFrame:
+    if approx:
+        q = F.percentile_approx(wage, [0.25, 0.5, 0.75], 10000)
+        quart = [q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75")]
+    else:
+        quart = [F.percentile(wage, 0.25).alias("p25"), F.median(wage).alias("median"),
+                 F.percentile(wage, 0.75).alias("p75")]
+    return matched.where(F.col(wage).isNotNull()).groupBy("persona").agg(F.count(wage).alias("wage_n"), *quart)
 
 
 def persona_level_shares(matched: DataFrame, level: str = "PW_WAGE_LEVEL") -> DataFrame:
@@ -165,10 +163,12 @@ def persona_flag_share(matched: DataFrame, flag: str = "IS_NEW_EMPLOYMENT") -> D
 
 
 def persona_shortlist(matched: DataFrame, levels=("II", "III"), min_filings: int = 2,
-                      wage: str = "ANNUAL_WAGE_FROM", employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
+                      wage: str = "ANNUAL_WAGE_FROM", employer: str = "EMPLOYER_CANONICAL",
+                      approx: bool = False) -> DataFrame:
+    from filingscope.operators.stats import median_of
     return (matched.where(F.col("PW_WAGE_LEVEL").isin(*levels) & F.col(employer).isNotNull())
             .groupBy("persona", employer)
-            .agg(F.count(F.lit(1)).alias("matched_filings"), F.median(wage).alias("median_wage"))
+            .agg(F.count(F.lit(1)).alias("matched_filings"), median_of(wage, approx).alias("median_wage"))
             .where(F.col("matched_filings") >= min_filings))
 
 

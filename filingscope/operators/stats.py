@@ -114,12 +114,12 @@ def scorecard(df: DataFrame, by: str, wage: str | None = "ANNUAL_WAGE", cert: bo
     return _drop_null_keys(df, [by]).groupBy(by).agg(*aggs)
 
 
-def kpis(df: DataFrame, signal_flag: str) -> DataFrame:
+def kpis(df: DataFrame, signal_flag: str, approx: bool = False) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("matched"),
         F.count_if("DECIDED").alias("decided"),
         rate(F.count_if("CERTIFIED"), F.count_if("DECIDED")).alias("cert_rate"),
-        F.median("ANNUAL_WAGE").alias("median_wage"),
+        median_of("ANNUAL_WAGE", approx).alias("median_wage"),
         F.count("ANNUAL_WAGE").alias("wage_n"),
         share(signal_flag).alias("signal_share"),
     )
@@ -137,13 +137,14 @@ def employer_mix(df: DataFrame, employer: str = "EMPLOYER_CANONICAL", min_filing
 
 
 def employer_scorecard_lca(df: DataFrame, min_filings: int = 10, employer: str = "EMPLOYER_CANONICAL",
-                           hire_flag: str = "IS_NEW_HIRE", wage: str = "ANNUAL_WAGE_FROM") -> DataFrame:
+                           hire_flag: str = "IS_NEW_HIRE", wage: str = "ANNUAL_WAGE_FROM",
+                           approx: bool = False) -> DataFrame:
     g = _drop_null_keys(df, [employer]).groupBy(employer).agg(
         F.count("MBA_TIER").alias("total_filings"),
         F.count_if(F.col("MBA_TIER") != "excluded").alias("mba_relevant_filings"),
         share(not_denied("CASE_STATUS")).alias("certified"),
         share(hire_flag).alias("new_position_share"),
-        F.median(wage).alias("median_annual_wage"),
+        median_of(wage, approx).alias("median_annual_wage"),
         F.bool_or(yes_flag("WILLFUL_VIOLATOR")).alias("any_willful_violator"),
         F.bool_or(yes_flag("H_1B_DEPENDENT")).alias("any_h1b_dependent"),
     )
@@ -151,13 +152,14 @@ def employer_scorecard_lca(df: DataFrame, min_filings: int = 10, employer: str =
     return g.where(F.col("mba_relevant_filings") >= min_filings)
 
 
-def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
+def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str = "EMPLOYER_CANONICAL",
+                            approx: bool = False) -> DataFrame:
     g = _drop_null_keys(df, [employer]).groupBy(employer).agg(
         F.count("MBA_TIER").alias("total_filings"),
         F.count_if(F.col("MBA_TIER") != "excluded").alias("mba_relevant_filings"),
         share(not_denied("CASE_STATUS")).alias("certified"),
         share(yes_flag("OTHER_REQ_IS_FW_CURRENTLY_WRK", "N")).alias("external_hire_share"),
-        F.median("EMP_NUM_PAYROLL").alias("median_company_payroll"),
+        median_of("EMP_NUM_PAYROLL", approx).alias("median_company_payroll"),
     )
     g = g.withColumn("mba_share", rate(F.col("mba_relevant_filings"), F.col("total_filings")))
     return g.where(F.col("mba_relevant_filings") >= min_filings)
@@ -357,7 +359,7 @@ def bounded_wage(col="ANNUAL_WAGE_FROM") -> Column:
 
 def leaderboard(filtered: DataFrame, full: DataFrame, other: DataFrame, signal_flag: str,
                 min_filings: int = 3, k: int = 300, lca_flags: bool = True,
-                roles=(), employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
+                roles=(), employer: str = "EMPLOYER_CANONICAL", approx: bool = False) -> DataFrame:
     """Employer ranking over a filtered set, with the MBA mix taken from the
     unfiltered dataset and a history flag from the other dataset.
 
@@ -373,7 +375,7 @@ def leaderboard(filtered: DataFrame, full: DataFrame, other: DataFrame, signal_f
         F.count_if("CERTIFIED").alias("_cert"),
         F.count_if("DECIDED").alias("_dec"),
         share(signal_flag).alias("_signal"),
-        F.median("ANNUAL_WAGE").alias("median_wage"),
+        median_of("ANNUAL_WAGE", approx).alias("median_wage"),
     ]
     if lca_flags:
         aggs += [F.bool_or(yes_flag("WILLFUL_VIOLATOR")).alias("_wv"),

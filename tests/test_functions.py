@@ -169,3 +169,47 @@ def test_dense_index_is_consecutive_across_partitions(spark):
     df = spark.range(0, 1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("k"))
     got = dense_index(df, [F.desc("k")], "idx").select("k", "idx").collect()
     assert sorted((r.idx, r.k) for r in got) == [(i, 999 - i) for i in range(1000)]
+
+
+def test_csv_scan_bom_multiline_quotes_and_consolidation(spark, tmp_path):
+    from filingscope.sources import raw as raw_io
+
+    old = tmp_path / "old"
+    new = tmp_path / "new"
+    old.mkdir()
+    new.mkdir()
+    # old vintage: BOM, old header spelling, ="..." wrapped code, M/d/yy dates, a blank template row
+    (old / "part.csv").write_text(
+        "﻿CASE_NUMBER,H-1B_DEPENDENT,NAICS_CODE,RECEIVED_DATE,DECISION_DATE,EMPLOYER_NAME\n"
+        'A-1,Y,"=""541511""",1/2/25,1/9/25,"Acme, ""The"" Co"\n'
+        'A-2,N/A,"=""31""",2/3/25,,"Multi\nLine LLC"\n'
+        ",,,,,\n",
+        encoding="utf-8")
+    # new vintage: current header, ISO dates, A-1 again (this source wins it)
+    (new / "part.csv").write_text(
+        "CASE_NUMBER,H_1B_DEPENDENT,NAICS_CODE,RECEIVED_DATE,DECISION_DATE,EMPLOYER_NAME\n"
+        "A-1,N,541511,2025-01-02,2025-10-01,Acme Co\n",
+        encoding="utf-8")
+    sources = [raw_io.Source("old", str(old), 1), raw_io.Source("new", str(new), 2)]
+    out = {r.CASE_NUMBER: r for r in raw_io.consolidate_sources(spark, sources).collect()}
+    assert set(out) == {"A-1", "A-2"}
+    a1, a2 = out["A-1"], out["A-2"]
+    assert (a1.SOURCE_FILE, a1.H_1B_DEPENDENT, a1.FISCAL_YEAR, a1.FISCAL_QUARTER) == ("new", "N", 2026, 1)
+    assert a2.SOURCE_FILE == "old" and a2.NAICS_CODE == "31" and a2.H_1B_DEPENDENT is None
+    assert a2.EMPLOYER_NAME == "Multi\nLine LLC"
+    assert a2.RECEIVED_DATE == dt.date(2025, 2, 3) and a2.DECISION_DATE is None
+    assert (a2.FISCAL_YEAR, a2.FISCAL_QUARTER) == (2025, 2)
+    report = {r.SOURCE_FILE: r for r in ingest.ingest_report(ingest.prepare_raw(raw_io.read_sources(spark, sources)))
+              .collect()}
+    assert (report["old"].rows_read, report["old"].blank_rows, report["old"].stale_duplicates,
+            report["old"].rows_written) == (3, 1, 1, 1)
+    assert report["new"].rows_written == 1
+
+
+def test_facet_values_single_scan(spark):
+    from filingscope.operators.search import facet_values
+    from filingscope.spec import LCA
+    df = spark.createDataFrame([("S1", "Sec", "I"), (None, "Sec", "II"), ("S2", None, "I")],
+                               "WORKSITE_STATE string, NAICS_SECTOR string, WAGE_LEVEL string")
+    got = [tuple(r) for r in facet_values(df, LCA).collect()]
+    assert got == [("sector", "Sec"), ("state", "S1"), ("state", "S2"), ("wage_level", "I"), ("wage_level", "II")]
