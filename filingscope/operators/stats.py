@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.flags import not_denied, yes_flag
-from filingscope.functions.wages import bounded, round_half_up
-from filingscope.spec import TIERS, WAGE_LEVELS
+from filingscope.functions.wages import round_half_up
+from filingscope.spec import WAGE_LEVELS
 
 
 def _c(col) -> Column:
@@ -347,13 +347,6 @@ def wage_level_mix(df: DataFrame) -> DataFrame:
     return domain_counts(df, "WAGE_LEVEL", WAGE_LEVELS)
 
 
-def tiers_domain() -> tuple[str, ...]:
-    return TIERS
-
-
-def bounded_wage(col="ANNUAL_WAGE_FROM") -> Column:
-    return bounded(col)
-
 
 # -- A9 leaderboard ---------------------------------------------------------------
 
