@@ -103,16 +103,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an under-split scan over the cluster's cores.
+def spread(df: DataFrame, cap: int = 64) -> DataFrame:
+    """Spread a badly under-split scan over up to ``cap`` tasks.
 
     A table stored as one large row group is read by a single task, which
-    then runs every join and projection above it alone.  Inputs that already
-    arrive in at least as many splits as there are cores are left untouched,
-    so at scale this adds no shuffle.
+    then runs every join and projection above it alone.  Only inputs with
+    fewer splits than min(cores, cap) are redistributed, so on a large
+    cluster a normally split table is never reshuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    target = min(df.sparkSession.sparkContext.defaultParallelism, cap)
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def lca_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
