@@ -23,7 +23,7 @@ def _c(col) -> Column:
 
 def unwrap_text(col) -> Column:
     """Whole-cell ``="value"`` -> ``value``; inner '=' untouched."""
-    return F.regexp_replace(_c(col), r'(?s)^="(.*)"$', "$1")
+    return F.regexp_replace(_c(col), EXCEL_TEXT_WRAP, "$1")
 
 
 def null_token(col, tokens=NULL_TOKENS) -> Column:

@@ -213,3 +213,8 @@ def test_facet_values_single_scan(spark):
                                "WORKSITE_STATE string, NAICS_SECTOR string, WAGE_LEVEL string")
     got = [tuple(r) for r in facet_values(df, LCA).collect()]
     assert got == [("sector", "Sec"), ("state", "S1"), ("state", "S2"), ("wage_level", "I"), ("wage_level", "II")]
+
+
+def test_unwrap_text_does_not_cross_lines(spark):
+    # '.' stops at line breaks, as in the source's wrapper pattern
+    assert one_col(spark, ['="a\nb"', '="x"'], unwrap_text) == ['="a\nb"', "x"]
