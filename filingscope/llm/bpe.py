@@ -1,8 +1,8 @@
 """Operator 9: BPE encoding and decoding with a pair occurrence index.
 
 Distinct pre-tokens of a slice are laid out as one chain of symbols.  An index maps every mergeable pair (by its rank)
-to all its positions; ranks are taken in ascending order from a heap, each merge is done at every listed position and
-the neighbours' new pairs join the lists.  Encoded words are kept for the rest of the task, so each is merged once.
+to all its positions; ranks are taken in ascending order from a heap, each merge is done at all listed positions at
+once (numpy) and the neighbours' new pairs join the lists.  Encoded words are kept for the rest of the task, so each is merged once.
 
 The tokenizer file is read on the driver (a few MB, checked) and broadcast.  Results equal the file's own library:
 special tokens are found in the raw text, the rest is NFC-normalised, lower-cased and split, spaces are dropped.
@@ -13,6 +13,7 @@ based, n log n); repeated rows are encoded alike; every input column is kept, cl
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import os
@@ -26,11 +27,14 @@ from filingscope.llm.toolkit import map_slices
 
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Words kept per task before the memory is started anew (an upper bound on memory, not on what is encoded).
-KEPT_WORDS = 400_000
-#: New words merged in one index.
-INDEX_WORDS = 50_000
+KEPT_WORDS = 300_000
+#: New words merged in one index, and text bytes looked through for them at once: a large index spreads its cost.
+INDEX_WORDS = 400_000
+ENCODE_BYTES = 6_000_000
 
 END = "</w>"
+#: Starts the name of a special token among chunks; a space, so no chunk of text starts with it.
+MARK = " "
 # Fixed value: the pre-token pattern of the public word-level BPE vocabulary; \s is spelled out as Unicode white space.
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -68,82 +72,94 @@ def load_tokenizer(path: str) -> dict:
 
 
 class PairIndexEncoder:
-    """Merges words by a pair occurrence index over all words given at once."""
+    """Merges words by a pair occurrence index over all words given at once.
+
+    A symbol's place is its number in the chain of all words; ``where`` maps the rank of a pair to arrays of places.
+    """
 
     def __init__(self, spec: dict):
-        self.inner, self.last, self.merges = spec["inner"], spec["last"], spec["merges"]
-        self.rank: dict[tuple[int, int], int] = {}
-        for r, (a, b, _) in enumerate(self.merges):
-            self.rank.setdefault((a, b), r)
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        sym: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        starts: list[int] = []
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            at = len(sym)
-            starts.append(at)
-            sym += [self.inner[b] for b in raw[:-1]]
-            sym.append(self.last[raw[-1]])
-            nxt += range(at + 1, at + len(raw))
-            nxt.append(-1)
-            prv.append(-1)
-            prv += range(at, at + len(raw) - 1)
-        rank = self.rank
-        where: dict[int, list[int]] = {}
-        for p, q in enumerate(nxt):
-            if q >= 0:
-                r = rank.get((sym[p], sym[q]))
-                if r is not None:
-                    where.setdefault(r, []).append(p)
-        active = list(where)
-        heapq.heapify(active)
+        import numpy as np
+
+        self.inner = np.array(spec["inner"], np.int64)
+        self.last = np.array(spec["last"], np.int64)
+        self.merges = spec["merges"]
+        merges = np.array(self.merges, np.int64).reshape(-1, 3)
+        keys, first = np.unique(merges[:, 0] << 20 | merges[:, 1], return_index=True)  # the earliest rank of a pair
+        self.keys, self.ranks = keys, first
+        # a merged token must not take part in an earlier rank, else one pass over a rank's places would be too early
+        made = np.full(int(merges.max(initial=0)) + 1, -1, np.int64)
+        np.maximum.at(made, merges[:, 2], np.arange(len(merges)))
+        if (np.maximum(made[merges[:, 0]], made[merges[:, 1]]) >= np.arange(len(merges)))[first].any():
+            raise ValueError("a merge uses a token that a later merge makes")
+
+    def rank(self, left, right):
+        """Rank of each pair of symbols, or -1."""
+        import numpy as np
+
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def encode(self, words: list[str]):
+        """All words' token ids in one array, and where each word's ids start (one more entry than words)."""
+        import numpy as np
+
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum([len(x) for x in raw])
+        body = np.frombuffer(b"".join(raw), np.uint8)
+        n = len(body)
+        sym = self.inner[body]
+        sym[ends - 1] = self.last[body[ends - 1]]
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[ends - 1] = -1
+        prv[np.concatenate([[0], ends[:-1]])] = -1
+
+        where: dict[int, list] = {}
+        active: list[int] = []
+
+        def add(places, ranks):
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            bounds = [0, *cuts.tolist(), len(ranks)]
+            for r, i, j in zip(ranks[bounds[:-1]].tolist(), bounds[:-1], bounds[1:], strict=True):
+                if r not in where:
+                    where[r] = []
+                    heapq.heappush(active, r)
+                where[r].append(places[i:j])
+
+        left = np.flatnonzero(nxt >= 0)
+        ranks = self.rank(sym[left], sym[nxt[left]])
+        if (ranks >= 0).any():
+            add(left[ranks >= 0], ranks[ranks >= 0])
         while active:
             r = heapq.heappop(active)
             a, b, merged = self.merges[r]
-            places = where.pop(r)
-            places.sort()
-            for i, p in enumerate(places):
-                q = nxt[p]
-                if sym[p] != a or q < 0 or sym[q] != b:
-                    continue
-                sym[p], sym[q] = merged, -1
-                after, before = nxt[q], prv[p]
-                nxt[p] = after
-                lower = False
-                if after >= 0:
-                    prv[after] = p
-                    x = rank.get((merged, sym[after]))
-                    if x is not None:
-                        if x not in where:
-                            where[x] = []
-                            heapq.heappush(active, x)
-                        where[x].append(p)
-                        lower = x <= r
-                if before >= 0:
-                    x = rank.get((sym[before], merged))
-                    if x is not None:
-                        if x not in where:
-                            where[x] = []
-                            heapq.heappush(active, x)
-                        where[x].append(before)
-                        lower = lower or x <= r
-                if lower and i + 1 < len(places):  # an earlier rank has become active again: it goes first
-                    if r not in where:
-                        where[r] = []
-                        heapq.heappush(active, r)
-                    where[r] += places[i + 1:]
-                    break
-        out = []
-        for at in starts:
-            ids = []
-            while at >= 0:
-                ids.append(sym[at])
-                at = nxt[at]
-            out.append(ids)
-        return out
+            listed = where.pop(r)
+            p = listed[0] if len(listed) == 1 else np.unique(np.concatenate(listed))
+            p = p[sym[p] == a]
+            q = nxt[p]
+            ok = (q >= 0) & (sym[q] == b)
+            p, q = p[ok], q[ok]
+            if not len(p):
+                continue
+            if a == b and len(p) > 1:  # in a run of equal symbols every other place merges, from the left
+                run = np.concatenate([[True], q[:-1] != p[1:]])
+                at = np.arange(len(p))
+                ok = (at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0
+                p, q = p[ok], q[ok]
+            after = nxt[q]
+            sym[p], sym[q], nxt[p] = merged, -1, after
+            prv[after[after >= 0]] = p[after >= 0]
+            before = prv[p]
+            places = np.concatenate([p[after >= 0], before[before >= 0]])
+            if len(places):
+                ranks = self.rank(sym[places], sym[nxt[places]])
+                if (ranks >= 0).any():
+                    add(places[ranks >= 0], ranks[ranks >= 0])
+        live = sym >= 0
+        counts = np.concatenate([[0], np.cumsum(live)])
+        return sym[live], counts[np.concatenate([[0], ends])]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -159,50 +175,63 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
 
         special = sorted(spec.value["special"], key=len, reverse=True)
         held["encoder"] = PairIndexEncoder(spec.value)
-        held["words"] = {}
-        held["find"] = regex.compile(PRETOKEN).findall
-        held["split"] = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
+        held["ids"], held["plain"] = {}, {}
+        held["find"] = regex.compile(PRETOKEN + r"|\n").findall  # a line end parts two chunks
+        held["separators"] = regex.compile(r"[\x1c-\x1f]").search  # str.split() parts here, the vocabulary doesn't
+        held["chunks"] = regex.compile(f"[^{SPACE}]+").findall
+        held["special"] = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
 
-    def pretokens(text: str) -> list[str]:
-        # each code point is lower-cased by itself: no final form of sigma
-        return held["find"](unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    def chunks(text: str) -> list[str]:
+        return held["chunks"](text) if held["separators"](text) else text.split()
 
-    def words_of(text: str | None) -> list[str]:
+    def chunks_of(text: str | None) -> list[str]:
+        """The text between white space; no token reaches over it.  A special token is marked and stands alone."""
         if not text:
             return []
         special = spec.value["special"]
-        if held["split"] is None or not any(s in text for s in special):
-            return pretokens(text)
+        if not any(s in text for s in special):
+            return chunks(text)
         out = []
-        for part in held["split"](text):
-            out += ["\0" + part] if part in special else pretokens(part)  # marked: an ordinary word is never so long
+        for part in held["special"](text):
+            out += [MARK + part] if part in special else chunks(part)
         return out
 
+    def learn(new: list[str]) -> None:
+        # all new chunks are normalised and split at once; each code point is lower-cased by itself: no final sigma
+        joined = unicodedata.normalize("NFC", "\n".join(new) + "\n").replace("Σ", "σ").lower()
+        found = held["find"](joined)
+        stops = [i for i, w in enumerate(found) if w == "\n"]
+        got, cut = held["encoder"].encode([w for w in found if w != "\n"])
+        packed, plain = got.astype("<u4").tobytes(), list(map(spec.value["tokens"].__getitem__, got.tolist()))
+        ends = cut[[x - i for i, x in enumerate(stops)]].tolist()
+        i = 0
+        ids_of, plain_of = held["ids"], held["plain"]
+        for c, j in zip(new, ends, strict=True):
+            ids_of[c] = packed[4 * i:4 * j]
+            plain_of[c] = plain[i] if j == i + 1 else " ".join(plain[i:j])
+            i = j
+
     def fn(batch):
         if not held:
+            gc.disable()  # millions of small objects without cycles
             setup()
-        known, tokens, special = held["words"], spec.value["tokens"], spec.value["special"]
-        texts = [words_of(t) for t in batch.column(text).to_pylist()]
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for s, i in special.items():
-            known["\0" + s] = (i.to_bytes(4, "little"), s)
-        new = list({w for ws in texts for w in ws if w not in known})
+        texts = [chunks_of(t) for t in batch.column(text).to_pylist()]
+        if len(held["ids"]) > KEPT_WORDS:
+            held["ids"], held["plain"] = {}, {}
+        for s, i in spec.value["special"].items():
+            held["ids"][MARK + s], held["plain"][MARK + s] = i.to_bytes(4, "little"), s
+        new = list(set().union(*texts).difference(held["ids"]))
         for at in range(0, len(new), INDEX_WORDS):
-            part = new[at:at + INDEX_WORDS]
-            for w, got in zip(part, held["encoder"].encode(part), strict=True):
-                known[w] = (b"".join(i.to_bytes(4, "little") for i in got), " ".join([tokens[i] for i in got]))
-        packed, plain = [], []
-        for ws in texts:
-            both = [known[w] for w in ws]
-            packed.append(b"".join([x[0] for x in both]))
-            plain.append(" ".join([x[1] for x in both]))
+            learn(new[at:at + INDEX_WORDS])
+        ids_of, plain_of = held["ids"].__getitem__, held["plain"].__getitem__
+        packed = [b"".join(map(ids_of, cs)) for cs in texts]
+        plain = [" ".join(map(plain_of, cs)) for cs in texts]
         return pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(packed, pa.binary()), pa.array(plain, pa.string())],
             names=[*batch.schema.names, ids, decoded])
 
     schema = docs.select("*", F.lit(b"").alias(ids), F.lit("").alias(decoded)).schema
-    return map_slices(docs, fn, schema, column=text)
+    return map_slices(docs, fn, schema, column=text, limit=ENCODE_BYTES)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
