@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, ngram_join
+from filingscope.llm import bpe, licenses, ngram_join, resharding
 from filingscope.llm.registry import ORACLE, QUERIES, register, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -37,3 +38,20 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP
 @register("op1_ngram_jaccard_join", NGRAM_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents")).drop("copy_class")
+
+
+@register("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op8_reshard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("text_bytes"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "source")
+    # the old layout: a shard for each source, hashed to 32, so a hot source is a hot old shard
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32))
+    placed = resharding.reshard(docs, old, F.col("text_bytes") + resharding.OVERHEAD, 40, F.col("doc_id"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
