@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, licenses, ngram_join, resharding
+from filingscope.llm import bpe, decontamination, embedding_join, licenses, ngram_join, resharding
 from filingscope.llm.registry import ORACLE, QUERIES, register, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -55,3 +55,48 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = resharding.reshard(docs, old, F.col("text_bytes") + resharding.OVERHEAD, 40, F.col("doc_id"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+# All runs of as many words as some window has, joined to the windows as strings.
+BENCHMARK_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+             lambda x: array_to_string(w[x:x+9], ' '))) AS p FROM b WHERE len(w) > 0),
+g AS (SELECT doc_id, k, j, array_to_string(w[j:j+k-1], ' ') AS p
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+m AS (SELECT DISTINCT g.doc_id, g.j, g.k, i.item_id FROM g JOIN i ON g.k = i.k AND g.p = i.p),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS x FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@register("op6_positional_index", BENCHMARK_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(i, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.i, l.b FROM r JOIN l ON l.a = r.c),
+m AS (SELECT i, min(c) AS c FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, vec_id = m.c AS kept
+FROM embeddings JOIN m ON m.i = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@register("op10_metric_range_join", VECTOR_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.range_join(table(spark, sf_dir, "embeddings"))
