@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, embedding_join, licenses, ngram_join, resharding
+from filingscope.llm import bpe, decontamination, embedding_join, licenses, ngram_join, passages, resharding
 from filingscope.llm.registry import ORACLE, QUERIES, register, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -100,3 +100,23 @@ FROM embeddings JOIN m ON m.i = vec_id LEFT JOIN n ON n.a = vec_id
 @register("op10_metric_range_join", VECTOR_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.range_join(table(spark, sf_dir, "embeddings"))
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+34], ' ') AS p
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY p) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+k AS (SELECT d.doc_id, x.i, w[x.i] AS v FROM d, unnest(range(1, len(w) + 1)) AS x(i)),
+t AS (SELECT k.doc_id, string_agg(v, ' ' ORDER BY k.i) AS kept
+      FROM k ANTI JOIN c ON c.doc_id = k.doc_id AND c.i = k.i GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@register("op7_phrase_automata", REPEATS_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
