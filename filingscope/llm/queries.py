@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, embedding_join, licenses, ngram_join, passages, resharding
+from filingscope.llm import bpe, decontamination, embedding_join, language, licenses, ngram_join, passages, resharding, toxicity
 from filingscope.llm.registry import ORACLE, QUERIES, register, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -120,3 +120,20 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 @register("op7_phrase_automata", REPEATS_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
+
+
+@register("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = toxicity.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs, ~out)
+    return language.predict(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
