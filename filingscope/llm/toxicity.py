@@ -4,7 +4,7 @@ Two zstandard dictionaries share a base of frequent ordinary word beginnings; on
 toxic text, the other with those typical of ordinary text (likelihood ratio over the fitted rows, counted in Spark).
 Every text is cut into windows of whole words; a window's distance is what the ordinary dictionary's compressed form
 takes more than the toxic one's.  The shares of windows beyond several thresholds and the largest distance go into a
-small logistic model, whose own threshold (best F0.5) is calibrated to a score of CUT.  Dictionaries and calibration
+small logistic model, whose own threshold (best F-score) is calibrated to a score of CUT.  Dictionaries and calibration
 come from different rows.
 
 Fitted on a bounded sample: at most FIT_ROWS labelled rows a class, chosen by hash.  Every whole text is scored.
@@ -37,7 +37,7 @@ LEAST_COUNT, LEAST_RATIO, LEAST_G2 = 5, 3.0, 25.0
 DISTANCES = (2, 3, 4, 5, 6)
 CUT = 0.7
 #: F-score's beta for the threshold.
-PRECISE = 0.5
+PRECISE = 0.7
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -97,27 +97,33 @@ def fit_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[DataFra
 
 
 def segment_counts(rows: DataFrame) -> DataFrame:
-    """(segment, t, o): occurrences of word beginnings in toxic and ordinary rows; segment null: all words."""
+    """(segment, t, o): word beginnings by the distinct contexts (word, the one before, the one after) they stand in,
+    in toxic and ordinary rows; so copies of a text count once.  segment null: all contexts.
+    """
 
     def fn(batch):
-        from collections import Counter
+        import xxhash
 
-        counts = (Counter(), Counter())
+        words, contexts, classes = [], [], []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = Counter((text or "").lower().encode("utf-8", "replace").split())
-            into = counts[toxic]
-            into[None] += sum(words.values())
-            for w, n in words.items():
-                w = b" " + w
-                for size in range(SHORTEST, min(LONGEST, len(w) + 1)):
-                    into[w[:size]] += n
-        keys = list(counts[0].keys() | counts[1].keys())
+            ws = (text or "").lower().encode("utf-8", "replace").split()
+            words += ws
+            contexts += [xxhash.xxh3_64_intdigest(b" ".join(c)) - (1 << 63)
+                         for c in zip([b"", *ws[:-1]], ws, [*ws[1:], b""], strict=True)]
+            classes += [toxic] * len(ws)
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array([counts[1][k] for k in keys], pa.int64()),
-             pa.array([counts[0][k] for k in keys], pa.int64())], names=["segment", "t", "o"])
+            [pa.array(words, pa.binary()), pa.array(contexts, pa.int64()), pa.array(classes, pa.int32())],
+            names=["word", "context", "toxic"])
 
-    found = map_slices(rows.select("text", F.col("toxic").cast("int").alias("toxic")), fn, "segment binary, t long, o long")
-    return found.groupBy("segment").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    once = map_slices(rows.select("text", F.col("toxic").cast("int").alias("toxic")), fn,
+                      "word binary, context long, toxic int").dropDuplicates(["context", "toxic"])
+    counted = once.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    spaced = F.concat(F.lit(b" "), F.col("word"))
+    sizes = F.expr(f"sequence({SHORTEST}, {LONGEST - 1})")
+    pieces = F.concat(F.array(F.lit(None).cast("binary")), F.transform(
+        F.filter(sizes, lambda n: n <= F.octet_length(spaced)), lambda n: F.substring(spaced, 1, n)))
+    return counted.select(F.explode(pieces).alias("segment"), "t", "o").groupBy("segment").agg(
+        F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def typical(counts: DataFrame, of: str, than: str, n_of: int, n_than: int) -> list[bytes]:
@@ -148,7 +154,7 @@ def probability(x: np.ndarray, fitted: dict) -> np.ndarray:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The probability from which on calling a row toxic gives the best F-score (precision counts double).
+    """The probability from which on calling a row toxic gives the best F-score (beta below one: precision counts more).
 
     ``weight``: how many labelled rows a sampled row stands for.
     """
