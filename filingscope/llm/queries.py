@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, embedding_join, language, licenses, ngram_join, passages, resharding, toxicity
+from filingscope.llm import bpe, decontamination, embedding_join, language, licenses, ngram_join, passages, pii, resharding, toxicity
 from filingscope.llm.registry import ORACLE, QUERIES, register, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -137,3 +137,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
     return toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model).select(
         "doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+@register("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
