@@ -151,6 +151,12 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in whose text no window of an item stands."""
+    hit = cut(matches(docs, items).select(F.col("key").alias("_key")).distinct())
+    return docs.withColumn("_key", text_key(F.col("text"))).join(small(hit), "_key", "left_anti").drop("_key")
+
+
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The query's columns."""
     return scan(docs, items).select(

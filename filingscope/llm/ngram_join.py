@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingscope.llm.components import components
-from filingscope.llm.toolkit import cut, map_slices
+from filingscope.llm.toolkit import cut, map_slices, text_key
 from filingscope.llm.words import Words, byte_table, mix, signed
 
 SHINGLE = 5
@@ -113,17 +113,17 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row; node is null for an empty set."""
+    """(doc_id, key, n_shingles, node) of every row; node is null for an empty set, key stands for the text."""
 
     def fn(batch):
         sets = shingle_sets(batch.column("text"))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+            [batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())],
-            names=["doc_id", "n_shingles", "node"])
+            names=["doc_id", "key", "n_shingles", "node"])
 
-    return map_slices(docs.select("doc_id", "text"), fn,
-                      f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
+    return map_slices(docs.select("doc_id", text_key(F.col("text")).alias("key"), "text"), fn,
+                      f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long, node long")
 
 
 def signature_rows(texts: DataFrame) -> DataFrame:
@@ -219,12 +219,30 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, copy_class) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, key, n_shingles, component_id, copy_class, class) for every row of ``docs`` (doc_id, text).
+
+    ``copy_class``: equal sets; ``class``: one group of linked documents (null for an empty set).
+    """
     sized = cut(set_sizes(docs))
     roots = components(links(docs))
     named = sized.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     return named.join(least, "class", "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", "key", "n_shingles",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        F.col("node").alias("copy_class"))
+        F.col("node").alias("copy_class"), "class")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one of least doc_id stays.
+
+    Documents without a word are linked with nothing and all stay.  A group with only null ids keeps one row.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = (similar_groups(docs).where(F.col("class").isNotNull()).groupBy("class").agg(F.min(rank).alias("r"))
+            .select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key")))
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    keyed = docs.where(~wordless).withColumn("_key", text_key(F.col("text")))
+    # repeated rows of one id and text are one document
+    chosen = keyed.join(kept, [keyed["_key"] == kept["_key"], keyed["doc_id"].eqNullSafe(kept["_id"])], "left_semi")
+    return chosen.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where(wordless))

@@ -192,6 +192,9 @@ def find(docs: DataFrame) -> DataFrame:
     places = map_slices(keyed, entities_of, "key binary, entity long, term long, start long, end long")
     extra = (places.join(strong, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("entities").alias("entities"))
              .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "entities"))).alias("_terms")))
+    extra = cut(extra)
+    few = (extra.agg(F.sum(F.size("_terms"))).first()[0] or 0) <= MAX_BROADCAST_ROWS // 10
+    extra = F.broadcast(extra) if few else extra
     own = docs.columns
 
     def base(batch):
@@ -225,11 +228,13 @@ def masked(text: str, spans: list[dict]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans' text generalised or removed (the same columns; null text stays null)."""
 
+    names = docs.columns
+
     def fn(batch):
         plain = [t if t is None or not s else masked(t, s) for t, s in
                  zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        cols = [pa.array(plain, pa.string()) if n == "text" else batch.column(n) for n in docs.columns]
-        return pa.RecordBatch.from_arrays(cols, names=docs.columns)
+        cols = [pa.array(plain, pa.string()) if n == "text" else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     return map_slices(find(docs), fn, docs.schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP
 
 @register("op1_ngram_jaccard_join", NGRAM_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).drop("copy_class")
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @register("op2_license_scan")
@@ -142,3 +143,6 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_pii")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
