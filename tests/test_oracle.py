@@ -6,11 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from filingscope.plans.catalog import ORACLE, QUERIES
 from tests.conftest import SF_SMALL
 from tools.oracle_check import TABLES, rows_of
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
