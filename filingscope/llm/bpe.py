@@ -8,7 +8,8 @@ The tokenizer file is read on the driver (a few MB, checked) and broadcast.  Res
 special tokens are found in the raw text, the rest is NFC-normalised, lower-cased and split, spaces are dropped.
 
 Cases: null and empty text give no tokens and an empty decoded text; a long text without spaces is one chain (heap
-based, n log n); repeated rows are encoded alike; every input column is kept, clashing output names are refused.
+based, n log n); repeated rows are encoded alike; every input column is kept, but columns named as the
+results are replaced.
 """
 
 from __future__ import annotations
@@ -164,8 +165,7 @@ class PairIndexEncoder:
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``ids`` (binary: token ids as little-endian unsigned 32-bit integers) and ``decoded`` (their text)."""
-    if {ids, decoded} & set(docs.columns):
-        raise ValueError(f"{ids} or {decoded} is already a column")
+    docs = docs.drop(ids, decoded)
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(load_tokenizer(tokenizer))
     held: dict = {}

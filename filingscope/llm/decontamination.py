@@ -153,8 +153,8 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no window of an item stands."""
-    hit = cut(matches(docs, items).select(F.col("key").alias("_key")).distinct())
-    return docs.withColumn("_key", text_key(F.col("text"))).join(small(hit), "_key", "left_anti").drop("_key")
+    hit = cut(matches(docs, items).select(F.col("key").alias("__text_key")).distinct())
+    return docs.withColumn("__text_key", text_key(F.col("text"))).join(small(hit), "__text_key", "left_anti").drop("__text_key")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ follow-the-regularised-leader with elastic-net penalties on a bounded sample (FI
 in five of them calibrates the temperature instead.
 
 Cases: null text and text without a letter are ``und`` with score 0; without any row to learn from all are; whole
-texts are read, long ones too; repeated rows are predicted alike; an empty table gives no rows.
+texts are read, long ones too; repeated rows are predicted alike; an empty table gives no rows;
+columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -148,6 +149,7 @@ def fit(docs: DataFrame, learn: Column) -> dict | None:
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """``docs`` with lang_pred and score (the calibrated probability)."""
+    docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -11,7 +11,8 @@ Copies of a text say nothing new: shared contexts are counted by the words on bo
 replaces base spans and rarer terms by their kind (generalised) and drops terms that name exactly one entity (removed).
 
 Cases: null and empty text have no spans; spans of different kinds may overlap (masking merges them); offsets are code
-points, end exclusive; repeated rows get equal spans; an empty table gives no rows.
+points, end exclusive; repeated rows get equal spans; an empty table gives no rows; a column
+named spans is replaced.
 """
 
 from __future__ import annotations
@@ -175,6 +176,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with ``spans``: array of (kind, start, end, action), base kinds first, then terms by start."""
+    docs = docs.drop("spans")
     strong = cut(disclosures(docs.select("text")))
 
     def entities_of(batch):
@@ -191,9 +193,9 @@ def find(docs: DataFrame) -> DataFrame:
     keyed = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
     places = map_slices(keyed, entities_of, "key binary, entity long, term long, start long, end long")
     extra = (places.join(strong, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("entities").alias("entities"))
-             .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "entities"))).alias("_terms")))
+             .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "entities"))).alias("__terms")))
     extra = cut(extra)
-    few = (extra.agg(F.sum(F.size("_terms"))).first()[0] or 0) <= MAX_BROADCAST_ROWS // 10
+    few = (extra.agg(F.sum(F.size("__terms"))).first()[0] or 0) <= MAX_BROADCAST_ROWS // 10
     extra = F.broadcast(extra) if few else extra
     own = docs.columns
 
@@ -205,12 +207,13 @@ def find(docs: DataFrame) -> DataFrame:
 
     shape = "array<struct<kind:string,start:bigint,end:bigint,action:string>>"
     based = map_slices(docs, base, docs.withColumn("spans", F.array().cast(shape)).schema)
-    more = F.transform("_terms", lambda t: F.struct(
+    more = F.transform("__terms", lambda t: F.struct(
         F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end"),
         F.when(t["entities"] == 1, "remove").otherwise("generalise").alias("action")))
-    return (based.withColumn("_key", text_key(F.col("text")))
-            .join(extra.withColumnRenamed("key", "_key"), "_key", "left")
-            .withColumn("spans", F.concat("spans", F.coalesce(more, F.array().cast(shape)))).select(*own, "spans"))
+    extra = extra.select(F.col("key").alias("__text_key"), "__terms")
+    return (based.withColumn("__text_key", text_key(F.col("text"))).join(extra, "__text_key", "left")
+            .withColumn("spans", F.concat("spans", F.coalesce(more, F.array().cast(shape))))
+            .select(*own, "spans"))
 
 
 def masked(text: str, spans: list[dict]) -> str:
@@ -228,7 +231,8 @@ def masked(text: str, spans: list[dict]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans' text generalised or removed (the same columns; null text stays null)."""
 
-    names = docs.columns
+    held = docs.withColumnRenamed("spans", "__spans")  # a column of that name stays as it is
+    names = held.columns
 
     def fn(batch):
         plain = [t if t is None or not s else masked(t, s) for t, s in
@@ -236,7 +240,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         cols = [pa.array(plain, pa.string()) if n == "text" else batch.column(n) for n in names]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return map_slices(find(docs), fn, docs.schema)
+    return map_slices(find(held), fn, held.schema).toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

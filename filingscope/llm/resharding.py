@@ -10,7 +10,7 @@ of sub-blocks of about SUB_BLOCK rows (hashed, so one hot block is many sub-bloc
 Law ``rows``: the new shards' row counts are at most one apart.
 
 Cases: null text counts as 0 bytes; empty table gives no rows; repeated rows (and null ids) are separate rows; hot
-sizes or sources only make more sub-blocks.
+sizes or sources only make more sub-blocks; columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from filingscope.llm.toolkit import cut
 
 SUB_BLOCK = 10_000
 OVERHEAD = 16
+RESULT = ("size", "old_shard", "shard", "slot")
 
 
 def min_cost_flow(arcs: list[tuple[str, str, int, float]], source, sink) -> dict[tuple, int]:
@@ -116,7 +117,8 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, shards: int, order
     ``old_shard``: a small integer; ``order``: deals rows of one block to its sub-blocks.
     """
     spark = rows.sparkSession
-    sized = rows.withColumn("size", size).withColumn("old_shard", old_shard.cast("int")).withColumn(
+    rows = rows.withColumns({"size": size, "old_shard": old_shard.cast("int")}).drop("shard", "slot")
+    sized = rows.withColumn(
         "_block", F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int"))
     about = [(r[0], r[1], r[2], r[3]) for r in
              sized.groupBy("old_shard", "_block").agg(F.count("*"), F.sum("size")).collect()]  # shards x size classes
@@ -134,7 +136,7 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, shards: int, order
         plan_moves(about, shards), "old_shard int, _block int, _from long, _to long, shard int, _slot long")
     return (ranked.join(F.broadcast(pieces), ["old_shard", "_block"]).where("_rank >= _from and _rank < _to")
             .withColumn("slot", (F.col("_slot") + F.col("_rank") - F.col("_from")).cast("long"))
-            .select(*rows.columns, "size", "old_shard", "shard", "slot"))
+            .select(*[c for c in rows.columns if c not in RESULT], *RESULT))
 
 
 def rewrite(resharded: DataFrame, path: str) -> DataFrame:

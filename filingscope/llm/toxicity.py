@@ -11,7 +11,7 @@ Fitted on a bounded sample: at most FIT_ROWS labelled rows a class, chosen by ha
 
 Cases: null or empty text has no windows and gets the model's score for that; words longer than two windows are cut;
 labels other than 0 and 1, or null, are not learned; repeated labels of a document count once (toxic if any is); if
-either class has no row, every score is 0; an empty table gives no rows.
+either class has no row, every score is 0; an empty table gives no rows; a column named score is replaced.
 """
 
 from __future__ import annotations
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> dict | None:
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1; CUT is the calibrated threshold)."""
+    docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
