@@ -83,15 +83,9 @@ def latest_source_wins(df: DataFrame, key: str = "CASE_NUMBER", order_col: str =
     Duplicates *inside* the winning source all survive (not a dedupe).
     """
     winners = df.groupBy(key).agg(F.max(order_col).alias(order_col))
-    return df.join(winners, [key, order_col], "left_semi")
-
-
-def tag_source(df: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """SOURCE_FILE from the scanned file name; SOURCE_ORD from a manifest."""
-    out = df.withColumn("SOURCE_FILE", F.col("_metadata.file_name"))
-    if manifest is not None:
-        out = out.join(F.broadcast(manifest.select("SOURCE_FILE", "SOURCE_ORD")), "SOURCE_FILE", "left")
-    return out
+    winners = winners.select(F.col(key).alias("_case"), F.col(order_col).alias("_newest"))
+    won = F.col(key).eqNullSafe(F.col("_case")) & F.col(order_col).eqNullSafe(F.col("_newest"))
+    return df.join(winners, won, "left_semi")  # a case whose sources have no order keeps its rows
 
 
 def ingest_report(raw: DataFrame, key: str = "CASE_NUMBER", order_col: str = "SOURCE_ORD",
@@ -101,16 +95,22 @@ def ingest_report(raw: DataFrame, key: str = "CASE_NUMBER", order_col: str = "SO
     blank = F.col(key).isNull() | (F.col(key) == "")
     populated = raw.where(~blank)
     winners = populated.groupBy(key).agg(F.max(order_col).alias("_win"))
-    flagged = raw.join(winners, key, "left").withColumn(
-        "_stale", ~blank & (F.col(order_col) != F.col("_win")))
+    # blank rows are counted by themselves: in the join they would all be one key
+    flagged = populated.join(winners, key).withColumn("_stale", ~F.col(order_col).eqNullSafe(F.col("_win")))
     no_date = F.coalesce(F.col("DECISION_DATE"), F.col("RECEIVED_DATE")).isNull()
-    return flagged.groupBy(source_col).agg(
+    none = F.lit(0).cast("long")
+    cases = flagged.groupBy(source_col).agg(
         F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(blank).alias("blank_rows"),
+        none.alias("blank_rows"),
         F.count_if(F.col("_stale")).alias("stale_duplicates"),
-        F.count_if(~blank & ~F.col("_stale")).alias("rows_written"),
-        F.count_if(~blank & ~F.col("_stale") & no_date).alias("no_fiscal_date"),
+        F.count_if(~F.col("_stale")).alias("rows_written"),
+        F.count_if(~F.col("_stale") & no_date).alias("no_fiscal_date"),
     )
+    blanks = raw.where(blank).groupBy(source_col).agg(F.count(F.lit(1)).alias("rows_read")).select(
+        source_col, "rows_read", F.col("rows_read").alias("blank_rows"), none.alias("stale_duplicates"),
+        none.alias("rows_written"), none.alias("no_fiscal_date"))
+    counts = [c for c in cases.columns if c != source_col]
+    return cases.unionByName(blanks).groupBy(source_col).agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def prepare_raw(frames: list[DataFrame], key: str = "CASE_NUMBER", numeric_cols=(),

@@ -83,19 +83,23 @@ def c9_ingest_report_lca(spark, sf_dir):
 
 
 @register("c12_coerce_types_lca", """
-SELECT typeof_received, typeof_wage, count(*) AS filings FROM (
-  SELECT 'date' AS typeof_received, 'double' AS typeof_wage FROM lca) GROUP BY 1, 2""")
+SELECT CASE_NUMBER, SOURCE_FILE,
+       CASE WHEN CASE_STATUS = 'Withdrawn' THEN NULL ELSE RECEIVED_DATE END AS RECEIVED_DATE,
+       CASE WHEN CASE_STATUS = 'Denied' THEN NULL ELSE CAST(WAGE_RATE_OF_PAY_FROM AS DOUBLE) END AS WAGE_RATE_OF_PAY_FROM
+FROM lca""")
 def c12_coerce_types_lca(spark, sf_dir):
-    """Text master on disk -> typed frame (C11 numbers, C12 ISO dates)."""
+    """Text master on disk -> typed frame (C11 numbers, C12 ISO dates); bad cells become null."""
     path = scratch_path(spark, "text-master")
+    bad_date, bad_wage = F.col("CASE_STATUS") == "Withdrawn", F.col("CASE_STATUS") == "Denied"
     text = _consolidated(spark, sf_dir).select(
-        "CASE_NUMBER", F.date_format("RECEIVED_DATE", "yyyy-MM-dd").alias("RECEIVED_DATE"),
-        F.col("WAGE_RATE_OF_PAY_FROM").cast("string").alias("WAGE_RATE_OF_PAY_FROM"), "FISCAL_YEAR", "FISCAL_QUARTER")
+        "CASE_NUMBER", "SOURCE_FILE",
+        F.when(bad_date, F.concat(F.date_format("RECEIVED_DATE", "yyyy-MM"), F.lit("-40")))
+        .otherwise(F.date_format("RECEIVED_DATE", "yyyy-MM-dd")).alias("RECEIVED_DATE"),
+        F.when(bad_wage, F.lit("$ not stated")).otherwise(F.col("WAGE_RATE_OF_PAY_FROM").cast("string"))
+        .alias("WAGE_RATE_OF_PAY_FROM"), "FISCAL_YEAR", "FISCAL_QUARTER")
     text.write.mode("overwrite").parquet(path)
     typed = master_io.load_filings(spark, path, LCA)
-    types = dict(typed.dtypes)
-    return typed.groupBy(F.lit(types["RECEIVED_DATE"]).alias("typeof_received"),
-                         F.lit(types["WAGE_RATE_OF_PAY_FROM"]).alias("typeof_wage")).agg(F.count(F.lit(1)).alias("filings"))
+    return typed.select("CASE_NUMBER", "SOURCE_FILE", "RECEIVED_DATE", "WAGE_RATE_OF_PAY_FROM")
 
 
 # -- S sources and sinks ------------------------------------------------------------------------
@@ -168,27 +172,41 @@ def s7_cube_sink_lca(spark, sf_dir):
     return spark.read.parquet(f"{path}/facts")
 
 
-@register("s8_stream_ingest_lca", CONSOLIDATED_SQL)
+# lines 5 to 7 of an order come in files without SOC_CODE and with the other columns in another order
+MIXED_SQL = CONSOLIDATED_SQL.replace(
+    " SOC_CODE,", " CASE WHEN right(CASE_NUMBER, 1) IN ('5', '6', '7') THEN NULL ELSE SOC_CODE END AS SOC_CODE,")
+
+
+def _write_mixed_headers(spark, sf_dir, base) -> list[raw_io.Source]:
+    """Every source folder holds files of two layouts: columns in another order, one of them missing."""
+    sources = []
+    for name, order, df in testbind.render_raw_sources(spark, sf_dir):
+        other = F.right("CASE_NUMBER", F.lit(1)).isin("5", "6", "7")
+        turned = df.where(other).select(*[c for c in reversed(df.columns) if c != "SOC_CODE"])
+        for part, mode in ((df.where(~other), "overwrite"), (turned, "append")):
+            (part.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{name}"))
+        sources.append(raw_io.Source(name=name, path=f"{base}/{name}", order=order))
+    return sources
+
+
+@register("s1_mixed_headers_lca", MIXED_SQL)
+def s1_mixed_headers_lca(spark, sf_dir):
+    """Files of one source folder with different headers are bound by column name."""
+    sources = _write_mixed_headers(spark, sf_dir, scratch_path(spark, "mixed-exports"))
+    df = raw_io.consolidate_sources(spark, sources, numeric_cols=testbind.LCA_NUMERIC_TEXT)
+    return df.select(*CONSOLIDATED_COLS)
+
+
+@register("s8_stream_ingest_lca", MIXED_SQL)
 def s8_stream_ingest_lca(spark, sf_dir):
     """Raw exports landing in per-source folders -> file stream -> appended
     table -> latest source wins on read."""
     from filingscope.streaming.incremental import read_consolidated, start_ingest
 
     base = scratch_path(spark, "stream")
-    frames = testbind.render_raw_sources(spark, sf_dir)
-    header = [c for c in testbind.LCA_PROJECTION if c not in ("SOURCE_FILE", "SOURCE_ORD")]
-    for name, _order, df in frames:
-        # one publisher header per landing folder: align each export to it
-        df = ingest.normalize_headers(df)
-        df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in header])
-        (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(f"{base}/landing/{name}"))
-    manifest = spark.createDataFrame([(n, o) for n, o, _ in frames], "SOURCE_FILE string, SOURCE_ORD int")
-    schema = ", ".join(f"`{c}` string" for c in header)
-    q = start_ingest(spark, f"{base}/landing", schema, manifest, f"{base}/table", f"{base}/checkpoint",
-                     numeric_cols=testbind.LCA_NUMERIC_TEXT)
-    if not q.awaitTermination(900):  # availableNow stops on its own; never wait unbounded
-        q.stop()
-        raise TimeoutError("incremental ingest did not drain the landed files")
+    sources = _write_mixed_headers(spark, sf_dir, f"{base}/landing")
+    q = start_ingest(spark, f"{base}/landing", {s.name: s.order for s in sources}, f"{base}/table",
+                     f"{base}/checkpoint", numeric_cols=testbind.LCA_NUMERIC_TEXT)
+    q.awaitTermination()  # availableNow ends by itself
     return read_consolidated(spark, f"{base}/table").select(*CONSOLIDATED_COLS)

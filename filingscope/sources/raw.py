@@ -1,9 +1,10 @@
-"""Raw export scans (S1, S2, C8): one distributed CSV read per listed source.
+"""Raw export scans (S1, S2, C8): distributed CSV reads, every file bound by its own header.
 
-Sources carry different headers across vintages, so each source is read
-with its own header and the frames are combined by column name (never by
-position).  The manifest (source name, path, precedence) is a handful of
-rows per dataset.
+Sources carry different headers across vintages, and so can the files of one
+source folder.  Files are grouped by their header line, each group is one
+distributed read, and all frames are combined by column name (never by
+position).  The manifest (source name, path, precedence) is a handful of rows
+per dataset, and a source is a handful of files.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.operators.ingest import consolidate
+from filingscope.operators.ingest import consolidate, normalize_headers, union_sources
+
+BOM = "\ufeff"
 
 
 @dataclass(frozen=True)
@@ -23,18 +26,32 @@ class Source:
     order: int     # precedence: higher = newer, wins on duplicate cases
 
 
-def csv_scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Header CSV with quoted cells, doubled quotes and embedded newlines; every
-    column read as text (no inference), a leading BOM stripped from the header."""
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-              .option("inferSchema", False))
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
-    bom = "﻿"
-    renames = {c: c.lstrip(bom) for c in df.columns if c.startswith(bom)}
-    return df.withColumnsRenamed(renames) if renames else df
+def csv_reader(spark: SparkSession):
+    """Quoted cells, doubled quotes and embedded newlines; every column text (no inference)."""
+    return (spark.read.option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("inferSchema", False))
+
+
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The non-empty files under ``path``; only names and sizes are listed, no content is read."""
+    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    return sorted(r.path for r in listed.collect())
+
+
+def csv_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The files of ``path`` by name of column; a column that a file lacks is null in its rows."""
+    files = csv_files(spark, path) if isinstance(path, str) else path
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        by_header.setdefault(tuple(csv_reader(spark).csv(file).columns), []).append(file)
+    frames = []
+    for header, group in by_header.items():
+        # enforceSchema off: a file that doesn't have this header fails instead of shifting its columns
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
+        df = csv_reader(spark).option("enforceSchema", False).schema(schema).csv(group)
+        renames = {c: c.lstrip(BOM) for c in header if c.startswith(BOM)}
+        frames.append(normalize_headers(df.withColumnsRenamed(renames) if renames else df))
+    return union_sources(frames) if frames else spark.createDataFrame([], "CASE_NUMBER string")
 
 
 def read_sources(spark: SparkSession, sources: list[Source]) -> list[DataFrame]:
