@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.text import keyword_match, literal_contains
@@ -70,18 +70,22 @@ def keyword_search(df: DataFrame, keywords, title_cols) -> DataFrame:
 
 
 def search_summary(df: DataFrame, keywords, title_cols, tier_col: str = "MBA_TIER") -> DataFrame:
-    """One row per tier of the matches: tier count, total matched, share of all rows."""
+    """One row per tier of the matches: tier count, total matched, share of all rows.
+
+    Without any match: one row with no tier, 0 matched and share 0.
+    """
     hit = keyword_match(keywords, title_cols, available=set(df.columns))
     tagged = df.select(hit.alias("_hit"), F.col(tier_col).alias("tier"))
     per = tagged.groupBy("tier").agg(
         F.count_if("_hit").alias("tier_filings"), F.count(F.lit(1)).alias("_rows"))
-    w = Window.partitionBy()
-    return per.select(
-        "tier", "tier_filings",
-        F.sum("tier_filings").over(w).alias("matched_filings"),
-        F.try_divide(F.sum("tier_filings").over(w).cast("double"), F.sum("_rows").over(w).cast("double"))
-        .alias("share_of_total"),
-    ).where((F.col("tier_filings") > 0) & F.col("tier").isNotNull())
+    shown = F.when((F.col("tier_filings") > 0) & F.col("tier").isNotNull(), F.struct("tier", "tier_filings"))
+    one = per.agg(F.coalesce(F.sum("tier_filings"), F.lit(0)).alias("matched_filings"), F.sum("_rows").alias("_all"),
+                  F.collect_list(shown).alias("_tiers"))  # one entry per tier
+    share = F.try_divide(F.col("matched_filings").cast("double"), F.col("_all").cast("double"))
+    return one.select("matched_filings", F.coalesce(share, F.lit(0.0)).alias("share_of_total"),
+                      F.explode_outer("_tiers").alias("_t")).select(
+        F.col("_t.tier").alias("tier"), F.coalesce("_t.tier_filings", F.lit(0)).cast("long").alias("tier_filings"),
+        "matched_filings", "share_of_total")
 
 
 def title_suggest(df: DataFrame, spec: FilingsSpec, text: str, k: int = 25) -> DataFrame:
@@ -103,14 +107,18 @@ def facet_values(df: DataFrame, spec: FilingsSpec) -> DataFrame:
 
 # -- personas --------------------------------------------------------------------------
 
+def _by_persona(names: list[str]) -> Column:
+    """Columns _p0, _p1, ... as (persona name, value) rows."""
+    return F.stack(F.lit(len(names)), *[c for i, p in enumerate(names) for c in (F.lit(p), F.col(f"_p{i}"))])
+
+
 def persona_matches(df: DataFrame, title_cols, personas: dict[str, tuple[str, ...]] = PERSONA_KEYWORDS) -> DataFrame:
     """(persona, row...) for every row matching a persona; one pass over ``df``."""
     avail = set(df.columns)
     names = list(personas)
     flags = {f"_p{i}": keyword_match(personas[p], title_cols, available=avail) for i, p in enumerate(names)}
     tagged = df.withColumns(flags)
-    stack_args = ", ".join(f"'{p}', _p{i}" for i, p in enumerate(names))
-    exploded = tagged.select("*", F.expr(f"stack({len(names)}, {stack_args}) AS (persona, _hit)"))
+    exploded = tagged.select("*", _by_persona(names).alias("persona", "_hit"))
     return exploded.where("_hit").drop("_hit", *flags.keys())
 
 
@@ -122,8 +130,7 @@ def persona_catalog(df: DataFrame, title_cols, personas=PERSONA_KEYWORDS) -> Dat
     aggs += [F.count_if(keyword_match(personas[p], title_cols, available=avail)).alias(f"_p{i}")
              for i, p in enumerate(names)]
     wide = df.agg(*aggs)
-    stack_args = ", ".join(f"'{p}', _p{i}" for i, p in enumerate(names))
-    long = wide.select("_rows", F.expr(f"stack({len(names)}, {stack_args}) AS (persona, matched_filings)"))
+    long = wide.select("_rows", _by_persona(names).alias("persona", "matched_filings"))
     return long.select("persona", "matched_filings",
                        F.try_divide(F.col("matched_filings").cast("double"), F.col("_rows").cast("double"))
                        .alias("share_of_total"))
@@ -169,7 +176,8 @@ def persona_shortlist(matched: DataFrame, levels=("II", "III"), min_filings: int
     return (matched.where(F.col("PW_WAGE_LEVEL").isin(*levels) & F.col(employer).isNotNull())
             .groupBy("persona", employer)
             .agg(F.count(F.lit(1)).alias("matched_filings"), median_of(wage, approx).alias("median_wage"))
-            .where(F.col("matched_filings") >= min_filings))
+            .where(F.col("matched_filings") >= min_filings)
+            .orderBy("persona", F.desc("matched_filings"), F.asc(employer)))
 
 
 def persona_dominant(matched: DataFrame, sector: str = "NAICS_SECTOR", occupation: str = "SOC_TITLE") -> DataFrame:

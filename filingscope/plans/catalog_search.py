@@ -81,6 +81,14 @@ def q3_search_summary_lca(spark, sf_dir):
     return search.search_summary(_ds(spark, sf_dir).lca, PERSONA_KEYWORDS[FINANCE], LCA_TITLES)
 
 
+@register("q3_no_match_lca", """
+SELECT CAST(NULL AS VARCHAR) AS tier, CAST(0 AS BIGINT) AS tier_filings, CAST(0 AS BIGINT) AS matched_filings,
+       CAST(0 AS DOUBLE) AS share_of_total
+WHERE NOT EXISTS (SELECT 1 FROM lca_e WHERE SOC_TITLE LIKE '%no such occupation%')""")
+def q3_no_match_lca(spark, sf_dir):
+    return search.search_summary(_ds(spark, sf_dir).lca, ("no such occupation",), LCA_TITLES)
+
+
 @register("q4_faceted_filter_lca", f"""
 SELECT CASE_NUMBER, SOURCE_FILE, SOC_TITLE, WORKSITE_STATE, NAICS_SECTOR, WAGE_LEVEL FROM lca_e
 WHERE MBA_TIER IN {in_list(LCA_FACETS.tiers)} AND HAS_NEW_OR_TRANSFER_POSITION
