@@ -33,8 +33,11 @@ def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     is its offset inside its partition (from ``monotonically_increasing_id``)
     plus the sizes of all earlier partitions (a table with one row per
     partition, broadcast back).  No step funnels the rows into one task.
+    The tagged rows are written to the shared checkpoint folder first: sizes
+    and positions must come from one and the same range partitioning.
     """
-    tagged = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)) \
         .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
     sizes = tagged.groupBy("_pid").agg((F.max("_pos") + 1).alias("_cnt"))
