@@ -31,6 +31,7 @@ def session(cpus: int) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("filingscope-bench")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(cpus * 2))
+        .config("filingscope.scan.partitions", str(cpus))  # the tables are single row groups
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

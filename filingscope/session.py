@@ -11,17 +11,19 @@ from pyspark.sql import SparkSession
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "filingscope",
                 driver_memory: str = "8g") -> SparkSession:
-    """A session tuned for these workloads; cluster deployments pass their own master.
+    """A session tuned for these workloads.
 
-    ``driver_memory`` only applies when this call starts the JVM (local runs).
+    ``shuffle_partitions`` and ``driver_memory`` only apply to a ``local`` master; on a cluster the submitted
+    configuration decides.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if master and master.startswith("local"):
+        b = (b.config("spark.driver.memory", driver_memory)
+             .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     b = (
-        b.config("spark.driver.memory", driver_memory)
-        .config("spark.sql.ui.retainedExecutions", "200")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        b.config("spark.sql.ui.retainedExecutions", "200")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -39,11 +41,13 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only when the session has none (local tests) is a private folder created.
+    Only a ``local`` session (tests) that has none gets a private folder; on a cluster the setting is required.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         sc_dir = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        if not sc_dir and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = sc_dir or tempfile.mkdtemp(prefix="filingscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

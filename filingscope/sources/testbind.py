@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LCA_PROJECTION = {
-    "CASE_NUMBER": "concat('C-', cast(l_orderkey % 5000 AS string), '-', cast(l_linenumber AS string))",
+    "CASE_NUMBER": "concat('C-', cast(l_orderkey - l_orderkey % 3 AS string), '-', cast(l_linenumber AS string))",
     "SOURCE_FILE": "concat('src_', cast(l_partkey % 3 + 1 AS string))",
     "SOURCE_ORD": "cast(l_partkey % 3 + 1 AS int)",
     "CASE_STATUS": (
@@ -36,12 +36,12 @@ LCA_PROJECTION = {
     ),
     "JOB_TITLE": "p_name",
     "EMPLOYER_NAME": (
-        "CASE l_linenumber WHEN 1 THEN concat('Firm ', cast(c_custkey % 300 AS string), ', Inc.') "
-        "WHEN 2 THEN concat('FIRM ', cast(c_custkey % 300 AS string), ' INC') "
-        "WHEN 3 THEN concat('The Firm ', cast(c_custkey % 300 AS string), ' LLC') "
-        "WHEN 4 THEN concat('Firm ', cast(c_custkey % 300 AS string), ',LLC') "
-        "WHEN 5 THEN concat('Firm ', cast(c_custkey % 300 AS string), ' L.L.C.') "
-        "WHEN 6 THEN concat('  Firm ', cast(c_custkey % 300 AS string), '  Corp. Ltd ') "
+        "CASE l_linenumber WHEN 1 THEN concat('Firm ', cast(c_custkey - c_custkey % 5 AS string), ', Inc.') "
+        "WHEN 2 THEN concat('FIRM ', cast(c_custkey - c_custkey % 5 AS string), ' INC') "
+        "WHEN 3 THEN concat('The Firm ', cast(c_custkey - c_custkey % 5 AS string), ' LLC') "
+        "WHEN 4 THEN concat('Firm ', cast(c_custkey - c_custkey % 5 AS string), ',LLC') "
+        "WHEN 5 THEN concat('Firm ', cast(c_custkey - c_custkey % 5 AS string), ' L.L.C.') "
+        "WHEN 6 THEN concat('  Firm ', cast(c_custkey - c_custkey % 5 AS string), '  Corp. Ltd ') "
         "ELSE CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'Amazon Web Services, Inc.' "
         "WHEN c_custkey % 4 = 2 THEN 'AMAZON.COM SERVICES LLC' ELSE 'The Citadel' END END"
     ),
@@ -78,8 +78,8 @@ PERM_PROJECTION = {
     "RECEIVED_DATE": "cast(o_orderdate AS date)",
     "DECISION_DATE": "cast(o_orderdate AS date)",
     "EMP_BUSINESS_NAME": (
-        "CASE WHEN c_custkey % 2 = 0 THEN concat('FIRM ', cast(c_custkey % 200 + 150 AS string), ', INC.') "
-        "ELSE concat('Firm ', cast(c_custkey % 200 + 150 AS string), ' Company') END"
+        "CASE WHEN c_custkey % 2 = 0 THEN concat('FIRM ', cast(c_custkey - c_custkey % 4 AS string), ', INC.') "
+        "ELSE concat('Firm ', cast(c_custkey - c_custkey % 4 AS string), ' Company') END"
     ),
     "EMP_NAICS": "CASE c_nationkey % 4 WHEN 0 THEN '541511' WHEN 1 THEN '522110' WHEN 2 THEN '611310' ELSE NULL END",
     "EMP_NUM_PAYROLL": "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE round(c_acctbal) END",
@@ -103,16 +103,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, cap: int = 64) -> DataFrame:
-    """Spread a badly under-split scan over up to ``cap`` tasks.
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan over ``filingscope.scan.partitions`` tasks when the session sets that.
 
-    A table stored as one large row group is read by a single task, which
-    then runs every join and projection above it alone.  Only inputs with
-    fewer splits than min(cores, cap) are redistributed, so on a large
-    cluster a normally split table is never reshuffled.
+    For tables stored as one large row group, which one task would read and
+    join alone.  Unset (the default), scans keep the splits of their files.
     """
-    target = min(df.sparkSession.sparkContext.defaultParallelism, cap)
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    n = df.sparkSession.conf.get("filingscope.scan.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def lca_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
