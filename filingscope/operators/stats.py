@@ -45,10 +45,8 @@ def share(flag) -> Column:
 def value_counts(df: DataFrame, col: str, k: int | None = None, keep_null: bool = False,
                  count_name: str = "filings") -> DataFrame:
     src = df if keep_null else df.where(F.col(col).isNotNull())
-    out = src.groupBy(col).agg(F.count(F.lit(1)).alias(count_name))
-    if k is not None:
-        out = out.orderBy(F.desc(count_name), F.asc_nulls_first(col)).limit(k)
-    return out
+    out = src.groupBy(col).agg(F.count(F.lit(1)).alias(count_name)).orderBy(F.desc(count_name), F.asc_nulls_first(col))
+    return out if k is None else out.limit(k)
 
 
 def attach_total(df: DataFrame, total: Column, name: str) -> DataFrame:
@@ -111,7 +109,7 @@ def scorecard(df: DataFrame, by: str, wage: str | None = "ANNUAL_WAGE", cert: bo
         aggs.append(rate(F.count_if("CERTIFIED"), F.count_if("DECIDED")).alias("cert_rate"))
     if wage:
         aggs.append(median_of(wage, approx).alias("median_annual_wage"))
-    return _drop_null_keys(df, [by]).groupBy(by).agg(*aggs)
+    return _drop_null_keys(df, [by]).groupBy(by).agg(*aggs).orderBy(F.desc("filings"), F.asc(by))
 
 
 def kpis(df: DataFrame, signal_flag: str, approx: bool = False) -> DataFrame:
@@ -133,7 +131,7 @@ def employer_mix(df: DataFrame, employer: str = "EMPLOYER_CANONICAL", min_filing
         F.count_if(F.col("MBA_TIER") != "excluded").alias("mba_relevant"),
     )
     g = g.withColumn("mba_share", rate(F.col("mba_relevant"), F.col("total")))
-    return g.where(F.col("total") >= min_filings)
+    return g.where(F.col("total") >= min_filings).orderBy(F.desc("mba_share"), F.desc("mba_relevant"), F.asc(employer))
 
 
 def employer_scorecard_lca(df: DataFrame, min_filings: int = 10, employer: str = "EMPLOYER_CANONICAL",
@@ -149,7 +147,8 @@ def employer_scorecard_lca(df: DataFrame, min_filings: int = 10, employer: str =
         F.bool_or(yes_flag("H_1B_DEPENDENT")).alias("any_h1b_dependent"),
     )
     g = g.withColumn("mba_share", rate(F.col("mba_relevant_filings"), F.col("total_filings")))
-    return g.where(F.col("mba_relevant_filings") >= min_filings)
+    return g.where(F.col("mba_relevant_filings") >= min_filings).orderBy(
+        F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
 
 
 def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str = "EMPLOYER_CANONICAL",
@@ -162,13 +161,14 @@ def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str =
         median_of("EMP_NUM_PAYROLL", approx).alias("median_company_payroll"),
     )
     g = g.withColumn("mba_share", rate(F.col("mba_relevant_filings"), F.col("total_filings")))
-    return g.where(F.col("mba_relevant_filings") >= min_filings)
+    return g.where(F.col("mba_relevant_filings") >= min_filings).orderBy(
+        F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
 
 
 # -- A11 / A12 / A13 ------------------------------------------------------------
 
 def yoy_by_quarter(df: DataFrame, base_fy: int, next_fy: int, max_quarter: int = 3) -> DataFrame:
-    q = df.where(F.col("FISCAL_QUARTER") <= max_quarter)
+    q = df.where((F.col("FISCAL_QUARTER") <= max_quarter) & F.col("FISCAL_YEAR").isin(base_fy, next_fy))
     g = q.groupBy("FISCAL_QUARTER").agg(
         F.count_if(F.col("FISCAL_YEAR") == base_fy).alias("base_filings"),
         F.count_if(F.col("FISCAL_YEAR") == next_fy).alias("next_filings"),
@@ -184,7 +184,7 @@ def yoy_by_tier(df: DataFrame, base_fy: int, next_fy: int, tiers=("core", "adjac
                 tier_col: str = "MBA_TIER", max_quarter: int = 3) -> DataFrame:
     """Per tier: Q1..Q3 filings in both years and % change; a tier row is
     emitted only when both years occur and the base count is positive."""
-    q = df.where(F.col("FISCAL_QUARTER") <= max_quarter)
+    q = df.where((F.col("FISCAL_QUARTER") <= max_quarter) & F.col("FISCAL_YEAR").isin(base_fy, next_fy))
     g = q.groupBy(tier_col).agg(
         F.count_if(F.col("FISCAL_YEAR") == base_fy).alias("base_filings"),
         F.count_if(F.col("FISCAL_YEAR") == next_fy).alias("next_filings"),

@@ -8,8 +8,11 @@ from filingscope.operators.cube import CubeDims
 
 
 def write_aggregate(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Small aggregate exports: a single CSV part with a header (or Parquet)."""
-    w = df.coalesce(1).write.mode("overwrite")
+    """Small aggregate exports: a single CSV part with a header (or Parquet).
+
+    The rows move to one task after the aggregation, which itself stays parallel.
+    """
+    w = df.repartition(1).write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

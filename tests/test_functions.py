@@ -3,6 +3,7 @@
 import datetime as dt
 from urllib.parse import quote_plus
 
+import pytest
 from pyspark.sql import functions as F
 
 from filingscope.functions import (
@@ -218,3 +219,50 @@ def test_facet_values_single_scan(spark):
 def test_unwrap_text_does_not_cross_lines(spark):
     # '.' stops at line breaks, as in the source's wrapper pattern
     assert one_col(spark, ['="a\nb"', '="x"'], unwrap_text) == ['="a\nb"', "x"]
+
+
+def test_dense_index_does_not_need_exchange_reuse(spark):
+    from filingscope.operators.cube import dense_index
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(0, 400_000, numPartitions=7).select((F.col("id") * 7919 % 400_009).alias("k"))
+        r = dense_index(df, [F.desc("k")], "idx").agg(
+            F.count_distinct("idx").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi")).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert (r.n, r.lo, r.hi) == (400_000, 0, 399_999)
+
+
+def test_csv_files_of_one_folder_are_bound_by_header(spark, tmp_path):
+    from filingscope.sources.raw import csv_scan
+    (tmp_path / "a.csv").write_text("CASE_NUMBER,DECISION_DATE,SOC_CODE\nC1,1/2/2025,11-1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffCASE_NUMBER,SOC_CODE,DECISION_DATE\nC2,15-2,2/2/2025\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("SOC_CODE,CASE_NUMBER\n\"1\n2\",C3\n", encoding="utf-8")
+    (tmp_path / "d.csv").write_text("")
+    got = {r.CASE_NUMBER: (r.DECISION_DATE, r.SOC_CODE) for r in csv_scan(spark, str(tmp_path)).collect()}
+    assert got == {"C1": ("1/2/2025", "11-1"), "C2": ("2/2/2025", "15-2"), "C3": (None, "1\n2")}
+
+
+def test_a_file_of_an_unlisted_source_fails_the_stream(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from filingscope.streaming.incremental import start_ingest
+    (tmp_path / "landing" / "src_9").mkdir(parents=True)
+    (tmp_path / "landing" / "src_9" / "x.csv").write_text("CASE_NUMBER,RECEIVED_DATE,DECISION_DATE\nC1,1/2/2025,1/3/2025\n")
+    q = start_ingest(spark, str(tmp_path / "landing"), {"src_1": 1}, str(tmp_path / "table"), str(tmp_path / "ckpt"))
+    with pytest.raises(StreamingQueryException, match="src_9"):
+        q.awaitTermination()
+
+
+def test_rows_without_a_source_order_are_kept(spark):
+    df = spark.createDataFrame([("A", None), ("B", 1), ("B", 2)], "CASE_NUMBER string, SOURCE_ORD int")
+    assert sorted(r.CASE_NUMBER for r in ingest.latest_source_wins(df).collect()) == ["A", "B"]
+
+
+def test_persona_names_may_hold_quotes(spark):
+    from filingscope.operators import search
+    df = spark.createDataFrame([("nurse",), ("clerk",)], "JOB_TITLE string")
+    personas = {"women's health": ("nurse",), 'the "clerk"': ("clerk",)}
+    assert {r.persona for r in search.persona_matches(df, ["JOB_TITLE"], personas).collect()} == set(personas)
+    assert {r.persona: r.matched_filings for r in search.persona_catalog(df, ["JOB_TITLE"], personas).collect()} == {
+        "women's health": 1, 'the "clerk"': 1}
