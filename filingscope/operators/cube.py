@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from filingscope.functions.wages import round_half_up
 from filingscope.session import ensure_checkpoint_dir
 from filingscope.operators.entities import match_datasets
+from filingscope.operators.quantiles import with_quantiles
 from filingscope.spec import WAGE_LEVELS, FilingsSpec
 
 TOP_N_OCCUPATIONS = 150
@@ -174,8 +175,8 @@ def employer_meta(lca_full: DataFrame, perm_full: DataFrame, lca_mba: DataFrame,
         F.count(F.lit(1)).alias("_lt"), F.count_if(mba).alias("_lm"),
         F.bool_or(F.coalesce(F.col("WILLFUL_VIOLATOR") == "Y", F.lit(False))).alias("_wv"),
         F.bool_or(F.coalesce(F.col("H_1B_DEPENDENT") == "Y", F.lit(False))).alias("_dep"))
-    ps = perm_full.where(F.col(emp).isNotNull()).groupBy(emp).agg(
-        F.count(F.lit(1)).alias("_pt"), F.count_if(mba).alias("_pm"), F.median("EMP_NUM_PAYROLL").alias("_pay"))
+    ps = with_quantiles(perm_full.where(F.col(emp).isNotNull()), [emp],
+                        [F.count(F.lit(1)).alias("_pt"), F.count_if(mba).alias("_pm")], "EMP_NUM_PAYROLL", {"_pay": 0.5})
     j = employers.join(ls, emp, "left").join(ps, emp, "left").join(both, emp, "left")
     return j.select(
         emp,

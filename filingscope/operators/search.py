@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.text import keyword_match, literal_contains
+from filingscope.operators.quantiles import with_quantiles
 from filingscope.spec import FilingsSpec
 
 # Example persona -> keyword lists.
@@ -150,14 +151,9 @@ def persona_fy_counts(matched: DataFrame, max_quarter: int = 3) -> DataFrame:
             .groupBy("persona", "FISCAL_YEAR").agg(F.count(F.lit(1)).alias("filings")))
 
 
-def persona_wages(matched: DataFrame, wage: str = "ANNUAL_WAGE", approx: bool = False) -> DataFrame:
-    if approx:
-        q = F.percentile_approx(wage, [0.25, 0.5, 0.75], 10000)
-        quart = [q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75")]
-    else:
-        quart = [F.percentile(wage, 0.25).alias("p25"), F.median(wage).alias("median"),
-                 F.percentile(wage, 0.75).alias("p75")]
-    return matched.where(F.col(wage).isNotNull()).groupBy("persona").agg(F.count(wage).alias("wage_n"), *quart)
+def persona_wages(matched: DataFrame, wage: str = "ANNUAL_WAGE") -> DataFrame:
+    return with_quantiles(matched.where(F.col(wage).isNotNull()), ["persona"], [F.count(wage).alias("wage_n")], wage,
+                          {"p25": 0.25, "median": 0.5, "p75": 0.75})
 
 
 def persona_level_shares(matched: DataFrame, level: str = "PW_WAGE_LEVEL") -> DataFrame:
@@ -170,12 +166,9 @@ def persona_flag_share(matched: DataFrame, flag: str = "IS_NEW_EMPLOYMENT") -> D
 
 
 def persona_shortlist(matched: DataFrame, levels=("II", "III"), min_filings: int = 2,
-                      wage: str = "ANNUAL_WAGE_FROM", employer: str = "EMPLOYER_CANONICAL",
-                      approx: bool = False) -> DataFrame:
-    from filingscope.operators.stats import median_of
-    return (matched.where(F.col("PW_WAGE_LEVEL").isin(*levels) & F.col(employer).isNotNull())
-            .groupBy("persona", employer)
-            .agg(F.count(F.lit(1)).alias("matched_filings"), median_of(wage, approx).alias("median_wage"))
+                      wage: str = "ANNUAL_WAGE_FROM", employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
+    src = matched.where(F.col("PW_WAGE_LEVEL").isin(*levels) & F.col(employer).isNotNull())
+    return (with_quantiles(src, ["persona", employer], [F.count(F.lit(1)).alias("matched_filings")], wage, {"median_wage": 0.5})
             .where(F.col("matched_filings") >= min_filings)
             .orderBy("persona", F.desc("matched_filings"), F.asc(employer)))
 

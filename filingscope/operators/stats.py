@@ -4,7 +4,8 @@ Every scorecard is a single ``groupBy`` with conditional aggregates (map-side
 partial aggregation, one shuffle of partial results), never a join of several
 grouped frames.  Pandas-style semantics are kept explicitly: group keys that
 are null are dropped (unless asked otherwise), ratios with a zero
-denominator are null, and medians are exact.
+denominator are null, and medians are exact (``operators.quantiles``: no task
+holds a group's values).
 
 Small result tables (a handful of quarters, tiers, bins) may be finished
 with an un-partitioned window; those windows only ever see aggregated rows.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.flags import not_denied, yes_flag
 from filingscope.functions.wages import round_half_up
+from filingscope.operators.quantiles import quantiles, with_quantiles
 from filingscope.spec import WAGE_LEVELS
 
 
@@ -91,36 +93,26 @@ def cert_rate(df: DataFrame, by=()) -> DataFrame:
     return g.withColumn("cert_rate", rate(F.col("certified"), F.col("decided")))
 
 
-def median_of(col: str, approx: bool = False) -> Column:
-    """Exact median by default (what the reference reports).
-
-    The exact aggregate keeps one entry per distinct value of a group; for a
-    group with an unbounded number of distinct values ``approx=True`` switches
-    to the fixed-memory sketch (relative rank error about 1/10000).
-    """
-    return F.percentile_approx(col, 0.5, 10000) if approx else F.median(col)
-
-
-def scorecard(df: DataFrame, by: str, wage: str | None = "ANNUAL_WAGE", cert: bool = True,
-              approx: bool = False) -> DataFrame:
+def scorecard(df: DataFrame, by: str, wage: str | None = "ANNUAL_WAGE", cert: bool = True) -> DataFrame:
     """filings, cert rate over decided rows, optional median bounded wage."""
     aggs = [F.count(F.lit(1)).alias("filings")]
     if cert:
         aggs.append(rate(F.count_if("CERTIFIED"), F.count_if("DECIDED")).alias("cert_rate"))
-    if wage:
-        aggs.append(median_of(wage, approx).alias("median_annual_wage"))
-    return _drop_null_keys(df, [by]).groupBy(by).agg(*aggs).orderBy(F.desc("filings"), F.asc(by))
+    src = _drop_null_keys(df, [by])
+    g = with_quantiles(src, [by], aggs, wage, {"median_annual_wage": 0.5}) if wage else src.groupBy(by).agg(*aggs)
+    return g.orderBy(F.desc("filings"), F.asc(by))
 
 
-def kpis(df: DataFrame, signal_flag: str, approx: bool = False) -> DataFrame:
-    return df.agg(
+def kpis(df: DataFrame, signal_flag: str) -> DataFrame:
+    aggs = [
         F.count(F.lit(1)).alias("matched"),
         F.count_if("DECIDED").alias("decided"),
         rate(F.count_if("CERTIFIED"), F.count_if("DECIDED")).alias("cert_rate"),
-        median_of("ANNUAL_WAGE", approx).alias("median_wage"),
         F.count("ANNUAL_WAGE").alias("wage_n"),
         share(signal_flag).alias("signal_share"),
-    )
+    ]
+    return with_quantiles(df, [], aggs, "ANNUAL_WAGE", {"median_wage": 0.5}).select(
+        "matched", "decided", "cert_rate", "median_wage", "wage_n", "signal_share")
 
 
 # -- A6 / A7 / A8 ---------------------------------------------------------------
@@ -135,31 +127,30 @@ def employer_mix(df: DataFrame, employer: str = "EMPLOYER_CANONICAL", min_filing
 
 
 def employer_scorecard_lca(df: DataFrame, min_filings: int = 10, employer: str = "EMPLOYER_CANONICAL",
-                           hire_flag: str = "IS_NEW_HIRE", wage: str = "ANNUAL_WAGE_FROM",
-                           approx: bool = False) -> DataFrame:
-    g = _drop_null_keys(df, [employer]).groupBy(employer).agg(
+                           hire_flag: str = "IS_NEW_HIRE", wage: str = "ANNUAL_WAGE_FROM") -> DataFrame:
+    aggs = [
         F.count("MBA_TIER").alias("total_filings"),
         F.count_if(F.col("MBA_TIER") != "excluded").alias("mba_relevant_filings"),
         share(not_denied("CASE_STATUS")).alias("certified"),
         share(hire_flag).alias("new_position_share"),
-        median_of(wage, approx).alias("median_annual_wage"),
         F.bool_or(yes_flag("WILLFUL_VIOLATOR")).alias("any_willful_violator"),
         F.bool_or(yes_flag("H_1B_DEPENDENT")).alias("any_h1b_dependent"),
-    )
+    ]
+    g = with_quantiles(_drop_null_keys(df, [employer]), [employer], aggs, wage, {"median_annual_wage": 0.5})
     g = g.withColumn("mba_share", rate(F.col("mba_relevant_filings"), F.col("total_filings")))
     return g.where(F.col("mba_relevant_filings") >= min_filings).orderBy(
         F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
 
 
-def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str = "EMPLOYER_CANONICAL",
-                            approx: bool = False) -> DataFrame:
-    g = _drop_null_keys(df, [employer]).groupBy(employer).agg(
+def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
+    aggs = [
         F.count("MBA_TIER").alias("total_filings"),
         F.count_if(F.col("MBA_TIER") != "excluded").alias("mba_relevant_filings"),
         share(not_denied("CASE_STATUS")).alias("certified"),
         share(yes_flag("OTHER_REQ_IS_FW_CURRENTLY_WRK", "N")).alias("external_hire_share"),
-        median_of("EMP_NUM_PAYROLL", approx).alias("median_company_payroll"),
-    )
+    ]
+    g = with_quantiles(_drop_null_keys(df, [employer]), [employer], aggs, "EMP_NUM_PAYROLL",
+                       {"median_company_payroll": 0.5})
     g = g.withColumn("mba_share", rate(F.col("mba_relevant_filings"), F.col("total_filings")))
     return g.where(F.col("mba_relevant_filings") >= min_filings).orderBy(
         F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
@@ -253,12 +244,10 @@ def describe(df: DataFrame, col: str, by=()) -> DataFrame:
         round_half_up(F.avg(col), 4).alias("mean"),
         round_half_up(F.stddev_samp(col), 4).alias("std"),
         F.min(col).alias("min"),
-        F.percentile(col, 0.25).alias("p25"),
-        F.median(col).alias("p50"),
-        F.percentile(col, 0.75).alias("p75"),
         F.max(col).alias("max"),
     ]
-    return src.groupBy(*by).agg(*aggs) if by else src.agg(*aggs)
+    return with_quantiles(src, list(by), aggs, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(
+        *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int, log10: bool = False, lo: float | None = None,
@@ -296,8 +285,7 @@ def histogram(df: DataFrame, col: str, bins: int, log10: bool = False, lo: float
 def box_stats(df: DataFrame, col: str, by: str = "MBA_TIER", whisker: float = 1.5) -> DataFrame:
     """Quartiles, Tukey whiskers (most extreme points inside the fences), outlier count."""
     src = _drop_null_keys(df.where(F.col(col).isNotNull()), [by])
-    q = src.groupBy(by).agg(
-        F.percentile(col, 0.25).alias("q1"), F.median(col).alias("median"), F.percentile(col, 0.75).alias("q3"))
+    q = quantiles(src, [by], col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \
         .withColumn("hi_fence", F.col("q3") + whisker * F.col("iqr"))
@@ -352,7 +340,7 @@ def wage_level_mix(df: DataFrame) -> DataFrame:
 
 def leaderboard(filtered: DataFrame, full: DataFrame, other: DataFrame, signal_flag: str,
                 min_filings: int = 3, k: int = 300, lca_flags: bool = True,
-                roles=(), employer: str = "EMPLOYER_CANONICAL", approx: bool = False) -> DataFrame:
+                roles=(), employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
     """Employer ranking over a filtered set, with the MBA mix taken from the
     unfiltered dataset and a history flag from the other dataset.
 
@@ -368,13 +356,12 @@ def leaderboard(filtered: DataFrame, full: DataFrame, other: DataFrame, signal_f
         F.count_if("CERTIFIED").alias("_cert"),
         F.count_if("DECIDED").alias("_dec"),
         share(signal_flag).alias("_signal"),
-        median_of("ANNUAL_WAGE", approx).alias("median_wage"),
     ]
     if lca_flags:
         aggs += [F.bool_or(yes_flag("WILLFUL_VIOLATOR")).alias("_wv"),
                  F.bool_or(yes_flag("H_1B_DEPENDENT")).alias("_dep")]
-    g = _drop_null_keys(filtered, [employer]).groupBy(employer).agg(*aggs) \
-        .where(F.col("filings") >= min_filings)
+    src = _drop_null_keys(filtered, [employer])
+    g = with_quantiles(src, [employer], aggs, "ANNUAL_WAGE", {"median_wage": 0.5}).where(F.col("filings") >= min_filings)
     totals = _drop_null_keys(full, [employer]).groupBy(employer).agg(
         F.count(F.lit(1)).alias("_total"), F.count_if(F.col("MBA_TIER") != "excluded").alias("_mba"))
     g = g.join(totals, employer, "left")
