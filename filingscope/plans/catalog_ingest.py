@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from filingscope.operators import cube, ingest, stats
 from filingscope.plans.catalog_cube import LCA_CUBE, CUBE_COLS
 from filingscope.plans.catalog_stats import _ds
+from filingscope.plans.oracle_base import fiscal_sql
 from filingscope.plans.registry import register
 from filingscope.session import scratch_path
 from filingscope.sources import master as master_io
 from filingscope.sources import raw as raw_io
 from filingscope.sources import sinks, testbind
-from filingscope.spec import LCA
+from filingscope.spec import LCA, PERM
 
 CONSOLIDATED_COLS = (
     "CASE_NUMBER", "SOURCE_FILE", "CASE_STATUS", "RECEIVED_DATE", "DECISION_DATE", "FISCAL_YEAR", "FISCAL_QUARTER",
@@ -162,7 +163,6 @@ def s6_aggregate_sink_lca(spark, sf_dir):
 
 @register("s7_cube_sink_lca", LCA_CUBE + "\nSELECT " + CUBE_COLS.format(x="wage_level, new_hire") + " FROM l_cube")
 def s7_cube_sink_lca(spark, sf_dir):
-    from filingscope.spec import PERM
     ds = _ds(spark, sf_dir)
     lca_mba, perm_mba = ds.lca_mba(), ds.perm_mba()
     dims, facts = cube.build_cube(lca_mba, LCA)
@@ -210,3 +210,52 @@ def s8_stream_ingest_lca(spark, sf_dir):
                      f"{base}/checkpoint", numeric_cols=testbind.LCA_NUMERIC_TEXT)
     q.awaitTermination()  # availableNow ends by itself
     return read_consolidated(spark, f"{base}/table").select(*CONSOLIDATED_COLS)
+
+
+# -- PERM ingest ----------------------------------------------------------------------------------
+
+PERM_COLS = ("CASE_NUMBER", "SOURCE_FILE", "CASE_STATUS", "RECEIVED_DATE", "DECISION_DATE", "ORIGINAL_CERT_DATE",
+             "FISCAL_YEAR", "FISCAL_QUARTER", "EMP_BUSINESS_NAME", "EMP_NUM_PAYROLL", "JOB_OPP_WAGE_FROM")
+PERM_CONSOLIDATED = f"""
+WITH x AS ({testbind.PERM_EXPORT_SQL}),
+y AS (SELECT CASE_NUMBER, SOURCE_FILE, SOURCE_ORD, CASE_STATUS, RECEIVED_DATE,
+             CASE WHEN BAD_DATE THEN NULL ELSE DECISION_DATE END AS DECISION_DATE, ORIGINAL_CERT_DATE, EMP_BUSINESS_NAME,
+             CASE WHEN BAD_NUMBER THEN NULL ELSE CAST(EMP_NUM_PAYROLL AS DOUBLE) END AS EMP_NUM_PAYROLL,
+             CAST(JOB_OPP_WAGE_FROM AS DOUBLE) AS JOB_OPP_WAGE_FROM FROM x),
+f AS (SELECT *, {fiscal_sql()} FROM y),
+w AS (SELECT CASE_NUMBER AS k, max(SOURCE_ORD) AS o FROM f GROUP BY 1),
+m AS (SELECT f.* FROM f JOIN w ON k = CASE_NUMBER AND o = SOURCE_ORD)"""
+
+
+def _perm_consolidated(spark, sf_dir):
+    frames = [df.withColumns({"SOURCE_FILE": F.lit(name), "SOURCE_ORD": F.lit(order)})
+              for name, order, df in testbind.render_perm_sources(spark, sf_dir)]
+    return ingest.consolidate(frames, numeric_cols=testbind.PERM_NUMERIC_TEXT)
+
+
+@register("c_consolidate_perm", f"{PERM_CONSOLIDATED} SELECT {', '.join(PERM_COLS)} FROM m", raw_sql=True)
+def c_consolidate_perm(spark, sf_dir):
+    """C3-C7, C10, C11 on PERM exports: unreadable dates and numbers become null."""
+    return _perm_consolidated(spark, sf_dir).select(*PERM_COLS)
+
+
+@register("c7_latest_source_wins_perm", f"""{PERM_CONSOLIDATED}
+SELECT SOURCE_FILE, count(*) AS rows_kept, count(DISTINCT CASE_NUMBER) AS cases FROM m GROUP BY 1""", raw_sql=True)
+def c7_latest_source_wins_perm(spark, sf_dir):
+    return _perm_consolidated(spark, sf_dir).groupBy("SOURCE_FILE").agg(
+        F.count(F.lit(1)).alias("rows_kept"), F.count_distinct("CASE_NUMBER").alias("cases"))
+
+
+@register("s4_load_perm", f"""{PERM_CONSOLIDATED}
+SELECT CASE_NUMBER, SOURCE_FILE, RECEIVED_DATE, DECISION_DATE, EMP_NUM_PAYROLL, JOB_OPP_WAGE_FROM FROM m""", raw_sql=True)
+def s4_load_perm(spark, sf_dir):
+    """Text PERM master on disk -> load with numeric and date coercion."""
+    path = scratch_path(spark, "perm-master")
+    frames = [df.withColumns({"SOURCE_FILE": F.lit(name), "SOURCE_ORD": F.lit(order)})
+              for name, order, df in testbind.render_perm_sources(spark, sf_dir)]
+    master = ingest.consolidate(frames)  # numbers stay text in the stored master
+    for c in master_io.DATE_COLS:
+        master = master.withColumn(c, F.date_format(c, "yyyy-MM-dd"))
+    master_io.write_master(master, path)
+    return master_io.load_filings(spark, path, PERM).select(
+        "CASE_NUMBER", "SOURCE_FILE", "RECEIVED_DATE", "DECISION_DATE", "EMP_NUM_PAYROLL", "JOB_OPP_WAGE_FROM")

@@ -197,3 +197,40 @@ def render_raw_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, int,
             text = text.withColumnRenamed("H_1B_DEPENDENT", "H-1B_DEPENDENT")
         out.append((f"src_{order}", order, text))
     return out
+
+
+# -- PERM exports: two ordered sources that share cases, with unreadable cells ----------------
+
+PERM_EXPORT_PROJECTION = {
+    **PERM_PROJECTION,
+    "CASE_NUMBER": "concat('P-', cast(o_orderkey - o_orderkey % 2 AS string))",
+    "SOURCE_FILE": "concat('perm_', cast(o_custkey % 2 + 1 AS string))",
+    "SOURCE_ORD": "cast(o_custkey % 2 + 1 AS int)",
+    "ORIGINAL_CERT_DATE": "CASE WHEN o_orderkey % 3 = 0 THEN cast(o_orderdate AS date) ELSE NULL END",
+    "BAD_DATE": "o_orderkey % 11 = 0",
+    "BAD_NUMBER": "o_orderkey % 13 = 0",
+}
+PERM_DATE_FORMATS = {1: "M/d/yyyy", 2: "yyyy-MM-dd"}
+PERM_NUMERIC_TEXT = ("EMP_NUM_PAYROLL", "JOB_OPP_WAGE_FROM")
+PERM_EXPORT_SQL = (
+    "SELECT\n  " + projection_sql(PERM_EXPORT_PROJECTION) + "\nFROM orders JOIN customer ON o_custkey = c_custkey "
+    "JOIN nation ON c_nationkey = n_nationkey"
+)
+
+
+def render_perm_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame]]:
+    """(name, order, all-text frame) per PERM source, with blank template rows."""
+    joined = (spread(_read(spark, sf_dir, "orders")).join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+              .join(F.broadcast(_read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")))
+    raw = joined.select(*[F.expr(e).alias(k) for k, e in PERM_EXPORT_PROJECTION.items()])
+    types = dict(raw.dtypes)
+    cells = [c for c in raw.columns if c not in ("SOURCE_FILE", "SOURCE_ORD", "BAD_DATE", "BAD_NUMBER")]
+    out = []
+    for order, fmt in PERM_DATE_FORMATS.items():
+        cols = {c: F.date_format(c, fmt) if types[c] == "date" else F.col(c).cast("string") for c in cells}
+        cols["DECISION_DATE"] = F.when(F.col("BAD_DATE"), F.lit("13/45/2020")).otherwise(cols["DECISION_DATE"])
+        cols["EMP_NUM_PAYROLL"] = F.when(F.col("BAD_NUMBER"), F.lit("about 40")).otherwise(cols["EMP_NUM_PAYROLL"])
+        text = raw.where(F.col("SOURCE_ORD") == order).select(*[v.alias(k) for k, v in cols.items()])
+        blanks = _read(spark, sf_dir, "nation").select(*[F.lit("" if c == "CASE_NUMBER" else None).cast("string").alias(c) for c in cells])
+        out.append((f"perm_{order}", order, text.unionByName(blanks)))
+    return out
