@@ -107,6 +107,8 @@ def segment_counts(rows: DataFrame) -> DataFrame:
         words, contexts, classes = [], [], []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             ws = (text or "").lower().encode("utf-8", "replace").split()
+            if not ws:
+                continue
             words += ws
             contexts += [xxhash.xxh3_64_intdigest(b" ".join(c)) - (1 << 63)
                          for c in zip([b"", *ws[:-1]], ws, [*ws[1:], b""], strict=True)]

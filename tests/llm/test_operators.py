@@ -124,12 +124,14 @@ def test_toxicity(spark, odd, empty):
                 w[j] = ["rottenly", "vileness", "hatefulx"][j // 12 % 3]
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(toxic)))
+    rows += [(i, ["", None, " \n"][i % 3]) for i in range(1000, 1030)]
+    labels += [(i, 1, 0) for i in range(1000, 1030)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame(labels + [(0, 1, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     out = toxicity.held_out(F.col("doc_id"), 3, 1)
     model = toxicity.fit(docs, known, ~out)
     got = toxicity.score(docs.withColumn("held_out", out), model).where("held_out").collect()
-    right = sum((r.score >= toxicity.CUT) == (r.doc_id % 4 == 0) for r in got)
+    right = sum((r.score >= toxicity.CUT) == (r.doc_id < 1000 and r.doc_id % 4 == 0) for r in got)
     assert right >= 0.95 * len(got)
     scored = toxicity.score(odd, model)
     assert scored.columns == [c for c in odd.columns if c != "score"] + ["score"]
