@@ -10,10 +10,12 @@ session's shared checkpoint location.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from filingscope.operators import cube, ingest, stats
-from filingscope.plans.catalog_cube import LCA_CUBE, CUBE_COLS
+from filingscope.plans.catalog_cube import CUBE_COLS, K6_SQL, LCA_CUBE, PERM_CUBE, k6_cube_yoy
 from filingscope.plans.catalog_stats import _ds
 from filingscope.plans.oracle_base import fiscal_sql
 from filingscope.plans.registry import register
@@ -172,6 +174,40 @@ def s7_cube_sink_lca(spark, sf_dir):
     return spark.read.parquet(f"{path}/facts")
 
 
+PARTS = "".join(f"""
+SELECT '{d}/{part}' AS part, count(*) AS n, CAST(coalesce(sum({col}), 0) AS BIGINT) AS total FROM {p}_{t} UNION ALL"""
+                for d, p in (("lca", "l"), ("perm", "p"))
+                for part, t, col in (("facts", "cube", "filings"), ("occupations", "occ", "filings"),
+                                     ("employers", "emp", "filings"), ("states", "st", "state_idx"),
+                                     ("sectors", "sec", "sector_idx")))
+
+
+@register("s7_cube_document", LCA_CUBE + PERM_CUBE + K6_SQL.split("SELECT ds AS dataset")[0] + PARTS + """
+SELECT 'coverage', 2, CAST((SELECT sum(filings) FROM l_cube) + (SELECT sum(filings) FROM p_cube) AS BIGINT) UNION ALL
+SELECT 'yoy', count(*), CAST(sum(base_filings) AS BIGINT) FROM h
+WHERE MBA_TIER IN ('core', 'adjacent') AND both_years AND base_filings > 0 UNION ALL
+SELECT 'employer_meta', count(*), 0 FROM (SELECT EMPLOYER_CANONICAL FROM l_emp UNION SELECT EMPLOYER_CANONICAL FROM p_emp)""")
+def s7_cube_document(spark, sf_dir):
+    """Both datasets' lookups and facts, coverage, year over year and employer metadata, written and read back."""
+    ds = _ds(spark, sf_dir)
+    lca_mba, perm_mba = ds.lca_mba(), ds.perm_mba()
+    cubes = {"lca": cube.build_cube(lca_mba, LCA), "perm": cube.build_cube(perm_mba, PERM, with_wage_level=False)}
+    coverage = cube.cube_coverage(cubes["lca"][1], lca_mba, "lca").unionByName(
+        cube.cube_coverage(cubes["perm"][1], perm_mba, "perm"))
+    meta = cube.employer_meta(ds.lca, ds.perm, lca_mba, perm_mba, cubes["lca"][0], cubes["perm"][0])
+    path = scratch_path(spark, "cube-document")
+    sinks.write_cube_document(cubes, coverage, k6_cube_yoy(spark, sf_dir), meta, path)
+    read = [(f"{d}/{part}", spark.read.parquet(f"{path}/{d}/{part}"), col) for d in cubes for part, col in (
+        ("facts", "filings"), ("occupations", "filings"), ("employers", "filings"), ("states", "state_idx"),
+        ("sectors", "sector_idx"))]
+    read += [("coverage", spark.read.json(f"{path}/coverage"), "cube_filings"),
+             ("yoy", spark.read.json(f"{path}/yoy"), "base_filings"),
+             ("employer_meta", spark.read.json(f"{path}/employer_meta").withColumn("none", F.lit(0)), "none")]
+    parts = [df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(col).cast("long"), F.lit(0)).cast("long").alias("total")) for name, df, col in read]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 # lines 5 to 7 of an order come in files without SOC_CODE and with the other columns in another order
 MIXED_SQL = CONSOLIDATED_SQL.replace(
     " SOC_CODE,", " CASE WHEN right(CASE_NUMBER, 1) IN ('5', '6', '7') THEN NULL ELSE SOC_CODE END AS SOC_CODE,")

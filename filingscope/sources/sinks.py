@@ -28,3 +28,13 @@ def write_cube(facts: DataFrame, dims: CubeDims, meta: DataFrame | None, path: s
     dims.sectors.write.mode("overwrite").parquet(f"{path}/sectors")
     if meta is not None:
         meta.write.mode("overwrite").json(f"{path}/employer_meta")
+
+
+def write_cube_document(cubes: dict[str, tuple[CubeDims, DataFrame]], coverage: DataFrame, yoy: DataFrame,
+                        employer_meta: DataFrame, path: str) -> None:
+    """The whole dashboard document: each dataset's lookups and facts, coverage, year over year, employer metadata."""
+    for name, (dims, facts) in cubes.items():
+        write_cube(facts, dims, None, f"{path}/{name}")
+    coverage.write.mode("overwrite").json(f"{path}/coverage")
+    yoy.write.mode("overwrite").json(f"{path}/yoy")
+    employer_meta.write.mode("overwrite").json(f"{path}/employer_meta")
