@@ -31,6 +31,7 @@ from filingscope.llm.words import Words, byte_table, rolling, signed
 WINDOW = 35
 GRAM = 10
 SHARD_BYTES = 1_000_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def plain_words(column: pa.Array) -> Words:
@@ -90,7 +91,7 @@ def first_of_each_text(docs: DataFrame) -> DataFrame:
 
 
 def window_hashes(texts: DataFrame) -> DataFrame:
-    """(key, copies, hashes, starts): windows whose anchor is among the text's recurring ``places``."""
+    """(id, copies, hashes, starts): windows whose anchor is among the text's recurring ``places``."""
 
     def fn(batch):
         words = plain_words(batch.column("text"))
@@ -104,11 +105,11 @@ def window_hashes(texts: DataFrame) -> DataFrame:
         rows = words.doc[at] if len(at) else at
         n = batch.num_rows
         return pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("copies"), lists(signed(hashes), rows, n),
+            [batch.column("id"), batch.column("copies"), lists(signed(hashes), rows, n),
              lists(pa.array(at - words.first[rows] if len(at) else at, pa.int32()), rows, n)],
-            names=["key", "copies", "hashes", "starts"])
+            names=["id", "copies", "hashes", "starts"])
 
-    return map_slices(texts, fn, "key binary, copies long, hashes array<long>, starts array<int>")
+    return map_slices(texts.drop("key"), fn, "id long, copies long, hashes array<long>, starts array<int>")
 
 
 def zipped(df: DataFrame, first: str, second: str, *kept: str) -> DataFrame:
@@ -118,20 +119,27 @@ def zipped(df: DataFrame, first: str, second: str, *kept: str) -> DataFrame:
 
 
 def recurring_windows(docs: DataFrame) -> DataFrame:
-    """(key, text, starts): texts with recurring windows, and where those start (in words)."""
-    found = cut(anchors(docs))
+    """(key, text, starts): texts with recurring windows, and where those start (in words).
+
+    Rows are numbered before a cut, so the wide tables of places carry a long for their text instead of its key.
+    """
+    found = cut(anchors(docs).withColumn("id", F.monotonically_increasing_id()))
     often = (found.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
              .where("n > 1").select("hash"))
-    places = (zipped(found.dropDuplicates(["key"]), "hashes", "places", "key").join(often, "hash")
-              .groupBy("key").agg(F.collect_list("at").alias("places")))  # bounded by one text's length
+    places = (zipped(found.dropDuplicates(["key"]), "hashes", "places", "id").join(often, "hash")
+              .groupBy("id").agg(F.collect_list("at").alias("places")))  # bounded by one text's length
     copies = found.groupBy("key").agg(F.count("*").alias("copies"))
-    texts = cut(first_of_each_text(docs).join(places.join(copies, "key"), "key").dropDuplicates(["key"]))
+    chosen = cut(places.join(found.select("id", "key"), "id").join(copies, "key").select("key", "places", "copies"))
+    once = first_of_each_text(docs)
+    if chosen.count() <= MAX_BROADCAST_ROWS:  # then only these texts are shuffled
+        once = once.join(F.broadcast(chosen.select("key")), "key", "left_semi")
+    texts = cut(once.join(chosen, "key").dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id()))
     windows = window_hashes(texts)
     twice = (zipped(windows, "hashes", "starts", "copies").groupBy("hash").agg(F.sum("copies").alias("n"))
              .where("n > 1").select("hash"))
-    starts = (zipped(windows, "hashes", "starts", "key").join(twice, "hash")
-              .groupBy("key").agg(F.collect_list("at").alias("starts")))
-    return texts.select("key", "text").join(starts, "key")
+    starts = (zipped(windows, "hashes", "starts", "id").join(twice, "hash")
+              .groupBy("id").agg(F.collect_list("at").alias("starts")))
+    return texts.select("id", "key", "text").join(starts, "id").drop("id")
 
 
 def covered(starts: np.ndarray, n: int) -> np.ndarray:
