@@ -2,15 +2,18 @@
 
 A text's set holds its distinct 5-word shingles (64-bit hashes).  Sets are banded by size.  In the band whose largest
 size is e, two sets of Jaccard >= 0.75 (the larger of at most 4e/3, so lower neighbours of the next band take part)
-differ in at most H = e/3 elements, so of n = e/3 + 1 parts of the shingle domain at least one is equal in both.  A
-signature is the hash of (band, partitioning, part, the set's elements in that part); parts in which a set has no
-element give none.
+differ in at most H = e/3 elements, so of n > H parts of the shingle domain at least one is equal in both.  A signature
+is the hash of (band, partitioning, part, the set's elements in that part); parts in which a set has no element give
+none.
 
 How many signatures: PartEnum's pigeonhole holds for all n parts of one partitioning.  A small set whose shared part
 may be an empty one enumerates further independent partitionings; a large one enumerates the first SIGNATURES parts.
-The partitionings are random, each part of a pair at the very threshold is equal and not empty with a probability of
-0.35 or more, so all 56 differ with a probability below 4e-11, less than that of a hash collision; pairs well above
-the threshold agree in most parts.
+The partitionings are random: with x = H / n a part of a pair at the very threshold is equal and not empty with a
+probability of exp(-x) (1 - exp(-3x)), which is 0.35 or more.  So all 44 differ with a probability below 1e-8 at the
+threshold; at 0.9 the parts agree by two in three, and it is below 1e-20.
+
+Before whole sets meet, pairs are tested on sketches: of SKETCH buckets of the domain, those in which two sets' counts
+differ in parity are at most as many as the elements in which they differ, so no similar pair fails.
 
 Candidates never come as all pairs of a signature's group.  Equal sets are one node.  Each group first offers a star
 (its smallest node against every other one), which is verified exactly and clustered.  Only groups that still hold
@@ -36,19 +39,20 @@ from filingscope.llm.words import Words, byte_table, mix, signed
 
 SHINGLE = 5
 SIMILARITY = 0.75
-SIGNATURES = 56
+SIGNATURES = 44
+#: How much larger the next band's largest set is.
+BAND = 2
+#: Bits of a set's parity sketch.
+SKETCH = 2048
 #: Groups up to this size offer their remaining pairs at once; larger ones are split by a second signature first.
 SMALL_GROUP = 24
-#: Longest part of a verification row: pairs are checked on whole sets.
+MAX_BROADCAST_ROWS = 200_000
 SEED = 0x2545F4914F6CDD1D
 
 
 def band_tops() -> list[int]:
-    """Largest set size of each band: 1, 2, 3, 5, 8, ... growing by 1.6."""
-    tops = [1]
-    while tops[-1] < 1 << 40:
-        tops.append(max(tops[-1] + 1, int(tops[-1] * 1.6)))
-    return tops
+    """Largest set size of each band."""
+    return [BAND ** i for i in range(40)]
 
 
 TOPS = band_tops()
@@ -112,25 +116,35 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """One bit a bucket: whether the set has an odd number of elements in it."""
+    at = (mix(s ^ np.uint64(SEED >> 3)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_shingles, node) of every row; node is null for an empty set, key stands for the text."""
+    """(doc_id, key, n_shingles, node, sketch) of every row; node is null for an empty set, key stands for the text."""
 
     def fn(batch):
         sets = shingle_sets(batch.column("text"))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())],
-            names=["doc_id", "key", "n_shingles", "node"])
+             pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+             pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary())],
+            names=["doc_id", "key", "n_shingles", "node", "sketch"])
 
     return map_slices(docs.select("doc_id", text_key(F.col("text")).alias("key"), "text"), fn,
-                      f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long, node long")
+                      f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long, node long, "
+                      "sketch binary")
 
 
 def signature_rows(texts: DataFrame) -> DataFrame:
-    """(sig, node) for every signature of every distinct set of a slice."""
+    """(sig, node) for every signature of every set that a task reads."""
+
+    seen = set()  # of a task: it sends each distinct set once
 
     def fn(batch):
-        sigs, nodes, seen = [], [], set()
+        sigs, nodes = [], []
         for s in shingle_sets(batch.column("text")):
             if len(s):
                 node = node_of(s)
@@ -146,32 +160,64 @@ def signature_rows(texts: DataFrame) -> DataFrame:
     return map_slices(texts.select("text"), fn, "sig long, node long")
 
 
-def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, items) of the given nodes, one row a node."""
+def sets_of(docs: DataFrame, sized: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, items) of the given nodes, one row a node, from one text of each (``docs``: text).
+
+    The texts' keys are broadcast when they are counted to be few, else the texts are shuffled.
+    """
+    keys = cut(sized.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")).select("key"))
+    if keys.count() <= MAX_BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(keys, "key", "left_semi").select("text")
+    seen = set()
 
     def fn(batch):
         sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
-        flat = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
-        ends = np.cumsum([0, *map(len, sets)])
+        names = [node_of(s) for s in sets]
+        new = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]  # copies in one task
+        if not new:
+            return None
+        flat = np.concatenate([sets[i] for i in new]).view(np.int64)
+        ends = np.cumsum([0, *(len(sets[i]) for i in new)])
         return pa.RecordBatch.from_arrays(
-            [pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+            [pa.array([names[i] for i in new], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
             names=["node", "items"])
 
-    found = map_slices(texts.select("text"), fn, "node long, items array<long>")
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return map_slices(texts, fn, "node long, items array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    sized = sets.select("node", "items", F.size("items").cast("long").alias("n"))
-    left = sized.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("xs"))
-    right = sized.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ys"))
-    # sizes first (joined without the items), so that pairs of unlike sizes never meet their sets
+def possible(pairs: DataFrame, sized: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches do not rule out."""
+    about = sized.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))  # equal for equal sets
+    left = about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xs"))
+    right = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("ys"))
     fitting = (pairs.join(left.drop("xs"), "a").join(right.drop("ys"), "b")
-               .where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))
-    both = fitting.join(left, "a").join(right, "b")
+               .where("4 * least(na, nb) >= 3 * greatest(na, nb)"))
+    both = fitting.join(left.drop("na"), "a").join(right.drop("nb"), "b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+                    for c in ("xs", "ys"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            # Jaccard >= 3/4 means that at most a seventh of |A| + |B| differs
+            yield batch.select(["a", "b"]).filter(pa.array(7 * apart <= total))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sized: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    likely = cut(possible(pairs, sized))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(sets_of(docs, sized, ends))
+    both = (likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("items").alias("ys")), "b"))
     shared = F.size(F.array_intersect("xs", "ys")).cast("long")
-    return both.where(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    total = (F.size("xs") + F.size("ys")).cast("long")
+    return both.where(100 * shared >= 75 * (total - shared)).select("a", "b")
 
 
 def stars(groups: DataFrame) -> DataFrame:
@@ -196,25 +242,26 @@ def between(groups: DataFrame) -> DataFrame:
             .where("a < b and root != rb").select("a", "b").distinct())
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sized: DataFrame) -> DataFrame:
     """Verified links (a, b) between nodes whose components are those of all links of Jaccard >= 0.75."""
     texts = docs.select("text").where(F.col("text").isNotNull())
     rows = signature_rows(texts)
     shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
     live = cut(rows.join(shared, "sig").distinct())
-    sets = cut(sets_of(texts, live.select("node").distinct()))
-    found = cut(verified(stars(live), sets))
+    found = cut(verified(stars(live), texts, sized))
     groups = live
     for split in (True, False):
         rest = cut(mixed(groups, components(found)).where("size > 2"))
-        small = between(rest.where(F.col("size") <= SMALL_GROUP)) if split else between(rest)
-        found = cut(found.unionByName(verified(small, sets)))
+        now = rest.where(F.col("size") <= SMALL_GROUP) if split else rest
+        found = cut(found.unionByName(verified(between(now), texts, sized)))
         if split:
             large = rest.where(F.col("size") > SMALL_GROUP).select("sig", "node")
             second = large.select(F.col("sig").alias("other"), "node")
             groups = cut(large.join(second, "node").where("sig < other")
                          .select(F.xxhash64("sig", "other").alias("sig"), "node").distinct())
-            found = cut(found.unionByName(verified(stars(groups), sets)))
+            if groups.isEmpty():
+                break
+            found = cut(found.unionByName(verified(stars(groups), texts, sized)))
     return found
 
 
@@ -224,8 +271,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     ``copy_class``: equal sets; ``class``: one group of linked documents (null for an empty set).
     """
     sized = cut(set_sizes(docs))
-    roots = components(links(docs))
-    named = sized.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    roots = components(links(docs, sized))
+    named = sized.drop("sketch").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     return named.join(least, "class", "left").select(
         "doc_id", "key", "n_shingles",
@@ -240,9 +287,10 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     kept = (similar_groups(docs).where(F.col("class").isNotNull()).groupBy("class").agg(F.min(rank).alias("r"))
-            .select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key")))
+            .select(F.col("r.doc_id").alias("__id"), F.col("r.key").alias("__text_key")))
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    keyed = docs.where(~wordless).withColumn("_key", text_key(F.col("text")))
+    keyed = docs.where(~wordless).withColumn("__text_key", text_key(F.col("text")))
     # repeated rows of one id and text are one document
-    chosen = keyed.join(kept, [keyed["_key"] == kept["_key"], keyed["doc_id"].eqNullSafe(kept["_id"])], "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where(wordless))
+    same = [keyed["__text_key"] == kept["__text_key"], keyed["doc_id"].eqNullSafe(kept["__id"])]
+    chosen = keyed.join(kept, same, "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key").unionByName(docs.where(wordless))
