@@ -28,10 +28,10 @@ from filingscope.llm.toolkit import map_slices
 
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Words kept per task before the memory is started anew (an upper bound on memory, not on what is encoded).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 80_000
 #: New words merged in one index, and text bytes looked through for them at once: a large index spreads its cost.
-INDEX_WORDS = 400_000
-ENCODE_BYTES = 6_000_000
+INDEX_WORDS = 60_000
+ENCODE_BYTES = 2_000_000
 
 END = "</w>"
 #: Starts the name of a special token among chunks; a space, so no chunk of text starts with it.
@@ -231,7 +231,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
             names=[*batch.schema.names, ids, decoded])
 
     schema = docs.select("*", F.lit(b"").alias(ids), F.lit("").alias(decoded)).schema
-    return map_slices(docs, fn, schema, column=text, limit=ENCODE_BYTES)
+    def done():
+        held.clear()
+        gc.enable()
+
+    return map_slices(docs, fn, schema, column=text, limit=ENCODE_BYTES, done=done)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -40,16 +40,24 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
-               column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """``mapInArrow`` over bounded slices; ``fn`` returns a batch in the order of ``schema``, or None for no rows."""
+               column: str = "text", limit: int = SLICE_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over bounded slices; ``fn`` returns a batch in the order of ``schema``, or None for no rows.
+
+    ``done`` runs at the end of each task, to let go of what ``fn`` keeps: workers live on.
+    """
 
     def run(batches):
         import pyarrow.compute  # noqa: F401  (loads pa.compute in the worker)
 
-        for batch in batches:
-            for part in slices(batch, column, limit):
-                out = fn(part)
-                if out is not None and out.num_rows:
-                    yield out
+        try:
+            for batch in batches:
+                for part in slices(batch, column, limit):
+                    out = fn(part)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            if done:
+                done()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
