@@ -2,12 +2,12 @@
 
 Base spans: e-mail addresses, IPv4 addresses, payment cards and phone numbers by fixed patterns.  They are the
 protected entities.  Around them stand terms that can give an entity away even when it is masked: over all documents,
-for each entity value and each word near it, the contexts they share are counted, as are all places of the word.  A
-term's disclosure about an entity is the pointwise mutual information of the two, scaled to 0..1 by the entity's own
+for each entity value and each word near it, the distinct texts in which they stand together are counted, as are all
+distinct texts with the word, and with the entity.  A term's disclosure about an entity is the pointwise mutual information of the two, scaled to 0..1 by the entity's own
 information (1: the term names the entity).  A term that DISCLOSURE or more, seen in at least LEAST_SHARED distinct
 contexts of the entity, becomes a span too, where it stands near that entity.
 
-Copies of a text say nothing new: shared contexts are counted by the words on both sides, each once.  Sanitising
+Copies of a text say nothing new: every count is of distinct texts.  Sanitising
 replaces base spans and rarer terms by their kind (generalised) and drops terms that name exactly one entity (removed).
 
 Cases: null and empty text have no spans; spans of different kinds may overlap (masking merges them); offsets are code
@@ -18,6 +18,8 @@ named spans is replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,48 +130,74 @@ def contexts(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("text").where(F.col("text").isNotNull()), fn, "entity long, term long, context long")
 
 
-def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, places): all places of the given terms in all texts, summed in each task first.
+def copied(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (key, text) with ``copies``, how many rows have the text, and the number of distinct texts.
 
-    The terms are broadcast when they are counted to be few, and joined by a shuffle otherwise.
+    The keys of texts that stand more than once are broadcast when they are counted to be few.
     """
+    keys = cut(docs.groupBy("key").agg(F.count("*").alias("copies")))
+    more = keys.where("copies > 1")
+    more = F.broadcast(more) if more.count() <= MAX_BROADCAST_ROWS else more
+    return docs.join(more, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), keys.count()
 
-    def run(batches):
-        from collections import Counter
 
+def counted(docs: DataFrame, of: Callable[[str], Iterable[tuple]], names: list[str]) -> DataFrame:
+    """(names, copies, rows): how many rows hold what ``of`` gives for a text, summed in each task first."""
+
+    def run(batches):
         counts = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(WORD.findall((text or "").lower()))
+            for text, n in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+                counts.update((*x, n) for x in of(text))
                 if len(counts) > 200_000:
                     yield flush(counts)
                     counts.clear()
         yield flush(counts)
 
     def flush(counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([hash64(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-            names=["term", "places"])
+        cols = list(zip(*counts, strict=True)) or [[]] * (len(names) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in [*cols, list(counts.values())]],
+                                          names=[*names, "copies", "rows"])
+
+    return docs.select("text", "copies").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "copies", "rows"]))
+
+
+def texts_of(rows: DataFrame, names: list[str], total: str) -> DataFrame:
+    """(names, total): distinct texts, from ``counted`` rows; a text of n copies is n of the rows with copies = n."""
+    each = rows.groupBy(*names, "copies").agg(F.sum("rows").alias("rows"))
+    return each.groupBy(*names).agg(F.sum(F.expr("rows div copies")).alias(total))
+
+
+def entity_words(text: str) -> set[tuple[int, int]]:
+    """(entity, word) near each other."""
+    return {(hash64(entity_value(kind, text[a:b])), hash64(word))
+            for kind, a, b in base_spans(text) for word, _, _ in neighbours(text, a, b)}
+
+
+def text_entities(text: str) -> set[tuple[int]]:
+    return {(hash64(entity_value(kind, text[a:b])),) for kind, a, b in base_spans(text)}
+
 
-    few = terms.count() <= MAX_BROADCAST_ROWS
-    return (docs.select("text").mapInArrow(run, "term long, places long").join(F.broadcast(terms) if few else terms, "term")
-            .groupBy("term").agg(F.sum("places").alias("places")))
+def text_words(text: str) -> list[tuple[int]]:
+    return [(hash64(w),) for w in {w.lower() for w in set(WORD.findall(text))}]
 
 
 def disclosures(docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure, entities): pairs at or over the threshold, and how many entities the term names."""
-    seen = cut(contexts(docs).distinct())
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
-    entity = seen.groupBy("entity").agg(F.count("*").alias("of_entity"))
-    candidates = cut(pairs.join(entity, "entity"))
-    places = term_places(docs, cut(candidates.select("term").distinct()))
-    total = seen.count()
-    joined = candidates.join(places, "term", "left")
-    # how much of the term's use stands near the entity, against the entity's share of all contexts
-    p_given_term = F.least(F.lit(1.0), F.col("shared") / F.greatest("places", "shared"))
+    seen = contexts(docs).distinct()
+    often = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_SHARED)
+    keyed, total = copied(docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text"))
+    pairs = texts_of(counted(keyed, entity_words, ["entity", "term"]), ["entity", "term"], "shared")
+    entity = texts_of(counted(keyed, text_entities, ["entity"]), ["entity"], "of_entity")
+    candidates = cut(pairs.join(often, ["entity", "term"], "left_semi").join(entity, "entity"))
+    terms = cut(candidates.select("term").distinct())
+    terms = F.broadcast(terms) if terms.count() <= MAX_BROADCAST_ROWS else terms
+    places = texts_of(counted(keyed, text_words, ["term"]).join(terms, "term"), ["term"], "of_term")
+    # how many of the term's texts hold the entity near it, against the entity's share of all texts
+    p_given_term = F.col("shared") / F.col("of_term")
     p_entity = F.col("of_entity") / F.lit(float(max(total, 1)))
     score = F.when(p_entity < 1, F.log(p_given_term / p_entity) / -F.log(p_entity)).otherwise(0.0)
-    strong = joined.withColumn("disclosure", score).where(F.col("disclosure") >= DISCLOSURE)
+    strong = candidates.join(places, "term").withColumn("disclosure", score).where(F.col("disclosure") >= DISCLOSURE)
     named = strong.groupBy("term").agg(F.count("*").alias("entities"))
     return strong.join(named, "term").select("entity", "term", "disclosure", "entities")
 

@@ -179,6 +179,26 @@ def test_terms_that_give_an_entity_away(spark):
     assert "Zebulon" not in pii.sanitise(docs).where("doc_id = 3").first().text
 
 
+def planted(name="Zebulon", near=0):
+    """60 texts, 8 of them with the name beside one address, or ``near`` words before it."""
+    rnd = np.random.default_rng(4)
+    word = lambda: "".join(rnd.choice(list("abcdefghij"), 4))
+    words = lambda n: " ".join(word() for _ in range(n))
+    return [(i, f"{words(12)} the {name if i < 8 else word()} {words(near)} {'z' if i < 8 else f'u{i}'}@site.org {words(12)}")
+            for i in range(60)]
+
+
+def found_terms(docs):
+    return {r.doc_id: [r.text[s["start"]:s["end"]] for s in r.spans if s["kind"] == "term"] for r in pii.find(docs).collect()}
+
+
+@pytest.mark.parametrize("copies", [10, 1000])
+def test_terms_that_give_an_entity_away_in_copied_texts(spark, copies):
+    rows = planted()
+    docs = spark.createDataFrame(rows[:8] * copies + rows[8:], "doc_id long, text string").repartition(4)
+    assert found_terms(docs) == {i: ["Zebulon"] if i < 8 else [] for i in range(60)}
+
+
 def test_benchmark(spark, odd, odd_rows, empty):
     w = odd_rows[40][1].split()
     items = [(1, " ".join(w[3:18])), (10, " ".join(w[3:13]).upper() + "!"), (2, "One two"), (3, None), (4, "--"),
