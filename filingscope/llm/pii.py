@@ -5,7 +5,7 @@ protected entities.  Around them stand terms that can give an entity away even w
 for each entity value and each word near it, the distinct texts in which they stand together are counted, as are all
 distinct texts with the word, and with the entity.  A term's disclosure about an entity is the pointwise mutual information of the two, scaled to 0..1 by the entity's own
 information (1: the term names the entity).  A term that DISCLOSURE or more, seen in at least LEAST_SHARED distinct
-contexts of the entity, becomes a span too, where it stands near that entity.
+texts with the entity, becomes a span too, where it stands near that entity.
 
 Copies of a text say nothing new: every count is of distinct texts.  Sanitising
 replaces base spans and rarer terms by their kind (generalised) and drops terms that name exactly one entity (removed).
@@ -112,24 +112,6 @@ def hash64(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace")) - (1 << 63)
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """(entity, term, context): words near entities; ``context`` stands for the word's own two neighbours' text."""
-
-    def fn(batch):
-        rows = []
-        for text in batch.column("text").to_pylist():
-            for kind, a, b in base_spans(text):
-                entity = hash64(entity_value(kind, text[a:b]))
-                near = neighbours(text, a, b)
-                for i, (word, _, _) in enumerate(near):
-                    about = " ".join(w for w, _, _ in near[max(0, i - 1):i + 2])
-                    rows.append((entity, hash64(word), hash64(about)))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["entity", "term", "context"])
-
-    return map_slices(docs.select("text").where(F.col("text").isNotNull()), fn, "entity long, term long, context long")
-
-
 def copied(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs`` (key, text) with ``copies``, how many rows have the text, and the number of distinct texts.
 
@@ -184,12 +166,11 @@ def text_words(text: str) -> list[tuple[int]]:
 
 def disclosures(docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure, entities): pairs at or over the threshold, and how many entities the term names."""
-    seen = contexts(docs).distinct()
-    often = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_SHARED)
     keyed, total = copied(docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text"))
     pairs = texts_of(counted(keyed, entity_words, ["entity", "term"]), ["entity", "term"], "shared")
+    pairs = pairs.where(F.col("shared") >= LEAST_SHARED)
     entity = texts_of(counted(keyed, text_entities, ["entity"]), ["entity"], "of_entity")
-    candidates = cut(pairs.join(often, ["entity", "term"], "left_semi").join(entity, "entity"))
+    candidates = cut(pairs.join(entity, "entity"))
     terms = cut(candidates.select("term").distinct())
     terms = F.broadcast(terms) if terms.count() <= MAX_BROADCAST_ROWS else terms
     places = texts_of(counted(keyed, text_words, ["term"]).join(terms, "term"), ["term"], "of_term")

@@ -199,6 +199,17 @@ def test_terms_that_give_an_entity_away_in_copied_texts(spark, copies):
     assert found_terms(docs) == {i: ["Zebulon"] if i < 8 else [] for i in range(60)}
 
 
+def test_terms_in_fixed_wording_of_different_texts(spark):
+    """One phrase, and so one context, in different texts; its other words stand elsewhere too."""
+    rows = [(i, t.replace("Zebulon  z@site.org", "contact Dr Zebulon at z@site.org or call us now please"))
+            for i, t in planted()]
+    rows = [(i, t if i < 8 else f"{t} contact dr at or call us now please") for i, t in rows]
+    # the name in two texts only is too little, however often these are copied
+    rows += [(60 + i, f"note {'abcdefgh'[i % 2] * 3} Quentin at q@site.org or call") for i in range(6)]
+    got = found_terms(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == {i: ["Zebulon"] if i < 8 else [] for i in range(66)}
+
+
 def test_benchmark(spark, odd, odd_rows, empty):
     w = odd_rows[40][1].split()
     items = [(1, " ".join(w[3:18])), (10, " ".join(w[3:13]).upper() + "!"), (2, "One two"), (3, None), (4, "--"),
