@@ -1,14 +1,15 @@
 """Operator 5: information-theoretic sanitisation of personal data.
 
 Base spans: e-mail addresses, IPv4 addresses, payment cards and phone numbers by fixed patterns.  They are the
-protected entities.  Around them stand terms that can give an entity away even when it is masked: over all documents,
-for each entity value and each word near it, the distinct texts in which they stand together are counted, as are all
-distinct texts with the word, and with the entity.  A term's disclosure about an entity is the pointwise mutual information of the two, scaled to 0..1 by the entity's own
-information (1: the term names the entity).  A term that DISCLOSURE or more, seen in at least LEAST_SHARED distinct
-texts with the entity, becomes a span too, where it stands near that entity.
+protected entities.  Other words can give an entity away even when it is masked: for each entity value and each word
+outside base spans, the distinct texts with both are counted, as are all with the word, and all with the entity.  A
+term's disclosure about an entity is the pointwise mutual information of the two, scaled to 0..1 by the entity's own
+information (1: the term names the entity).  A term that DISCLOSURE or more, in at least LEAST_SHARED distinct texts with
+the entity, becomes a span too, wherever it stands outside base spans, in any text.
 
-Copies of a text say nothing new: every count is of distinct texts.  Sanitising
-replaces base spans and rarer terms by their kind (generalised) and drops terms that name exactly one entity (removed).
+Copies of a text say nothing new: every count is of distinct texts.  Words too frequent to reach DISCLOSURE with an entity
+are left out before pairs are counted; the bound is exact.  Sanitising replaces base spans and terms of several entities
+by their kind (generalised) and drops terms that name exactly one entity (removed).
 
 Cases: null and empty text have no spans; spans of different kinds may overlap (masking merges them); offsets are code
 points, end exclusive; repeated rows get equal spans; an empty table gives no rows; a column
@@ -17,9 +18,11 @@ named spans is replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +32,11 @@ from filingscope.llm.toolkit import cut, map_slices, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words looked at on each side of an entity.
-NEAR = 5
 DISCLOSURE = 0.8
 LEAST_SHARED = 3
 MAX_BROADCAST_ROWS = 1_000_000
+#: Entities, frequent words or terms that each Python worker may hold.
+MAX_HELD = 100_000
 
 # The patterns of the base kinds.  Matches are leftmost and do not overlap; look-behinds only spare
 # attempts that would start inside a longer match.
@@ -92,13 +95,13 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
-def neighbours(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """Up to NEAR words (lower-cased) with their spans on each side of a span, within 40 characters a word."""
-    reach = 40 * NEAR
-    lo = max(0, start - reach)
-    left = [(m[0].lower(), lo + m.start(), lo + m.end()) for m in WORD.finditer(text[lo:start])][-NEAR:]
-    right = [(m[0].lower(), end + m.start(), end + m.end()) for m in WORD.finditer(text[end:end + reach])][:NEAR]
-    return left + right
+def words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The words (lower-cased) outside the base spans, with their spans."""
+    at = 0
+    for start, end in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        for m in WORD.finditer(text, at, max(at, start)):
+            yield m[0].lower(), m.start(), m.end()
+        at = max(at, end)
 
 
 def entity_value(kind: str, raw: str) -> str:
@@ -112,6 +115,20 @@ def hash64(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace")) - (1 << 63)
 
 
+class Hashes(dict):
+    """Word (any case) to the hash of its lower-cased form; at most 200,000 words are held."""
+
+    def __missing__(self, word):
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = out = hash64(word.lower())
+        return out
+
+
+#: Of this Python worker; emptied at the end of each task.
+HASHES = Hashes()
+
+
 def copied(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs`` (key, text) with ``copies``, how many rows have the text, and the number of distinct texts.
 
@@ -123,23 +140,33 @@ def copied(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.join(more, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), keys.count()
 
 
-def counted(docs: DataFrame, of: Callable[[str], Iterable[tuple]], names: list[str]) -> DataFrame:
-    """(names, copies, rows): how many rows hold what ``of`` gives for a text, summed in each task first."""
+def counted(docs: DataFrame, of: Callable[[str], Iterable], names: list[str]) -> DataFrame:
+    """(names, copies, rows): how many rows hold what ``of`` gives for a text, summed in each task first.
+
+    ``of`` gives distinct numbers for one name, distinct tuples for more.
+    """
 
     def run(batches):
-        counts = Counter()
+        once, more = Counter(), Counter()
         for batch in batches:
             for text, n in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), strict=True):
-                counts.update((*x, n) for x in of(text))
-                if len(counts) > 200_000:
-                    yield flush(counts)
-                    counts.clear()
-        yield flush(counts)
-
-    def flush(counts):
-        cols = list(zip(*counts, strict=True)) or [[]] * (len(names) + 1)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in [*cols, list(counts.values())]],
-                                          names=[*names, "copies", "rows"])
+                for some in batched(of(text), 100_000):
+                    if n == 1:
+                        once.update(some)
+                    else:
+                        more.update((x, n) for x in some)
+                    if len(once) + len(more) > 200_000:
+                        yield flush(once, more)
+                        once.clear()
+                        more.clear()
+        HASHES.clear()
+        yield flush(once, more)
+
+    def flush(once, more):
+        keys = [*once, *(x for x, _ in more)]
+        cols = [keys] if len(names) == 1 else list(zip(*keys, strict=True)) or [[]] * len(names)
+        cols += [[1] * len(once) + [n for _, n in more], [*once.values(), *more.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*names, "copies", "rows"])
 
     return docs.select("text", "copies").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "copies", "rows"]))
 
@@ -150,35 +177,61 @@ def texts_of(rows: DataFrame, names: list[str], total: str) -> DataFrame:
     return each.groupBy(*names).agg(F.sum(F.expr("rows div copies")).alias(total))
 
 
-def entity_words(text: str) -> set[tuple[int, int]]:
-    """(entity, word) near each other."""
-    return {(hash64(entity_value(kind, text[a:b])), hash64(word))
-            for kind, a, b in base_spans(text) for word, _, _ in neighbours(text, a, b)}
+def text_entities(text: str) -> set[int]:
+    return {hash64(entity_value(kind, text[a:b])) for kind, a, b in base_spans(text)}
 
 
-def text_entities(text: str) -> set[tuple[int]]:
-    return {(hash64(entity_value(kind, text[a:b])),) for kind, a, b in base_spans(text)}
+def text_words(text: str, spans: list[tuple[str, int, int]] | None = None) -> set[int]:
+    """Hashes of the words outside the base spans (given, or found here)."""
+    spans = base_spans(text) if spans is None else spans
+    found = {w for w, _, _ in words(text, spans)} if spans else set(WORD.findall(text))
+    return set(map(HASHES.__getitem__, found))
 
 
-def text_words(text: str) -> list[tuple[int]]:
-    return [(hash64(w),) for w in {w.lower() for w in set(WORD.findall(text))}]
+def entity_words(bound: dict[int, float] | None, frequent: dict[int, int]) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """(entity, word) of a text, for the entities in ``bound`` and words that stand in so many texts at most.
+
+    ``bound`` None: all entities and words.  ``frequent`` has the texts of the most frequent words.
+    """
 
+    def of(text):
+        own = [e for e in text_entities(text) if bound is None or e in bound]
+        if own:
+            terms = [(w, frequent.get(w, 0)) for w in text_words(text)]
+            for e in own:
+                most = math.inf if bound is None else bound[e]
+                yield from ((e, w) for w, n in terms if n <= most)
 
-def disclosures(docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosure, entities): pairs at or over the threshold, and how many entities the term names."""
-    keyed, total = copied(docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text"))
-    pairs = texts_of(counted(keyed, entity_words, ["entity", "term"]), ["entity", "term"], "shared")
-    pairs = pairs.where(F.col("shared") >= LEAST_SHARED)
-    entity = texts_of(counted(keyed, text_entities, ["entity"]), ["entity"], "of_entity")
-    candidates = cut(pairs.join(entity, "entity"))
-    terms = cut(candidates.select("term").distinct())
-    terms = F.broadcast(terms) if terms.count() <= MAX_BROADCAST_ROWS else terms
-    places = texts_of(counted(keyed, text_words, ["term"]).join(terms, "term"), ["term"], "of_term")
-    # how many of the term's texts hold the entity near it, against the entity's share of all texts
+    return of
+
+
+def disclosures(docs: DataFrame) -> DataFrame | None:
+    """(entity, term, disclosure, entities): pairs at or over the threshold, and how many entities the term names.
+
+    None if no entity stands in LEAST_SHARED texts.
+    """
+    keyed = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
+    keyed, total = copied(keyed)
+    entity = cut(texts_of(counted(keyed, text_entities, ["entity"]), ["entity"], "of_entity")
+                 .where(F.col("of_entity") >= LEAST_SHARED))
+    n_entities = entity.count()
+    if not n_entities:
+        return None
+    terms = cut(texts_of(counted(keyed, text_words, ["term"]), ["term"], "of_term").where(F.col("of_term") >= LEAST_SHARED))
+    # shared <= of_entity, so a score of DISCLOSURE needs of_term <= of_entity * p_entity ** (DISCLOSURE - 1)
+    bound, frequent = None, {}
+    if n_entities <= MAX_HELD:
+        bound = {r.entity: (1 + 1e-9) * r.of_entity * (r.of_entity / total) ** (DISCLOSURE - 1) for r in entity.collect()}
+        often = terms.where(F.col("of_term") > min(bound.values())).orderBy(F.desc("of_term"), "term").limit(MAX_HELD)
+        frequent = {r.term: r.of_term for r in often.collect()}
+    pairs = texts_of(counted(keyed, entity_words(bound, frequent), ["entity", "term"]), ["entity", "term"], "shared")
+    entity = F.broadcast(entity) if n_entities <= MAX_BROADCAST_ROWS else entity
+    joined = pairs.where(F.col("shared") >= LEAST_SHARED).join(entity, "entity").join(terms, "term")
+    # how many of the term's texts hold the entity, against the entity's share of all texts
     p_given_term = F.col("shared") / F.col("of_term")
-    p_entity = F.col("of_entity") / F.lit(float(max(total, 1)))
+    p_entity = F.col("of_entity") / F.lit(float(total))
     score = F.when(p_entity < 1, F.log(p_given_term / p_entity) / -F.log(p_entity)).otherwise(0.0)
-    strong = candidates.join(places, "term").withColumn("disclosure", score).where(F.col("disclosure") >= DISCLOSURE)
+    strong = cut(joined.withColumn("disclosure", score).where(F.col("disclosure") >= DISCLOSURE))
     named = strong.groupBy("term").agg(F.count("*").alias("entities"))
     return strong.join(named, "term").select("entity", "term", "disclosure", "entities")
 
@@ -186,43 +239,48 @@ def disclosures(docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with ``spans``: array of (kind, start, end, action), base kinds first, then terms by start."""
     docs = docs.drop("spans")
-    strong = cut(disclosures(docs.select("text")))
-
-    def entities_of(batch):
-        rows = []
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for kind, a, b in base_spans(text):
-                entity = hash64(entity_value(kind, text[a:b]))
-                rows += [(key, entity, hash64(w), x, y) for w, x, y in neighbours(text, a, b)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                          names=["key", "entity", "term", "start", "end"])
-
-    keyed = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
-    places = map_slices(keyed, entities_of, "key binary, entity long, term long, start long, end long")
-    extra = (places.join(strong, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("entities").alias("entities"))
-             .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "entities"))).alias("__terms")))
-    extra = cut(extra)
-    few = (extra.agg(F.sum(F.size("__terms"))).first()[0] or 0) <= MAX_BROADCAST_ROWS // 10
-    extra = F.broadcast(extra) if few else extra
     own = docs.columns
+    strong = disclosures(docs.select("text"))
+    named, many = {}, None
+    if strong is not None:
+        terms = cut(strong.groupBy("term").agg(F.max("entities").alias("entities")))
+        if terms.count() <= MAX_HELD:
+            named = {r.term: r.entities for r in terms.collect()}
+        else:
+            many = terms
+    held, joined = docs, many is not None
+    if joined:  # each text gets the terms it holds
+        def holds(batch):
+            rows = [(key, w) for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)
+                    for w in text_words(text)]
+            cols = list(zip(*rows, strict=True)) or [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64())], names=["key", "term"])
+
+        keyed = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
+        of_text = (map_slices(keyed, holds, "key binary, term long", done=HASHES.clear).join(many, "term").groupBy("key")
+                   .agg(F.collect_set(F.struct("term", "entities")).alias("__terms")).withColumnRenamed("key", "__text_key"))
+        held = docs.withColumn("__text_key", text_key(F.col("text"))).join(of_text, "__text_key", "left").select(*own, "__terms")
+
+    def spans(text, named):
+        found = base_spans(text)
+        out = [{"kind": k, "start": a, "end": b, "action": "generalise"} for k, a, b in found]
+        if named and not named.keys().isdisjoint(text_words(text, found)):
+            for w, a, b in words(text, found):
+                n = named.get(HASHES[w])
+                if n:
+                    out.append({"kind": TERM, "start": a, "end": b, "action": "remove" if n == 1 else "generalise"})
+        return out
 
-    def base(batch):
-        got = [[{"kind": k, "start": a, "end": b, "action": "generalise"} for k, a, b in base_spans(t)]
-               for t in batch.column("text").to_pylist()]
+    def fn(batch):
+        texts = batch.column("text").to_pylist()
+        given = [named] * len(texts) if not joined else [
+            {t["term"]: t["entities"] for t in x or []} for x in batch.column("__terms").to_pylist()]
+        got = [spans(t, n if t else None) for t, n in zip(texts, given, strict=True)]
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())])
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(kind))], names=[*batch.schema.names, "spans"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(got, pa.list_(kind))], names=[*own, "spans"])
 
     shape = "array<struct<kind:string,start:bigint,end:bigint,action:string>>"
-    based = map_slices(docs, base, docs.withColumn("spans", F.array().cast(shape)).schema)
-    more = F.transform("__terms", lambda t: F.struct(
-        F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end"),
-        F.when(t["entities"] == 1, "remove").otherwise("generalise").alias("action")))
-    extra = extra.select(F.col("key").alias("__text_key"), "__terms")
-    return (based.withColumn("__text_key", text_key(F.col("text"))).join(extra, "__text_key", "left")
-            .withColumn("spans", F.concat("spans", F.coalesce(more, F.array().cast(shape))))
-            .select(*own, "spans"))
+    return map_slices(held, fn, docs.withColumn("spans", F.array().cast(shape)).schema, done=HASHES.clear)
 
 
 def masked(text: str, spans: list[dict]) -> str:

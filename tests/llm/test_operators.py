@@ -210,6 +210,16 @@ def test_terms_in_fixed_wording_of_different_texts(spark):
     assert got == {i: ["Zebulon"] if i < 8 else [] for i in range(66)}
 
 
+@pytest.mark.parametrize("held", [pii.MAX_HELD, 0])
+def test_terms_far_from_the_entity_and_in_other_texts(spark, monkeypatch, held):
+    """Estimated over whole texts and masked in all of them, also with the terms joined instead of held."""
+    monkeypatch.setattr(pii, "MAX_HELD", held)
+    rows = planted(near=30) + [(60, "nobody else is called ZEBULON or zebulon@site.org but Zebulon"), (61, ""), (62, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_terms(docs) == {i: ["Zebulon"] if i < 8 else ["ZEBULON", "Zebulon"] if i == 60 else [] for i in range(63)}
+    assert pii.sanitise(docs).where("doc_id = 60").first().text == "nobody else is called  or [EMAIL] but "
+
+
 def test_benchmark(spark, odd, odd_rows, empty):
     w = odd_rows[40][1].split()
     items = [(1, " ".join(w[3:18])), (10, " ".join(w[3:13]).upper() + "!"), (2, "One two"), (3, None), (4, "--"),
