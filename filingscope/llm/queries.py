@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, embedding_join, language, licenses, ngram_join, passages, pii, resharding, toxicity
+from filingscope.llm import (bpe, decontamination, divergence, embedding_join, language, licenses, ngram_join, passages, pii,
+                             prefix_counts, resharding, spelling, toxicity)
 from filingscope.llm.registry import ORACLE, QUERIES, register, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -145,4 +146,75 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+# Keyed slips by a table-driven CRC-32, then words that share the word left after taking out one code point.
+SPELLING_SQL = r"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                       ORDER BY i) AS v FROM range(256) AS r(i)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+o AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS d, w, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(d || w)) AS x FROM o),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2),
+        lambda i: ((instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT)),
+        lambda c, y: xor(t.v[xor(c, y) % 256 + 1], c >> 8)), 4294967295) AS h FROM b, t),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN w[1:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word, n FROM h),
+k AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE len(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+g AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS z FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM k)),
+p AS (SELECT DISTINCT a.word, b.word AS near, b.n FROM g a JOIN g b ON a.z = b.z AND a.i = b.i AND a.word <> b.word
+      UNION SELECT DISTINCT g.word, k.word, k.n FROM g JOIN k ON k.word = g.z
+      UNION SELECT DISTINCT k.word, g.word, g.n FROM g JOIN k ON k.word = g.z),
+q AS (SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near,
+             row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS r FROM p),
+f AS (SELECT k.word, k.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN q.n >= 5 * k.n THEN q.near END AS form,
+             CASE WHEN q.n >= 5 * k.n THEN q.n END AS form_n FROM k LEFT JOIN q ON q.word = k.word AND q.r = 1),
+e(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, e.root FROM f JOIN e ON f.form = e.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
+
+@register("op11_spelling_variants", SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# Every group of a language against every kept term, on whole numbers.
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang)
+      LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL) USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p
+      FROM c JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+x AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+      UNION ALL
+      SELECT a.lang, a.source, 'pair', b.source, coalesce(s, 0) FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS s
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) t
+        ON t.lang = a.lang AND t.source = a.source AND t.item = b.source),
+r AS (SELECT lang, source, part, item, value::BIGINT AS value,
+             row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM x)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@register("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counts = prefix_counts.prefix_table(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return prefix_counts.cut_at(counts, 4096, "limit_chars").select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "limit_chars")
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
