@@ -19,10 +19,10 @@ table gives no rows; equal values are ranked by the item in UTF-8 order; extra c
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections import Counter
-from itertools import groupby
-from operator import itemgetter
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +37,7 @@ TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SCALE, LEAST_DOCS, TOP = 1_000_000_000, 3, 200
 #: Postings of a block in a worker's memory; runs merged at once; hash shards at least; sources of a matrix side.
-HELD, FAN_IN, SHARDS, BLOCK = 250_000, 64, 64, 256
+HELD, FAN_IN, SHARDS, BLOCK = 600_000, 64, 64, 256
 #: Parts of a language's terms in the stream of corrections, and groups that are broadcast at most.
 PARTS, SMALL = 64, 100_000
 #: A posting adds up occurrences and documents in one number.
@@ -45,67 +45,86 @@ ONE_DOC = 1 << 44
 RUN = "shard int, run long, postings long, body binary"
 
 
-def packed(postings: list[tuple[bytes, tuple[str, str], int, int]]) -> bytes:
-    """A term-sorted run."""
-    term, group, n, docs = zip(*postings, strict=True)
-    lang, source = zip(*group, strict=True)
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(term, pa.binary()), pa.array(lang, pa.string()).dictionary_encode(), pa.array(source, pa.string()).dictionary_encode(),
-         pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["term", "lang", "source", "n", "docs"])
+def packed(terms: list[bytes], ends: np.ndarray, group: np.ndarray, n: np.ndarray, docs: np.ndarray, groups: list) -> bytes:
+    """A run: sorted terms, each with the postings (group, n, docs) up to its place in ``ends``; ``group`` counts in ``groups``."""
+    used = np.unique(group)
+    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.searchsorted(used, group).astype(np.int32), n, docs)]
+    batch = pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), *lists], names=["term", "group", "n", "docs"])
+    batch = batch.replace_schema_metadata({"groups": json.dumps([groups[i] for i in used.tolist()])})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def unpacked(body: bytes):
-    """(term, [((lang, source), n, docs)]) of a run, in order."""
-    batch = pa.ipc.open_stream(body).read_next_batch()
-    lang, source = (batch.column(c) for c in ("lang", "source"))
-    group = list(zip(lang.to_pylist(), source.to_pylist(), strict=True))
-    rows = zip(batch.column("term").to_pylist(), group, batch.column("n").to_pylist(), batch.column("docs").to_pylist(), strict=True)
-    for term, posts in groupby(rows, itemgetter(0)):
-        yield term, [p[1:] for p in posts]
+def merged(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """All runs as one: (terms in order, term index, group, n, docs of each posting in order, groups).
 
-
-def merged(bodies: list[bytes]):
-    """(term, {(lang, source): [n, docs]}) of all runs, in order of terms."""
-    for term, found in groupby(heapq.merge(*map(unpacked, bodies), key=itemgetter(0)), itemgetter(0)):
-        posts: dict[tuple[str, str], list[int]] = {}
-        for _, part in found:
-            for group, n, docs in part:
-                have = posts.setdefault(group, [0, 0])
-                have[0] += n
-                have[1] += docs
-        yield term, posts
+    A heap merges the runs' sorted terms; each term's place in the merged order deals its postings out.
+    """
+    groups: dict[tuple[str, str], int] = {}
+    heads, parts = [], []
+    for body in bodies:
+        batch = pa.ipc.open_stream(body).read_next_batch()
+        own = np.array([groups.setdefault(tuple(g), len(groups)) for g in json.loads(batch.schema.metadata[b"groups"])], np.int64)
+        heads.append(batch.column("term").to_pylist())
+        lists = [batch.column(c) for c in ("group", "n", "docs")]
+        parts.append((np.diff(np.asarray(lists[0].offsets)), own[np.asarray(lists[0].values)], *(np.asarray(x.values) for x in lists[1:])))
+    places: list[list[int]] = [[] for _ in bodies]
+    terms: list[bytes] = []
+    last, at = None, -1
+    for term, run in heapq.merge(*(zip(h, repeat(r)) for r, h in enumerate(heads))):
+        if term != last:
+            at, last = at + 1, term
+            terms.append(term)
+        places[run].append(at)
+    key = np.concatenate([np.repeat(np.array(x, np.int64), sizes) * len(groups) + group for x, (sizes, group, _, _) in zip(places, parts, strict=True)])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n, docs = (np.add.reduceat(np.concatenate([x[i] for x in parts])[order], first) for i in (2, 3))
+    return terms, key[first] // len(groups), key[first] % len(groups), n, docs, list(groups)
 
 
 def runs(docs: DataFrame, shards: int) -> DataFrame:
     """Runs of all texts.  A group's own mark is the empty term, so groups without terms are known too."""
     def run(batches):
-        import pyarrow.compute  # noqa: F401
+        import pyarrow.compute as pc
 
         block: dict[tuple[str, str], dict[bytes, int]] = {}
         held = spilled = 0
         task = TaskContext.get().partitionId()
 
         def spill():
-            by_shard: dict[int, list] = {}
-            for group, terms in block.items():
-                for term, x in terms.items():
-                    by_shard.setdefault(crc32(term) % shards, []).append((term, group, x % ONE_DOC, x // ONE_DOC))
+            groups = list(block)
+            coded = pa.array(chain.from_iterable(block.values()), pa.binary()).dictionary_encode()
+            values = np.fromiter(chain.from_iterable(x.values() for x in block.values()), np.int64, len(coded))
+            group = np.repeat(np.arange(len(groups)), [len(x) for x in block.values()])
             block.clear()
-            for shard, postings in by_shard.items():
-                postings.sort(key=itemgetter(0))
-                yield shard, (task << 24) + spilled, len(postings), packed(postings)
+            order = np.asarray(pc.sort_indices(coded.dictionary))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            terms = coded.dictionary.take(pa.array(order)).to_pylist()
+            shard = np.array([crc32(t) % shards for t in terms], np.int64)
+            at = place[np.asarray(coded.indices)]
+            order = np.lexsort((group, at, shard[at]))
+            at, group, values = at[order], group[order], values[order]
+            edges = np.flatnonzero(np.diff(shard[at], prepend=-1)).tolist()
+            for i, j in zip(edges, [*edges[1:], len(at)]):
+                ends = np.flatnonzero(np.diff(at[i:j], append=-1)) + 1
+                own = [terms[x] for x in at[i:j][ends - 1].tolist()]
+                yield int(shard[at[i]]), (task << 24) + spilled, j - i, packed(
+                    own, ends, group[i:j], values[i:j] % ONE_DOC, values[i:j] // ONE_DOC, groups)
 
         for batch in batches:
             for part in slices(batch, "text"):
                 for lang, source, body in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                     terms = block.setdefault((lang, source), {b"": 0})
                     held -= len(terms)
+                    have = terms.get
                     for term, n in Counter(TERM.findall(body.translate(LOWER))).items():
-                        terms[term] = terms.get(term, 0) + n + ONE_DOC
+                        terms[term] = have(term, 0) + n + ONE_DOC
                     held += len(terms)
                     if held >= HELD:
                         yield from batches_of(spill())
@@ -151,26 +170,29 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
 def joined(table: pa.Table) -> pa.Table:
     """One run of the given ones of a shard."""
-    postings = [(term, g, n, docs) for term, posts in merged(table.column("body").to_pylist()) for g, (n, docs) in posts.items()]
+    terms, at, group, n, docs, groups = merged(table.column("body").to_pylist())
     bundle, shard = table.column("bundle")[0].as_py(), table.column("shard")[0].as_py()
-    return pa.Table.from_batches(list(batches_of([(shard, bundle, len(postings), packed(postings))])))
+    ends = np.flatnonzero(np.diff(at, append=-1)) + 1
+    return pa.Table.from_batches(list(batches_of([(shard, bundle, len(at), packed(terms, ends, group, n, docs, groups))])))
 
 
 def kept(table: pa.Table) -> pa.Table:
     """Terms of a shard with enough documents of a language."""
-    kind = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
-    out: tuple[list, list, list] = ([], [], [])
-    for term, posts in merged(table.column("body").to_pylist()):
-        by_lang: dict[str, list] = {}
-        docs: Counter = Counter()
-        for (lang, source), (n, d) in posts.items():
-            by_lang.setdefault(lang, []).append({"source": source, "n": n})
-            docs[lang] += d
-        for lang, found in by_lang.items():
-            if docs[lang] >= LEAST_DOCS or not term:
-                for column, value in zip(out, (lang, term.decode(), found), strict=True):
-                    column.append(value)
-    return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], kind)], names=["lang", "term", "posts"])
+    terms, at, group, n, docs, groups = merged(table.column("body").to_pylist())
+    langs = sorted({g[0] for g in groups})
+    lang = np.array([langs.index(g[0]) for g in groups])[group]
+    order = np.lexsort((group, lang, at))
+    at, group, n, docs, lang = (x[order] for x in (at, group, n, docs, lang))
+    first = np.flatnonzero(np.diff(at * len(langs) + lang, prepend=-1))
+    sizes = np.diff(np.append(first, len(at)))
+    good = np.add.reduceat(docs, first) >= LEAST_DOCS
+    good |= np.array([not t for t in terms])[at[first]]
+    post = np.repeat(good, sizes)
+    source = pa.array([g[1] for g in groups], pa.string()).take(pa.array(group[post]))
+    posts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[good])), pa.int32()),
+                                     pa.StructArray.from_arrays([source, pa.array(n[post])], ["source", "n"]))
+    return pa.table([pa.array(langs, pa.string()).take(pa.array(lang[first][good])),
+                     pa.array(terms, pa.binary()).take(pa.array(at[first][good])).cast(pa.string()), posts], names=["lang", "term", "posts"])
 
 
 def share(n: Column, whole: Column) -> Column:
@@ -195,10 +217,11 @@ def audit(docs: DataFrame) -> DataFrame:
     # N + V and the p of a term without occurrences, by group; few rows beside the postings
     groups = cut(groups.join(langs, "lang").select(
         "lang", "source", "own", "v", "sources", (F.col("whole") + F.col("v")).alias("whole"), (F.col("all") + F.col("v")).alias("all"))
-        .withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0), F.col("whole")))))
+        .withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0), F.col("whole"))))
+        .withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1))
     known = F.broadcast(groups) if groups.count() <= SMALL else groups
     shares = posts.where(F.col("term") != "").join(known, ["lang", "source"]).select(
-        "lang", "source", "term", "sources", "p0", share(F.col("n"), F.col("whole")).alias("p"),
+        "lang", "source", "number", "term", "sources", "p0", share(F.col("n"), F.col("whole")).alias("p"),
         F.when(F.col("n") > 0, share(F.col("total"), F.col("all"))).alias("q"))
 
     terms = shares.where(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
@@ -216,72 +239,102 @@ def audit(docs: DataFrame) -> DataFrame:
 
 def distances(groups: DataFrame, known: DataFrame, shares: DataFrame) -> DataFrame:
     """(lang, source, item, value) of all pairs of different sources of a language."""
-    mine = groups.select("lang", "source", "p0", "v")
-    other = known.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
+    mine = groups.select("lang", "source", "number", "p0", "v")
+    other = groups.select("lang", F.col("source").alias("item"), F.col("number").alias("other"), F.col("p0").alias("q0"))
     if known is not groups:
         other = F.broadcast(other)
     p, p0, q0, n = map(F.col, ("p", "p0", "q0", "n"))
-    zero, differ = F.lit(0).cast("long"), F.col("source") != F.col("item")
+    zero, differ = F.lit(0).cast("long"), F.col("number") != F.col("other")
     # all terms as if in neither, then a source's own terms as if the other had none of them, either way round
     neither = mine.join(other, "lang").where(differ).select(
-        "lang", "source", "item", F.when(F.col("v") > 0, F.col("v") * apart(p0, q0)).otherwise(zero).alias("value"))
-    equal = cut(shares.groupBy("lang", "source", "p0", "p").agg(F.count("*").alias("n")))
+        "lang", "number", "other", F.when(F.col("v") > 0, F.col("v") * apart(p0, q0)).otherwise(zero).alias("value"))
+    equal = cut(shares.groupBy("lang", "number", "p0", "p").agg(F.count("*").alias("n")))
     one = equal.join(other, "lang").where(differ)
     one = one.select("lang", F.explode(F.array(
-        F.struct("source", "item", (n * (apart(p, q0) - apart(p0, q0))).alias("value")),
-        F.struct(F.col("item").alias("source"), F.col("source").alias("item"), (n * (apart(q0, p) - apart(q0, p0))).alias("value")))).alias("x")
+        F.struct("number", "other", (n * (apart(p, q0) - apart(p0, q0))).alias("value")),
+        F.struct(F.col("other").alias("number"), F.col("number").alias("other"), (n * (apart(q0, p) - apart(q0, p0))).alias("value")))).alias("x")
     ).select("lang", "x.*")
     parts = neither.unionByName(one).unionByName(corrections(shares))
-    return parts.groupBy("lang", "source", "item").agg(F.sum(F.col("value").cast("decimal(20,0)")).cast("long").alias("value"))
+    total = parts.groupBy("lang", "number", "other").agg(F.sum(F.col("value").cast("decimal(20,0)")).cast("long").alias("value"))
+    return total.join(mine.select("lang", "number", "source"), ["lang", "number"]).join(other.select("lang", "other", "item"), ["lang", "other"]).select(
+        "lang", "source", "item", "value")
 
 
 def corrections(shares: DataFrame) -> DataFrame:
     """What terms in both sources change, beside being taken as in one at a time."""
     blocks = F.ceil(F.col("sources") / BLOCK).cast("int")
-    block = F.pmod(F.crc32(F.col("source").cast("binary")), blocks).cast("int")
-    dealt = shares.select("lang", "source", "term", "p", "p0", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("against"),
+    block = F.floor(F.col("number") / BLOCK).cast("int")
+    dealt = shares.select("lang", "number", "term", "p", "p0", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("against"),
                           F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(PARTS)).cast("int").alias("part"))
     key = ["lang", "low", "high", "part"]
     dealt = dealt.withColumn("low", F.least("block", "against")).withColumn("high", F.greatest("block", "against"))
     dealt = dealt.repartition(*key).sortWithinPartitions(*key, "term")
-    return dealt.select(*key, "term", "source", "block", "p", "p0").mapInArrow(streamed, "lang string, source string, item string, value long")
+    return dealt.select(*key, "term", "number", "p", "p0").mapInArrow(streamed, "lang string, number int, other int, value long")
+
+
+def apart_now(p, q):
+    return (p - q) * (p - q) // q
 
 
 def streamed(batches):
-    def rows():
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-    def f(p, q):
-        return (p - q) * (p - q) // q
-
-    for (lang, low, high, _), found in groupby(rows(), itemgetter(0, 1, 2, 3)):
-        place: dict[str, int] = {}
-        blocks: list[int] = []
-        total = np.zeros((16, 16), np.int64)
-        for _, posts in groupby(found, itemgetter(4)):
-            posts = list(posts)
-            if len(posts) < 2:
-                continue
-            for r in posts:
-                if r[5] not in place:
-                    place[r[5]] = len(place)
-                    blocks.append(r[6])
-            if len(place) > len(total):
-                wider = np.zeros((2 * len(place),) * 2, np.int64)
-                wider[:len(total), :len(total)] = total
-                total = wider
-            at = np.array([place[r[5]] for r in posts])
-            p, p0 = np.array([r[7] for r in posts], np.int64), np.array([r[8] for r in posts], np.int64)
-            a, a0 = p[:, None], p0[:, None]
-            total[at[:, None], at] += f(a, p) - f(a, p0) - f(a0, p) + f(a0, p0)
-        names, side = list(place), np.array(blocks)
-        n = len(names)
-        wanted = ~np.eye(n, dtype=bool)
-        if low != high:  # pairs inside a block are taken where it meets itself
-            wanted &= side[:, None] != side
-        i, j = np.nonzero(wanted & (total[:n, :n] != 0))
-        if len(i):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(i), pa.string()), pa.array([names[x] for x in i], pa.string()),
-                 pa.array([names[x] for x in j], pa.string()), pa.array(total[i, j], pa.int64())], names=["lang", "source", "item", "value"])
+    """The corrections of sorted postings, term by term, added up in a matrix for each pair of blocks."""
+    import pyarrow.compute as pc
+
+    total = np.zeros((2 * BLOCK, 2 * BLOCK), np.int64)
+    now, rest = None, None
+
+    def out():
+        lang, low, high, _ = now
+        i, j = np.nonzero(total)
+        different = (i // BLOCK != j // BLOCK) if low != high else (i != j)  # pairs inside a block are taken where it meets itself
+        i, j = i[different], j[different]
+        names = np.array([low, high]) * BLOCK
+        got = pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(i), pa.string()), *(pa.array((names[x // BLOCK] + x % BLOCK).astype(np.int32)) for x in (i, j)),
+             pa.array(total[i, j])], names=["lang", "number", "other", "value"])
+        total[:] = 0
+        return got
+
+    def add(low, high, starts, sizes, number, p, p0):
+        at = number % BLOCK + np.where(number // BLOCK == low, 0, BLOCK)
+        for k in np.unique(sizes).tolist():
+            step = max(1, 1_000_000 // (k * k))
+            every = starts[sizes == k] if k > 1 else starts[:0]
+            for i in range(0, len(every), step):
+                x = every[i:i + step, None] + np.arange(k)
+                a, a0, b, b0 = p[x][:, :, None], p0[x][:, :, None], p[x][:, None], p0[x][:, None]
+                np.add.at(total, (at[x][:, :, None], at[x][:, None]),
+                          apart_now(a, b) - apart_now(a, b0) - apart_now(a0, b) + apart_now(a0, b0))
+
+    for batch in batches:
+        batch = pa.Table.from_batches([batch])
+        if rest is not None:
+            batch = pa.concat_tables([rest, batch])
+        rest, batch = None, batch.combine_chunks()
+        key = [batch.column(c).combine_chunks() for c in ("lang", "low", "high", "part", "term")]
+        size = batch.num_rows
+        differ = [np.asarray(pc.not_equal(c[1:], c[:-1])) for c in key] if size > 1 else [np.zeros(0, bool)] * 5
+        moved = np.append(True, np.logical_or.reduce(differ[:4]))
+        starts = np.flatnonzero(moved | np.append(True, differ[4]))
+        last = int(starts[-1])  # the batch's last term may go on in the next one
+        rest = batch.slice(last)
+        number, p, p0 = (np.asarray(batch.column(c)).astype(np.int64) for c in ("number", "p", "p0"))
+        bounds = np.append(starts, size)
+        edges = [*np.flatnonzero(moved[:last]).tolist(), last] if last else []
+        for i, j in zip(edges, edges[1:]):
+            here = tuple(c[i].as_py() for c in key[:4])
+            if here != now:
+                if now is not None:
+                    yield out()
+                now = here
+            mine = (starts >= i) & (starts < j)
+            add(here[1], here[2], starts[mine], np.diff(bounds)[mine], number, p, p0)
+    if rest is not None:
+        here = tuple(rest.column(c)[0].as_py() for c in ("lang", "low", "high", "part"))
+        if here != now:
+            if now is not None:
+                yield out()
+            now = here
+        number, p, p0 = (np.asarray(rest.column(c)).astype(np.int64) for c in ("number", "p", "p0"))
+        add(here[1], here[2], np.array([0]), np.array([rest.num_rows]), number, p, p0)
+        yield out()
