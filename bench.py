@@ -99,7 +99,7 @@ def pipeline(spark, sf_dir: str, base: str, times: dict | None) -> None:
         "a7_employer_scorecard": lambda: stats.employer_scorecard_lca(lca),
         "a8_employer_scorecard_perm": lambda: stats.employer_scorecard_perm(perm),
         "a9_leaderboard": lambda: stats.leaderboard(
-            search.faceted_filter(lca, LCA, Facets()), lca, perm, "HAS_NEW_OR_TRANSFER_POSITION"),
+            lca, perm, "HAS_NEW_OR_TRANSFER_POSITION", search.facet_condition(lca.columns, LCA, Facets())),
         "a10_kpis": lambda: stats.kpis(search.faceted_filter(lca, LCA, Facets()), "HAS_NEW_OR_TRANSFER_POSITION"),
         "a12_yoy_by_tier": lambda: stats.yoy_by_tier(lca, 1998, 1999),
         "a14_monthly_series": lambda: stats.monthly_series(lca),
@@ -115,8 +115,7 @@ def pipeline(spark, sf_dir: str, base: str, times: dict | None) -> None:
         "q8_persona_shortlist": lambda: search.persona_shortlist(search.persona_matches(lca, titles, PERSONA_KEYWORDS)),
         "k2_lca_cube": lambda: cube.build_cube(lca_mba, LCA)[1],
         "k3_perm_cube": lambda: cube.build_cube(perm_mba, PERM, with_wage_level=False)[1],
-        "k5_employer_meta": lambda: cube.employer_meta(lca, perm, lca_mba, perm_mba, cube.cube_dims(lca_mba, LCA),
-                                                       cube.cube_dims(perm_mba, PERM)),
+        "k5_employer_meta": lambda: cube.employer_meta(lca, perm),
     }
     for name, build in analyses.items():
         timed(name, lambda b=build: run(b()))

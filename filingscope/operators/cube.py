@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.wages import round_half_up
 from filingscope.session import ensure_checkpoint_dir
-from filingscope.operators.entities import match_datasets
-from filingscope.operators.quantiles import with_quantiles
+from filingscope.operators.distribution import distribution, stored
+from filingscope.operators.entities import match_names
 from filingscope.spec import WAGE_LEVELS, FilingsSpec
 
 TOP_N_OCCUPATIONS = 150
@@ -162,22 +162,26 @@ def cube_coverage(facts: DataFrame, mba: DataFrame, dataset: str) -> DataFrame:
                     F.try_divide(F.col("cube_filings").cast("double"), F.col("mba_total").cast("double")).alias("coverage"))
 
 
-def employer_meta(lca_full: DataFrame, perm_full: DataFrame, lca_mba: DataFrame, perm_mba: DataFrame,
-                  lca_dims: CubeDims, perm_dims: CubeDims) -> DataFrame:
-    emp = "EMPLOYER_CANONICAL"
-    employers = lca_dims.employers.select(emp).unionByName(perm_dims.employers.select(emp)).distinct()
-    m = match_datasets(lca_mba, perm_mba).where("sponsors_both")
-    both = m.select(F.col("lca_canonical_name").alias(emp)).unionByName(
-        m.select(F.col("perm_canonical_name").alias(emp))).where(F.col(emp).isNotNull()).distinct() \
-        .withColumn("_both", F.lit(True))
-    mba = F.col("MBA_TIER") != "excluded"
-    ls = lca_full.where(F.col(emp).isNotNull()).groupBy(emp).agg(
+def employer_meta(lca: DataFrame, perm: DataFrame, min_emp: int = MIN_EMPLOYER_FILINGS) -> DataFrame:
+    """Metadata of every employer with ``min_emp`` MBA-relevant filings in either dataset.
+
+    Each dataset is read once: counts by employer (with the payroll's distribution for PERM) give the
+    employer list, the flags, the shares and the names that both datasets share.
+    """
+    emp, mba = "EMPLOYER_CANONICAL", F.col("MBA_TIER") != "excluded"
+    ls = stored(lca.where(F.col(emp).isNotNull()).groupBy(emp).agg(
         F.count(F.lit(1)).alias("_lt"), F.count_if(mba).alias("_lm"),
         F.bool_or(F.coalesce(F.col("WILLFUL_VIOLATOR") == "Y", F.lit(False))).alias("_wv"),
-        F.bool_or(F.coalesce(F.col("H_1B_DEPENDENT") == "Y", F.lit(False))).alias("_dep"))
-    ps = with_quantiles(perm_full.where(F.col(emp).isNotNull()), [emp],
-                        [F.count(F.lit(1)).alias("_pt"), F.count_if(mba).alias("_pm")], "EMP_NUM_PAYROLL", {"_pay": 0.5})
-    j = employers.join(ls, emp, "left").join(ps, emp, "left").join(both, emp, "left")
+        F.bool_or(F.coalesce(F.col("H_1B_DEPENDENT") == "Y", F.lit(False))).alias("_dep")))
+    payroll = distribution(perm, [emp], "EMP_NUM_PAYROLL", {"_pm": mba})
+    ps = stored(payroll.totals().withColumnRenamed("_n", "_pt"))
+    lm, pm = F.col("_lm"), F.col("_pm")
+    m = match_names(*[d.where(n > 0).select(F.col(emp).alias("_name"), n.alias("_n")) for d, n in ((ls, lm), (ps, pm))])
+    both = m.where("sponsors_both").select(F.explode(F.array("lca_canonical_name", "perm_canonical_name")).alias(emp)) \
+        .where(F.col(emp).isNotNull()).distinct().withColumn("_both", F.lit(True))
+    medians = payroll.quantiles({"_pay": 0.5})
+    j = (ls.join(ps, emp, "full").where((lm >= min_emp) | (pm >= min_emp))
+         .join(medians, emp, "left").join(both, emp, "left"))
     return j.select(
         emp,
         F.coalesce("_both", F.lit(False)).alias("both_pipelines"),

@@ -290,8 +290,12 @@ def brand_rollup(df: DataFrame, col: str, out_col: str | None = None) -> DataFra
     )
 
 
-def _side_counts(df: DataFrame, col: str, prefix: str) -> DataFrame:
-    per_name = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+def label_counts(df: DataFrame, col: str = "EMPLOYER_CANONICAL") -> DataFrame:
+    """(_name, _n) of the non-null labels."""
+    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _side_counts(per_name: DataFrame, prefix: str) -> DataFrame:
     keyed = per_name.withColumn("employer_core_key", core_key("_name"))
     return keyed.groupBy("employer_core_key").agg(
         F.min(F.struct((-F.col("_n")).alias("neg"), F.col("_name"))).getField("_name").alias(f"{prefix}_canonical_name"),
@@ -307,8 +311,13 @@ def match_datasets(left: DataFrame, right: DataFrame, lcol: str = "EMPLOYER_CANO
     ``key_on='brand_or_core'`` keeps curated brand labels apart from plain
     names that happen to share their core key (e.g. 'The Citadel').
     """
-    lc = _side_counts(left, lcol, lprefix)
-    rc = _side_counts(right, rcol, rprefix)
+    return match_names(label_counts(left, lcol), label_counts(right, rcol), lprefix, rprefix, key_on)
+
+
+def match_names(left: DataFrame, right: DataFrame, lprefix: str = "lca", rprefix: str = "perm",
+                key_on: str = "core") -> DataFrame:
+    """``match_datasets`` from counted names (_name, _n) of either side."""
+    lc, rc = _side_counts(left, lprefix), _side_counts(right, rprefix)
     if key_on == "brand_or_core":
         spark = left.sparkSession
         brands = spark.createDataFrame([(b,) for b in BRAND_GROUPS], "brand string")

@@ -24,14 +24,13 @@ def bucket_of(value: Column) -> Column:
     return F.when(value < 0, -size - 1).otherwise(size).cast("long")
 
 
-def quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """(by..., one column per quantile) for every group that has a non-null value.
+def ranked(counts: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    """(by..., one column per quantile) from counted values (by..., _v, _n).
 
     ``by`` columns are taken to be not null.  The position is (n - 1) * p; between
     two ranks the values are weighted by their distance to it.
     """
-    counts = (df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).groupBy(*by, F.col(col).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", bucket_of(F.col("_v"))))
+    counts = counts.withColumn("_b", bucket_of(F.col("_v")))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     buckets = (counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_size"))
@@ -56,12 +55,8 @@ def quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float]) -
     return at.select(*by, *out)
 
 
-def with_quantiles(df: DataFrame, by: list[str], aggs: list[Column], col: str, probs: dict[str, float]) -> DataFrame:
-    """``df.groupBy(by).agg(aggs)`` and the quantiles of ``col`` (null for a group without values)."""
-    if by:
-        return df.groupBy(*by).agg(*aggs).join(quantiles(df, by, col, probs), by, "left")
-    one = df.agg(*aggs)
-    whole = quantiles(df.withColumn("_one", F.lit(1)), ["_one"], col, probs)
-    # one row on either side
-    return one.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one", "left").drop("_one")
-
+def quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float]) -> DataFrame:
+    """(by..., one column per quantile) of the rows of ``df``, for every group that has a non-null value."""
+    counts = (df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+              .groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    return ranked(counts, by, probs)

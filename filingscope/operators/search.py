@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.text import keyword_match, literal_contains
-from filingscope.operators.quantiles import with_quantiles
+from filingscope.operators.distribution import distribution
 from filingscope.spec import FilingsSpec
 
 # Example persona -> keyword lists.
@@ -50,22 +50,26 @@ class Facets:
     wage_levels: tuple[str, ...] = field(default=())
 
 
-def faceted_filter(df: DataFrame, spec: FilingsSpec, facets: Facets) -> DataFrame:
-    """Conjunction of facets; an empty facet does not restrict (tiers always apply)."""
-    out = df.where(F.col("MBA_TIER").isin(*facets.tiers))
+def facet_condition(columns, spec: FilingsSpec, facets: Facets) -> Column:
+    """Conjunction of facets over rows with these ``columns``; an empty facet does not restrict (tiers always apply)."""
+    out = F.col("MBA_TIER").isin(*facets.tiers)
     if facets.hire_only:
-        out = out.where(F.col(spec.hire_flag_col))
+        out = out & F.col(spec.hire_flag_col)
     if facets.titles:
-        out = out.where(F.col(spec.occupation_col).isin(*facets.titles))
+        out = out & F.col(spec.occupation_col).isin(*facets.titles)
     if facets.states:
-        out = out.where(F.col(spec.state_col).isin(*facets.states))
+        out = out & F.col(spec.state_col).isin(*facets.states)
     if facets.sectors:
-        out = out.where(F.col("NAICS_SECTOR").isin(*facets.sectors))
-    if facets.wage_levels and "WAGE_LEVEL" in df.columns:
-        out = out.where(F.col("WAGE_LEVEL").isin(*facets.wage_levels))
+        out = out & F.col("NAICS_SECTOR").isin(*facets.sectors)
+    if facets.wage_levels and "WAGE_LEVEL" in columns:
+        out = out & F.col("WAGE_LEVEL").isin(*facets.wage_levels)
     return out
 
 
+def faceted_filter(df: DataFrame, spec: FilingsSpec, facets: Facets) -> DataFrame:
+    return df.where(facet_condition(df.columns, spec, facets))
+
+
 def keyword_search(df: DataFrame, keywords, title_cols) -> DataFrame:
     return df.where(keyword_match(keywords, title_cols, available=set(df.columns)))
 
@@ -152,8 +156,8 @@ def persona_fy_counts(matched: DataFrame, max_quarter: int = 3) -> DataFrame:
 
 
 def persona_wages(matched: DataFrame, wage: str = "ANNUAL_WAGE") -> DataFrame:
-    return with_quantiles(matched.where(F.col(wage).isNotNull()), ["persona"], [F.count(wage).alias("wage_n")], wage,
-                          {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    d = distribution(matched.where(F.col(wage).isNotNull()), ["persona"], wage)
+    return d.summary({"p25": 0.25, "median": 0.5, "p75": 0.75}).withColumnRenamed("_n", "wage_n")
 
 
 def persona_level_shares(matched: DataFrame, level: str = "PW_WAGE_LEVEL") -> DataFrame:
@@ -168,8 +172,9 @@ def persona_flag_share(matched: DataFrame, flag: str = "IS_NEW_EMPLOYMENT") -> D
 def persona_shortlist(matched: DataFrame, levels=("II", "III"), min_filings: int = 2,
                       wage: str = "ANNUAL_WAGE_FROM", employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
     src = matched.where(F.col("PW_WAGE_LEVEL").isin(*levels) & F.col(employer).isNotNull())
-    return (with_quantiles(src, ["persona", employer], [F.count(F.lit(1)).alias("matched_filings")], wage, {"median_wage": 0.5})
-            .where(F.col("matched_filings") >= min_filings)
+    d = distribution(src, ["persona", employer], wage)
+    enough = d.totals().where(F.col("_n") >= min_filings).withColumnRenamed("_n", "matched_filings")
+    return (enough.join(d.quantiles({"median_wage": 0.5}), ["persona", employer], "left")
             .orderBy("persona", F.desc("matched_filings"), F.asc(employer)))
 
 

@@ -1,11 +1,11 @@
 """Aggregations, scorecards and distribution summaries (A1-A29).
 
-Every scorecard is a single ``groupBy`` with conditional aggregates (map-side
-partial aggregation, one shuffle of partial results), never a join of several
-grouped frames.  Pandas-style semantics are kept explicitly: group keys that
-are null are dropped (unless asked otherwise), ratios with a zero
-denominator are null, and medians are exact (``operators.quantiles``: no task
-holds a group's values).
+Every scorecard reads its filings once, into one grouped pass with conditional
+counts (map-side partial aggregation): by group alone, or by group and value where
+quantiles are asked for (``operators.distribution``).  Pandas-style semantics are
+kept explicitly: group keys that are null are dropped (unless asked otherwise),
+ratios with a zero denominator are null, and medians are exact (no task holds a
+group's values).
 
 Small result tables (a handful of quarters, tiers, bins) may be finished
 with an un-partitioned window; those windows only ever see aggregated rows.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.flags import not_denied, yes_flag
 from filingscope.functions.wages import round_half_up
-from filingscope.operators.quantiles import quantiles, with_quantiles
+from filingscope.operators.distribution import distribution, stored
 from filingscope.spec import WAGE_LEVELS
 
 
@@ -95,24 +95,23 @@ def cert_rate(df: DataFrame, by=()) -> DataFrame:
 
 def scorecard(df: DataFrame, by: str, wage: str | None = "ANNUAL_WAGE", cert: bool = True) -> DataFrame:
     """filings, cert rate over decided rows, optional median bounded wage."""
-    aggs = [F.count(F.lit(1)).alias("filings")]
+    counts = {"certified": F.col("CERTIFIED"), "decided": F.col("DECIDED")} if cert else {}
+    if wage:
+        g = distribution(df, [by], wage, counts).summary({"median_annual_wage": 0.5}).withColumnRenamed("_n", "filings")
+    else:
+        g = _drop_null_keys(df, [by]).groupBy(by).agg(F.count(F.lit(1)).alias("filings"), *[F.count_if(c).alias(n) for n, c in counts.items()])
     if cert:
-        aggs.append(rate(F.count_if("CERTIFIED"), F.count_if("DECIDED")).alias("cert_rate"))
-    src = _drop_null_keys(df, [by])
-    g = with_quantiles(src, [by], aggs, wage, {"median_annual_wage": 0.5}) if wage else src.groupBy(by).agg(*aggs)
-    return g.orderBy(F.desc("filings"), F.asc(by))
+        g = g.withColumn("cert_rate", rate(F.col("certified"), F.col("decided")))
+    return g.select(by, "filings", *["cert_rate"] * cert, *["median_annual_wage"] * bool(wage)).orderBy(F.desc("filings"), F.asc(by))
 
 
 def kpis(df: DataFrame, signal_flag: str) -> DataFrame:
-    aggs = [
-        F.count(F.lit(1)).alias("matched"),
-        F.count_if("DECIDED").alias("decided"),
-        rate(F.count_if("CERTIFIED"), F.count_if("DECIDED")).alias("cert_rate"),
-        F.count("ANNUAL_WAGE").alias("wage_n"),
-        share(signal_flag).alias("signal_share"),
-    ]
-    return with_quantiles(df, [], aggs, "ANNUAL_WAGE", {"median_wage": 0.5}).select(
-        "matched", "decided", "cert_rate", "median_wage", "wage_n", "signal_share")
+    d = distribution(df, [], "ANNUAL_WAGE", {
+        "decided": F.col("DECIDED"), "certified": F.col("CERTIFIED"), "wage_n": F.col("ANNUAL_WAGE").isNotNull(),
+        "signalled": F.col(signal_flag), "asked": F.col(signal_flag).isNotNull()})
+    return d.summary({"median_wage": 0.5}).select(
+        F.col("_n").alias("matched"), "decided", rate(F.col("certified"), F.col("decided")).alias("cert_rate"), "median_wage",
+        "wage_n", rate(F.col("signalled"), F.col("asked")).alias("signal_share"))
 
 
 # -- A6 / A7 / A8 ---------------------------------------------------------------
@@ -126,34 +125,34 @@ def employer_mix(df: DataFrame, employer: str = "EMPLOYER_CANONICAL", min_filing
     return g.where(F.col("total") >= min_filings).orderBy(F.desc("mba_share"), F.desc("mba_relevant"), F.asc(employer))
 
 
+def _employer_scorecard(df: DataFrame, employer: str, min_filings: int, value: str, median: str, counts: dict[str, Column],
+                        shares: dict[str, tuple[str, str]], extra: list[Column]) -> DataFrame:
+    """Columns of both employer scorecards from one distribution; ``shares``: name -> (count, of)."""
+    relevant = F.col("MBA_TIER") != "excluded"
+    d = distribution(df, [employer], value, {"total_filings": F.col("MBA_TIER").isNotNull(), "mba_relevant_filings": relevant, **counts})
+    enough = F.col("mba_relevant_filings") >= min_filings
+    g = d.totals().where(enough).join(d.quantiles({median: 0.5}), employer, "left")
+    return g.select(
+        employer, "total_filings", "mba_relevant_filings", *[rate(F.col(a), F.col(b)).alias(name) for name, (a, b) in shares.items()], *extra,
+        median, rate(F.col("mba_relevant_filings"), F.col("total_filings")).alias("mba_share")).orderBy(
+        F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
+
+
 def employer_scorecard_lca(df: DataFrame, min_filings: int = 10, employer: str = "EMPLOYER_CANONICAL",
                            hire_flag: str = "IS_NEW_HIRE", wage: str = "ANNUAL_WAGE_FROM") -> DataFrame:
-    aggs = [
-        F.count("MBA_TIER").alias("total_filings"),
-        F.count_if(F.col("MBA_TIER") != "excluded").alias("mba_relevant_filings"),
-        share(not_denied("CASE_STATUS")).alias("certified"),
-        share(hire_flag).alias("new_position_share"),
-        F.bool_or(yes_flag("WILLFUL_VIOLATOR")).alias("any_willful_violator"),
-        F.bool_or(yes_flag("H_1B_DEPENDENT")).alias("any_h1b_dependent"),
-    ]
-    g = with_quantiles(_drop_null_keys(df, [employer]), [employer], aggs, wage, {"median_annual_wage": 0.5})
-    g = g.withColumn("mba_share", rate(F.col("mba_relevant_filings"), F.col("total_filings")))
-    return g.where(F.col("mba_relevant_filings") >= min_filings).orderBy(
-        F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
+    counts = {"_kept": not_denied("CASE_STATUS"), "_hired": F.col(hire_flag), "_asked": F.col(hire_flag).isNotNull(),
+              "_willful": yes_flag("WILLFUL_VIOLATOR"), "_dependent": yes_flag("H_1B_DEPENDENT")}
+    return _employer_scorecard(
+        df, employer, min_filings, wage, "median_annual_wage", counts,
+        {"certified": ("_kept", "_n"), "new_position_share": ("_hired", "_asked")},
+        [(F.col("_willful") > 0).alias("any_willful_violator"), (F.col("_dependent") > 0).alias("any_h1b_dependent")])
 
 
 def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
-    aggs = [
-        F.count("MBA_TIER").alias("total_filings"),
-        F.count_if(F.col("MBA_TIER") != "excluded").alias("mba_relevant_filings"),
-        share(not_denied("CASE_STATUS")).alias("certified"),
-        share(yes_flag("OTHER_REQ_IS_FW_CURRENTLY_WRK", "N")).alias("external_hire_share"),
-    ]
-    g = with_quantiles(_drop_null_keys(df, [employer]), [employer], aggs, "EMP_NUM_PAYROLL",
-                       {"median_company_payroll": 0.5})
-    g = g.withColumn("mba_share", rate(F.col("mba_relevant_filings"), F.col("total_filings")))
-    return g.where(F.col("mba_relevant_filings") >= min_filings).orderBy(
-        F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
+    counts = {"_kept": not_denied("CASE_STATUS"), "_external": yes_flag("OTHER_REQ_IS_FW_CURRENTLY_WRK", "N")}
+    return _employer_scorecard(
+        df, employer, min_filings, "EMP_NUM_PAYROLL", "median_company_payroll", counts,
+        {"certified": ("_kept", "_n"), "external_hire_share": ("_external", "_n")}, [])
 
 
 # -- A11 / A12 / A13 ------------------------------------------------------------
@@ -220,10 +219,14 @@ def seasonality(df: DataFrame, date_col: str = "RECEIVED_DATE") -> DataFrame:
 # -- A16 / A17 ------------------------------------------------------------------
 
 def missingness(df: DataFrame) -> DataFrame:
+    """Share of nulls of every column that has any, in percent to one place, the largest first (ties by name)."""
     cols = df.columns
-    wide = df.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100).alias(c) for c in cols])
-    long = wide.unpivot([], cols, "column_name", "pct_missing")
-    return long.where(F.col("pct_missing") > 0)
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    long = wide.unpivot(["_rows"], cols, "column_name", "_nulls").where(F.col("_nulls") > 0)
+    # half up on whole numbers: thousandths of the rows, plus a half
+    tenths = F.floor((F.col("_nulls") * 2000 + F.col("_rows")) / (F.col("_rows") * 2))
+    return long.select("column_name", (tenths / 10).alias("pct_missing"), "_nulls").orderBy(
+        F.desc("_nulls"), "column_name").drop("_nulls")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -238,16 +241,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 # -- A18 - A21 ------------------------------------------------------------------
 
 def describe(df: DataFrame, col: str, by=()) -> DataFrame:
-    src = _drop_null_keys(df.where(F.col(col).isNotNull()), by)
-    aggs = [
-        F.count(col).alias("count"),
-        round_half_up(F.avg(col), 4).alias("mean"),
-        round_half_up(F.stddev_samp(col), 4).alias("std"),
-        F.min(col).alias("min"),
-        F.max(col).alias("max"),
-    ]
-    return with_quantiles(src, list(by), aggs, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(
-        *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return distribution(df.where(F.col(col).isNotNull()), list(by), col).describe()
 
 
 def histogram(df: DataFrame, col: str, bins: int, log10: bool = False, lo: float | None = None,
@@ -259,63 +253,34 @@ def histogram(df: DataFrame, col: str, bins: int, log10: bool = False, lo: float
     """
     x = F.col(col)
     src = df.where(x.isNotNull())
-    if lo is not None:
-        src = src.where(x > lo)
-    if hi is not None:
-        src = src.where(x < hi)
-    v = F.log10(x) if log10 else x
-    vals = src.select(v.alias("v"))
-    bounds = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    width = (F.col("mx") - F.col("mn"))
-    # bounds is exactly one row: attach it with a broadcast equi-join on a constant key
-    b1 = bounds.withColumn("_k", F.lit(1))
-    tagged = vals.withColumn("_k", F.lit(1)).join(F.broadcast(b1), "_k")
-    idx = F.least(F.floor((F.col("v") - F.col("mn")) * (F.lit(float(bins)) / width)) + 1, F.lit(bins))
-    idx = F.when(width == 0, F.lit(1)).otherwise(idx).cast("int")
-    counts = tagged.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("filings"))
-    edges = b1.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "mn", "mx")
-    return edges.join(counts, "bin", "left").select(
-        "bin",
-        round_half_up(F.col("mn") + (F.col("mx") - F.col("mn")) * (F.col("bin") - 1) / bins, 4).alias("bin_lo"),
-        round_half_up(F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("bin") / bins, 4).alias("bin_hi"),
-        F.coalesce("filings", F.lit(0)).cast("long").alias("filings"),
-    )
+    src = src if lo is None else src.where(x > lo)
+    src = src if hi is None else src.where(x < hi)
+    return distribution(src, [], col).histogram(bins, log10)
 
 
 def box_stats(df: DataFrame, col: str, by: str = "MBA_TIER", whisker: float = 1.5) -> DataFrame:
     """Quartiles, Tukey whiskers (most extreme points inside the fences), outlier count."""
-    src = _drop_null_keys(df.where(F.col(col).isNotNull()), [by])
-    q = quantiles(src, [by], col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
-        .withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \
-        .withColumn("hi_fence", F.col("q3") + whisker * F.col("iqr"))
-    # q has one row per group value; AQE broadcasts it after measuring it
-    j = src.join(q, by)
-    x = F.col(col)
-    inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
-    return j.groupBy(by, "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(inside, x)).alias("whisker_low"),
-        F.max(F.when(inside, x)).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
-    )
+    return distribution(df.where(F.col(col).isNotNull()), [by], col).box(whisker)
 
 
 # -- A22 - A24 ------------------------------------------------------------------
 
-def _top_keys(df: DataFrame, col: str, k: int, name: str) -> DataFrame:
-    counts = value_counts(df, col, k=k, count_name="_n")
-    return counts.withColumn(name, F.row_number().over(Window.orderBy(F.desc("_n"), F.asc(col)))).drop("_n")
+def crosstab_top(df: DataFrame, row: str, col: str, n_rows: int = 15, n_cols: int = 8) -> DataFrame:
+    """Long-form crosstab cells for the top rows and, within those rows, top columns.
 
+    Row totals (rows without a column value included), column totals and cells come from one stored count.
+    """
+    counts = stored(df.where(F.col(row).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("filings")))
+    top_rows = _ranked_top(counts.groupBy(row).agg(F.sum("filings").alias("_t")), row, n_rows, "row_rank")
+    cells = counts.where(F.col(col).isNotNull()).join(F.broadcast(top_rows), row)
+    top_cols = _ranked_top(cells.groupBy(col).agg(F.sum("filings").alias("_t")), col, n_cols, "col_rank")
+    return cells.select(row, "row_rank", col, "filings").join(F.broadcast(top_cols), col)
 
-def crosstab_top(df: DataFrame, row: str, col: str, n_rows: int = 15, n_cols: int = 8) -> DataFrame:
-    """Long-form crosstab cells for the top rows and, within those rows, top columns."""
-    top_rows = _top_keys(df, row, n_rows, "row_rank")
-    cells = _drop_null_keys(df, [row, col]).join(F.broadcast(top_rows), row) \
-        .groupBy(row, "row_rank", col).agg(F.count(F.lit(1)).alias("filings"))
-    col_tot = cells.groupBy(col).agg(F.sum("filings").alias("_t"))
-    top_cols = col_tot.orderBy(F.desc("_t"), F.asc(col)).limit(n_cols) \
-        .withColumn("col_rank", F.row_number().over(Window.orderBy(F.desc("_t"), F.asc(col)))).drop("_t")
-    return cells.join(F.broadcast(top_cols), col)
+
+def _ranked_top(totals: DataFrame, key: str, k: int, name: str) -> DataFrame:
+    """The ``k`` keys of the largest ``_t`` with their ranks (k rows in the window)."""
+    order = [F.desc("_t"), F.asc(key)]
+    return totals.orderBy(*order).limit(k).select(key, F.row_number().over(Window.orderBy(*order)).alias(name))
 
 
 def level_pivot(df: DataFrame, row: str = "SOC_TITLE", level_col: str = "PW_WAGE_LEVEL",
@@ -338,44 +303,38 @@ def wage_level_mix(df: DataFrame) -> DataFrame:
 
 # -- A9 leaderboard ---------------------------------------------------------------
 
-def leaderboard(filtered: DataFrame, full: DataFrame, other: DataFrame, signal_flag: str,
-                min_filings: int = 3, k: int = 300, lca_flags: bool = True,
+def leaderboard(df: DataFrame, other: DataFrame, signal_flag: str, where: Column | None = None,
+                min_filings: int = 3, k: int | None = 300, lca_flags: bool = True,
                 roles=(), employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
-    """Employer ranking over a filtered set, with the MBA mix taken from the
-    unfiltered dataset and a history flag from the other dataset.
+    """Employer ranking over the rows of ``df`` that fulfil ``where``, with the MBA mix taken from all its
+    rows and a history flag from the other dataset; all employers for ``k`` None.
 
-    Three aggregated inputs (filtered groups, full-dataset totals, distinct
-    employers of the other dataset) are joined on the employer key; each is
-    one row per employer, so no join here touches filing rows.
+    ``df`` is read once: the filter is a condition of the counts, and a row outside it has no wage.
+    The joined inputs are one row per employer.
     """
     from filingscope.functions.flags import search_link, yes_label
     from filingscope.operators.entities import history_flag
 
-    aggs = [
-        F.count(F.lit(1)).alias("filings"),
-        F.count_if("CERTIFIED").alias("_cert"),
-        F.count_if("DECIDED").alias("_dec"),
-        share(signal_flag).alias("_signal"),
-    ]
+    inside = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    counts = {"filings": inside, "_cert": inside & F.col("CERTIFIED"), "_dec": inside & F.col("DECIDED"),
+              "_signal": inside & F.col(signal_flag), "_asked": inside & F.col(signal_flag).isNotNull(),
+              "_mba": F.col("MBA_TIER") != "excluded"}
     if lca_flags:
-        aggs += [F.bool_or(yes_flag("WILLFUL_VIOLATOR")).alias("_wv"),
-                 F.bool_or(yes_flag("H_1B_DEPENDENT")).alias("_dep")]
-    src = _drop_null_keys(filtered, [employer])
-    g = with_quantiles(src, [employer], aggs, "ANNUAL_WAGE", {"median_wage": 0.5}).where(F.col("filings") >= min_filings)
-    totals = _drop_null_keys(full, [employer]).groupBy(employer).agg(
-        F.count(F.lit(1)).alias("_total"), F.count_if(F.col("MBA_TIER") != "excluded").alias("_mba"))
-    g = g.join(totals, employer, "left")
+        counts |= {"_wv": inside & yes_flag("WILLFUL_VIOLATOR"), "_dep": inside & yes_flag("H_1B_DEPENDENT")}
+    d = distribution(df, [employer], F.when(inside, F.col("ANNUAL_WAGE")), counts)
+    g = d.totals().where(F.col("filings") >= min_filings).join(d.quantiles({"median_wage": 0.5}), employer, "left")
     g = history_flag(g, other, employer, "_hist")
     role_text = ", ".join(sorted(roles)[:2]) if roles else "MBA"
     cols = [
         employer, "filings",
-        (F.when(F.col("_mba") > 0, F.col("_mba") / F.col("_total")) * 100).alias("mba_mix_pct"),
+        (F.when(F.col("_mba") > 0, F.col("_mba") / F.col("_n")) * 100).alias("mba_mix_pct"),
         (rate(F.col("_cert"), F.col("_dec")) * 100).alias("cert_rate_pct"),
-        (F.col("_signal") * 100).alias("signal_pct"),
+        (rate(F.col("_signal"), F.col("_asked")) * 100).alias("signal_pct"),
         "median_wage",
         yes_label("_hist").alias("other_history"),
         search_link(F.col(employer), F.lit(role_text)).alias("search_link"),
     ]
     if lca_flags:
-        cols += [yes_label("_wv").alias("willful_violator"), yes_label("_dep").alias("h1b_dependent")]
-    return g.select(*cols).orderBy(F.desc("filings"), F.asc(employer)).limit(k)
+        cols += [yes_label(F.col("_wv") > 0).alias("willful_violator"), yes_label(F.col("_dep") > 0).alias("h1b_dependent")]
+    out = g.select(*cols).orderBy(F.desc("filings"), F.asc(employer))
+    return out if k is None else out.limit(k)

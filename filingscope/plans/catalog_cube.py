@@ -131,9 +131,7 @@ FROM emps e LEFT JOIN ls ON ls.EMPLOYER_CANONICAL = e.EMPLOYER_CANONICAL
 LEFT JOIN ps ON ps.EMPLOYER_CANONICAL = e.EMPLOYER_CANONICAL LEFT JOIN both_names b ON b.name = e.EMPLOYER_CANONICAL""")
 def k5_employer_meta(spark, sf_dir):
     ds = _ds(spark, sf_dir)
-    lca_mba, perm_mba = ds.lca_mba(), ds.perm_mba()
-    return cube.employer_meta(ds.lca, ds.perm, lca_mba, perm_mba, cube.cube_dims(lca_mba, LCA),
-                              cube.cube_dims(perm_mba, PERM))
+    return cube.employer_meta(ds.lca, ds.perm)
 
 
 K6_SQL = f"""

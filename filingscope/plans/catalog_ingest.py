@@ -168,7 +168,7 @@ def s7_cube_sink_lca(spark, sf_dir):
     ds = _ds(spark, sf_dir)
     lca_mba, perm_mba = ds.lca_mba(), ds.perm_mba()
     dims, facts = cube.build_cube(lca_mba, LCA)
-    meta = cube.employer_meta(ds.lca, ds.perm, lca_mba, perm_mba, dims, cube.cube_dims(perm_mba, PERM))
+    meta = cube.employer_meta(ds.lca, ds.perm)
     path = scratch_path(spark, "cube")
     sinks.write_cube(facts, dims, meta, path)
     return spark.read.parquet(f"{path}/facts")
@@ -194,7 +194,7 @@ def s7_cube_document(spark, sf_dir):
     cubes = {"lca": cube.build_cube(lca_mba, LCA), "perm": cube.build_cube(perm_mba, PERM, with_wage_level=False)}
     coverage = cube.cube_coverage(cubes["lca"][1], lca_mba, "lca").unionByName(
         cube.cube_coverage(cubes["perm"][1], perm_mba, "perm"))
-    meta = cube.employer_meta(ds.lca, ds.perm, lca_mba, perm_mba, cubes["lca"][0], cubes["perm"][0])
+    meta = cube.employer_meta(ds.lca, ds.perm)
     path = scratch_path(spark, "cube-document")
     sinks.write_cube_document(cubes, coverage, k6_cube_yoy(spark, sf_dir), meta, path)
     read = [(f"{d}/{part}", spark.read.parquet(f"{path}/{d}/{part}"), col) for d in cubes for part, col in (

@@ -247,24 +247,22 @@ LCA_FLAG_COLS = (", CASE WHEN g.wv THEN 'Yes' ELSE '' END AS willful_violator, "
                                                    extra=LCA_FLAG_AGGS, extra_cols=LCA_FLAG_COLS, link=LINK_SQL),
           lca_where=APP_LCA)
 def a9_leaderboard_lca(spark, sf_dir):
-    from filingscope.operators.search import Facets, faceted_filter
+    from filingscope.operators.search import Facets, facet_condition
     from filingscope.spec import LCA
     ds = _app(spark, sf_dir)
     lca = ds.lca
-    filtered = faceted_filter(lca, LCA, Facets())
-    return stats.leaderboard(filtered, lca, ds.perm, "HAS_NEW_OR_TRANSFER_POSITION")
+    return stats.leaderboard(lca, ds.perm, "HAS_NEW_OR_TRANSFER_POSITION", facet_condition(lca.columns, LCA, Facets()))
 
 
 @register("a9_leaderboard_perm", BOARD_SQL.format(t="perm_e", o="lca_e", flag="IS_EXTERNAL_HIRE",
                                                     extra="", extra_cols="", link=LINK_SQL),
           lca_where=APP_LCA)
 def a9_leaderboard_perm(spark, sf_dir):
-    from filingscope.operators.search import Facets, faceted_filter
+    from filingscope.operators.search import Facets, facet_condition
     from filingscope.spec import PERM
     ds = _app(spark, sf_dir)
     perm = ds.perm
-    filtered = faceted_filter(perm, PERM, Facets())
-    return stats.leaderboard(filtered, perm, ds.lca, "IS_EXTERNAL_HIRE", lca_flags=False)
+    return stats.leaderboard(perm, ds.lca, "IS_EXTERNAL_HIRE", facet_condition(perm.columns, PERM, Facets()), lca_flags=False)
 
 
 KPI_SQL = f"""
@@ -392,8 +390,10 @@ LCA_MASTER_TYPES = {
 }
 
 MISSING_SQL = ("SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS pct_missing FROM lca"
-    for c in LCA_MASTER_TYPES) + ") WHERE pct_missing > 0")
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, "
+    f"floor((2000 * (count(*) - count({c})) + count(*)) // (2 * count(*))) / 10 AS pct_missing FROM lca"
+    for c in LCA_MASTER_TYPES) + ") WHERE nulls > 0 ORDER BY nulls DESC, column_name")
+MISSING_SQL = MISSING_SQL.replace("SELECT * FROM", "SELECT column_name, pct_missing FROM", 1)
 
 PROFILE_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS non_null, '{t}' AS dtype FROM lca"
@@ -402,7 +402,7 @@ PROFILE_SQL = " UNION ALL ".join(
 
 @register("a16_missingness_lca", MISSING_SQL)
 def a16_missingness_lca(spark, sf_dir):
-    return stats.missingness(_ds(spark, sf_dir).lca_master).orderBy(F.desc("pct_missing"), "column_name")
+    return stats.missingness(_ds(spark, sf_dir).lca_master)
 
 
 @register("a17_column_profile_lca", PROFILE_SQL)

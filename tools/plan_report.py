@@ -69,8 +69,8 @@ def main() -> None:
     queries = {
         "a4_sector_scorecard": stats.scorecard(lca_mba, "NAICS_SECTOR"),
         "a7_employer_scorecard": stats.employer_scorecard_lca(lca),
-        "a9_leaderboard": stats.leaderboard(search.faceted_filter(lca, LCA, Facets()), lca, perm,
-                                            "HAS_NEW_OR_TRANSFER_POSITION"),
+        "a9_leaderboard": stats.leaderboard(lca, perm, "HAS_NEW_OR_TRANSFER_POSITION",
+                                            search.facet_condition(lca.columns, LCA, Facets())),
         "a12_yoy_by_tier": stats.yoy_by_tier(lca, 1998, 1999),
         "a21_box_stats": stats.box_stats(lca, "ANNUAL_WAGE"),
         "a22_crosstab_top": stats.crosstab_top(lca_mba, "SOC_TITLE", "NAICS_SECTOR"),
@@ -79,8 +79,7 @@ def main() -> None:
         "q7_persona_top_employers": search.top_per_persona(search.persona_matches(lca, titles, PERSONA_KEYWORDS),
                                                            "EMPLOYER_CANONICAL", 15, 3),
         "k2_lca_cube": cube.build_cube(lca_mba, LCA)[1],
-        "k5_employer_meta": cube.employer_meta(lca, perm, lca_mba, perm_mba, cube.cube_dims(lca_mba, LCA),
-                                               cube.cube_dims(perm_mba, PERM)),
+        "k5_employer_meta": cube.employer_meta(lca, perm),
     }
     for name, df in queries.items():
         rows.append((name, summarise(final_plan(df))))
