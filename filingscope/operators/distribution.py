@@ -5,7 +5,8 @@ folder.  Rows without a value are one cell of their group, so a group's plain co
 Equal values are one row whatever their number; cells of two batches add up (``merge``), so a stored
 distribution can follow its table.  Nothing below reads the filings again.
 
-Exact quantiles never sort a group's values in one task: a bucket is a fixed, order-preserving function of the value
+Exact quantiles never hold an unbounded group in one task.  A group of at most ``SMALL`` cells takes Spark's counted
+percentile in the same pass as its totals.  For others a bucket is a fixed, order-preserving function of the value
 (1/256 octave), bucket totals give each bucket's first rank, and only the buckets that hold a wanted rank are sorted.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from filingscope.functions.wages import round_half_up
@@ -22,6 +23,8 @@ from filingscope.operators.quantiles import ranked
 from filingscope.session import ensure_checkpoint_dir
 
 VALUE, N = "_v", "_n"
+#: Cells of a group whose quantiles one task may take.
+SMALL = 250_000
 
 
 @dataclass(frozen=True)
@@ -30,21 +33,36 @@ class Distribution:
     cells: DataFrame
     by: tuple[str, ...]
     counts: tuple[str, ...] = ()
+    size: int | None = None  # number of cells, where known
+
+    def _sums(self) -> list[Column]:
+        return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in (N, *self.counts)]
 
     def totals(self) -> DataFrame:
         """(by..., _n, counts...) of whole groups; one row without ``by``, also for an empty table."""
-        grouped = self.cells.groupBy(*self.by) if self.by else self.cells
-        return grouped.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in (N, *self.counts)])
+        return (self.cells.groupBy(*self.by) if self.by else self.cells).agg(*self._sums())
+
+    def _few(self) -> bool:
+        return self.size is not None and self.size <= SMALL
 
     def quantiles(self, probs: Mapping[str, float]) -> DataFrame:
         """(by..., one column per quantile) of every group that has a value; ranks between two values are weighted."""
         by = list(self.by) or ["_one"]
         have = self.cells.where(F.col(VALUE).isNotNull())
-        have = have if self.by else have.withColumn("_one", F.lit(1))
-        return ranked(have.select(*by, VALUE, N), by, dict(probs))
+        have = (have if self.by else have.withColumn("_one", F.lit(1))).select(*by, VALUE, N)
+        if self._few():
+            return counted_percentiles(have.groupBy(*by), [], probs).select(*by, *probs)
+        large = stored(have.groupBy(*by).agg(F.count(F.lit(1)).alias("_cells")).where(F.col("_cells") > SMALL).select(*by))
+        if large.isEmpty():
+            return counted_percentiles(have.groupBy(*by), [], probs).select(*by, *probs)
+        small = counted_percentiles(have.join(large, by, "left_anti").groupBy(*by), [], probs)
+        return small.select(*by, *probs).unionByName(ranked(have.join(large, by, "left_semi"), by, dict(probs)))
 
     def summary(self, probs: Mapping[str, float]) -> DataFrame:
         """``totals`` with the quantiles (null for a group without values)."""
+        if self._few():
+            shown = [*self.by, N, *self.counts, *probs]
+            return counted_percentiles(self.cells.groupBy(*self.by) if self.by else self.cells, self._sums(), probs).select(*shown)
         if self.by:
             return self.totals().join(self.quantiles(probs), list(self.by), "left")
         return self.totals().withColumn("_one", F.lit(1)).join(F.broadcast(self.quantiles(probs)), "_one", "left").drop("_one")
@@ -55,7 +73,7 @@ class Distribution:
             raise ValueError("distributions of different groups or counts don't add up")
         both = self.cells.unionByName(other.cells).groupBy(*self.by, VALUE).agg(
             *[F.sum(c).cast("long").alias(c) for c in (N, *self.counts)])
-        return Distribution(stored(both), self.by, self.counts)
+        return kept(both, self.by, self.counts)
 
     def describe(self) -> DataFrame:
         """(by..., count, mean, std, min, p25, p50, p75, max) of the groups that have values; one row without ``by``."""
@@ -118,6 +136,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(cells: DataFrame, by: tuple[str, ...], counts: tuple[str, ...]) -> Distribution:
+    """Store the cells; their number is observed on the way."""
+    seen = Observation()
+    frame = stored(cells.observe(seen, F.count(F.lit(1)).alias("cells")))
+    return Distribution(frame, by, counts, seen.get["cells"])
+
+
+def counted_percentiles(grouped, sums: list[Column], probs: Mapping[str, float]) -> DataFrame:
+    """``grouped.agg`` of the sums and of all quantiles of the counted values, in one pass."""
+    name = list(probs)
+    at = F.percentile(F.col(VALUE), [float(probs[p]) for p in name], F.col(N)).alias("_at")
+    return grouped.agg(*sums, at).withColumns({p: F.col("_at")[i] for i, p in enumerate(name)}).drop("_at")
+
+
 def value_of(col: str | Column) -> Column:
     """A numeric column as the cells hold it: not-a-number counts as no value."""
     value = (F.col(col) if isinstance(col, str) else col).cast("double")
@@ -131,4 +163,4 @@ def distribution(df: DataFrame, by: list[str], value: str | Column, counts: Mapp
     counts = dict(counts or {})
     cells = df.groupBy(*by, value_of(value).alias(VALUE)).agg(
         F.count(F.lit(1)).alias(N), *[F.count_if(c).alias(name) for name, c in counts.items()])
-    return Distribution(stored(cells), tuple(by), tuple(counts))
+    return kept(cells, tuple(by), tuple(counts))

@@ -173,8 +173,8 @@ def persona_shortlist(matched: DataFrame, levels=("II", "III"), min_filings: int
                       wage: str = "ANNUAL_WAGE_FROM", employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
     src = matched.where(F.col("PW_WAGE_LEVEL").isin(*levels) & F.col(employer).isNotNull())
     d = distribution(src, ["persona", employer], wage)
-    enough = d.totals().where(F.col("_n") >= min_filings).withColumnRenamed("_n", "matched_filings")
-    return (enough.join(d.quantiles({"median_wage": 0.5}), ["persona", employer], "left")
+    enough = d.summary({"median_wage": 0.5}).where(F.col("_n") >= min_filings).withColumnRenamed("_n", "matched_filings")
+    return (enough
             .orderBy("persona", F.desc("matched_filings"), F.asc(employer)))
 
 

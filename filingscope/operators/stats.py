@@ -131,7 +131,7 @@ def _employer_scorecard(df: DataFrame, employer: str, min_filings: int, value: s
     relevant = F.col("MBA_TIER") != "excluded"
     d = distribution(df, [employer], value, {"total_filings": F.col("MBA_TIER").isNotNull(), "mba_relevant_filings": relevant, **counts})
     enough = F.col("mba_relevant_filings") >= min_filings
-    g = d.totals().where(enough).join(d.quantiles({median: 0.5}), employer, "left")
+    g = d.summary({median: 0.5}).where(enough)
     return g.select(
         employer, "total_filings", "mba_relevant_filings", *[rate(F.col(a), F.col(b)).alias(name) for name, (a, b) in shares.items()], *extra,
         median, rate(F.col("mba_relevant_filings"), F.col("total_filings")).alias("mba_share")).orderBy(
@@ -322,7 +322,7 @@ def leaderboard(df: DataFrame, other: DataFrame, signal_flag: str, where: Column
     if lca_flags:
         counts |= {"_wv": inside & yes_flag("WILLFUL_VIOLATOR"), "_dep": inside & yes_flag("H_1B_DEPENDENT")}
     d = distribution(df, [employer], F.when(inside, F.col("ANNUAL_WAGE")), counts)
-    g = d.totals().where(F.col("filings") >= min_filings).join(d.quantiles({"median_wage": 0.5}), employer, "left")
+    g = d.summary({"median_wage": 0.5}).where(F.col("filings") >= min_filings)
     g = history_flag(g, other, employer, "_hist")
     role_text = ", ".join(sorted(roles)[:2]) if roles else "MBA"
     cols = [
