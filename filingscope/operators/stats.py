@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.flags import not_denied, yes_flag
 from filingscope.functions.wages import round_half_up
-from filingscope.operators.distribution import distribution, stored
+from filingscope.operators.distribution import Distribution, distribution, stored
 from filingscope.spec import WAGE_LEVELS
 
 
@@ -93,16 +93,30 @@ def cert_rate(df: DataFrame, by=()) -> DataFrame:
     return g.withColumn("cert_rate", rate(F.col("certified"), F.col("decided")))
 
 
+def outcome_counts() -> dict[str, Column]:
+    return {"certified": F.col("CERTIFIED"), "decided": F.col("DECIDED")}
+
+
 def scorecard(df: DataFrame, by: str, wage: str | None = "ANNUAL_WAGE", cert: bool = True) -> DataFrame:
     """filings, cert rate over decided rows, optional median bounded wage."""
-    counts = {"certified": F.col("CERTIFIED"), "decided": F.col("DECIDED")} if cert else {}
+    counts = outcome_counts() if cert else {}
     if wage:
-        g = distribution(df, [by], wage, counts).summary({"median_annual_wage": 0.5}).withColumnRenamed("_n", "filings")
-    else:
-        g = _drop_null_keys(df, [by]).groupBy(by).agg(F.count(F.lit(1)).alias("filings"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+        return scorecard_of(distribution(df, [by], wage, counts), cert)
+    g = _drop_null_keys(df, [by]).groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    return _scorecard_columns(g, by, cert, False)
+
+
+def scorecard_of(d: Distribution, cert: bool = True, median: bool = True) -> DataFrame:
+    """The scorecard of a stored distribution with ``outcome_counts``."""
+    g = d.summary({"median_annual_wage": 0.5}) if median else d.totals()
+    return _scorecard_columns(g, d.by[0], cert, median)
+
+
+def _scorecard_columns(g: DataFrame, by: str, cert: bool, median: bool) -> DataFrame:
     if cert:
         g = g.withColumn("cert_rate", rate(F.col("certified"), F.col("decided")))
-    return g.select(by, "filings", *["cert_rate"] * cert, *["median_annual_wage"] * bool(wage)).orderBy(F.desc("filings"), F.asc(by))
+    return g.select(by, F.col("_n").alias("filings"), *["cert_rate"] * cert, *["median_annual_wage"] * median).orderBy(
+        F.desc("filings"), F.asc(by))
 
 
 def kpis(df: DataFrame, signal_flag: str) -> DataFrame:
@@ -125,34 +139,48 @@ def employer_mix(df: DataFrame, employer: str = "EMPLOYER_CANONICAL", min_filing
     return g.where(F.col("total") >= min_filings).orderBy(F.desc("mba_share"), F.desc("mba_relevant"), F.asc(employer))
 
 
-def _employer_scorecard(df: DataFrame, employer: str, min_filings: int, value: str, median: str, counts: dict[str, Column],
-                        shares: dict[str, tuple[str, str]], extra: list[Column]) -> DataFrame:
-    """Columns of both employer scorecards from one distribution; ``shares``: name -> (count, of)."""
-    relevant = F.col("MBA_TIER") != "excluded"
-    d = distribution(df, [employer], value, {"total_filings": F.col("MBA_TIER").isNotNull(), "mba_relevant_filings": relevant, **counts})
-    enough = F.col("mba_relevant_filings") >= min_filings
-    g = d.summary({median: 0.5}).where(enough)
-    return g.select(
-        employer, "total_filings", "mba_relevant_filings", *[rate(F.col(a), F.col(b)).alias(name) for name, (a, b) in shares.items()], *extra,
-        median, rate(F.col("mba_relevant_filings"), F.col("total_filings")).alias("mba_share")).orderBy(
-        F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
+def relevance_counts() -> dict[str, Column]:
+    return {"total_filings": F.col("MBA_TIER").isNotNull(), "mba_relevant_filings": F.col("MBA_TIER") != "excluded"}
+
+
+def lca_employer_counts(hire_flag: str = "IS_NEW_HIRE") -> dict[str, Column]:
+    return {**relevance_counts(), "_kept": not_denied("CASE_STATUS"), "_hired": F.col(hire_flag), "_asked": F.col(hire_flag).isNotNull(),
+            "_willful": yes_flag("WILLFUL_VIOLATOR"), "_dependent": yes_flag("H_1B_DEPENDENT")}
+
+
+def perm_employer_counts() -> dict[str, Column]:
+    return {**relevance_counts(), "_kept": not_denied("CASE_STATUS"), "_external": yes_flag("OTHER_REQ_IS_FW_CURRENTLY_WRK", "N")}
 
 
 def employer_scorecard_lca(df: DataFrame, min_filings: int = 10, employer: str = "EMPLOYER_CANONICAL",
                            hire_flag: str = "IS_NEW_HIRE", wage: str = "ANNUAL_WAGE_FROM") -> DataFrame:
-    counts = {"_kept": not_denied("CASE_STATUS"), "_hired": F.col(hire_flag), "_asked": F.col(hire_flag).isNotNull(),
-              "_willful": yes_flag("WILLFUL_VIOLATOR"), "_dependent": yes_flag("H_1B_DEPENDENT")}
-    return _employer_scorecard(
-        df, employer, min_filings, wage, "median_annual_wage", counts,
-        {"certified": ("_kept", "_n"), "new_position_share": ("_hired", "_asked")},
-        [(F.col("_willful") > 0).alias("any_willful_violator"), (F.col("_dependent") > 0).alias("any_h1b_dependent")])
+    return employer_scorecard_lca_of(distribution(df, [employer], wage, lca_employer_counts(hire_flag)), min_filings)
+
+
+def employer_scorecard_lca_of(d: Distribution, min_filings: int = 10) -> DataFrame:
+    """The LCA employer scorecard of a stored distribution with ``lca_employer_counts``."""
+    shares = {"certified": ("_kept", "_n"), "new_position_share": ("_hired", "_asked")}
+    flags = [(F.col("_willful") > 0).alias("any_willful_violator"), (F.col("_dependent") > 0).alias("any_h1b_dependent")]
+    return _employer_scorecard(d, min_filings, "median_annual_wage", shares, flags)
 
 
 def employer_scorecard_perm(df: DataFrame, min_filings: int = 5, employer: str = "EMPLOYER_CANONICAL") -> DataFrame:
-    counts = {"_kept": not_denied("CASE_STATUS"), "_external": yes_flag("OTHER_REQ_IS_FW_CURRENTLY_WRK", "N")}
-    return _employer_scorecard(
-        df, employer, min_filings, "EMP_NUM_PAYROLL", "median_company_payroll", counts,
-        {"certified": ("_kept", "_n"), "external_hire_share": ("_external", "_n")}, [])
+    return employer_scorecard_perm_of(distribution(df, [employer], "EMP_NUM_PAYROLL", perm_employer_counts()), min_filings)
+
+
+def employer_scorecard_perm_of(d: Distribution, min_filings: int = 5) -> DataFrame:
+    """The PERM employer scorecard of a stored distribution with ``perm_employer_counts``."""
+    shares = {"certified": ("_kept", "_n"), "external_hire_share": ("_external", "_n")}
+    return _employer_scorecard(d, min_filings, "median_company_payroll", shares, [])
+
+
+def _employer_scorecard(d: Distribution, min_filings: int, median: str, shares: dict[str, tuple[str, str]], extra: list[Column]) -> DataFrame:
+    employer = d.by[0]
+    g = d.summary({median: 0.5}).where(F.col("mba_relevant_filings") >= min_filings)
+    return g.select(
+        employer, "total_filings", "mba_relevant_filings", *[rate(F.col(a), F.col(b)).alias(name) for name, (a, b) in shares.items()], *extra,
+        median, rate(F.col("mba_relevant_filings"), F.col("total_filings")).alias("mba_share")).orderBy(
+        F.desc("mba_share"), F.desc("mba_relevant_filings"), F.asc(employer))
 
 
 # -- A11 / A12 / A13 ------------------------------------------------------------

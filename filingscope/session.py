@@ -31,6 +31,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # gone with the last reference to their frame
     )
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -59,3 +60,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "filingscope-scratch", f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote and needs no more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

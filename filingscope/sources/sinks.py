@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from filingscope.operators.cube import CubeDims
 
@@ -19,6 +20,20 @@ def write_aggregate(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.parquet(path)
 
 
+#: Quotes are doubled, and a line break stays inside its quotes.
+EXPORT_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_exports(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as a folder of CSV files in its own order; large ones are written by several tasks."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").options(**EXPORT_OPTIONS).csv(f"{path}/{name}")
+
+
+def read_export(spark: SparkSession, path: str, name: str, schema: StructType) -> DataFrame:
+    return spark.read.options(**EXPORT_OPTIONS, multiLine=True).schema(schema).csv(f"{path}/{name}")
+
+
 def write_cube(facts: DataFrame, dims: CubeDims, meta: DataFrame | None, path: str) -> None:
     """Cube facts and dimensions as Parquet tables, employer metadata as JSON lines."""
     facts.write.mode("overwrite").parquet(f"{path}/facts")
