@@ -126,10 +126,13 @@ def prepare_raw(frames: list[DataFrame], key: str = "CASE_NUMBER", numeric_cols=
     return coerce_numeric(df, numeric_cols)
 
 
+def clean_rows(frames: list[DataFrame], key: str = "CASE_NUMBER", numeric_cols=(), tokens=NULL_TOKENS) -> DataFrame:
+    """Raw text frames, each carrying SOURCE_FILE and SOURCE_ORD -> typed rows with their fiscal calendar."""
+    return add_fiscal_calendar(drop_blank(prepare_raw(frames, key, numeric_cols, tokens), key))
+
+
 def consolidate(frames: list[DataFrame], key: str = "CASE_NUMBER", order_col: str = "SOURCE_ORD",
                 numeric_cols=(), tokens=NULL_TOKENS) -> DataFrame:
     """Raw text frames (one per source, oldest first, each carrying SOURCE_FILE
     and SOURCE_ORD) -> consolidated master rows."""
-    df = drop_blank(prepare_raw(frames, key, numeric_cols, tokens), key)
-    df = add_fiscal_calendar(df)
-    return latest_source_wins(df, key, order_col)
+    return latest_source_wins(clean_rows(frames, key, numeric_cols, tokens), key, order_col)

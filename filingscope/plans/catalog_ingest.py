@@ -72,6 +72,17 @@ def c7_latest_source_wins_lca(spark, sf_dir):
         F.count(F.lit(1)).alias("rows_kept"), F.count_distinct("CASE_NUMBER").alias("cases"))
 
 
+@register("c7_incremental_lca", CONSOLIDATED_SQL)
+def c7_incremental_lca(spark, sf_dir):
+    """The oldest export lands as the master, each later one replaces only the periods it touches; the last comes twice."""
+    path = scratch_path(spark, "refreshed-master")
+    exports = [ingest.clean_rows([f], numeric_cols=testbind.LCA_NUMERIC_TEXT) for f in _frames(spark, sf_dir)]
+    master_io.write_master(ingest.latest_source_wins(exports[0]), path)
+    for new in [*exports[1:], exports[-1]]:
+        master_io.refresh_master(spark, new, path)
+    return spark.read.option("mergeSchema", True).parquet(path).select(*CONSOLIDATED_COLS)
+
+
 @register("c9_ingest_report_lca", """
 , w AS (SELECT CASE_NUMBER, max(SOURCE_ORD) AS win FROM lca_fy GROUP BY 1),
 r AS (SELECT f.SOURCE_FILE, count(*) AS n, count(*) FILTER (WHERE f.SOURCE_ORD <> w.win) AS stale,
@@ -234,6 +245,22 @@ def s1_mixed_headers_lca(spark, sf_dir):
     return df.select(*CONSOLIDATED_COLS)
 
 
+@register("s1_many_files_lca", MIXED_SQL.replace("FROM lca", ", left(md5(CASE_NUMBER), 1) AS LOT FROM lca"))
+def s1_many_files_lca(spark, sf_dir):
+    """Folders of many small files in two layouts: headers from one job a source, each row's lot from its own file's path."""
+    base, sources = scratch_path(spark, "many-exports"), []
+    for name, order, df in testbind.render_raw_sources(spark, sf_dir):
+        other = F.right("CASE_NUMBER", F.lit(1)).isin("5", "6", "7")
+        lots = df.withColumn("LOT", F.left(F.md5(F.col("CASE_NUMBER").cast("binary")), F.lit(1)))
+        turned = lots.where(other).select(*[c for c in reversed(lots.columns) if c != "SOC_CODE"])
+        for part, mode in ((lots.where(~other | F.col("CASE_NUMBER").isNull()), "overwrite"), (turned, "append")):
+            (part.write.mode(mode).partitionBy("LOT").option("header", True).option("quote", '"').option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{name}"))
+        sources.append(raw_io.Source(name=name, path=f"{base}/{name}", order=order))
+    df = raw_io.consolidate_sources(spark, sources, numeric_cols=testbind.LCA_NUMERIC_TEXT, file_column="SOURCE_PATH")
+    return df.select(*CONSOLIDATED_COLS, F.regexp_extract("SOURCE_PATH", "/LOT=([0-9a-f])/", 1).alias("LOT"))
+
+
 @register("s8_stream_ingest_lca", MIXED_SQL)
 def s8_stream_ingest_lca(spark, sf_dir):
     """Raw exports landing in per-source folders -> file stream -> appended

@@ -6,9 +6,15 @@ filters prune whole folders and column selections prune column chunks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filingscope.operators.ingest import coerce_iso_date, coerce_numeric
+from filingscope.operators.distribution import stored
+from filingscope.operators.ingest import coerce_iso_date, coerce_numeric, latest_source_wins
+from filingscope.session import delete_path
 from filingscope.spec import FilingsSpec
 
 # Numeric columns coerced on load, per dataset.
@@ -17,15 +23,55 @@ PERM_NUMERIC = ("JOB_OPP_WAGE_FROM", "JOB_OPP_WAGE_TO", "EMP_NUM_PAYROLL", "EMP_
 DATE_COLS = ("RECEIVED_DATE", "DECISION_DATE")
 
 
+PERIOD = ("FISCAL_YEAR", "FISCAL_QUARTER")
+#: Spark's folder name of a null partition value.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_master(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Partitioned Parquet, clustered by period before the write.
 
-    A range partitioning on (year, quarter, case) gives every task one
-    contiguous slice, so a task writes one or two period folders, and a large
-    quarter is split across many tasks instead of landing in one.
+    Rows are rebalanced by period: adaptive execution splits a large quarter over many tasks and puts small ones
+    together, from the sizes of the shuffle itself (no sampling pass over ``df``).
+    """
+    df.hint("rebalance", *PERIOD).write.mode(mode).partitionBy(*PERIOD).parquet(path)
+
+
+def refresh_master(spark: SparkSession, new: DataFrame, path: str, key: str = "CASE_NUMBER",
+                   order_col: str = "SOURCE_ORD") -> list[tuple[int | None, int | None]]:
+    """Take a new export's cleaned rows into the stored master; returns the periods that were replaced.
+
+    Per case the newest source wins, as in a full consolidation: stored rows of an older source go, wherever they are,
+    and new rows older than the stored ones stay out.  Only periods that gain or lose rows are read whole and
+    written; other folders keep their files.  Stored rows of the same source are replaced, so an export that is
+    delivered again changes nothing; ``new`` holds all rows that its source has for a case.
+
+    The new content is written to the checkpoint folder first, then replaces the periods; after a failure in between,
+    the same call brings the master to the same state.
     """
-    (df.repartitionByRange("FISCAL_YEAR", "FISCAL_QUARTER", "CASE_NUMBER")
-       .write.mode(mode).partitionBy("FISCAL_YEAR", "FISCAL_QUARTER").parquet(path))
+    new = stored(latest_source_wins(new, key, order_col))
+    newest = new.groupBy(F.col(key).alias("_case")).agg(F.max(order_col).alias("_new"))
+    master = spark.read.option("mergeSchema", True).parquet(path)
+    # the stored rows of the new export's cases: four columns of the master
+    known = stored(master.select(key, order_col, *PERIOD).join(newest, F.col(key) == F.col("_case")))
+    later = known.where(F.col(order_col) > F.col("_new")).select(F.col(key).alias("_late")).distinct()
+    fresh = new.join(later, F.col(key) == F.col("_late"), "left_anti")
+    gone = known.where(F.col(order_col) <= F.col("_new"))
+    periods = [tuple(r) for r in gone.select(*PERIOD).union(fresh.select(*PERIOD)).distinct().collect()]  # a row a quarter
+    if not periods:
+        return []
+    year, quarter = (F.col(c) for c in PERIOD)
+    touched = reduce(or_, [year.eqNullSafe(F.lit(y)) & quarter.eqNullSafe(F.lit(q)) for y, q in periods])
+    old = F.col(key).eqNullSafe(F.col("_case")) & (F.col(order_col) <= F.col("_new"))
+    kept = master.where(touched).join(newest, old, "left_anti")
+    content = stored(kept.unionByName(fresh, allowMissingColumns=True))
+    (content.hint("rebalance", *PERIOD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PERIOD).parquet(path))
+    left = {tuple(r) for r in content.select(*PERIOD).distinct().collect()}
+    for y, q in set(periods) - left:  # a period whose last rows went has nothing to overwrite it with
+        delete_path(spark, f"{path}/FISCAL_YEAR={NULL_FOLDER if y is None else y}/FISCAL_QUARTER={NULL_FOLDER if q is None else q}")
+    spark.catalog.refreshByPath(path)
+    return sorted(periods, key=str)
 
 
 def read_master(spark: SparkSession, path: str, columns=None) -> DataFrame:
