@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from filingscope.operators import cube, ingest, stats
+from filingscope.operators.distribution import stored
 from filingscope.plans.catalog_cube import CUBE_COLS, K6_SQL, LCA_CUBE, PERM_CUBE, k6_cube_yoy
 from filingscope.plans.catalog_stats import _ds
 from filingscope.plans.oracle_base import fiscal_sql
@@ -22,7 +23,7 @@ from filingscope.plans.registry import register
 from filingscope.session import scratch_path
 from filingscope.sources import master as master_io
 from filingscope.sources import raw as raw_io
-from filingscope.sources import sinks, testbind
+from filingscope.sources import sinks, staging, testbind
 from filingscope.spec import LCA, PERM
 
 CONSOLIDATED_COLS = (
@@ -83,19 +84,41 @@ def c7_incremental_lca(spark, sf_dir):
     return spark.read.option("mergeSchema", True).parquet(path).select(*CONSOLIDATED_COLS)
 
 
-@register("c9_ingest_report_lca", """
+C9_SQL = """
 , w AS (SELECT CASE_NUMBER, max(SOURCE_ORD) AS win FROM lca_fy GROUP BY 1),
 r AS (SELECT f.SOURCE_FILE, count(*) AS n, count(*) FILTER (WHERE f.SOURCE_ORD <> w.win) AS stale,
              count(*) FILTER (WHERE f.SOURCE_ORD = w.win AND coalesce(f.DECISION_DATE, f.RECEIVED_DATE) IS NULL) AS nodate
       FROM lca_fy f JOIN w ON w.CASE_NUMBER = f.CASE_NUMBER GROUP BY 1),
 b AS (SELECT count(*) AS blanks FROM nation)
 SELECT SOURCE_FILE, n + blanks AS rows_read, blanks AS blank_rows, stale AS stale_duplicates, n - stale AS rows_written,
-       nodate AS no_fiscal_date FROM r, b""")
+       nodate AS no_fiscal_date FROM r, b"""
+
+
+@register("c9_ingest_report_lca", C9_SQL)
 def c9_ingest_report_lca(spark, sf_dir):
     raw = ingest.prepare_raw(_frames(spark, sf_dir), numeric_cols=testbind.LCA_NUMERIC_TEXT)
     return ingest.ingest_report(raw)
 
 
+def _staged(spark, sf_dir, read):
+    """What ``read`` makes of the staged exports; the stage goes once that is stored."""
+    stage = staging.stage_exports(spark, _frames(spark, sf_dir), numeric_cols=testbind.LCA_NUMERIC_TEXT)
+    out = stored(read(spark, stage))
+    staging.drop_stage(spark, stage)
+    return out
+
+
+@register("c7_staged_lca", CONSOLIDATED_SQL)
+def c7_staged_lca(spark, sf_dir):
+    """Exports parsed once into a stage bucketed by case, consolidated from it without an exchange."""
+    return _staged(spark, sf_dir, staging.consolidate_stage).select(*CONSOLIDATED_COLS)
+
+
+@register("c9_staged_report_lca", C9_SQL)
+def c9_staged_report_lca(spark, sf_dir):
+    return _staged(spark, sf_dir, staging.stage_report)
+
+
 @register("c12_coerce_types_lca", """
 SELECT CASE_NUMBER, SOURCE_FILE,
        CASE WHEN CASE_STATUS = 'Withdrawn' THEN NULL ELSE RECEIVED_DATE END AS RECEIVED_DATE,

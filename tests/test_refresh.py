@@ -88,3 +88,30 @@ def test_refresh_takes_new_columns(spark, tmp_path):
     refresh_master(spark, spark.createDataFrame([("a", 2, "n", 2024, 1)], "CASE_NUMBER string, SOURCE_ORD int, w string, FISCAL_YEAR int, FISCAL_QUARTER int"), path)
     got = spark.read.option("mergeSchema", True).parquet(path).select("CASE_NUMBER", "v", "w").collect()
     assert {tuple(r) for r in got} == {("a", None, "n"), ("b", 2, None)}
+
+
+RAW = "CASE_NUMBER string, RECEIVED_DATE string, DECISION_DATE string, v string, SOURCE_FILE string, SOURCE_ORD int"
+
+
+def test_stage_equals_consolidation_without_exchange(spark):
+    from filingscope.operators.ingest import consolidate, ingest_report, prepare_raw
+    from filingscope.sources import staging
+
+    first = [(f"c{i % 40}", "2024-01-02", None if i % 9 else "2024-11-03", str(i), "one", 1) for i in range(120)]
+    second = [(f"c{i % 60}", None, "2025-02-03" if i % 3 else None, str(i), "two", 2) for i in range(30, 90)]
+    blanks = [(None if i % 2 else "", None, None, None, "one", 1) for i in range(200)]
+    frames = [spark.createDataFrame(first + blanks, RAW), spark.createDataFrame(second, RAW)]
+    stage = staging.stage_exports(spark, frames, numeric_cols=("v",), buckets=4)
+    try:
+        got = staging.consolidate_stage(spark, stage)
+        want = consolidate(frames, numeric_cols=("v",))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan and "PartitionFilters" in plan
+        report = staging.stage_report(spark, stage)
+        wanted = ingest_report(prepare_raw(frames, numeric_cols=("v",)))
+        assert sorted(map(tuple, report.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+        assert "v#" not in report._jdf.queryExecution().executedPlan().toString()  # unneeded columns stay unread
+    finally:
+        staging.drop_stage(spark, stage)
+    assert not spark.catalog.tableExists(stage.table)
