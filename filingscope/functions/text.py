@@ -15,6 +15,7 @@ NULL_TOKENS = (
     "nan", "null",
 )
 
+# Fixed value: a cell that a spreadsheet marks as text.
 EXCEL_TEXT_WRAP = r'^="(.*)"$'
 
 
@@ -33,9 +34,18 @@ def null_token(col, tokens=NULL_TOKENS) -> Column:
 
 
 def keyword_pattern(keywords) -> str:
-    """One alternation of all keywords; words of a keyword may stand any white space apart."""
-    spaced = [r"\s+".join(re.split(" ", keyword)) for keyword in keywords]
-    return "|".join(spaced)
+    """A pattern that finds any of the keywords, each a regular expression of its own.
+
+    A keyword is taken word by word: whatever white space stands between its words, any stands between them in a
+    title, and white space around it is ignored.  A keyword's own alternatives stay inside it.  Keywords without a
+    word are left out; none at all give the empty pattern, which every title holds.
+    """
+    whole = []
+    for keyword in keywords:
+        words = keyword.split()
+        if words:
+            whole.append("(?:" + r"\s+".join(words) + ")")
+    return "|".join(whole)
 
 
 def keyword_match(keywords, cols, available=None) -> Column:

@@ -17,12 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingscope.functions.wages import round_half_up
 from filingscope.session import ensure_checkpoint_dir
 from filingscope.operators.distribution import distribution, stored
 from filingscope.operators.entities import match_names
 from filingscope.spec import WAGE_LEVELS, FilingsSpec
 
+# The cube's occupations, and the filings that an employer needs to be in it.
 TOP_N_OCCUPATIONS = 150
 MIN_EMPLOYER_FILINGS = 3
 
@@ -74,7 +74,7 @@ def cube_cells(df: DataFrame, spec: FilingsSpec, with_wage_level: bool = True) -
         F.count(F.lit(1)).alias("filings"),
         F.count_if("CERTIFIED").alias("certified"),
         F.count_if("DECIDED").alias("decided"),
-        F.sum("ANNUAL_WAGE").alias("wage_sum"),
+        F.sum(F.col("ANNUAL_WAGE").cast("decimal(20,6)")).alias("wage_sum"),  # exact in any order
         F.count("ANNUAL_WAGE").alias("wage_n"),
     )
     # Materialise once in the shared checkpoint folder: the dimensions filter
@@ -127,7 +127,7 @@ def facts_from_cells(cells: DataFrame, dims: CubeDims, with_wage_level: bool = T
         + ["_flag"]
     g = sub.groupBy(*keys).agg(
         F.sum("filings").alias("filings"), F.sum("certified").alias("certified"), F.sum("decided").alias("decided"),
-        round_half_up(F.coalesce(F.sum("wage_sum"), F.lit(0.0)), 2).alias("wage_sum"),
+        F.round(F.coalesce(F.sum("wage_sum"), F.lit(0)), 2).cast("double").alias("wage_sum"),
         F.sum("wage_n").alias("wage_n"))
     enc = (g.join(dims.employers.select("EMPLOYER_CANONICAL", "emp_idx"), "EMPLOYER_CANONICAL")
            .join(dims.states, "STATE", "left")              # data-dependent size: AQE decides

@@ -281,3 +281,15 @@ def test_quantiles_equal_the_exact_aggregate(spark):
     got = quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.75})
     assert {r.g: (r.a, r.b, r.c) for r in got.collect()} == want
     assert not any(x in got._jdf.queryExecution().optimizedPlan().toString().lower() for x in ("median", "percentile"))
+
+
+def test_keyword_pattern_words_groups_and_blanks(spark):
+    from filingscope.functions.text import keyword_pattern
+    df = spark.createDataFrame([("Credit \t Risk lead",), ("data analyst",), ("big data",), (None,), ("ab",)], "t string")
+    hits = lambda *k: [r[0] for r in df.select(keyword_match(list(k), ["t"])).collect()]
+    assert hits("credit\u2003 risk", "") == [True, False, False, False, False]      # any white space; no blank keyword
+    assert hits(" credit risk ") == [True, False, False, False, False]              # none around it
+    assert hits("big|small data") == [False, False, True, False, False]             # words of one keyword: (big|small) data is spelled out
+    assert hits("(?:big|data) analyst") == [False, True, False, False, False]
+    assert hits("", "  ") == [True] * 5 and keyword_pattern([]) == ""
+    assert hits("a$|b", "x") == [False, False, True, False, True]
