@@ -1,21 +1,23 @@
 """Occupation search, facets and persona reports (Q1-Q9).
 
-Persona reports run every persona in one pass: each persona's keyword regex
-becomes a boolean column, the matches are unpivoted to (persona, row) with
-``stack`` (rows that match nothing are dropped), and every report is then an
-ordinary ``groupBy(persona, ...)``.  Top-k per persona is a ``row_number``
-over the *aggregated* counts, never over filing rows.
+Persona reports run every persona in one pass.  Personas are a table of patterns; patterns are looked for in the
+distinct titles only, and the filings meet the dictionary of titles that match (rows that match nothing are dropped).
+Every report is then an ordinary ``groupBy(persona, ...)``.  Top-k per persona is a ``row_number`` over the
+*aggregated* counts, never over filing rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import keyword_match, literal_contains
-from filingscope.operators.distribution import distribution
+from filingscope.functions.text import keyword_match, keyword_pattern, literal_contains
+from filingscope.operators.distribution import distribution, stored
 from filingscope.spec import FilingsSpec
 
 # Example persona -> keyword lists.
@@ -112,33 +114,55 @@ def facet_values(df: DataFrame, spec: FilingsSpec) -> DataFrame:
 
 # -- personas --------------------------------------------------------------------------
 
-def _by_persona(names: list[str]) -> Column:
-    """Columns _p0, _p1, ... as (persona name, value) rows."""
-    return F.stack(F.lit(len(names)), *[c for i, p in enumerate(names) for c in (F.lit(p), F.col(f"_p{i}"))])
+#: Personas that one table may hold: it is broadcast against the distinct titles.
+MAX_PERSONAS = 10_000
 
 
-def persona_matches(df: DataFrame, title_cols, personas: dict[str, tuple[str, ...]] = PERSONA_KEYWORDS) -> DataFrame:
-    """(persona, row...) for every row matching a persona; one pass over ``df``."""
-    avail = set(df.columns)
-    names = list(personas)
-    flags = {f"_p{i}": keyword_match(personas[p], title_cols, available=avail) for i, p in enumerate(names)}
-    tagged = df.withColumns(flags)
-    exploded = tagged.select("*", _by_persona(names).alias("persona", "_hit"))
-    return exploded.where("_hit").drop("_hit", *flags.keys())
+def persona_table(spark: SparkSession, personas: Mapping[str, tuple[str, ...]] = PERSONA_KEYWORDS) -> DataFrame:
+    """(persona, pattern): keyword lists as data, so any number of personas is one plan."""
+    return spark.createDataFrame([(name, "(?i)" + keyword_pattern(words)) for name, words in personas.items()], "persona string, pattern string")
+
+
+def _personas(spark: SparkSession, personas) -> DataFrame:
+    table = personas if isinstance(personas, DataFrame) else persona_table(spark, personas)
+    if table.count() > MAX_PERSONAS:
+        raise ValueError(f"more than {MAX_PERSONAS} personas")
+    return F.broadcast(table)
+
+
+def title_personas(titles: DataFrame, title_cols, personas) -> DataFrame:
+    """The rows of distinct ``titles`` joined with every persona whose pattern some title column holds (a theta join).
+
+    Patterns are only ever looked for here, once a distinct title.
+    """
+    cols = [c for c in title_cols if c in titles.columns]
+    held = reduce(or_, [F.rlike(F.coalesce(F.col(c), F.lit("")), F.col("pattern")) for c in cols], F.lit(False))
+    return titles.join(_personas(titles.sparkSession, personas), held).drop("pattern")
+
+
+def persona_matches(df: DataFrame, title_cols, personas=PERSONA_KEYWORDS) -> DataFrame:
+    """(persona, row...) for every row matching a persona; ``personas``: keyword lists, or a table (persona, pattern).
+
+    Rows meet a dictionary of the distinct titles that match, so a pattern is looked for once a title, not once a filing.
+    """
+    cols = [c for c in title_cols if c in df.columns]
+    names = [f"_title{i}" for i in range(len(cols))]
+    found = title_personas(df.select(*cols).distinct(), cols, personas).withColumnsRenamed(dict(zip(cols, names)))
+    found = found.groupBy(*names).agg(F.collect_list("persona").alias("_in"))  # a list of at most MAX_PERSONAS
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(cols, names)], F.lit(True))
+    return df.join(found, same).select(*df.columns, F.explode("_in").alias("persona"))
 
 
 def persona_catalog(df: DataFrame, title_cols, personas=PERSONA_KEYWORDS) -> DataFrame:
-    """Per persona: matched filings and share of all rows (single scan)."""
-    avail = set(df.columns)
-    names = list(personas)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count_if(keyword_match(personas[p], title_cols, available=avail)).alias(f"_p{i}")
-             for i, p in enumerate(names)]
-    wide = df.agg(*aggs)
-    long = wide.select("_rows", _by_persona(names).alias("persona", "matched_filings"))
-    return long.select("persona", "matched_filings",
-                       F.try_divide(F.col("matched_filings").cast("double"), F.col("_rows").cast("double"))
-                       .alias("share_of_total"))
+    """Per persona: matched filings and share of all rows, from one count of the filings by title."""
+    cols = [c for c in title_cols if c in df.columns]
+    counts = stored(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
+    rows = counts.agg(F.sum("_n")).first()[0] or 0
+    table = personas if isinstance(personas, DataFrame) else persona_table(df.sparkSession, personas)
+    matched = title_personas(counts, cols, personas).groupBy("persona").agg(F.sum("_n").alias("_hit"))
+    hit = F.coalesce(F.col("_hit"), F.lit(0)).cast("long")
+    return table.select("persona").join(matched, "persona", "left").select(
+        "persona", hit.alias("matched_filings"), F.try_divide(hit.cast("double"), F.lit(float(rows))).alias("share_of_total"))
 
 
 def top_per_persona(matched: DataFrame, col: str, k: int | None, min_count: int = 1) -> DataFrame:

@@ -293,3 +293,19 @@ def test_keyword_pattern_words_groups_and_blanks(spark):
     assert hits("(?:big|data) analyst") == [False, True, False, False, False]
     assert hits("", "  ") == [True] * 5 and keyword_pattern([]) == ""
     assert hits("a$|b", "x") == [False, False, True, False, True]
+
+
+def test_personas_as_a_table(spark):
+    """Many personas, null titles, a title in several of them; patterns never meet the filings themselves."""
+    from filingscope.operators import search
+    df = spark.createDataFrame([("Data Analyst", None, 1), ("Data Analyst", None, 2), (None, "brand lead", 3), (None, None, 4)],
+                               "SOC_TITLE string, JOB_TITLE string, n int")
+    personas = {f"none{i}": (f"no such title {i}",) for i in range(300)} | {"data": ("data",), "analyst": ("analyst", "brand"), "all": ("",)}
+    got = search.persona_matches(df, ["SOC_TITLE", "JOB_TITLE", "OTHER"], personas)
+    assert sorted((r.persona, r.n) for r in got.collect()) == [
+        ("all", 1), ("all", 2), ("all", 3), ("all", 4), ("analyst", 1), ("analyst", 2), ("analyst", 3), ("data", 1), ("data", 2)]
+    catalog = {r.persona: (r.matched_filings, r.share_of_total) for r in search.persona_catalog(df, ["SOC_TITLE", "JOB_TITLE"], personas).collect()}
+    assert len(catalog) == 303 and catalog["data"] == (2, 0.5) and catalog["none7"] == (0, 0.0) and catalog["all"] == (4, 1.0)
+    with pytest.raises(ValueError):
+        search.persona_matches(df, ["SOC_TITLE"], spark.range(search.MAX_PERSONAS + 1).select(
+            F.col("id").cast("string").alias("persona"), F.lit("x").alias("pattern")))
