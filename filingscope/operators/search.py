@@ -95,11 +95,54 @@ def search_summary(df: DataFrame, keywords, title_cols, tier_col: str = "MBA_TIE
         "matched_filings", "share_of_total")
 
 
-def title_suggest(df: DataFrame, spec: FilingsSpec, text: str, k: int = 25) -> DataFrame:
+def title_suggest(df: DataFrame, spec: FilingsSpec, text: str, k: int | None = 25) -> DataFrame:
     occ = spec.occupation_col
     hit = literal_contains(F.col(occ), text) | literal_contains(F.col("JOB_TITLE"), text)
-    return (df.where(hit & F.col(occ).isNotNull()).groupBy(occ).agg(F.count(F.lit(1)).alias("filings"))
-            .orderBy(F.desc("filings"), F.asc(occ)).limit(k))
+    return _suggested(df.where(hit & F.col(occ).isNotNull()).groupBy(occ).agg(F.count(F.lit(1)).alias("filings")), occ, k)
+
+
+def _suggested(counts: DataFrame, occ: str, k: int | None) -> DataFrame:
+    out = counts.orderBy(F.desc("filings"), F.asc(occ))
+    return out if k is None else out.limit(k)
+
+
+#: Code points of an index term.
+GRAM = 3
+
+
+def write_title_index(df: DataFrame, spec: FilingsSpec, path: str) -> None:
+    """Index the titles of ``df`` for ``indexed_suggest``: distinct titles with their filings, and sorted postings of their grams.
+
+    The filings are read once and counted by title; everything after that works on distinct titles. Postings are range
+    partitioned and sorted by gram, so a lookup skips all row groups but those of its grams.
+    """
+    occ, spark = spec.occupation_col, df.sparkSession
+    counts = df.where(F.col(occ).isNotNull()).groupBy(F.col(occ).alias("occ"), F.col("JOB_TITLE").alias("job")).agg(F.count(F.lit(1)).alias("filings"))
+    counts.withColumn("id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/titles")
+    titles = spark.read.parquet(f"{path}/titles")  # numbered once, in the written copy
+
+    def grams(name: str) -> Column:
+        col = F.lower(F.coalesce(F.col(name), F.lit("")))
+        places = F.when(F.length(col) >= GRAM, F.sequence(F.lit(1), F.length(col) - GRAM + 1))
+        return F.coalesce(F.transform(places, lambda i: F.substring(col, i, F.lit(GRAM))), F.array().cast("array<string>"))
+
+    postings = titles.select("id", F.explode(F.array_union(grams("occ"), grams("job"))).alias("gram"))
+    postings.repartitionByRange("gram").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def indexed_suggest(spark: SparkSession, path: str, spec: FilingsSpec, text: str, k: int | None = 25) -> DataFrame:
+    """``title_suggest`` from a title index: titles that hold all grams of ``text`` are looked at, no filings.
+
+    A text shorter than a gram is looked for in the distinct titles.
+    """
+    titles, plain = spark.read.parquet(f"{path}/titles"), text.lower()
+    wanted = sorted({plain[i:i + GRAM] for i in range(len(plain) - GRAM + 1)})
+    if wanted:
+        found = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(wanted)).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+        titles = titles.join(found.where(F.col("_n") == len(wanted)), "id", "left_semi")
+    hit = literal_contains(F.col("occ"), text) | literal_contains(F.col("job"), text)
+    occ = spec.occupation_col
+    return _suggested(titles.where(hit).groupBy(F.col("occ").alias(occ)).agg(F.sum("filings").alias("filings")), occ, k)
 
 
 def facet_values(df: DataFrame, spec: FilingsSpec) -> DataFrame:

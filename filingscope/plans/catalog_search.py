@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingscope.operators import search
+from filingscope.operators.distribution import stored
 from filingscope.operators.search import PERSONA_KEYWORDS, Facets
 from filingscope.plans.catalog_stats import _ds
 from filingscope.plans.oracle_base import in_list, pct_from_list_sql, q
 from filingscope.plans.registry import register
+from filingscope.session import delete_path, scratch_path
 from filingscope.spec import LCA, PERM
 from filingscope.functions.text import keyword_pattern
 
@@ -53,15 +55,28 @@ def q1_keyword_search_perm(spark, sf_dir):
     return hit.groupBy("PWD_SOC_TITLE").agg(F.count(F.lit(1)).alias("filings"))
 
 
-@register("q2_title_suggest_lca", """
+SUGGEST_SQL = """
 SELECT SOC_TITLE, count(*) AS filings FROM lca_e
 WHERE (coalesce(contains(lower(SOC_TITLE), 'anvil'), false) OR coalesce(contains(lower(JOB_TITLE), 'anvil'), false))
   AND SOC_TITLE IS NOT NULL
-GROUP BY 1 ORDER BY filings DESC, SOC_TITLE LIMIT 25""")
+GROUP BY 1 ORDER BY filings DESC, SOC_TITLE LIMIT 25"""
+
+
+@register("q2_title_suggest_lca", SUGGEST_SQL)
 def q2_title_suggest_lca(spark, sf_dir):
     return search.title_suggest(_ds(spark, sf_dir).lca, LCA, "anvil")
 
 
+@register("q2_title_index_lca", SUGGEST_SQL)
+def q2_title_index_lca(spark, sf_dir):
+    """The titles' gram index is written, the suggestion looked up in it; the index goes once the result is stored."""
+    path = scratch_path(spark, "title-index")
+    search.write_title_index(_ds(spark, sf_dir).lca, LCA, path)
+    out = stored(search.indexed_suggest(spark, path, LCA, "anvil"))
+    delete_path(spark, path)
+    return out
+
+
 @register("q2_title_suggest_small_ring_lca", """
 SELECT SOC_TITLE, count(*) AS filings FROM lca_e
 WHERE (coalesce(contains(lower(SOC_TITLE), 'small ring'), false) OR coalesce(contains(lower(JOB_TITLE), 'small ring'), false))

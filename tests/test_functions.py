@@ -309,3 +309,18 @@ def test_personas_as_a_table(spark):
     with pytest.raises(ValueError):
         search.persona_matches(df, ["SOC_TITLE"], spark.range(search.MAX_PERSONAS + 1).select(
             F.col("id").cast("string").alias("persona"), F.lit("x").alias("pattern")))
+
+
+def test_title_index_equals_the_scan(spark, tmp_path):
+    from filingscope.operators import search
+    from filingscope.spec import LCA
+    rows = [("Data Analyst", "Senior DATA wrangler"), ("Data Analyst", None), (None, "data"), ("ab", "x"), ("Économiste", "Café 50% \\ lead"),
+            ("banana", "ananas"), ("Data Analyst", "Senior DATA wrangler"), ("", "")]
+    df = spark.createDataFrame(rows, "SOC_TITLE string, JOB_TITLE string")
+    search.write_title_index(df, LCA, str(tmp_path))
+    for text in ("data", "DATA ANALYST", "ana", "anan", "a", "", "é", "éco", "50% \\", "zzz", "ab", "wrangler", "data wrangler senior"):
+        want = [tuple(r) for r in search.title_suggest(df, LCA, text, None).collect()]
+        got = search.indexed_suggest(spark, str(tmp_path), LCA, text, None)
+        assert [tuple(r) for r in got.collect()] == want, text
+    assert len(search.indexed_suggest(spark, str(tmp_path), LCA, "a", 1).collect()) == 1
+    assert "PushedFilters: [In(gram" in search.indexed_suggest(spark, str(tmp_path), LCA, "data")._jdf.queryExecution().executedPlan().toString()
