@@ -140,7 +140,7 @@ def kept(cells: DataFrame, by: tuple[str, ...], counts: tuple[str, ...]) -> Dist
     """Store the cells; their number is observed on the way."""
     seen = Observation()
     frame = stored(cells.observe(seen, F.count(F.lit(1)).alias("cells")))
-    return Distribution(frame, by, counts, seen.get["cells"])
+    return Distribution(frame, by, counts, seen.get.get("cells"))  # nothing is observed where the plan is known to be empty
 
 
 def counted_percentiles(grouped, sums: list[Column], probs: Mapping[str, float]) -> DataFrame:

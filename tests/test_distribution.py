@@ -79,3 +79,10 @@ def test_without_rows(spark):
 def test_missingness_is_rounded_and_sorted(spark):
     df = spark.createDataFrame([(None if i < 2 else 1, None if i < 5 else 1, 1, None) for i in range(7)], "a int, b int, c int, d int")
     assert [(r.column_name, r.pct_missing) for r in stats.missingness(df).collect()] == [("d", 100.0), ("b", 71.4), ("a", 28.6)]
+
+
+def test_plans_known_to_be_empty(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    for none in (df.where(F.lit(False)), spark.range(0).select(F.lit("k").alias("k"), F.lit(1.0).alias("x")), df.limit(0)):
+        assert dist.distribution(none, ["k"], "x").summary(PROBS).count() == 0
+        assert dist.distribution(none, [], "x").summary(PROBS).first()._n == 0
