@@ -15,13 +15,15 @@ threshold; at 0.9 the parts agree by two in three, and it is below 1e-20.
 Before whole sets meet, pairs are tested on sketches: of SKETCH buckets of the domain, those in which two sets' counts
 differ in parity are at most as many as the elements in which they differ, so no similar pair fails.
 
-Candidates never come as all pairs of a signature's group.  Equal sets are one node.  Each group first offers a star
-(its smallest node against every other one), which is verified exactly and clustered.  Only groups that still hold
-several clusters go on: a small group offers its pairs between clusters; a large one (a passage many texts share) is
-split by every second signature its members share, offers stars again, and then the pairs between clusters that are
-left.  A link inside one cluster changes nothing.  A pair from a large group that is in two clusters meets again only by
-a second large signature: one that shares exactly one signature is lost, at the threshold with a probability of at most
-44 p (1 - p)^43, 1.4e-7 at p = 0.35.  The pairs between clusters that are left last have no bound on a group's size.
+Candidates never come as all pairs of a signature's group.  Equal sets are one node.  Each group first offers stars (one
+of its nodes against those of other clusters; the centre changes with the turn), which are verified exactly and
+clustered.  Only groups that still hold several clusters go on.  One of at most SMALL_GROUP nodes offers its pairs
+between clusters.  The nodes of a larger one (a passage many texts share) are keyed again, by the rarest quarter and one
+of their shingles: in any one order of all shingles, two sets of Jaccard >= 0.75 share an element among the first
+|A| - ceil(0.75 |A|) + 1 of each, and rarest first a shared passage comes last.  So no pair of a large group is lost, even
+one that shares a single signature.  Groups of these keys offer stars and small groups' pairs in the same way; what
+then still is large and mixed goes through blocks of BLOCK nodes, whose tasks hand on only pairs that sizes and sketches
+allow.  A link inside one cluster changes nothing and is not looked for.
 
 Cases: null, empty and word-less texts have n_shingles 0 and are their own component; texts of fewer than five words
 have one shingle, the whole sequence; repeated rows and equal texts are one node; a null doc_id keeps its row (its
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingscope.llm.components import components
-from filingscope.llm.toolkit import cut, map_slices, text_key
+from filingscope.llm.toolkit import cut, map_slices, release, text_key
 from filingscope.llm.words import Words, byte_table, mix, signed
 
 SHINGLE = 5
@@ -46,8 +48,12 @@ SIGNATURES = 44
 BAND = 2
 #: Bits of a set's parity sketch.
 SKETCH = 2048
-#: Groups up to this size offer their remaining pairs at once; larger ones are split by a second signature first.
-SMALL_GROUP = 24
+#: Groups up to this size offer their remaining pairs at once; the nodes of larger ones are keyed by rare shingles.
+SMALL_GROUP = 8
+#: Times that groups offer a star, each with other centres.
+TURNS = 2
+#: Nodes of a block of a group that rare shingles leave large.
+BLOCK = 512
 MAX_BROADCAST_ROWS = 200_000
 SEED = 0x2545F4914F6CDD1D
 
@@ -143,9 +149,11 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 def signature_rows(texts: DataFrame) -> DataFrame:
     """(sig, node) for every signature of every set that a task reads."""
 
-    seen = set()  # of a task: it sends each distinct set once
+    seen = set()  # of a task: it sends most sets once
 
     def fn(batch):
+        if len(seen) > MAX_BROADCAST_ROWS:
+            seen.clear()
         sigs, nodes = [], []
         for s in shingle_sets(batch.column("text")):
             if len(s):
@@ -174,6 +182,8 @@ def sets_of(docs: DataFrame, sized: DataFrame, nodes: DataFrame) -> DataFrame:
     seen = set()
 
     def fn(batch):
+        if len(seen) > MAX_BROADCAST_ROWS:
+            seen.clear()
         sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
         names = [node_of(s) for s in sets]
         new = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]  # copies in one task
@@ -188,10 +198,20 @@ def sets_of(docs: DataFrame, sized: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_slices(texts, fn, "node long, items array<long>").dropDuplicates(["node"])
 
 
-def possible(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and parity sketches do not rule out."""
-    about = sized.where(F.col("node").isNotNull()).groupBy("node").agg(
+def nodes_of(sized: DataFrame) -> DataFrame:
+    """(node, n, sketch), one row a distinct set."""
+    return sized.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))  # equal for equal sets
+
+
+def sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def possible(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches do not rule out."""
+    if pairs.count() <= MAX_BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
     left = about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xs"))
     right = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("ys"))
     fitting = (pairs.join(left.drop("xs"), "a").join(right.drop("ys"), "b")
@@ -200,8 +220,7 @@ def possible(pairs: DataFrame, sized: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
-                    for c in ("xs", "ys"))
+            x, y = sketch_rows(batch.column("xs")), sketch_rows(batch.column("ys"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             # Jaccard >= 3/4 means that at most a seventh of |A| + |B| differs
@@ -210,60 +229,129 @@ def possible(pairs: DataFrame, sized: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sized: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    likely = cut(possible(pairs, sized))
+def verified(likely: DataFrame, docs: DataFrame, sized: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``likely`` (from ``cut``; deleted here) whose whole sets reach the similarity, written."""
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(sets_of(docs, sized, ends))
     both = (likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("items").alias("ys")), "b"))
     shared = F.size(F.array_intersect("xs", "ys")).cast("long")
     total = (F.size("xs") + F.size("ys")).cast("long")
-    return both.where(100 * shared >= 75 * (total - shared)).select("a", "b")
+    out = cut(both.where(100 * shared >= 75 * (total - shared)).select("a", "b"))
+    release(likely)
+    release(sets)
+    return out
 
 
-def stars(groups: DataFrame) -> DataFrame:
-    """Each group's smallest node against its other nodes."""
-    least = groups.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    return (groups.join(least, "sig").where("a < node")
-            .select("a", F.col("node").alias("b")).distinct())
+def stars(groups: DataFrame, turn: int) -> DataFrame:
+    """One node of each group (sig, node, root), by the turn's order, against the group's nodes of other clusters."""
+    centre = (groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("c"))
+              .select("sig", "c.node", "c.root").toDF("sig", "a", "ra"))
+    return groups.join(centre, "sig").where("root != ra").select("a", F.col("node").alias("b")).distinct()
 
 
 def mixed(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (sig, node, root, size) of the groups that hold more than one cluster."""
-    own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = (groups.select("sig", "node").join(roots, "node", "left")
+           .withColumn("root", F.coalesce("root", "node")))
     about = (own.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
              .where("lo < hi").drop("lo", "hi"))
     return own.join(about, "sig").select("sig", "node", "root", "size")
 
 
 def between(groups: DataFrame) -> DataFrame:
-    """Pairs of a group's nodes from different clusters."""
+    """Pairs of a small group's nodes from different clusters."""
     right = groups.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
     return (groups.select("sig", F.col("node").alias("a"), "root").join(right, "sig")
             .where("a < b and root != rb").select("a", "b").distinct())
 
 
+def rare_keys(sets: DataFrame) -> DataFrame:
+    """(sig, node): the rarest |A| - ceil(0.75 |A|) + 1 shingles of every set of ``sets`` (node, items).
+
+    Shingles in at most SMALL_GROUP of the sets count as equally rare: their groups are small whatever the order.
+    """
+    items = sets.select("node", F.explode("items").alias("sig"))
+    common = cut(items.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_GROUP))
+    if common.count() <= MAX_BROADCAST_ROWS:
+        common = F.broadcast(common)
+    ranked = (items.join(common, "sig", "left").groupBy("node")
+              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sig"))).alias("s")))
+    first = F.size("s") - F.ceil(F.size("s") * 3 / 4).cast("int") + 1
+    return ranked.select(F.explode(F.slice(F.col("s"), F.lit(1), first)).alias("s"), "node").select("s.sig", "node")
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """The rows (sig, node) whose sig more than one node has, each once, written."""
+    rows = cut(rows)
+    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
+    out = cut(rows.join(shared, "sig").distinct())
+    release(rows)
+    return out
+
+
+def block_pairs(groups: DataFrame, about: DataFrame) -> DataFrame:
+    """Likely pairs between clusters of groups of any size: every two blocks of a group meet in one bounded piece."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = (groups.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED >> 2)), "blocks").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+              .join(about, "node"))
+
+    def fn(table):
+        table = table.combine_chunks()
+        node, root, size, own = (table.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+        x = sketch_rows(table.column("sketch"))
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(node)):
+            apart = np.bitwise_count(x[k + 1:] ^ x[k]).sum(axis=1, dtype=np.int64)
+            fit = (7 * apart <= size[k + 1:] + size[k]) & (root[k + 1:] != root[k])
+            fit &= 4 * np.minimum(size[k + 1:], size[k]) >= 3 * np.maximum(size[k + 1:], size[k])
+            if across:
+                fit &= own[k + 1:] != own[k]
+            b.append(node[k + 1:][fit])
+            a.append(np.full(len(b[-1]), node[k]))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return placed.groupBy("sig", "i", "j").applyInArrow(fn, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, sized: DataFrame) -> DataFrame:
     """Verified links (a, b) between nodes whose components are those of all links of Jaccard >= 0.75."""
     texts = docs.select("text").where(F.col("text").isNotNull())
-    rows = signature_rows(texts)
-    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    live = cut(rows.join(shared, "sig").distinct())
-    found = cut(verified(stars(live), texts, sized))
-    groups = live
-    for split in (True, False):
-        rest = cut(mixed(groups, components(found)).where("size > 2"))
-        now = rest.where(F.col("size") <= SMALL_GROUP) if split else rest
-        found = cut(found.unionByName(verified(between(now), texts, sized)))
-        if split:
-            large = rest.where(F.col("size") > SMALL_GROUP).select("sig", "node")
-            second = large.select(F.col("sig").alias("other"), "node")
-            groups = cut(large.join(second, "node").where("sig < other")
-                         .select(F.xxhash64("sig", "other").alias("sig"), "node").distinct())
-            if groups.isEmpty():
-                break
-            found = cut(found.unionByName(verified(stars(groups), texts, sized)))
+    about = cut(nodes_of(sized))
+    found = None
+
+    def check(likely: DataFrame) -> None:
+        nonlocal found
+        likely = cut(likely)
+        if found is None or not likely.isEmpty():
+            new = verified(likely, texts, sized)
+            found = new if found is None else found.unionByName(new)
+
+    def still_mixed(groups: DataFrame) -> DataFrame:
+        return cut(mixed(groups, components(found)))
+
+    groups = shared_keys(signature_rows(texts))
+    rest = groups.withColumn("root", F.col("node"))
+    for turn in range(TURNS):
+        check(possible(cut(stars(rest, turn)), about))
+        rest = still_mixed(groups if turn == 0 else rest)
+    check(possible(cut(between(rest.where(F.col("size") <= SMALL_GROUP))), about))
+    large = cut(rest.where(F.col("size") > SMALL_GROUP).select("node").distinct())
+    if large.isEmpty():
+        return found
+    sets = cut(sets_of(texts, sized, large))
+    groups = shared_keys(rare_keys(sets))
+    release(sets)
+    rest = still_mixed(groups)
+    for turn in range(TURNS):
+        check(possible(cut(stars(rest, turn)), about))
+        rest = still_mixed(rest)
+    check(possible(cut(between(rest.where(F.col("size") <= SMALL_GROUP))), about))
+    check(block_pairs(rest.where(F.col("size") > SMALL_GROUP), about))
     return found
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.llm.toolkit import cut, map_slices, text_key
+from filingscope.llm.toolkit import cut, map_slices, slices, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -37,6 +37,8 @@ LEAST_SHARED = 3
 MAX_BROADCAST_ROWS = 1_000_000
 #: Entities, frequent words or terms that each Python worker may hold.
 MAX_HELD = 100_000
+#: Counts and word hashes that a Python worker holds at once.
+HELD_COUNTS = 50_000
 
 # The patterns of the base kinds.  Matches are leftmost and do not overlap; look-behinds only spare
 # attempts that would start inside a longer match.
@@ -116,10 +118,10 @@ def hash64(value: str) -> int:
 
 
 class Hashes(dict):
-    """Word (any case) to the hash of its lower-cased form; at most 200,000 words are held."""
+    """Word (any case) to the hash of its lower-cased form; at most HELD_COUNTS words are held."""
 
     def __missing__(self, word):
-        if len(self) >= 200_000:
+        if len(self) >= HELD_COUNTS:
             self.clear()
         self[word] = out = hash64(word.lower())
         return out
@@ -147,20 +149,27 @@ def counted(docs: DataFrame, of: Callable[[str], Iterable], names: list[str]) ->
     """
 
     def run(batches):
+        import pyarrow.compute  # noqa: F401  (loads pa.compute in the worker)
+
         once, more = Counter(), Counter()
-        for batch in batches:
-            for text, n in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), strict=True):
-                for some in batched(of(text), 100_000):
-                    if n == 1:
-                        once.update(some)
-                    else:
-                        more.update((x, n) for x in some)
-                    if len(once) + len(more) > 200_000:
-                        yield flush(once, more)
-                        once.clear()
-                        more.clear()
-        HASHES.clear()
-        yield flush(once, more)
+        try:
+            for part in (p for batch in batches for p in slices(batch, "text")):
+                for text, n in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
+                    for some in batched(of(text), HELD_COUNTS):
+                        if n == 1:
+                            once.update(some)
+                        else:
+                            more.update((x, n) for x in some)
+                        if len(once) + len(more) > HELD_COUNTS:
+                            yield flush(once, more)
+                            once.clear()
+                            more.clear()
+            yield flush(once, more)
+        finally:  # workers live on
+            once.clear()
+            more.clear()
+            HASHES.clear()
+            pa.default_memory_pool().release_unused()
 
     def flush(once, more):
         keys = [*once, *(x for x, _ in more)]

@@ -20,6 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` returned; nothing may read it afterwards."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_key(col: Column) -> Column:
     """16 bytes that stand for a whole text: equal texts share it (null keeps null)."""
     return F.unhex(F.md5(col))

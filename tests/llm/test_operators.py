@@ -1,11 +1,14 @@
 """Every operator against a plain version on odd rows: nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import itertools
 import math
+import random
 from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -75,6 +78,60 @@ def test_large_signature_groups_are_split(spark, monkeypatch):
     same(got.select("doc_id", "component_id").collect(), list(enumerate(root)))
 
 
+def test_passage_of_a_third_of_the_texts(spark):
+    rnd = random.Random(3)
+    passage = [f"p{j}" for j in range(50)]
+    rows = []
+    for i in range(300):
+        base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(rnd.randint(10, 90))]
+        if rows and i % 5 == 0:  # a near copy of an earlier text, at times below the similarity
+            base = rows[rnd.randrange(len(rows))][1].split()
+            for _ in range(rnd.randint(0, 4)):
+                base[rnd.randrange(len(base))] = f"e{i}"
+        elif i % 3 == 0:
+            base[rnd.randrange(len(base)):0] = passage
+        rows.append((i, " ".join(base)))
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    root = brute.groups([brute.shingles(t) for _, t in rows])
+    same(got.select("doc_id", "component_id").collect(), list(enumerate(root)))
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_blocks_of_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rnd = random.Random(block)
+    base = [f"b{j}" for j in range(60)]
+    rows = []
+    for i in range(25):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    about = ngram_join.nodes_of(ngram_join.set_sizes(docs))
+    n = about.count()
+    groups = about.selectExpr("7L AS sig", "node", "node % 4 AS root", f"{n}L AS size")
+    found = {(r.a, r.b) for r in ngram_join.block_pairs(groups, about).collect()}
+    sets = {ngram_join.node_of(s): set(s.tolist()) for s in ngram_join.shingle_sets(pa.array([t for _, t in rows]))}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and math.fmod(a, 4) != math.fmod(b, 4):
+            assert (a, b) in found
+
+
+def test_rare_keys_meet(spark):
+    rnd = random.Random(9)
+    sets = [set(range(40)) | {rnd.randrange(10 ** 9) for _ in range(rnd.randint(1, 30))} for _ in range(20)]
+    for s in list(sets):
+        sets.append(set(rnd.sample(sorted(s), len(s) - len(s) // 8)) | {rnd.randrange(10 ** 9) for _ in range(3)})
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, items array<long>")
+    keys = defaultdict(set)
+    for r in ngram_join.rare_keys(frame).collect():
+        keys[r.node].add(r.sig)
+    close = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+             if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(close) >= 10 and all(keys[a] & keys[b] for a, b in close)
+
+
 def test_licenses(spark, odd, odd_rows, empty):
     extra = [(900, "x Licensed under the Apache License, Version 2.0. y", None, None),
              (901, "MIT license; mit  License cc by", None, None),
