@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.llm.toolkit import cut
+from filingscope.llm.toolkit import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours link to its smallest neighbour (itself included)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        last = edges
         edges = (both.join(least, "u").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: each node and its smaller neighbours link to the smallest of them
@@ -32,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
                     .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                     .select("e.*").where("u > v").distinct())
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")),
                         F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

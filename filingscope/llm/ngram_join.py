@@ -243,20 +243,23 @@ def verified(likely: DataFrame, docs: DataFrame, sized: DataFrame) -> DataFrame:
     return out
 
 
-def stars(groups: DataFrame, turn: int) -> DataFrame:
-    """One node of each group (sig, node, root), by the turn's order, against the group's nodes of other clusters."""
-    centre = (groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("c"))
-              .select("sig", "c.node", "c.root").toDF("sig", "a", "ra"))
-    return groups.join(centre, "sig").where("root != ra").select("a", F.col("node").alias("b")).distinct()
+def grouped(rows: DataFrame, turn: int) -> DataFrame:
+    """``rows`` (sig, node, root) of the groups that hold more than one cluster, each once, written.
+
+    ``size``: the group's nodes; ``a``, ``ra``: its centre, the least node by the turn's order, and the centre's root.
+    Rows are dealt by sig once; the aggregate and the join back both read that exchange.
+    """
+    rows = rows.select("sig", "node", "root").repartition("sig").distinct()
+    least = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root"))
+    about = (rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                     F.count("*").alias("size"), least.alias("c")).where("lo < hi")
+             .select("sig", "size", F.col("c.node").alias("a"), F.col("c.root").alias("ra")))
+    return cut(rows.join(about, "sig"))
 
 
-def mixed(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (sig, node, root, size) of the groups that hold more than one cluster."""
-    own = (groups.select("sig", "node").join(roots, "node", "left")
-           .withColumn("root", F.coalesce("root", "node")))
-    about = (own.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
-             .where("lo < hi").drop("lo", "hi"))
-    return own.join(about, "sig").select("sig", "node", "root", "size")
+def stars(groups: DataFrame) -> DataFrame:
+    """The centre of each group against the group's nodes of other clusters."""
+    return groups.where("root != ra").select("a", F.col("node").alias("b")).distinct()
 
 
 def between(groups: DataFrame) -> DataFrame:
@@ -281,15 +284,6 @@ def rare_keys(sets: DataFrame) -> DataFrame:
     return ranked.select(F.explode(F.slice(F.col("s"), F.lit(1), first)).alias("s"), "node").select("s.sig", "node")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (sig, node) whose sig more than one node has, each once, written."""
-    rows = cut(rows)
-    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    out = cut(rows.join(shared, "sig").distinct())
-    release(rows)
-    return out
-
-
 def block_pairs(groups: DataFrame, about: DataFrame) -> DataFrame:
     """Likely pairs between clusters of groups of any size: every two blocks of a group meet in one bounded piece."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -322,36 +316,39 @@ def links(docs: DataFrame, sized: DataFrame) -> DataFrame:
     """Verified links (a, b) between nodes whose components are those of all links of Jaccard >= 0.75."""
     texts = docs.select("text").where(F.col("text").isNotNull())
     about = cut(nodes_of(sized))
-    found = None
+    found = docs.sparkSession.createDataFrame([], "a long, b long")
 
     def check(likely: DataFrame) -> None:
         nonlocal found
         likely = cut(likely)
-        if found is None or not likely.isEmpty():
-            new = verified(likely, texts, sized)
-            found = new if found is None else found.unionByName(new)
-
-    def still_mixed(groups: DataFrame) -> DataFrame:
-        return cut(mixed(groups, components(found)))
-
-    groups = shared_keys(signature_rows(texts))
-    rest = groups.withColumn("root", F.col("node"))
-    for turn in range(TURNS):
-        check(possible(cut(stars(rest, turn)), about))
-        rest = still_mixed(groups if turn == 0 else rest)
-    check(possible(cut(between(rest.where(F.col("size") <= SMALL_GROUP))), about))
-    large = cut(rest.where(F.col("size") > SMALL_GROUP).select("node").distinct())
-    if large.isEmpty():
-        return found
-    sets = cut(sets_of(texts, sized, large))
-    groups = shared_keys(rare_keys(sets))
-    release(sets)
-    rest = still_mixed(groups)
-    for turn in range(TURNS):
-        check(possible(cut(stars(rest, turn)), about))
-        rest = still_mixed(rest)
-    check(possible(cut(between(rest.where(F.col("size") <= SMALL_GROUP))), about))
-    check(block_pairs(rest.where(F.col("size") > SMALL_GROUP), about))
+        if not likely.isEmpty():
+            found = found.unionByName(verified(likely, texts, sized))
+
+    def offer(pairs: DataFrame) -> None:
+        pairs = cut(pairs)
+        check(possible(pairs, about))
+        release(pairs)
+
+    def pair_up(keys: DataFrame) -> DataFrame:
+        """Links found by the groups of ``keys`` (sig, node); rows of the large groups that are still mixed."""
+        keys = cut(keys)
+        rest = grouped(keys.withColumn("root", F.col("node")), 0)
+        release(keys)
+        for turn in range(1, TURNS + 1):
+            offer(stars(rest))
+            now = rest.select("sig", "node").join(components(found), "node", "left")
+            before, rest = rest, grouped(now.withColumn("root", F.coalesce("root", "node")), turn)
+            release(before)
+        offer(between(rest.where(F.col("size") <= SMALL_GROUP)))
+        return rest.where(F.col("size") > SMALL_GROUP)
+
+    large = cut(pair_up(signature_rows(texts)).select("node").distinct())
+    if not large.isEmpty():
+        sets = cut(sets_of(texts, sized, large))
+        rest = pair_up(rare_keys(sets))
+        release(sets)
+        check(block_pairs(rest, about))
+    release(about)
     return found
 
 
