@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from filingscope.functions.classify import bucket_other
 from filingscope.functions.flags import search_link, yes_label
 from filingscope.functions.wages import round_half_up
-from filingscope.operators import entities
+from filingscope.operators import entities, name_map
 from filingscope.plans.catalog_stats import APP_LCA, LINK_SQL, _app, _ds
 from filingscope.plans.oracle_base import clean_sql, core_sql, strip_sql
 from filingscope.plans.registry import register
+from filingscope.session import scratch_path
 
 # Allow-list used to exercise the "bucket everything else as Other" operator.
 BUCKET_STATES = ("NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5")
@@ -180,8 +181,39 @@ def e3_canonical_map(spark, sf_dir):
     return entities.canonical_map((ds.lca_master, "EMPLOYER_NAME"), (ds.perm_master, "EMP_BUSINESS_NAME"))
 
 
-@register("e4_apply_canonical_lca", """
-SELECT CANONICAL_NAME, count(*) AS filings FROM lca_e WHERE CANONICAL_NAME IS NOT NULL GROUP BY 1""")
+def _by_source(ds):
+    """The LCA filings in batches, by the export they come from."""
+    files = sorted(r[0] for r in ds.lca_master.select("SOURCE_FILE").distinct().collect())  # one a listed export
+    return [ds.lca_master.where(F.col("SOURCE_FILE") == f) for f in files]
+
+
+@register("e3_incremental_map", "SELECT raw_name, core, canonical_name, n FROM name_counts JOIN canon USING (core)")
+def e3_incremental_map(spark, sf_dir):
+    """The map kept batch by batch: each LCA export, then PERM, whose delivery is repeated."""
+    ds, path = _ds(spark, sf_dir), scratch_path(spark, "name-map")
+    sources = [(df, "EMPLOYER_NAME") for df in _by_source(ds)] + [(ds.perm_master, "EMP_BUSINESS_NAME")]
+    for number, source in [*enumerate(sources), (len(sources) - 1, sources[-1])]:
+        name_map.add_spellings(spark, path, number, entities.spelling_counts(source))
+    return name_map.name_map(spark, path)
+
+
+E4_SQL = """
+SELECT CANONICAL_NAME, count(*) AS filings FROM lca_e WHERE CANONICAL_NAME IS NOT NULL GROUP BY 1"""
+
+
+@register("e4_incremental_labels_lca", E4_SQL)
+def e4_incremental_labels_lca(spark, sf_dir):
+    """LCA exports labelled as they come; PERM's spellings then rename the stored filings of some core keys."""
+    ds, path = _ds(spark, sf_dir), scratch_path(spark, "labelled")
+    batches = _by_source(ds)
+    for number, filings in enumerate(batches):
+        name_map.add_filings(spark, path, number, filings.select("CASE_NUMBER", "EMPLOYER_NAME"), "EMPLOYER_NAME")
+    perm = entities.spelling_counts((ds.perm_master, "EMP_BUSINESS_NAME"))
+    name_map.relabel(spark, path, name_map.add_spellings(spark, path, len(batches), perm), len(batches))
+    return _count(spark.read.parquet(f"{path}/filings").where(F.col("CANONICAL_NAME").isNotNull()), "CANONICAL_NAME")
+
+
+@register("e4_apply_canonical_lca", E4_SQL)
 def e4_apply_canonical_lca(spark, sf_dir):
     return _count(_ds(spark, sf_dir).lca.where(F.col("CANONICAL_NAME").isNotNull()), "CANONICAL_NAME")
 

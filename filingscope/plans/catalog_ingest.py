@@ -119,6 +119,14 @@ def c9_staged_report_lca(spark, sf_dir):
     return _staged(spark, sf_dir, staging.stage_report)
 
 
+@register("c9_observed_report_lca", C9_SQL)
+def c9_observed_report_lca(spark, sf_dir):
+    """The report counted while the master is written; nothing is read for it."""
+    names = [name for name, _, _ in testbind.render_raw_sources(spark, sf_dir)]
+    return staging.consolidate_observed(spark, _frames(spark, sf_dir), names, scratch_path(spark, "observed-master"),
+                                        testbind.LCA_NUMERIC_TEXT)
+
+
 @register("c12_coerce_types_lca", """
 SELECT CASE_NUMBER, SOURCE_FILE,
        CASE WHEN CASE_STATUS = 'Withdrawn' THEN NULL ELSE RECEIVED_DATE END AS RECEIVED_DATE,

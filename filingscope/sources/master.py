@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from filingscope.operators.distribution import stored
@@ -28,13 +28,17 @@ PERIOD = ("FISCAL_YEAR", "FISCAL_QUARTER")
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
-def write_master(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_master(df: DataFrame, path: str, mode: str = "overwrite", seen: Observation | None = None,
+                 metrics: list[Column] | None = None) -> None:
     """Partitioned Parquet, clustered by period before the write.
 
     Rows are rebalanced by period: adaptive execution splits a large quarter over many tasks and puts small ones
-    together, from the sizes of the shuffle itself (no sampling pass over ``df``).
+    together, from the sizes of the shuffle itself (no sampling pass over ``df``).  ``seen`` observes ``metrics`` of the
+    rows in the tasks that write them.
     """
-    df.hint("rebalance", *PERIOD).write.mode(mode).partitionBy(*PERIOD).parquet(path)
+    df = df.hint("rebalance", *PERIOD)
+    df = df if seen is None else df.observe(seen, *metrics)
+    df.write.mode(mode).partitionBy(*PERIOD).parquet(path)
 
 
 def refresh_master(spark: SparkSession, new: DataFrame, path: str, key: str = "CASE_NUMBER",
