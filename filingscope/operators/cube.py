@@ -57,6 +57,13 @@ class CubeDims:
     sectors: DataFrame       # NAICS_SECTOR, sector_idx
 
 
+def cell_keys(spec: FilingsSpec, with_wage_level: bool, employer: str | Column = "EMPLOYER_CANONICAL") -> list[str | Column]:
+    """The grouping keys of a cell: the cube's grain plus the tier."""
+    flag = "IS_NEW_HIRE" if with_wage_level else "IS_EXTERNAL_HIRE"
+    keys = [F.col(spec.occupation_col).alias("OCC_TITLE"), employer, F.col(spec.state_col).alias("STATE"), "NAICS_SECTOR"]
+    return [*keys, *(["WAGE_LEVEL"] if with_wage_level else []), F.col(flag).alias("_flag"), "MBA_TIER"]
+
+
 def cube_cells(df: DataFrame, spec: FilingsSpec, with_wage_level: bool = True) -> DataFrame:
     """The single pass over filing rows: counts at the cube grain plus tier.
 
@@ -64,12 +71,7 @@ def cube_cells(df: DataFrame, spec: FilingsSpec, with_wage_level: bool = True) -
     drops); every dimension and the final facts are derived from this much
     smaller table, so the fact table is scanned and shuffled once.
     """
-    flag = "IS_NEW_HIRE" if with_wage_level else "IS_EXTERNAL_HIRE"
-    keys = [F.col(spec.occupation_col).alias("OCC_TITLE"), "EMPLOYER_CANONICAL",
-            F.col(spec.state_col).alias("STATE"), "NAICS_SECTOR"]
-    if with_wage_level:
-        keys.append("WAGE_LEVEL")
-    keys += [F.col(flag).alias("_flag"), "MBA_TIER"]
+    keys = cell_keys(spec, with_wage_level)
     cells = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("filings"),
         F.count_if("CERTIFIED").alias("certified"),

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from filingscope.functions.names import core_key, is_all_caps, strip_ws
 from filingscope.operators.distribution import stored
 from filingscope.operators.entities import name_counts, spelling_counts
+from filingscope.session import path_exists
 
 COUNTS = "core string, raw_name string, is_caps boolean, n long, batch int"
 WINNERS = "core string, canonical_name string, batch int"
@@ -27,9 +28,7 @@ BUCKETS = 64
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or no rows before its first batch."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _best(counts: DataFrame) -> DataFrame:
@@ -79,8 +78,7 @@ def _replace(rows: DataFrame, path: str) -> None:
 def relabel(spark: SparkSession, path: str, changed: DataFrame, before: int) -> list[int]:
     """Give the stored filings of earlier batches the names in ``changed``; returns the hash folders rewritten."""
     buckets = sorted(r.b for r in changed.select(_bucket(F.col("core")).alias("b")).distinct().collect())  # BUCKETS at most
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/filings")
-    if not buckets or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not buckets or not path_exists(spark, f"{path}/filings"):
         return []
     rows = spark.read.parquet(f"{path}/filings").where((F.col("batch") < before) & F.col("bucket").isin(buckets))
     new = changed.select(F.col("core").alias("_core"), F.col("canonical_name").alias("_new"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingscope.operators import cube, stats
+from filingscope.operators import cube, cube_refresh, ingest, stats
 from filingscope.plans.catalog_stats import BASE_FY, NEXT_FY, _ds
 from filingscope.plans.oracle_base import core_sql
+from filingscope.plans.enrich import shared_employer_map
 from filingscope.plans.registry import register
+from filingscope.session import scratch_path
+from filingscope.sources import testbind
 from filingscope.spec import LCA, PERM
 
 SLICE_SECTORS = ("Finance and Insurance", "Professional, Scientific, and Technical Services")
@@ -97,6 +100,18 @@ def k3_perm_cube(spark, sf_dir):
     return _perm_cube(_ds(spark, sf_dir))[1]
 
 
+@register("k2_incremental_lca", LCA_CUBE + "\nSELECT " + CUBE_COLS.format(x="wage_level, new_hire") + " FROM l_cube")
+def k2_incremental_lca(spark, sf_dir):
+    """The cube after the LCA exports came one by one, oldest first, the last one twice."""
+    master, cells = scratch_path(spark, "cube-master"), scratch_path(spark, "cube-cells")
+    rows = ingest.add_fiscal_calendar(testbind.lca_raw(spark, sf_dir))
+    orders = sorted(r[0] for r in rows.select("SOURCE_ORD").distinct().collect())  # one a listed export
+    for number, order in [*enumerate(orders), (len(orders) - 1, orders[-1])]:
+        cube_refresh.take_export(spark, rows.where(F.col("SOURCE_ORD") == order), master, cells, number, LCA)
+    names = shared_employer_map(spark, spark.read.parquet(master), _ds(spark, sf_dir).perm_master)
+    return cube_refresh.refreshed_cube(spark, cells, names)[1]
+
+
 @register("k4_cube_coverage", LCA_CUBE + PERM_CUBE + """
 SELECT 'lca' AS dataset, (SELECT count(*) FROM lca_mba) AS mba_total, CAST(sum(filings) AS BIGINT) AS cube_filings,
        CAST(sum(filings) AS DOUBLE) / (SELECT count(*) FROM lca_mba) AS coverage FROM l_cube

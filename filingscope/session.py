@@ -62,6 +62,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(base, "filingscope-scratch", f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session wrote and needs no more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,10 +5,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from filingscope.operators import name_map
-from filingscope.operators.entities import canonical_map, spelling_counts
-from filingscope.operators.ingest import consolidate, ingest_report, prepare_raw
+from filingscope.operators import cube, cube_refresh, name_map
+from filingscope.operators.entities import canonical_map, spelling_counts, spelling_map
+from filingscope.operators.ingest import add_fiscal_calendar, consolidate, ingest_report, latest_source_wins, prepare_raw
+from filingscope.plans.enrich import enrich
+from filingscope.sources import testbind
 from filingscope.sources.staging import consolidate_observed
+from filingscope.spec import LCA, PERM
+from tests.conftest import SF_SMALL
 
 BATCHES = [["ACME INC", "ACME INC", "Acme, Inc.", None, "Zed LLC", " Zed LLC "], ["Acme, Inc.", "Acme, Inc.", "Bolt Corp"],
            [], ["BOLT CORP", "BOLT CORP", "", None, "!!!"]]
@@ -91,3 +95,27 @@ def test_observed_report(spark, tmp_path):
 def test_observed_report_refuses_unlisted_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="not listed"):
         consolidate_observed(spark, exports(spark), ["old"], str(tmp_path / "master"))
+
+
+@pytest.mark.parametrize("spec", [LCA, PERM], ids=["lca", "perm"])
+def test_cube_equals_a_rebuild(spark, tmp_path, spec):
+    lca = spec is LCA
+    rows = (testbind.lca_raw if lca else testbind.perm_raw)(spark, SF_SMALL)
+    rows = add_fiscal_calendar(rows).drop("SOURCE_ORD", "SOURCE_FILE").where("CASE_NUMBER IS NOT NULL").cache()
+    third = F.pmod(F.xxhash64("CASE_NUMBER"), F.lit(3))
+    # the second export moves cases to another employer, state and status; the third is older than both
+    moved = rows.where(third == 1).withColumns({spec.employer_col: F.lit("Mover LLC"), spec.state_col: F.lit("ELSEWHERE"),
+                                                spec.status_col: F.lit("Denied")})
+    exports = [rows.where(third < 2).withColumn("SOURCE_ORD", F.lit(1)), moved.withColumn("SOURCE_ORD", F.lit(2)),
+               rows.where(third > 0).withColumn("SOURCE_ORD", F.lit(0))]
+    master, cells = str(tmp_path / "master"), str(tmp_path / "cells")
+    for number, new in [*enumerate(exports), (2, exports[2])]:
+        cube_refresh.take_export(spark, new, master, cells, number, spec, lca)
+    every = latest_source_wins(exports[0].unionByName(exports[1]).unionByName(exports[2]))
+    names = spelling_map(spark, (every, spec.employer_col))
+    mba = enrich(every, spec, names).where(F.col("MBA_TIER") != "excluded")
+    (want_dims, want), (dims, got) = cube.build_cube(mba, spec, lca), cube_refresh.refreshed_cube(spark, cells, names, lca)
+    assert want.columns == got.columns and want.count() > 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for part in ("occupations", "employers", "states", "sectors"):
+        assert sorted(map(str, getattr(dims, part).collect())) == sorted(map(str, getattr(want_dims, part).collect()))
