@@ -122,7 +122,7 @@ def c9_staged_report_lca(spark, sf_dir):
 @register("c9_observed_report_lca", C9_SQL)
 def c9_observed_report_lca(spark, sf_dir):
     """The report counted while the master is written; nothing is read for it."""
-    names = [name for name, _, _ in testbind.render_raw_sources(spark, sf_dir)]
+    names = [f"src_{order}" for order in testbind.SOURCE_DATE_FORMATS]  # the manifest
     return staging.consolidate_observed(spark, _frames(spark, sf_dir), names, scratch_path(spark, "observed-master"),
                                         testbind.LCA_NUMERIC_TEXT)
 
