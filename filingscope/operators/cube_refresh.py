@@ -14,23 +14,22 @@ from pyspark.sql import functions as F
 from filingscope.operators.cube import CubeDims, cell_keys, dims_from_cells, facts_from_cells
 from filingscope.operators.distribution import stored
 from filingscope.operators.entities import apply_canonical
-from filingscope.operators.ingest import latest_source_wins
 from filingscope.plans.enrich import enrich
 from filingscope.session import path_exists
-from filingscope.sources.master import refresh_master, write_master
+from filingscope.sources.master import fresh_rows, known_rows, newest_of, newest_rows, refresh_master, write_master
 from filingscope.spec import FilingsSpec
 
 MEASURES = ("filings", "certified", "decided", "wage_sum", "wage_n")
 
 
-def changes(master: DataFrame, new: DataFrame, key: str = "CASE_NUMBER", order_col: str = "SOURCE_ORD") -> tuple[DataFrame, DataFrame]:
-    """(rows that ``refresh_master`` will add, rows that it will remove) when ``new`` meets the stored master."""
-    new = stored(latest_source_wins(new, key, order_col))
-    newest = new.groupBy(F.col(key).alias("_case")).agg(F.max(order_col).alias("_new"))
-    later = (master.select(key, order_col).join(newest, F.col(key) == F.col("_case"))
-             .where(F.col(order_col) > F.col("_new")).select(F.col(key).alias("_late")).distinct())
+def changes(master: DataFrame, new: DataFrame, known: DataFrame, key: str = "CASE_NUMBER",
+            order_col: str = "SOURCE_ORD") -> tuple[DataFrame, DataFrame]:
+    """(rows that ``refresh_master`` will add, rows that it will remove) when ``new`` meets the stored master.
+
+    ``new`` comes from ``newest_rows``, ``known`` from ``known_rows``: the refresh reads the same.
+    """
     gone = (F.col(key) == F.col("_case")) & (F.col(order_col) <= F.col("_new"))
-    return new.join(later, F.col(key) == F.col("_late"), "left_anti"), master.join(newest, gone, "left_semi")
+    return fresh_rows(new, known, key, order_col), master.join(newest_of(new, key, order_col), gone, "left_semi")
 
 
 def signed_cells(rows: DataFrame, spec: FilingsSpec, with_wage_level: bool) -> DataFrame:
@@ -51,17 +50,21 @@ def take_export(spark: SparkSession, new: DataFrame, master: str, cells: str, nu
     complete and repeats the refresh only, so nothing is counted twice.
     """
     there = path_exists(spark, master)
+    new = newest_rows(new)
+    if there:
+        stored_rows = spark.read.option("mergeSchema", True).parquet(master)
+        known = known_rows(stored_rows, newest_of(new))
     if not path_exists(spark, f"{cells}/batch={number}/_SUCCESS"):
         if there:
-            added, removed = changes(spark.read.option("mergeSchema", True).parquet(master), new)
+            added, removed = changes(stored_rows, new, known)
             rows = added.withColumn("_sign", F.lit(1)).unionByName(removed.withColumn("_sign", F.lit(-1)), allowMissingColumns=True)
         else:
-            rows = latest_source_wins(new).withColumn("_sign", F.lit(1))
+            rows = new.withColumn("_sign", F.lit(1))
         signed_cells(rows, spec, with_wage_level).write.mode("overwrite").parquet(f"{cells}/batch={number}")
     if there:
-        refresh_master(spark, new, master)
+        refresh_master(spark, new, master, known=known)
     else:
-        write_master(latest_source_wins(new), master)
+        write_master(new, master)
 
 
 def stored_cells(spark: SparkSession, cells: str, names: DataFrame) -> DataFrame:

@@ -120,8 +120,8 @@ SELECT 'perm', (SELECT count(*) FROM perm_mba), CAST(sum(filings) AS BIGINT),
        CAST(sum(filings) AS DOUBLE) / (SELECT count(*) FROM perm_mba) FROM p_cube""")
 def k4_cube_coverage(spark, sf_dir):
     ds = _ds(spark, sf_dir)
-    lca = cube.cube_coverage(_lca_cube(ds)[1], ds.lca_mba(), "lca")
-    perm = cube.cube_coverage(_perm_cube(ds)[1], ds.perm_mba(), "perm")
+    lca = cube.cube_coverage(_lca_cube(ds)[1], ds.unnamed_mba(LCA), "lca")
+    perm = cube.cube_coverage(_perm_cube(ds)[1], ds.unnamed_mba(PERM), "perm")
     return lca.unionByName(perm)
 
 
@@ -162,9 +162,12 @@ FROM h WHERE MBA_TIER IN ('core', 'adjacent') AND both_years AND base_filings >
 
 @register("k6_cube_yoy", K6_SQL)
 def k6_cube_yoy(spark, sf_dir):
-    ds = _ds(spark, sf_dir)
-    a = stats.yoy_by_tier(ds.lca_mba(), BASE_FY, NEXT_FY, tiers=("core", "adjacent"))
-    b = stats.yoy_by_tier(ds.perm_mba(), BASE_FY, NEXT_FY, tiers=("core", "adjacent"))
+    return cube_yoy(_ds(spark, sf_dir))
+
+
+def cube_yoy(ds):
+    a = stats.yoy_by_tier(ds.unnamed_mba(LCA), BASE_FY, NEXT_FY, tiers=("core", "adjacent"))
+    b = stats.yoy_by_tier(ds.unnamed_mba(PERM), BASE_FY, NEXT_FY, tiers=("core", "adjacent"))
     return a.select(F.lit("lca").alias("dataset"), "*").unionByName(b.select(F.lit("perm").alias("dataset"), "*"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from filingscope.operators import cube, ingest, stats
 from filingscope.operators.distribution import stored
-from filingscope.plans.catalog_cube import CUBE_COLS, K6_SQL, LCA_CUBE, PERM_CUBE, k6_cube_yoy
+from filingscope.plans.catalog_cube import CUBE_COLS, K6_SQL, LCA_CUBE, PERM_CUBE, cube_yoy
 from filingscope.plans.catalog_stats import _ds
 from filingscope.plans.oracle_base import fiscal_sql
 from filingscope.plans.registry import register
@@ -78,7 +78,7 @@ def c7_incremental_lca(spark, sf_dir):
     """The oldest export lands as the master, each later one replaces only the periods it touches; the last comes twice."""
     path = scratch_path(spark, "refreshed-master")
     exports = [ingest.clean_rows([f], numeric_cols=testbind.LCA_NUMERIC_TEXT) for f in _frames(spark, sf_dir)]
-    master_io.write_master(ingest.latest_source_wins(exports[0]), path)
+    master_io.write_master(master_io.newest_rows(exports[0]), path)
     for new in [*exports[1:], exports[-1]]:
         master_io.refresh_master(spark, new, path)
     return spark.read.option("mergeSchema", True).parquet(path).select(*CONSOLIDATED_COLS)
@@ -234,11 +234,11 @@ def s7_cube_document(spark, sf_dir):
     ds = _ds(spark, sf_dir)
     lca_mba, perm_mba = ds.lca_mba(), ds.perm_mba()
     cubes = {"lca": cube.build_cube(lca_mba, LCA), "perm": cube.build_cube(perm_mba, PERM, with_wage_level=False)}
-    coverage = cube.cube_coverage(cubes["lca"][1], lca_mba, "lca").unionByName(
-        cube.cube_coverage(cubes["perm"][1], perm_mba, "perm"))
+    coverage = cube.cube_coverage(cubes["lca"][1], ds.unnamed_mba(LCA), "lca").unionByName(
+        cube.cube_coverage(cubes["perm"][1], ds.unnamed_mba(PERM), "perm"))
     meta = cube.employer_meta(ds.lca, ds.perm)
     path = scratch_path(spark, "cube-document")
-    sinks.write_cube_document(cubes, coverage, k6_cube_yoy(spark, sf_dir), meta, path)
+    sinks.write_cube_document(cubes, coverage, cube_yoy(ds), meta, path)
     read = [(f"{d}/{part}", spark.read.parquet(f"{path}/{d}/{part}"), col) for d in cubes for part, col in (
         ("facts", "filings"), ("occupations", "filings"), ("employers", "filings"), ("states", "state_idx"),
         ("sectors", "sector_idx"))]

@@ -38,3 +38,13 @@ def test_only_wrapped_cells_meet_the_pattern(spark):
     df = spark.createDataFrame(list(cells.items()), "s string, want string")
     assert [r for r in df.select("s", "want", unwrap_text("s").alias("got")).collect() if r.got != r.want] == []
     assert "CASE WHEN" in plan(df.select(unwrap_text("s")))
+
+
+def test_enriched_rows_come_from_a_stored_master_and_map(spark):
+    from filingscope.plans.enrich import Datasets
+    from filingscope.spec import LCA
+
+    ds = Datasets(spark, SF_SMALL)
+    joins = [line for line in plan(ds.lca_mba()).splitlines() if "Join " in line]
+    assert len(joins) == 1 and "LeftOuter" in joins[0]  # the names; before, all tables were joined for every pass
+    assert "Join" not in plan(ds.unnamed_mba(LCA)) and ds.unnamed_mba(LCA).count() == ds.lca_mba().count()

@@ -115,3 +115,19 @@ def test_stage_equals_consolidation_without_exchange(spark):
     finally:
         staging.drop_stage(spark, stage)
     assert not spark.catalog.tableExists(stage.table)
+
+
+def test_an_export_of_one_source_is_not_joined_with_itself(spark, tmp_path):
+    from filingscope.sources.master import fresh_rows, known_rows, newest_of, newest_rows
+
+    path = str(tmp_path / "master")
+    one, two = (spark.createDataFrame(rows, SCHEMA) for rows in EXPORTS[:2])
+    mixed = one.unionByName(two)
+    for frame in (one, one.withColumn("SOURCE_ORD", F.lit(None).cast("int")), mixed, one.where("false")):
+        got = newest_rows(frame)
+        assert sorted(map(str, got.collect())) == sorted(map(str, latest_source_wins(frame).collect()))
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    write_master(one, path)
+    new = newest_rows(two)
+    known = known_rows(spark.read.parquet(path), newest_of(new))
+    assert "Join" not in fresh_rows(new, known)._jdf.queryExecution().optimizedPlan().toString()
