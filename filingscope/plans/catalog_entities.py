@@ -11,7 +11,7 @@ from filingscope.operators import entities, name_map
 from filingscope.plans.catalog_stats import APP_LCA, LINK_SQL, _app, _ds
 from filingscope.plans.oracle_base import clean_sql, core_sql, strip_sql
 from filingscope.plans.registry import register
-from filingscope.session import scratch_path
+from filingscope.session import landed, scratch_path
 
 # Allow-list used to exercise the "bucket everything else as Other" operator.
 BUCKET_STATES = ("NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5")
@@ -183,8 +183,9 @@ def e3_canonical_map(spark, sf_dir):
 
 def _by_source(ds):
     """The LCA filings in batches, by the export they come from."""
-    files = sorted(r[0] for r in ds.lca_master.select("SOURCE_FILE").distinct().collect())  # one a listed export
-    return [ds.lca_master.where(F.col("SOURCE_FILE") == f) for f in files]
+    rows = landed(ds.lca_master.select("CASE_NUMBER", "EMPLOYER_NAME", "SOURCE_FILE"), "batches")  # read by each batch
+    files = sorted(r[0] for r in rows.select("SOURCE_FILE").distinct().collect())  # one a listed export
+    return [rows.where(F.col("SOURCE_FILE") == f) for f in files]
 
 
 @register("e3_incremental_map", "SELECT raw_name, core, canonical_name, n FROM name_counts JOIN canon USING (core)")

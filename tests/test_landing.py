@@ -48,3 +48,11 @@ def test_enriched_rows_come_from_a_stored_master_and_map(spark):
     joins = [line for line in plan(ds.lca_mba()).splitlines() if "Join " in line]
     assert len(joins) == 1 and "LeftOuter" in joins[0]  # the names; before, all tables were joined for every pass
     assert "Join" not in plan(ds.unnamed_mba(LCA)) and ds.unnamed_mba(LCA).count() == ds.lca_mba().count()
+
+
+def test_batches_by_source_come_from_stored_rows(spark):
+    from filingscope.plans.catalog_entities import _by_source
+    from filingscope.plans.enrich import Datasets
+
+    batches = _by_source(Datasets(spark, SF_SMALL))
+    assert len(batches) == 3 and all("Join" not in plan(b) for b in batches)
