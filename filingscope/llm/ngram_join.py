@@ -55,6 +55,8 @@ TURNS = 1
 #: Nodes of a block of a group that rare shingles leave large.
 BLOCK = 512
 MAX_BROADCAST_ROWS = 200_000
+#: Text bytes whose words and shingles a worker holds at once.
+SET_BYTES = 500_000
 SEED = 0x2545F4914F6CDD1D
 
 
@@ -143,7 +145,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
     return map_slices(docs.select("doc_id", text_key(F.col("text")).alias("key"), "text"), fn,
                       f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long, node long, "
-                      "sketch binary")
+                      "sketch binary", limit=SET_BYTES)
 
 
 def signature_rows(texts: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def signature_rows(texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([signed(np.concatenate(sigs)), pa.array(np.concatenate(nodes))],
                                           names=["sig", "node"])
 
-    return map_slices(texts.select("text"), fn, "sig long, node long")
+    return map_slices(texts.select("text"), fn, "sig long, node long", limit=SET_BYTES, done=seen.clear)
 
 
 def sets_of(docs: DataFrame, sized: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ def sets_of(docs: DataFrame, sized: DataFrame, nodes: DataFrame) -> DataFrame:
             [pa.array([names[i] for i in new], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
             names=["node", "items"])
 
-    return map_slices(texts, fn, "node long, items array<long>").dropDuplicates(["node"])
+    return map_slices(texts, fn, "node long, items array<long>", limit=SET_BYTES, done=seen.clear).dropDuplicates(["node"])
 
 
 def nodes_of(sized: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def text_key(col: Column) -> Column:
     return F.unhex(F.md5(col))
 
 
+def trim() -> None:
+    """Hand freed memory back: a Python worker lives on after its task, and in the pipeline after its stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes; every row is kept once."""
     col = batch.column(column)
@@ -76,6 +86,6 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
         finally:
             if done:
                 done()
-            pa.default_memory_pool().release_unused()
+            trim()
 
     return df.mapInArrow(run, schema)

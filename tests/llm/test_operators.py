@@ -410,3 +410,16 @@ def test_embeddings(spark, block, monkeypatch):
 
 def test_no_embeddings(spark):
     assert embedding_join.range_join(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_ngram_join_bounds_what_a_worker_holds(spark, monkeypatch):
+    from filingscope.llm import ngram_join, toolkit
+
+    seen = []
+    monkeypatch.setattr(ngram_join, "map_slices", lambda *a, **k: seen.append(k.get("limit", toolkit.SLICE_BYTES)) or toolkit.map_slices(*a, **k))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    sized = ngram_join.set_sizes(docs)
+    ngram_join.signature_rows(docs)
+    ngram_join.sets_of(docs, sized, sized.select("node").where("node IS NOT NULL").distinct())
+    assert seen == [ngram_join.SET_BYTES] * 3 and ngram_join.SET_BYTES <= 500_000
+    toolkit.trim()
