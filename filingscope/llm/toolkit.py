@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.session import ensure_checkpoint_dir
+from filingscope.session import ensure_checkpoint_dir, sweep  # noqa: F401  (the operators take sweep from here)
 
 #: Text bytes handed to numpy at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 2_000_000
@@ -29,15 +29,6 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished steps.
-
-    Its cleaner does so when the driver's JVM has collected what stands for them, which a small heap's worth of
-    plans may put off to the end of the job.
-    """
-    spark._jvm.System.gc()
-
-
 def text_key(col: Column) -> Column:
     """16 bytes that stand for a whole text: equal texts share it (null keeps null)."""
     return F.unhex(F.md5(col))

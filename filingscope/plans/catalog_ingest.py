@@ -20,7 +20,7 @@ from filingscope.plans.catalog_cube import CUBE_COLS, K6_SQL, LCA_CUBE, PERM_CUB
 from filingscope.plans.catalog_stats import _ds
 from filingscope.plans.oracle_base import fiscal_sql
 from filingscope.plans.registry import register
-from filingscope.session import scratch_path
+from filingscope.session import discard, scratch_path
 from filingscope.sources import master as master_io
 from filingscope.sources import raw as raw_io
 from filingscope.sources import sinks, staging, testbind
@@ -78,7 +78,9 @@ def c7_incremental_lca(spark, sf_dir):
     """The oldest export lands as the master, each later one replaces only the periods it touches; the last comes twice."""
     path = scratch_path(spark, "refreshed-master")
     exports = [ingest.clean_rows([f], numeric_cols=testbind.LCA_NUMERIC_TEXT) for f in _frames(spark, sf_dir)]
-    master_io.write_master(master_io.newest_rows(exports[0]), path)
+    first = master_io.newest_rows(exports[0])
+    master_io.write_master(first, path, rebalance=False)
+    discard(first)
     for new in [*exports[1:], exports[-1]]:
         master_io.refresh_master(spark, new, path)
     return spark.read.option("mergeSchema", True).parquet(path).select(*CONSOLIDATED_COLS)
