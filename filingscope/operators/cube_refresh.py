@@ -12,24 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingscope.operators.cube import CubeDims, cell_keys, dims_from_cells, facts_from_cells
-from filingscope.operators.distribution import stored
 from filingscope.operators.entities import apply_canonical
 from filingscope.plans.enrich import enrich
-from filingscope.session import path_exists
-from filingscope.sources.master import fresh_rows, known_rows, newest_of, newest_rows, refresh_master, write_master
+from filingscope.session import discard, landed, path_exists, sweep
+from filingscope.sources.master import (
+    fresh_rows,
+    known_rows,
+    marks_of,
+    newest_of,
+    newest_rows,
+    refresh_master,
+    rows_at,
+    superseded,
+    write_master,
+)
 from filingscope.spec import FilingsSpec
 
 MEASURES = ("filings", "certified", "decided", "wage_sum", "wage_n")
 
 
-def changes(master: DataFrame, new: DataFrame, known: DataFrame, key: str = "CASE_NUMBER",
+def changes(master: DataFrame, new: DataFrame, known: DataFrame, marks: DataFrame, key: str = "CASE_NUMBER",
             order_col: str = "SOURCE_ORD") -> tuple[DataFrame, DataFrame]:
     """(rows that ``refresh_master`` will add, rows that it will remove) when ``new`` meets the stored master.
 
-    ``new`` comes from ``newest_rows``, ``known`` from ``known_rows``: the refresh reads the same.
+    ``new`` comes from ``newest_rows``, ``known`` from ``known_rows``, ``marks`` from what it has ``superseded``: the refresh
+    reads the same.  Rows to remove are read at their places.
     """
-    gone = (F.col(key) == F.col("_case")) & (F.col(order_col) <= F.col("_new"))
-    return fresh_rows(new, known, key, order_col), master.join(newest_of(new, key, order_col), gone, "left_semi")
+    return fresh_rows(new, known, key, order_col), rows_at(master, marks)
 
 
 def signed_cells(rows: DataFrame, spec: FilingsSpec, with_wage_level: bool) -> DataFrame:
@@ -43,38 +52,47 @@ def signed_cells(rows: DataFrame, spec: FilingsSpec, with_wage_level: bool) -> D
 
 
 def take_export(spark: SparkSession, new: DataFrame, master: str, cells: str, number: int, spec: FilingsSpec,
-                with_wage_level: bool = True) -> None:
+                with_wage_level: bool = True, here: bool = False) -> None:
     """Record what an export changes in the cube, then refresh the master with it.
 
     The cells are written first, against the master as it was; a call repeated after a failure keeps cells that are
-    complete and repeats the refresh only, so nothing is counted twice.
+    complete and repeats the refresh only, so nothing is counted twice.  ``here``: ``new`` is read from stored files.
     """
     there = path_exists(spark, master)
-    new = newest_rows(new)
+    export = newest_rows(new, here=here)
+    scratch = [] if export is new else [export]
     if there:
         stored_rows = spark.read.option("mergeSchema", True).parquet(master)
-        known = known_rows(stored_rows, newest_of(new))
+        known = known_rows(stored_rows, newest_of(export))
+        marks = marks_of(superseded(known))
+        scratch += [known, marks]
     if not path_exists(spark, f"{cells}/batch={number}/_SUCCESS"):
         if there:
-            added, removed = changes(stored_rows, new, known)
+            added, removed = changes(stored_rows, export, known, marks)
             rows = added.withColumn("_sign", F.lit(1)).unionByName(removed.withColumn("_sign", F.lit(-1)), allowMissingColumns=True)
         else:
-            rows = new.withColumn("_sign", F.lit(1))
+            rows = export.withColumn("_sign", F.lit(1))
         signed_cells(rows, spec, with_wage_level).write.mode("overwrite").parquet(f"{cells}/batch={number}")
+        sweep(spark)
     if there:
-        refresh_master(spark, new, master, known=known)
+        refresh_master(spark, export, master, known=known, marks=marks)
     else:
-        write_master(new, master)
+        write_master(export, master, rebalance=False)
+    for frame in scratch:
+        discard(frame)
 
 
 def stored_cells(spark: SparkSession, cells: str, names: DataFrame) -> DataFrame:
-    """The cells of all exports, as ``cube.cube_cells`` of the master has them, under the canonical names of ``names``."""
+    """The cells of all exports, as ``cube.cube_cells`` of the master has them, under the canonical names of ``names``.
+
+    Cells are dealt by spelling once: their sums and the lookup of the spelling's name need no other exchange.
+    """
     rows = spark.read.parquet(cells)
     sums = [F.sum(m).alias(m) for m in MEASURES]
     keys = [c for c in rows.columns if c not in (*MEASURES, "batch")]
-    live = rows.groupBy(*keys).agg(*sums).where(F.col("filings") != 0)
+    live = rows.repartition("EMPLOYER").groupBy(*keys).agg(*sums).where(F.col("filings") != 0)
     named = apply_canonical(live, "EMPLOYER", None, names)
-    return stored(named.groupBy(*[c for c in keys if c != "EMPLOYER"], "EMPLOYER_CANONICAL").agg(*sums))
+    return landed(named.groupBy(*[c for c in keys if c != "EMPLOYER"], "EMPLOYER_CANONICAL").agg(*sums), "cells")
 
 
 def refreshed_cube(spark: SparkSession, cells: str, names: DataFrame, with_wage_level: bool = True) -> tuple[CubeDims, DataFrame]:

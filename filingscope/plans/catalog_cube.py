@@ -9,7 +9,7 @@ from filingscope.plans.catalog_stats import BASE_FY, NEXT_FY, _ds
 from filingscope.plans.oracle_base import core_sql
 from filingscope.plans.enrich import shared_employer_map
 from filingscope.plans.registry import register
-from filingscope.session import scratch_path
+from filingscope.session import discard, scratch_path
 from filingscope.sources import testbind
 from filingscope.spec import LCA, PERM
 
@@ -104,10 +104,12 @@ def k3_perm_cube(spark, sf_dir):
 def k2_incremental_lca(spark, sf_dir):
     """The cube after the LCA exports came one by one, oldest first, the last one twice."""
     master, cells = scratch_path(spark, "cube-master"), scratch_path(spark, "cube-cells")
-    rows = ingest.add_fiscal_calendar(testbind.lca_raw(spark, sf_dir))
+    raw = testbind.lca_raw(spark, sf_dir)
+    rows = ingest.add_fiscal_calendar(raw)
     orders = sorted(r[0] for r in rows.select("SOURCE_ORD").distinct().collect())  # one a listed export
     for number, order in [*enumerate(orders), (len(orders) - 1, orders[-1])]:
-        cube_refresh.take_export(spark, rows.where(F.col("SOURCE_ORD") == order), master, cells, number, LCA)
+        cube_refresh.take_export(spark, rows.where(F.col("SOURCE_ORD") == order), master, cells, number, LCA, here=True)
+    discard(raw)
     names = shared_employer_map(spark, spark.read.parquet(master), _ds(spark, sf_dir).perm_master)
     return cube_refresh.refreshed_cube(spark, cells, names)[1]
 

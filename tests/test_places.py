@@ -74,3 +74,24 @@ def test_refresh_of_rows_without_a_case(spark, tmp_path):
     want = latest_source_wins(one.unionByName(two))
     assert sorted(map(str, spark.read.parquet(path).select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert not os.path.exists(f"{path}/FISCAL_YEAR=2024/FISCAL_QUARTER=2")  # its last row went
+
+
+def test_cube_refresh_keeps_its_cells_compressed_and_nothing_else(spark, tmp_path):
+    """Cells of the exports lie in a landed folder; exports, places and marks of a finished step are gone."""
+    from filingscope.operators import cube_refresh
+    from filingscope.operators.entities import spelling_map
+    from filingscope.operators.ingest import add_fiscal_calendar
+    from filingscope.sources import testbind
+    from filingscope.spec import LCA
+    from tests.conftest import SF_SMALL
+
+    rows = add_fiscal_calendar(testbind.lca_raw(spark, SF_SMALL))
+    path, cells, before = str(tmp_path / "master"), str(tmp_path / "cells"), scratch(spark)
+    for number, order in enumerate((1, 2)):
+        cube_refresh.take_export(spark, rows.where(F.col("SOURCE_ORD") == order), path, cells, number, LCA, here=number == 1)
+        assert scratch(spark) == before
+    assert rows.count() > spark.read.parquet(path).count() > 0  # the caller's rows stay
+    names = spelling_map(spark, (spark.read.parquet(path), LCA.employer_col))
+    now = cube_refresh.stored_cells(spark, cells, names)
+    left = {os.path.basename(d).split("-")[0] for d in scratch(spark) - before}
+    assert left == {"cells", "spellings"} and now.inputFiles()
