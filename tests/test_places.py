@@ -95,3 +95,31 @@ def test_cube_refresh_keeps_its_cells_compressed_and_nothing_else(spark, tmp_pat
     now = cube_refresh.stored_cells(spark, cells, names)
     left = {os.path.basename(d).split("-")[0] for d in scratch(spark) - before}
     assert left == {"cells", "spellings"} and now.inputFiles()
+
+
+def test_master_of_stored_rows_equals_latest_source_wins(spark, tmp_path):
+    from filingscope.plans.enrich import master_from_raw, master_of
+
+    rows = [(f"c{i % 50}" if i % 11 else None, None if i % 13 == 0 else i % 3, i, f"2024-{i % 12 + 1:02}-01") for i in range(2_000)]
+    rows += [("giant", i % 4, i, "2023-05-05") for i in range(3_000)] + [("unordered", None, 1, None), ("unordered", None, 2, None)]
+    spark.createDataFrame(rows, "CASE_NUMBER string, SOURCE_ORD int, v int, d string").select(
+        "*", F.to_date("d").alias("RECEIVED_DATE"), F.lit(None).cast("date").alias("DECISION_DATE")).repartition(3).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    got, want = master_of(raw, master.stale_marks(raw)), master_from_raw(raw)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_datasets_keep_the_master_and_names_only(spark):
+    """The rows a stored master was made from go with it, unless a plan over them was handed out."""
+    from filingscope.plans.enrich import Datasets
+    from tests.conftest import SF_SMALL
+
+    labels = lambda: sorted(os.path.basename(d).rsplit("-", 1)[0] for d in scratch(spark) - before)
+    before, ds = scratch(spark), Datasets(spark, SF_SMALL)
+    rows = ds.lca.count()
+    assert "lca-raw" not in labels() and "marks" not in labels() and "lca-master" in labels()
+    other = Datasets(spark, SF_SMALL)
+    plan = other.lca_master
+    assert other.lca.count() == plan.count() == rows and "lca-raw" in labels()
