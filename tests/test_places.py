@@ -123,3 +123,14 @@ def test_datasets_keep_the_master_and_names_only(spark):
     other = Datasets(spark, SF_SMALL)
     plan = other.lca_master
     assert other.lca.count() == plan.count() == rows and "lca-raw" in labels()
+
+
+def test_persona_query_stores_no_raw_rows_to_its_end(spark):
+    """What the top occupations read is the master; the joined rows it was made from are gone."""
+    import __spark_entry__ as entry
+    from tests.conftest import SF_SMALL
+
+    before = scratch(spark)
+    top = entry.queries()["q7_persona_top_occupations_lca"](spark, SF_SMALL)
+    left = {os.path.basename(d).rsplit("-", 1)[0] for d in scratch(spark) - before}
+    assert left == {"lca-master", "spellings", "names"} and top.count() > 0
